@@ -49,8 +49,8 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     """Writes the two tables below `path` and returns it.
 
     Of records with equal payloads of at least `min_revisit_bytes`, the one with the smallest id is a
-    response and the others revisit it; of repeated rows with that id, all but one revisit. Null
-    payloads are empty; a null id sorts last; a null URL is an empty header.
+    response and the others revisit it; rows that repeat its id, URL and payload are the same record
+    and stay responses. Null payloads are empty; a null id sorts last; a null URL is an empty header.
     """
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary") if dict(pages.dtypes)[payload_col] != "binary" else F.coalesce(F.col(payload_col), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), body.alias("_payload"))
@@ -59,8 +59,9 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     first = heads.groupBy("_sha256").agg(F.min("_id").alias("_first"), F.min_by("_tie", F.struct(F.col("_id").isNull(), "_id", "_tie")).alias("_first_tie"))
     own = first.withColumnRenamed("_sha256", "_key")
     chosen = keyed.join(own, (F.col("_sha256") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_tie") == F.col("_first_tie")))
-    # rows that repeat id and URL of the chosen one carry the same bytes: one of them is kept
-    chosen.select(F.col("_sha256").alias("sha256"), F.col("_bytes").alias("length"), F.col("_payload").alias("payload")).dropDuplicates(["sha256"]).write.mode("overwrite").parquet(f"{path}/payloads")
+    # rows that repeat id and URL of the chosen one carry the same bytes: one is kept, by the join's own partitioning
+    chosen = chosen.dropDuplicates(["_sha256", "_id", "_tie"])
+    chosen.select(F.col("_sha256").alias("sha256"), F.col("_bytes").alias("length"), F.col("_payload").alias("payload")).write.mode("overwrite").parquet(f"{path}/payloads")
     kind = F.when((F.col("_bytes") < min_revisit_bytes) | (F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_tie") == F.col("_first_tie"))), "response").otherwise("revisit")
     marked = heads.join(first, "_sha256").withColumn("_date", F.lit(date)).withColumn("_kind", kind)
     marked.select(F.col("_id").alias("record_key"), F.col("_sha256").alias("sha256"), _headers(F.col("_kind")).alias("header")).write.mode("overwrite").parquet(f"{path}/records")
@@ -84,7 +85,7 @@ def record_bytes(records: DataFrame) -> DataFrame:
 
 def header_field(name: str) -> Column:
     """A field of the `header` column, null when the header has none."""
-    found = F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)\r$", 1)
+    found = F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)\r\n", 1)
     return F.when(F.col("header").rlike(rf"(?m)^{name}: "), found)
 
 
