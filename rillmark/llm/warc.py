@@ -58,9 +58,9 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     heads = keyed.select("_id", "_url", "_sha256", "_bytes", "_tie", base32_sha1(F.col("_payload")).alias("_sha1"))
     first = heads.groupBy("_sha256").agg(F.min("_id").alias("_first"), F.min_by("_tie", F.struct(F.col("_id").isNull(), "_id", "_tie")).alias("_first_tie"))
     own = first.withColumnRenamed("_sha256", "_key")
-    chosen = keyed.join(own, (F.col("_sha256") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_tie") == F.col("_first_tie")))
+    chosen = keyed.join(own, (F.col("_sha256") == F.col("_key")) & (F.col("_tie") == F.col("_first_tie")))
     # rows that repeat id and URL of the chosen one carry the same bytes: one is kept, by the join's own partitioning
-    chosen = chosen.dropDuplicates(["_sha256", "_id", "_tie"])
+    chosen = chosen.dropDuplicates(["_sha256", "_tie"])
     chosen.select(F.col("_sha256").alias("sha256"), F.col("_bytes").alias("length"), F.col("_payload").alias("payload")).write.mode("overwrite").parquet(f"{path}/payloads")
     kind = F.when((F.col("_bytes") < min_revisit_bytes) | (F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_tie") == F.col("_first_tie"))), "response").otherwise("revisit")
     marked = heads.join(first, "_sha256").withColumn("_date", F.lit(date)).withColumn("_kind", kind)
