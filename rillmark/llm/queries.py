@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import decontam, minhash, sharding, warc
+from rillmark.llm import decontam, minhash, sharding, suffix, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.without_repeats(_read(spark, sf_dir, "documents"), length=400)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept_bytes")).alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_read(spark, sf_dir, "pages"), min_revisit_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -29,5 +35,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(_read(spark, sf_dir, "documents"), 16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op6_warc, op8_benchmark_decontamination, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_suffix_array_dedup, op6_warc, op8_benchmark_decontamination, op9_sharding)}
 ORACLE_SQL: dict[str, str] = {}
