@@ -17,7 +17,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix.without_repeats(_read(spark, sf_dir, "documents"), length=400)
+    out = suffix.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept_bytes")).alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 

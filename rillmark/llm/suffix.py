@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.llm._base import as_bytes, flat, row_key, small_batches
+from rillmark.llm._base import as_bytes, cut, flat, row_key, small_batches
 from rillmark.llm.textbytes import mix, prefix_hash, slice_hash
 
 LENGTH = 400
@@ -236,25 +236,31 @@ def _string_hashes(df: DataFrame, length: int) -> DataFrame:
     return df.mapInArrow(work, "k1 long, k2 long, at long, n long, x1 long, x2 long")
 
 
-def repeated_starts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, table: int = TABLE) -> DataFrame:
-    """Row keys `k1`, `k2` and `starts`: the ranges (lo, hi) of repeated starts, for texts that have any."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    return docs.select(*row_key(id_col, text_col), as_bytes(text_col).alias("_text"), rest.alias("_rest"), F.col(text_col).isNull().alias("_null"))
+
+
+def repeated_starts(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM, table: int = TABLE) -> DataFrame:
+    """Of rows (_k1, _k2, _text, ...): keys `k1`, `k2` and `starts`, the ranges (lo, hi) of repeated
+    starts, for the texts that have any."""
     if not 1 <= gram <= length or length - gram + 1 > 4095:
         raise ValueError("the gram must fit in the string, and the string in 4095 starts")
-    small_batches(docs.sparkSession)
-    texts = docs.select(*row_key(id_col, text_col), as_bytes(text_col).alias("_text"))
-    runs = _find_anchors(texts, length, gram)
+    runs = _find_anchors(keyed.select("_k1", "_k2", "_text"), length, gram)
     spans = runs.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "p")).alias("one"))
     groups = spans.groupBy("fp").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("all")).where("all > 1").select(F.col("fp").alias("f"), "groups")
-    shared = spans.join(groups, F.col("fp") == F.col("f")).drop("f")
+    shared = cut(spans.join(groups, F.col("fp") == F.col("f")).select("fp", "ctx", "n", "groups", "one"))
     whole = shared.where("n > 1").select(F.col("fp").alias("f"), F.col("ctx").alias("c"))
     certain = runs.join(whole, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c"))).select("k1", "k2", F.expr("shiftright(p, 24)").alias("lo"), F.expr("shiftright(p, 24) + (shiftright(p, 12) & 4095)").alias("hi"))
     asked = shared.where("groups > 1").select("one.k1", "one.k2", F.struct("one.p", "fp", "n", "groups").alias("run"))
     asked = asked.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
-    found = _extract(texts.join(asked, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select("k1", "k2", "_text", "runs"), length)
+    # all columns go to the tasks, so that this join and the one that removes bytes share one shuffle of the texts
+    found = _extract(keyed.join(asked, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))), length)
     starts = certain.union(_sort_columns(found.where(F.col("groups") <= table), length, gram, table))
-    hashes = _string_hashes(found.where(F.col("groups") > table), length)
-    twice = hashes.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select(F.col("x1").alias("y1"), F.col("x2").alias("y2"))
-    starts = starts.union(hashes.where("n = 1").join(twice, (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi")))
+    if shared.where(F.col("groups") > table).limit(1).count():
+        hashes = _string_hashes(found.where(F.col("groups") > table), length)
+        twice = hashes.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select(F.col("x1").alias("y1"), F.col("x2").alias("y2"))
+        starts = starts.union(hashes.where("n = 1").join(twice, (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi")))
     return starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
 
 
@@ -279,8 +285,9 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     (null is empty). An empty table gives no rows. A column named like one of the two is replaced.
     """
     docs = docs.drop("kept_bytes", "removed_spans")
-    starts = repeated_starts(docs, id_col=id_col, text_col=text_col, length=length, **options)
-    keyed = docs.select(*row_key(id_col, text_col), as_bytes(text_col).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("_rest"), F.col(text_col).isNull().alias("_null"))
+    small_batches(docs.sparkSession)
+    keyed = _keyed(docs, id_col, text_col)
+    starts = repeated_starts(keyed, length=length, **options)
     joined = keyed.join(starts, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select("_rest", "_null", "_text", "starts")
     rest = joined.schema["_rest"].dataType
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
