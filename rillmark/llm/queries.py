@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import decontam, minhash, sharding, suffix, warc
+from rillmark.llm import decontam, langid, minhash, packing, sharding, suffix, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Files of the public tokenizer that the packing query uses.
+TOKENIZER = {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), capacity=2048, **TOKENIZER).drop("ids")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = langid.held_out("doc_id", 5, 0)
+    names, table = langid.prototypes(docs.where(~held))
+    return langid.identify(docs, names, table, keep=[F.col("doc_id"), held.alias("held_out")])
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
@@ -35,5 +51,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(_read(spark, sf_dir, "documents"), 16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_suffix_array_dedup, op6_warc, op8_benchmark_decontamination, op9_sharding)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = langid.held_out("doc_id", 4, 2)
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), "toxic")
+    model = toxicity.train(docs.where(~held).join(labels, F.col("doc_id") == F.col("labelled")))
+    return toxicity.score_texts(docs, model, keep=[F.col("doc_id"), held.alias("held_out")], threshold=0.3)
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_suffix_array_dedup, op6_warc, op8_benchmark_decontamination, op9_sharding, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
