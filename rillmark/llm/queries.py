@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import decontam, langid, minhash, packing, sharding, suffix, toxicity, warc
+from rillmark.llm import decontam, html, langid, media, minhash, packing, sharding, suffix, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 TOKENIZER = {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), capacity=2048, **TOKENIZER).drop("ids")
 
@@ -42,6 +46,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_read(spark, sf_dir, "pages"), min_revisit_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(_read(spark, sf_dir, "documents")))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -59,5 +67,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, model, keep=[F.col("doc_id"), held.alias("held_out")], threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_suffix_array_dedup, op6_warc, op8_benchmark_decontamination, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_suffix_array_dedup, op6_warc, op7_media_columns, op8_benchmark_decontamination, op9_sharding, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
