@@ -1,24 +1,63 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again.
+
+Each stage works on all that its predecessor kept, and its decisions take effect: texts without a
+language go, one document of each near-duplicate group stays, passages that repeat lose their bytes
+(documents that have nothing else go), documents with benchmark passages go, and what is left is
+packed into sequences. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rillmark.llm import decontam, minhash
+from rillmark.llm import decontam, langid, minhash, packing, suffix
 from rillmark.llm._base import shared_dir
+from rillmark.llm.queries import TOKENIZER
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the rows that have a language. Rejects texts in which none can be found (`und`);
+    a doubtful text or one whose own label differs is kept."""
+    names, table = langid.prototypes(docs)
+    judged = langid.identify(docs, names, table, keep=[F.struct(*docs.columns).alias("row")])
+    return judged.where("lang_pred <> 'und'").select("row.*")
+
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8 or more; the document with the smallest id stays."""
+    return minhash.drop_near_duplicates(docs, width=5, percent=80)
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return minhash.drop_near_duplicates(docs)
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every 400-byte string that occurs twice loses its bytes; characters cut in half go too."""
+    out = suffix.without_repeats(docs, length=400)
+    kept = F.try_validate_utf8(F.col("kept_bytes").cast("string"))
+    cleaned = F.coalesce(kept, F.regexp_replace(F.make_valid_utf8(F.col("kept_bytes").cast("string")), "�", ""))
+    touched = F.size("removed_spans") > 0
+    out = out.withColumn("text", F.when(touched, cleaned).otherwise(F.col("text")))
+    out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.where(~touched | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark window occurs go."""
-    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents in which a window of ten benchmark words occurs go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and their places in sequences."""
+    return packing.pack(docs, capacity=2048, **TOKENIZER).drop("ids")
 
 
-STAGES = [("minhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate)]
+STAGES = [
+    ("language_id", identify_languages),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", remove_repeats),
+    ("benchmark_decontamination", decontaminate),
+    ("best_fit_packing", pack),
+]
+#: SQL has no tokenizer and no trained profiles; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
