@@ -62,8 +62,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held = langid.held_out("doc_id", 4, 2)
-    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), "toxic")
-    model = toxicity.train(docs.where(~held).join(labels, F.col("doc_id") == F.col("labelled")))
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels").where(~held))
     return toxicity.score_texts(docs, model, keep=[F.col("doc_id"), held.alias("held_out")], threshold=0.3)
 
 

@@ -159,17 +159,16 @@ def fit(rows: list[tuple[bytes, int]], prior: float) -> Model:
     return model
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """A model from at most `sample_rows` rows of each label; rows without a label or text are left out."""
-    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    short = rows.where(F.length("t") <= sample_chars)
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """A model from at most `sample_rows` rows of each label. Twice as many labels are drawn first,
+    by a hash of their ids, and only their texts are read; null texts and labels are left out."""
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_labelled"), F.col(label_col).cast("int").alias("_y"))
+    counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     got = []
     for y in (0, 1):
-        share = F.lit(min(1.0, 4 * sample_rows / max(1, counts.get(y, 0))))
-        # a hash keeps about four times the rows wanted, so that little is sorted
-        chosen = short.where((F.col("y") == y) & (F.pmod(F.xxhash64("t", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20)))
-        got += [(r["t"].encode(), r["y"]) for r in chosen.orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect()]
+        drawn = known.where(F.col("_y") == y).orderBy(F.xxhash64("_labelled", F.lit(3)), "_labelled").limit(2 * sample_rows)
+        texts = docs.where(F.length(text_col) <= sample_chars).join(F.broadcast(drawn), F.col(id_col) == F.col("_labelled")).select(F.col(text_col).alias("t"))
+        got += [(r["t"].encode(), y) for r in texts.orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect()]
     total = sum(counts.values())
     return fit(got, counts.get(1, 0) / total if total else 0.0)
 
