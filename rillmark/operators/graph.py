@@ -12,7 +12,7 @@ def label(mask: DataFrame) -> DataFrame:
     """(scene, r, c) of set pixels to their component of four neighbours: `label` is its smallest
     pixel number r * 2**20 + c. Each round takes the neighbours' smallest label, then the label of
     that label's pixel, so rounds grow with the logarithm of a component's extent."""
-    nodes = mask.select("scene", (F.col("r") * (1 << 20) + F.col("c")).alias("p"))
+    nodes = cut(mask.select("scene", (F.col("r") * (1 << 20) + F.col("c")).alias("p")))
     steps = F.array(*[F.lit(x) for x in (1, -1, 1 << 20, -(1 << 20))])
     edges = nodes.withColumn("q", F.explode(F.transform(steps, lambda s: F.col("p") + s))).join(nodes.withColumnRenamed("p", "q"), ["scene", "q"])
     edges = cut(edges)
@@ -44,6 +44,7 @@ def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 def fill_holes(px: DataFrame, mask: str, size: int = 64) -> DataFrame:
     """Background that the border does not reach becomes set: adds <mask>_filled."""
+    px = cut(px)  # read several times below
     labels = label(px.where(f"not {mask}"))
     edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == size - 1) | (F.col("c") == size - 1)
     outer = labels.groupBy("scene", "label").agg(F.max(edge).alias("outer"))
@@ -53,6 +54,7 @@ def fill_holes(px: DataFrame, mask: str, size: int = 64) -> DataFrame:
 
 def keep_components(px: DataFrame, mask: str, name: str, *, min_size: int = 0, touching: str | None = None) -> DataFrame:
     """Adds a mask without components that are too small or touch no pixel of another mask."""
+    px = cut(px)  # read several times below
     labels = label(px.where(mask))
     touch = F.max(F.col(touching)) if touching else F.lit(True)
     inside = labels.join(px, ["scene", "r", "c"]).groupBy("scene", "label").agg(F.count(F.lit(1)).alias("n"), touch.alias("t")).where(f"n >= {min_size} and t")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("scene", "r").orderBy("c")
-COL = Window.partitionBy("scene", "c").orderBy("r")
+from rillmark.operators.checkpoints import cut
+
+
+def _along(axis: str) -> WindowSpec:
+    """A pixel's row in the order of its columns (axis c), or its column in the order of its rows."""
+    return Window.partitionBy("scene", "r" if axis == "c" else "c").orderBy(axis)
 
 
 def slope(px: DataFrame, elevation: str = "dem", cell: float = 30.0) -> DataFrame:
@@ -18,7 +22,7 @@ def slope(px: DataFrame, elevation: str = "dem", cell: float = 30.0) -> DataFram
         width = F.when(before.isNull() | after.isNull(), 1).otherwise(2) * cell
         return (F.coalesce(after, here) - F.coalesce(before, here)) / width
 
-    return px.withColumn("_gx", gradient(ROW)).withColumn("_gy", gradient(COL)).withColumn("slope_deg", F.degrees(F.atan(F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2)))).drop("_gx", "_gy")
+    return px.withColumn("_gx", gradient(_along("c"))).withColumn("_gy", gradient(_along("r"))).withColumn("slope_deg", F.degrees(F.atan(F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2)))).drop("_gx", "_gy")
 
 
 def _mirrored(px: DataFrame, axis: str, size: int, k: int) -> DataFrame:
@@ -47,8 +51,9 @@ def nearest_river(px: DataFrame, cell: float = 30.0) -> DataFrame:
     """Adds distance_m (0 without a river) and hand_m (height above the nearest river pixel, above
     the lowest pixel without a river). Exact and separable: the nearest river rows above and below
     within each column, then the best column; ties go to the smallest (row, column)."""
-    up = F.last(F.when(F.col("river"), F.col("r")), ignorenulls=True).over(COL.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(F.when(F.col("river"), F.col("r")), ignorenulls=True).over(COL.rowsBetween(0, Window.unboundedFollowing))
+    up = F.last(F.when(F.col("river"), F.col("r")), ignorenulls=True).over(_along("r").rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(F.when(F.col("river"), F.col("r")), ignorenulls=True).over(_along("r").rowsBetween(0, Window.unboundedFollowing))
+    px = cut(px)  # read five times below
     near = px.withColumn("_up", up).withColumn("_down", down).select(F.col("scene").alias("s0"), F.col("r").alias("r0"), F.col("c").alias("nc"), F.explode(F.array_distinct(F.array_compact(F.array("_up", "_down")))).alias("nr"))
     pairs = px.select("scene", "r", "c").join(near, (F.col("scene") == F.col("s0")) & (F.col("r") == F.col("r0")))
     d2 = (F.col("c") - F.col("nc")) ** 2 + (F.col("r") - F.col("nr")) ** 2
