@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions import expressions as X
-from rillmark.operators import graph, raster, vectors
+from rillmark.operators import graph, raster, segments, vectors
 from rillmark.sources import tables
 
 QUERIES: dict = {}
@@ -276,6 +276,31 @@ def priority_rank(spark, d):
     return vectors.priority(_states(spark, d)).select("input_ord", "building_count", F.col("priority_rank").cast("long").alias("priority_rank"))
 
 
+#: Of the open roads, only these last here, so that settlements are cut off.
+BLAME = f"""{CUT.replace("osm_id % 3 <> 0", "osm_id % 41 = 0")}, ue AS (SELECT a, b, osm_id, length, severed OR osm_id % 41 <> 0 AS severed FROM rd UNION ALL SELECT b, a, osm_id, length, severed OR osm_id % 41 <> 0 FROM rd),
+hop AS (SELECT ue.a AS node, ue.b AS nxt, ue.osm_id, ue.severed FROM ue JOIN pre p ON p.node = ue.a JOIN pre q ON q.node = ue.b WHERE ue.length > 0 AND q.dist + ue.length = p.dist QUALIFY row_number() OVER (PARTITION BY ue.a ORDER BY ue.osm_id, ue.b) = 1),
+walk AS (SELECT node AS origin, nxt, osm_id, severed FROM hop UNION ALL SELECT w.origin, h.nxt, h.osm_id, h.severed FROM walk w JOIN hop h ON h.node = w.nxt WHERE NOT w.severed),
+bl AS (SELECT x.input_ord, x.building_count, CASE WHEN state_lib = 'cut_off' THEN walk.osm_id END AS failed_segment FROM x LEFT JOIN walk ON walk.origin = x.node AND walk.severed)"""
+
+
+def _blamed(spark, d):
+    e, h = tables.roads(spark, d), _hospitals(spark, d)
+    e = e.withColumn("severed", F.expr("severed or osm_id % 41 <> 0"))
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("input_ord"), F.expr("s_suppkey * 2").alias("node"), F.expr("s_suppkey % 50").alias("building_count"))
+    pre, lib = graph.distances(e, h), graph.distances(e.where("not severed"), h)
+    return segments.blame(vectors.cutoff(s, pre, lib, lib), segments.first_severed(e, pre))
+
+
+@query(f"{BLAME} SELECT input_ord, building_count, failed_segment FROM bl")
+def failed_segment(spark, d):
+    return _blamed(spark, d).select("input_ord", "building_count", "failed_segment")
+
+
+@query(f"{BLAME} SELECT failed_segment, sum(building_count)::BIGINT AS buildings FROM bl WHERE failed_segment IS NOT NULL GROUP BY failed_segment ORDER BY buildings DESC, min(input_ord) LIMIT 1")
+def critical_segment(spark, d):
+    return segments.critical(_blamed(spark, d))
+
+
 STEEP = f"""{PX}, o AS (SELECT * FROM (VALUES (0, -1, 0), (1, 1, 0), (2, 0, -1), (3, 0, 1), (4, -1, -1), (5, -1, 1), (6, 1, -1), (7, 1, 1)) AS o(k, dr, dc)), d8 AS (SELECT p.scene, p.r, p.c, q.r AS nr, q.c AS nc FROM px p CROSS JOIN o JOIN px q ON q.scene = p.scene AND q.r = p.r + dr AND q.c = p.c + dc
 WHERE p.dem > q.dem QUALIFY row_number() OVER (PARTITION BY p.scene, p.r, p.c ORDER BY (p.dem - q.dem) / (CASE WHEN dr * dc = 0 THEN 30::DOUBLE ELSE 1.4142::DOUBLE * 30 END) DESC, k) = 1)"""
 

@@ -2,7 +2,7 @@ import __spark_entry__
 from pyspark.sql import functions as F
 
 from rillmark.functions import expressions as X
-from rillmark.operators import graph, raster, vectors
+from rillmark.operators import graph, raster, segments, vectors
 
 
 def grid(spark, n, fill):
@@ -47,6 +47,16 @@ def test_severed_road_cuts_off_and_isolated_is_unknown(spark):
     assert (out[3].state_cons, out[3].priority_rank) == ("cut_off", 1) and (out[9].state_lib, out[9].priority_rank) == ("unknown", None)
 
 
+def test_failed_and_critical_segment(spark):
+    edges = spark.createDataFrame([(1, 2, 500, 2000, False), (2, 3, 501, 1500, True), (3, 4, 502, 100, False)], "a long, b long, osm_id long, length long, severed boolean")
+    source = spark.createDataFrame([(1,)], "node long")
+    pre, post = graph.distances(edges, source), graph.distances(edges.where("not severed"), source)
+    towns = spark.createDataFrame([(0, 3, 45), (1, 9, 8), (2, 4, 5), (3, 2, 7)], "input_ord long, node long, building_count long")
+    blamed = segments.blame(vectors.cutoff(towns, pre, post, post), segments.first_severed(edges, pre))
+    assert {r.node: r.failed_segment for r in blamed.collect()} == {3: 501, 9: None, 4: 501, 2: None}
+    assert tuple(segments.critical(blamed).first()) == (501, 50)
+
+
 def test_scene_pairs(spark):
     rows = [(0, 121, "desc", "2026-08-14"), (1, 45, "desc", "2026-08-14"), (2, 121, "desc", "2026-08-26")]
     s = spark.createDataFrame(rows, "input_ord long, orbit long, direction string, taken string")
