@@ -30,8 +30,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every 400-byte string that occurs twice loses its bytes; characters cut in half go too."""
-    out = suffix.without_repeats(docs, length=400)
+    """Every run of 50 words and every 400-byte string that occurs twice loses its bytes; characters
+    cut in half go too."""
+    out = suffix.without_repeats(docs, length=400, words=50)
     kept = F.try_validate_utf8(F.col("kept_bytes").cast("string"))
     cleaned = F.coalesce(kept, F.regexp_replace(F.make_valid_utf8(F.col("kept_bytes").cast("string")), "�", ""))
     touched = F.size("removed_spans") > 0

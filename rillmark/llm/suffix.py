@@ -13,6 +13,9 @@ each round inserts one symbol per document, read from a sequential file, which t
 the suffixes one column further right (a stable sort by the symbols, the column's Burrows-Wheeler
 transform being the next symbols in that order) and updates the common prefixes of neighbours. A
 suffix that shares `length` symbols with a neighbour is a repeated start.
+
+Passages can be judged in words as well: the same anchors over the words of a text, whose runs are
+compared by their hashes, find every run of so many words that occurs twice, however few bytes it has.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.llm._base import as_bytes, cut, flat, row_key, small_batches
-from rillmark.llm.textbytes import mix, prefix_hash, slice_hash
+from rillmark.llm._base import as_bytes, cut, flat, pieces, row_key, small_batches
+from rillmark.llm.textbytes import mix, prefix_hash, slice_hash, word_bounds, word_table
 
 LENGTH = 400
 #: Bytes of an anchor gram.
@@ -37,6 +40,10 @@ PIECE = 1 << 19
 #: Small documents that one round table holds; groups that alone have more are compared by the
 #: hashes of their strings, counted over the cluster.
 TABLE = 16384
+#: Words of an anchor gram where passages are judged in words.
+GRAM_WORDS = 10
+#: What stands between blanks is a word.
+WORD = word_table(b" \t\n\v\f\r")
 _U = np.uint64
 _POS = 21
 
@@ -241,33 +248,103 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*row_key(id_col, text_col), as_bytes(text_col).alias("_text"), rest.alias("_rest"), F.col(text_col).isNull().alias("_null"))
 
 
-def repeated_starts(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM, table: int = TABLE) -> DataFrame:
-    """Of rows (_k1, _k2, _text, ...): keys `k1`, `k2` and `starts`, the ranges (lo, hi) of repeated
-    starts, for the texts that have any."""
-    if not 1 <= gram <= length or length - gram + 1 > 4095:
-        raise ValueError("the gram must fit in the string, and the string in 4095 starts")
-    runs = _find_anchors(keyed.select("_k1", "_k2", "_text"), length, gram)
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start, end = word_bounds(data, offsets, WORD)
+    return slice_hash(prefix_hash(data), start, end), np.searchsorted(start, offsets)
+
+
+def _find_word_anchors(df: DataFrame, length: int, gram: int) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column("_text"))
+            k1, k2 = batch.column("_k1").to_numpy(zero_copy_only=False), batch.column("_k2").to_numpy(zero_copy_only=False)
+            for i, j in pieces(offsets):
+                h, at = _word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for rows, begins, ends in _cut_rows(at, length):
+                    part = np.concatenate([h[a:b] for a, b in zip(begins, ends, strict=True)])
+                    row, lo, hi, a, gram_hash, span = anchors(part, np.concatenate([[0], np.cumsum(ends - begins)]), length, gram)
+                    shift = begins[row] - at[rows[row]]
+                    of = rows[row] + i
+                    arrays = [k1[of], k2[of], _pack(lo + shift, hi + shift, a + shift), gram_hash.view(np.int64), span.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["k1", "k2", "p", "fp", "ctx"])
+
+    return df.mapInArrow(work, "k1 long, k2 long, p long, fp long, ctx long")
+
+
+def _word_run_hashes(df: DataFrame, length: int) -> DataFrame:
+    """(text, list of runs) to one row per start, in words, with the hashes of its `length` words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k1, k2, text, runs in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("_text"), batch.column("runs").to_pylist(), strict=True):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                h, _ = _word_hashes(data, np.array([0, len(data)]))
+                p, n = np.array([r["p"] for r in runs]), np.array([r["n"] for r in runs])
+                many = (p >> 12 & 4095) + 1
+                m = int(many.sum())
+                at = np.arange(m) + np.repeat((p >> 24) - np.cumsum(many) + many, many)
+                x1 = slice_hash(prefix_hash(h), at, at + length)
+                x2 = slice_hash(prefix_hash(mix(h)), at, at + length)
+                arrays = [np.full(m, k1), np.full(m, k2), at, np.repeat(n, many), x1.view(np.int64), x2.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["k1", "k2", "at", "n", "x1", "x2"])
+
+    return df.mapInArrow(work, "k1 long, k2 long, at long, n long, x1 long, x2 long")
+
+
+def _compared(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Anchors' spans that others share, the starts known to be repeated as a whole span is, and by
+    text the runs that are still to be compared."""
     spans = runs.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "p")).alias("one"))
     groups = spans.groupBy("fp").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("all")).where("all > 1").select(F.col("fp").alias("f"), "groups")
     shared = cut(spans.join(groups, F.col("fp") == F.col("f")).select("fp", "ctx", "n", "groups", "one"))
     whole = shared.where("n > 1").select(F.col("fp").alias("f"), F.col("ctx").alias("c"))
     certain = runs.join(whole, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c"))).select("k1", "k2", F.expr("shiftright(p, 24)").alias("lo"), F.expr("shiftright(p, 24) + (shiftright(p, 12) & 4095)").alias("hi"))
     asked = shared.where("groups > 1").select("one.k1", "one.k2", F.struct("one.p", "fp", "n", "groups").alias("run"))
-    asked = asked.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
+    return shared, certain, asked.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
+
+
+def _twice(hashes: DataFrame) -> DataFrame:
+    """Starts whose string occurs twice, of spans that occur once."""
+    twice = hashes.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select(F.col("x1").alias("y1"), F.col("x2").alias("y2"))
+    return hashes.where("n = 1").join(twice, (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
+
+
+def repeated_word_starts(keyed: DataFrame, *, words: int, gram: int = GRAM_WORDS) -> DataFrame:
+    """Of rows (_k1, _k2, _text, ...): k1, k2, lo, hi, the ranges, in words, of starts whose `words`
+    words also start elsewhere."""
+    gram = min(gram, words)
+    if not 1 <= gram or words - gram + 1 > 4095:
+        raise ValueError("the gram must fit in the run, and the run in 4095 starts")
+    _, certain, asked = _compared(_find_word_anchors(keyed.select("_k1", "_k2", "_text"), words, gram))
+    hashes = _word_run_hashes(keyed.join(asked, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))), words)
+    return certain.union(_twice(hashes))
+
+
+def repeated_starts(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM, table: int = TABLE) -> DataFrame:
+    """Of rows (_k1, _k2, _text, ...): k1, k2, lo, hi, the ranges of repeated starts."""
+    if not 1 <= gram <= length or length - gram + 1 > 4095:
+        raise ValueError("the gram must fit in the string, and the string in 4095 starts")
+    runs = _find_anchors(keyed.select("_k1", "_k2", "_text"), length, gram)
+    shared, certain, asked = _compared(runs)
     # all columns go to the tasks, so that this join and the one that removes bytes share one shuffle of the texts
     found = _extract(keyed.join(asked, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))), length)
     starts = certain.union(_sort_columns(found.where(F.col("groups") <= table), length, gram, table))
     if shared.where(F.col("groups") > table).limit(1).count():
         hashes = _string_hashes(found.where(F.col("groups") > table), length)
-        twice = hashes.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select(F.col("x1").alias("y1"), F.col("x2").alias("y2"))
-        starts = starts.union(hashes.where("n = 1").join(twice, (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi")))
-    return starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-
-
-def spans_of(starts: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal covered byte ranges (first, end) of the ranges of repeated starts."""
+        starts = starts.union(_twice(hashes))
+    return starts
+
+
+def spans_of(starts: list[dict], length: int, words: int | None = None, text: bytes = b"") -> list[tuple[int, int]]:
+    """Maximal covered byte ranges (first, end) of the ranges of repeated starts; those in words
+    reach from the first byte of a word to the end of another."""
+    ranges = [(r["lo"], r["hi"] + length) for r in starts if not r["by_word"]]
+    if len(ranges) < len(starts):
+        data = np.frombuffer(text, np.uint8)
+        start, end = word_bounds(data, np.array([0, len(data)]), WORD)
+        ranges += [(int(start[r["lo"]]), int(end[r["hi"] + words - 1])) for r in starts if r["by_word"]]
     out: list[list[int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"] + length) for r in starts):
+    for lo, hi in sorted(ranges):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -275,11 +352,13 @@ def spans_of(starts: list[dict], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int | None = None, **options) -> DataFrame:
     """All columns of `docs`, then `kept_bytes` (the text's UTF-8 bytes without those that any
     `length`-byte string covers which also starts elsewhere in the collection) and `removed_spans`
     (array of first and end, in bytes of the input text).
 
+    With `words`, bytes also go that lie in a run of so many words (what stands between blanks; the
+    blanks themselves may differ) which occurs twice in the collection.
     Strings are judged on the input texts and never cross them; every occurrence goes, the first
     too. Repeated rows are repeats of one another. Null and short texts lose nothing by themselves
     (null is empty). An empty table gives no rows. A column named like one of the two is replaced.
@@ -287,7 +366,10 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.drop("kept_bytes", "removed_spans")
     small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    starts = repeated_starts(keyed, length=length, **options)
+    starts = repeated_starts(keyed, length=length, **options).withColumn("by_word", F.lit(False))
+    if words:
+        starts = starts.union(repeated_word_starts(keyed, words=words).withColumn("by_word", F.lit(True)))
+    starts = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "by_word")).alias("starts"))
     joined = keyed.join(starts, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select("_rest", "_null", "_text", "starts")
     rest = joined.schema["_rest"].dataType
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
@@ -298,7 +380,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             kept, removed = [], []
             for text, runs in zip(batch.column("_text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                cut_out = spans_of(runs or [], length)
+                cut_out = spans_of(runs or [], length, words, text)
                 edges = [0, *(x for s in cut_out for x in s), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cut_out else text)
                 removed.append([{"first": a, "end": b} for a, b in cut_out])

@@ -64,20 +64,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of the texts data[offsets[i]:offsets[i + 1]], lower-cased in A-Z, and
-    n + 1 offsets into the words. Words never cross texts."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word of the texts data[offsets[i]:offsets[i + 1]]."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low = LOWER[data]
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = table[low]
+    inside[1:-1] = table[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     here, before = inside[1:], inside[:-1]
-    start = np.flatnonzero(here & (~before | first))
-    end = np.flatnonzero(before & (~here | first))
+    return np.flatnonzero(here & (~before | first)), np.flatnonzero(before & (~here | first))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts data[offsets[i]:offsets[i + 1]], lower-cased in A-Z, and
+    n + 1 offsets into the words. Words never cross texts."""
+    if len(data) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    low = LOWER[data]
+    start, end = word_bounds(low, offsets, table)
     h = slice_hash(prefix_hash(low), start, end)
     return h, np.searchsorted(start, offsets)
 

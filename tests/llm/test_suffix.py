@@ -1,9 +1,11 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rillmark.llm import suffix
 from tests.llm.fixtures import SCHEMA, corpus, documents
 
@@ -62,3 +64,37 @@ def test_columns_and_empty_table(spark):
     rows = [(None, "x" * 30 + "y" * 10, None, None, None), (None, "x" * 30 + "q" * 10, None, None, None), (None, None, None, None, None)]
     out = suffix.without_repeats(spark.createDataFrame(rows, SCHEMA), length=30, gram=10)
     assert sorted(bytes(r.kept_bytes) for r in out.collect()) == [b"", b"q" * 10, b"y" * 10]
+
+
+def brute_words(rows, length, words):
+    """Bytes that go because of a byte string or of a run of words."""
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    tokens = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^ \t-\r]+", b)] for b in texts]
+    run = lambda w, s: tuple(x[2] for x in w[s : s + words])
+    strings = Counter(b[s : s + length] for b in texts for s in range(len(b) - length + 1))
+    runs = Counter(run(w, s) for w in tokens for s in range(len(w) - words + 1))
+    out = []
+    for (i, *_), b, w in zip(rows, texts, tokens, strict=True):
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            gone[s : s + length] |= strings[b[s : s + length]] > 1
+        for s in range(len(w) - words + 1):
+            if runs[run(w, s)] > 1:
+                gone[w[s][0] : w[s + words - 1][1]] = True
+        out.append((i, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    return sorted(out, key=str)
+
+
+def test_runs_of_words_equal_brute_force(spark):
+    for rows, words in ((corpus(), 50), (corpus(), 3), (repetitive(), 8)):
+        out = suffix.without_repeats(documents(spark, rows), length=400, words=words).collect()
+        assert sorted(((r.doc_id, bytes(r.kept_bytes)) for r in out), key=str) == brute_words(rows, 400, words)
+
+
+def test_pipeline_removes_passages_of_over_50_words_below_400_bytes(spark):
+    passage = " ".join(f"w{k}" for k in range(51))
+    assert len(passage) < 400
+    rows = [(1, f"one here {passage} and on", "en", "s", 0), (2, f"two\n{passage.replace(' ', '  ')}\nnext", "en", "s", 0), (3, " ".join(f"w{k}" for k in range(49)), "en", "s", 0)]
+    out = corpus_pipeline.remove_repeats(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, "one here  and on"), (2, "two\n\nnext"), (3, rows[2][1])]
+    assert sorted((r.doc_id, r.n_chars) for r in out) == [(1, 16), (2, 9), (3, 0)]
