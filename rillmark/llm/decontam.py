@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,15 +176,16 @@ def _runs(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]))).tolist()
 
 
-_SCHEMA = T.StructType(
-    [
-        T.StructField("_id", T.StringType()),
-        T.StructField("_text", T.BinaryType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hit_runs", T.ArrayType(T.LongType())),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
+def _schema(carried: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("_row", carried),
+            T.StructField("_text", T.BinaryType()),
+            T.StructField("n_words", T.LongType()),
+            T.StructField("hit_runs", T.ArrayType(T.LongType())),
+            T.StructField("items", T.ArrayType(T.StringType())),
+        ]
+    )
 
 
 def _pass(df: DataFrame, block: Block, keep_text: bool, schema: T.StructType) -> DataFrame:
@@ -209,7 +210,7 @@ def _pass(df: DataFrame, block: Block, keep_text: bool, schema: T.StructType) ->
                     names.append((earlier_items[i + d] or []) + [block.names[k] for k in items[d]])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("_id").slice(i, j - i),
+                        batch.column("_row").slice(i, j - i),
                         batch.column("_text").slice(i, j - i) if keep_text else pa.nulls(j - i, pa.binary()),
                         pa.array(np.diff(at), pa.int64()),
                         pa.array(runs, pa.list_(pa.int64())),
@@ -221,32 +222,39 @@ def _pass(df: DataFrame, block: Block, keep_text: bool, schema: T.StructType) ->
     return df.mapInArrow(work, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document row: id, n_words, n_hit, hit_runs (first and last + 1 word of each hit
-    run, in turn), items (ids of the items with occurring windows, as strings, sorted), contaminated.
-
-    A window is `window` consecutive words of an item; an item of fewer words is one window. Null or
-    wordless texts have no words and no hits, wordless items no windows; an empty benchmark leaves
-    every document clean. Repeated rows are judged alike. Other columns are ignored.
-    """
+def _marked(docs: DataFrame, benchmark: DataFrame, carried: Column, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """One row per document row: `carried` as _row, n_words, hit_runs, items."""
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), as_bytes(item_text_col).alias("t"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     items = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
     out = docs.select(
-        F.col(id_col).cast("string").alias("_id"),
+        carried.alias("_row"),
         as_bytes(text_col).alias("_text"),
         F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<long>").alias("hit_runs"),
         F.lit(None).cast("array<string>").alias("items"),
     )
+    schema = _schema(out.schema["_row"].dataType)
     for b in range(blocks):
         rows = [(r["i"] if r["i"] is not None else "null", bytes(r["t"])) for r in items.where(F.col("b") == b).collect()]
-        out = _pass(out, Block(rows, window), b + 1 < blocks, _SCHEMA)
+        out = _pass(out, Block(rows, window), b + 1 < blocks, schema)
+    return out
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document row: id, n_words, n_hit, hit_runs (first and last + 1 word of each hit
+    run, in turn), items (ids of the items with occurring windows, as strings, sorted), contaminated.
+
+    A window is `window` consecutive words of an item; an item of fewer words is one window. Null or
+    wordless texts have no words and no hits, wordless items no windows; an empty benchmark leaves
+    every document clean. Repeated rows are judged alike. Other columns are ignored.
+    """
+    out = _marked(docs, benchmark, F.col(id_col).cast("string"), text_col, item_col, item_text_col, window, block_bytes)
     lengths = F.aggregate(F.col("hit_runs"), F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("k")), lambda a, x: F.struct((a["s"] + a["k"] * x).alias("s"), (-a["k"]).alias("k")), lambda a: a["s"])
     return out.select(
-        F.col("_id").cast(dict(docs.dtypes)[id_col]).alias(id_col),
+        F.col("_row").cast(dict(docs.dtypes)[id_col]).alias(id_col),
         "n_words",
         lengths.alias("n_hit"),
         "hit_runs",
@@ -255,11 +263,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, with all their columns, in which no benchmark window occurs."""
-    marked = contamination(docs, benchmark, id_col=id_col, **options)
-    dirty = marked.where("contaminated").select(F.col(id_col).alias("_dirty")).distinct()
-    return docs.join(dirty, F.col(id_col).eqNullSafe(F.col("_dirty")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, in which no benchmark window occurs. Each row is judged
+    by its own text, whatever its id."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = _marked(docs, benchmark, row, text_col, item_col, item_text_col, window, block_bytes)
+    return marked.where(F.size("hit_runs") == 0).select("_row.*")
 
 
 def item_digest(items: list[str]) -> str:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,19 +187,16 @@ def _confirm(df: DataFrame, percent: int, most: int) -> DataFrame:
     return parts.mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """One row per document row: id, n_shingles, class_id (smallest id with an equal shingle set),
-    component_id (smallest id reachable over links of at least `percent` per cent Jaccard
-    similarity), kept (id = component_id).
+def _text_key(text_col: str) -> list[Column]:
+    """Two longs that name a text: _k1, _k2."""
+    return [F.xxhash64(text_col, F.lit(5)).alias("_k1"), F.xxhash64(F.lit(3), text_col).alias("_k2")]
 
-    Sets are of distinct `width`-word shingles of lower-cased (A-Z) words between ASCII white space;
-    a shorter text's words are one shingle. Texts without words, and null texts, have empty sets
-    and link with nothing. A null id is never a group's smallest id unless all its ids are null, and
-    its row is never kept beside one with an id. Repeated rows are alike and both kept if one is.
-    An empty table gives no rows; other columns are ignored.
-    """
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
+    """One row per document row: _id, _k1, _k2, n (shingles), rep (class_id), component, and where n
+    is over 0 `grp`, which names the group whether its ids are null or not."""
     small_batches(docs.sparkSession)
-    rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col, F.lit(5)).alias("_k1"), F.xxhash64(F.lit(3), text_col).alias("_k2"), as_bytes(text_col).alias("_text"))
+    rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), *_text_key(text_col), as_bytes(text_col).alias("_text"))
     sig = cut(_sign(rows_in, width, bands, rows))
     classes = sig.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("rep"), F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))).alias("one"))
     # a class is named by its smallest id, or by its key where all ids are null
@@ -224,9 +221,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     group = linked.select("node", "root").union(linked.select("root", "root").distinct())
     named = group.join(classes.select("cls", "rep"), F.col("node") == F.col("cls"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "r")
-    named = named.join(lowest, F.col("root") == F.col("r")).select(F.col("cls").alias("g"), "component")
-    whole = classes.join(named, F.col("cls") == F.col("g"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("_id", "n", "s1", "s2").join(whole, (F.col("n") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+    named = named.join(lowest, F.col("root") == F.col("r")).select(F.col("cls").alias("g"), "root", "component")
+    whole = classes.join(named, F.col("cls") == F.col("g"), "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("root", "cls").alias("grp"))
+    return sig.select("_id", "_k1", "_k2", "n", "s1", "s2").join(whole, (F.col("n") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """One row per document row: id, n_shingles, class_id (smallest id with an equal shingle set),
+    component_id (smallest id reachable over links of at least `percent` per cent Jaccard
+    similarity), kept (id = component_id).
+
+    Sets are of distinct `width`-word shingles of lower-cased (A-Z) words between ASCII white space;
+    a shorter text's words are one shingle. Texts without words, and null texts, have empty sets
+    and link with nothing. A null id is never a group's smallest id unless all its ids are null, and
+    its row is never kept beside one with an id. Repeated rows are alike and both kept if one is.
+    An empty table gives no rows; other columns are ignored.
+    """
+    out = _grouped(docs, id_col, text_col, width, percent, bands, rows, block)
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id"))
     return out.select(
         F.col("_id").alias(id_col),
@@ -237,11 +248,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, with all their columns, that stand for their group. Of repeated rows with the
-    kept id and equal text, one stays."""
-    marked = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = marked.where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    rest = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    one = Window.partitionBy(F.col(id_col), F.xxhash64(text_col)).orderBy(F.lit(1))
-    return rest.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """The documents, with all their columns, that stand for their group: one row of each, that with
+    the smallest id (nulls last), of several with that id one text. Texts without words are in no
+    group; of rows with equal id and text, one stays."""
+    key = [F.xxhash64("_id", "_k1").alias("_j1"), F.xxhash64("_k2", "_id").alias("_j2")]
+    out = _grouped(docs, id_col, text_col, width, percent, bands, rows, block).select("n", "grp", F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), *key).alias("one"))
+    best = out.where("n > 0").groupBy("grp").agg(F.min("one").alias("one")).select("one")
+    kept = best.union(out.where("n = 0").select("one").distinct()).select(F.col("one._j1").alias("_l1"), F.col("one._j2").alias("_l2"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), *_text_key(text_col)).select("_row", *key)
+    rest = named.join(kept, (F.col("_j1") == F.col("_l1")) & (F.col("_j2") == F.col("_l2")), "left_semi")
+    one = Window.partitionBy("_j1", "_j2").orderBy(F.lit(1))
+    return rest.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("_row.*")

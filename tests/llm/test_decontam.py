@@ -89,3 +89,11 @@ def test_hit_runs_count_hit_words(spark):
     items = spark.createDataFrame(benchmark(), "item_id long, text string")
     out = decontam.contamination(documents(spark), items)
     assert out.where((F.size("hit_runs") % 2 != 0) | (F.col("n_hit") > F.col("n_words"))).count() == 0
+
+
+def test_filter_judges_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, "a one b", None, None, None), (None, "clean", None, None, None), (None, None, None, None, None), (3, "one", "en", "s", 1), (3, "clean too", "en", "s", 2), (3, "clean too", "en", "s", 2)]
+    items = spark.createDataFrame([(1, "one"), (2, "never seen")], "item_id long, text string")
+    for block_bytes in (decontam.BLOCK_BYTES, 4):
+        kept = decontam.decontaminate(spark.createDataFrame(rows, SCHEMA), items, block_bytes=block_bytes)
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if "one" not in (r[1] or "")), key=str)

@@ -80,3 +80,11 @@ def test_filter_keeps_columns_and_one_of_each_group(spark):
     kept = minhash.drop_near_duplicates(docs, width=4)
     assert kept.columns == docs.columns
     assert sorted({r.doc_id for r in kept.collect()}) == [i for i, _, _, k in dict.fromkeys(brute(corpus())) if k]
+
+
+def test_filter_judges_rows_with_null_and_repeated_ids(spark):
+    a, b, c = ("a b c d e f", "A b c d e f", "x y z u v w")
+    rows = [(None, a, "en", "s", 0), (4, b, "en", "s", 0), (None, c, None, None, None), (None, c.upper(), None, None, None), (None, None, None, None, None), (None, None, None, None, None), (9, a, "fr", "s", 0), (9, "p q r s t", "fr", "s", 0), (7, "k l m n", "fr", "s", 0), (7, "K l m n", "fr", "s", 0)]
+    kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA), width=3).collect()
+    assert sorted((r.doc_id or -1, (r.text or "").lower()) for r in kept) == [(-1, ""), (-1, c), (4, a), (7, "k l m n"), (9, "p q r s t")]
+    assert (4, b) in {(r.doc_id, r.text) for r in kept}
