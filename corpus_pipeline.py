@@ -30,13 +30,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every run of 50 words and every 400-byte string that occurs twice loses its bytes; characters
-    cut in half go too."""
-    out = suffix.without_repeats(docs, length=400, words=50)
-    kept = F.try_validate_utf8(F.col("kept_bytes").cast("string"))
-    cleaned = F.coalesce(kept, F.regexp_replace(F.make_valid_utf8(F.col("kept_bytes").cast("string")), "�", ""))
+    """Every run of 50 words that occurs twice loses its bytes, so that each passage of over 50 words
+    goes, however few bytes it has. Documents that have only blanks left go too."""
+    out = suffix.without_repeats(docs, length=50, words=True)
     touched = F.size("removed_spans") > 0
-    out = out.withColumn("text", F.when(touched, cleaned).otherwise(F.col("text")))
+    out = out.withColumn("text", F.when(touched, F.col("kept_bytes").cast("string")).otherwise(F.col("text")))
     out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.where(~touched | F.col("text").rlike(r"\S")).select(*docs.columns)
 

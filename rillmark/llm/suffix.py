@@ -1,21 +1,22 @@
-"""Exact removal of repeated byte strings, by column-wise suffix sorting of a collection.
-
-A start is repeated when the `length` bytes from it also start somewhere else in the collection.
-Sorting every suffix of a large collection is out of reach, so texts are first cut into aligned
-documents: of the `length - GRAM + 1` grams inside a start's string, the one with the smallest hash
-is its anchor. Equal strings have equal anchors at equal distances, so starts need only be compared
-with starts of the same anchor hash, in the columns counted from the anchor.
-
-The bytes around an anchor that its starts span are one small document of the collection. Documents
-with equal bytes are one with a count, and only anchors that two different documents share are
-sorted. `repeated_columns` builds the collection's suffix order column by column from right to left:
-each round inserts one symbol per document, read from a sequential file, which turns the order of
-the suffixes one column further right (a stable sort by the symbols, the column's Burrows-Wheeler
-transform being the next symbols in that order) and updates the common prefixes of neighbours. A
-suffix that shares `length` symbols with a neighbour is a repeated start.
-
-Passages can be judged in words as well: the same anchors over the words of a text, whose runs are
-compared by their hashes, find every run of so many words that occurs twice, however few bytes it has.
+"""Exact removal of repeated strings, by column-wise suffix sorting of collections.
+
+A start is repeated when the `length` symbols from it (bytes, or words between blanks) also start
+somewhere else in the collection. Sorting every suffix of a large collection is out of reach, so
+texts are first cut into aligned documents: of the `length - gram + 1` grams inside a start's string,
+the one with the smallest hash is its anchor. Equal strings have equal anchors at equal distances, so
+starts need only be compared with starts of the same anchor hash, in the columns counted from it.
+
+The symbols around an anchor that its starts span are one small document. Small documents with equal
+symbols are one with a count, of which two copies are sorted, so that the rounds themselves find
+copies equal. Anchors that nothing shares are left out. A group of more than `table` different small
+documents is split by more context first: starts are dealt into classes of fewer columns, whose
+strings all hold one longer region; starts of one class with equal regions are a group again.
+
+`repeated_columns` sorts the small documents of whole groups column by column from right to left:
+each round inserts one symbol per document, turns the order of the suffixes one column further right
+by a stable sort of the collection's Burrows-Wheeler transform, and updates the common prefixes of
+neighbours. Columns, transform and prefixes are sequential external files that a round reads and
+writes anew. A suffix that shares `length` symbols with a neighbour is a repeated start.
 """
 
 from __future__ import annotations
@@ -33,24 +34,35 @@ from rillmark.llm._base import as_bytes, cut, flat, pieces, row_key, small_batch
 from rillmark.llm.textbytes import mix, prefix_hash, slice_hash, word_bounds, word_table
 
 LENGTH = 400
-#: Bytes of an anchor gram.
-GRAM = 50
+#: Bytes of an anchor gram, and words of one where symbols are words.
+GRAM, GRAM_WORDS = 50, 10
 #: Starts looked at in one go; longer texts are taken in pieces.
 PIECE = 1 << 19
-#: Small documents that one round table holds; groups that alone have more are compared by the
-#: hashes of their strings, counted over the cluster.
-TABLE = 16384
-#: Words of an anchor gram where passages are judged in words.
-GRAM_WORDS = 10
+#: Different small documents of one group that are sorted together; larger groups are split.
+TABLE = 8192
+#: Columns of starts that one small document spans after the first, second, ... split of its group.
+#: After the last one all small documents of a group are equal.
+WIDTHS = (24, 1)
 #: What stands between blanks is a word.
 WORD = word_table(b" \t\n\v\f\r")
 _U = np.uint64
 _POS = 21
+_STEP = _U(0x9E3779B97F4A7C15)
+
+
+def symbols_of(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of texts (bytes, or 64-bit hashes of words), n + 1 offsets into them, and the
+    first byte and the end of each."""
+    if not words:
+        at = np.arange(len(data) + 1)
+        return data, offsets, at[:-1], at[1:]
+    start, end = word_bounds(data, offsets, WORD)
+    return slice_hash(prefix_hash(data), start, end), np.searchsorted(start, offsets), start, end
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of starts with one anchor: row, first start, last start, anchor (all within the row),
-    gram hash, and hash of the bytes that the run's strings span."""
+    gram hash, and hash of the symbols that the run's strings span."""
     window = length - gram + 1
     n = len(data)
     prefix = prefix_hash(data)
@@ -76,14 +88,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (rows[1:] != rows[:-1])]))
     last = np.append(new[1:], len(start)) - 1
     lo, hi, a, row = start[new], start[last], anchor[new], rows[new]
-    span = mix(slice_hash(prefix, lo, hi + length) + (a - lo).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    span = mix(slice_hash(prefix, lo, hi + length) + (a - lo).astype(np.uint64) * _STEP)
     base = offsets[row]
     return row, lo - base, hi - base, a - base, full[a], span
 
 
 def _cut_rows(offsets: np.ndarray, length: int, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row numbers, first bytes and ends of pieces that come to about `limit` bytes: each start of a
-    row lies in one piece, with all bytes of its string."""
+    """Row numbers, first symbols and ends of pieces that come to about `limit` symbols: each start
+    of a row lies in one piece, with all of its string."""
     rows, begins, ends, held = [], [], [], 0
     for i in np.flatnonzero(np.diff(offsets) >= length):
         a = offsets[i]
@@ -99,61 +111,104 @@ def _cut_rows(offsets: np.ndarray, length: int, limit: int = PIECE) -> Iterator[
         yield np.array(rows), np.array(begins), np.array(ends)
 
 
-#: lo, hi - lo and a - lo of a run in one number.
+#: lo, hi - lo and a - lo of a run in one number, and back.
 def _pack(lo: np.ndarray, hi: np.ndarray, a: np.ndarray) -> np.ndarray:
     return (lo << 24) | ((hi - lo) << 12) | (a - lo)
 
 
-def _find_anchors(df: DataFrame, length: int, gram: int) -> DataFrame:
+_LO, _MORE, _LEAD = "shiftright(p, 24)", "(shiftright(p, 12) & 4095)", "(p & 4095)"
+_RUNS = "k1 long, k2 long, p long, fp long, ctx long"
+
+
+def _longs(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
+
+
+def _find_anchors(df: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("_text"))
             k1, k2 = batch.column("_k1").to_numpy(zero_copy_only=False), batch.column("_k2").to_numpy(zero_copy_only=False)
-            for rows, begins, ends in _cut_rows(offsets, length):
-                part = np.concatenate([data[a:b] for a, b in zip(begins, ends, strict=True)])
-                row, lo, hi, a, gram_hash, span = anchors(part, np.concatenate([[0], np.cumsum(ends - begins)]), length, gram)
-                shift = (begins - offsets[rows])[row]
-                of = rows[row]
-                arrays = [k1[of], k2[of], _pack(lo + shift, hi + shift, a + shift), gram_hash.view(np.int64), span.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["k1", "k2", "p", "fp", "ctx"])
+            for i, j in pieces(offsets):
+                values, at, _, _ = symbols_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                for rows, begins, ends in _cut_rows(at, length):
+                    part = np.concatenate([values[a:b] for a, b in zip(begins, ends, strict=True)])
+                    row, lo, hi, a, gram_hash, span = anchors(part, np.concatenate([[0], np.cumsum(ends - begins)]), length, gram)
+                    shift = begins[row] - at[rows[row]]
+                    of = rows[row] + i
+                    yield _longs(["k1", "k2", "p", "fp", "ctx"], k1[of], k2[of], _pack(lo + shift, hi + shift, a + shift), gram_hash.view(np.int64), span.view(np.int64))
+
+    return df.mapInArrow(work, _RUNS)
+
+
+class _File:
+    """A sequential file of numbers that is written anew, then read from its beginning."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind, self.file = kind, tempfile.TemporaryFile()  # noqa: SIM115
 
-    return df.mapInArrow(work, "k1 long, k2 long, p long, fp long, ctx long")
+    def write(self, values: np.ndarray) -> None:
+        self.file.seek(0)
+        self.file.write(np.ascontiguousarray(values, self.kind).data)
+
+    def read(self, n: int) -> np.ndarray:
+        self.file.seek(0)
+        return np.frombuffer(self.file.read(n * self.kind.itemsize), self.kind)
+
+
+def _symbol_table(parts: list[np.ndarray], lead: np.ndarray, width: int, window: int) -> np.ndarray:
+    """Documents as rows, columns in the common alignment; 0 is no symbol, which equals nothing."""
+    if parts and parts[0].dtype != np.uint8:
+        sizes = [len(p) for p in parts]
+        ids = np.unique(np.concatenate(parts), return_inverse=True)[1] + 1
+        kind = np.uint16 if ids.max(initial=0) < 65536 else np.uint32
+        parts = np.split(ids.astype(kind), np.cumsum(sizes)[:-1])
+    else:
+        parts, kind = [p.astype(np.uint16) + np.uint16(1) for p in parts], np.uint16
+    table = np.zeros((len(parts), width), kind)
+    for i, part in enumerate(parts):
+        at = window - 1 - lead[i]
+        table[i, at : at + len(part)] = part
+    return table
 
 
 def repeated_columns(parts: list[np.ndarray], lead: np.ndarray, last: np.ndarray, length: int, window: int) -> np.ndarray:
-    """For aligned documents (bytes; bytes before column 0; last start's column, 0 or less), which
+    """For aligned documents (symbols; symbols before column 0; last start's column, 0 or less), which
     starts are repeated: a boolean row per document whose column j is start column j - window + 1.
 
     Column-wise construction: rounds go from the last column to the first."""
     m, width = len(parts), window - 1 + length
-    table = np.zeros((m, width), np.uint16)  # 0: no symbol, which equals nothing
-    for i, part in enumerate(parts):
-        at = window - 1 - lead[i]
-        table[i, at : at + len(part)] = part
-        table[i, at : at + len(part)] += 1
     out = np.zeros((m, window), bool)
-    order = np.arange(m)
-    differ = np.full(m + 1, length, np.int64)  # first column in which a suffix differs from the one before it
-    pair = np.empty(2 * max(m - 1, 0), np.int64)
-    with tempfile.TemporaryFile() as columns:
+    if m < 2:
+        return out
+    table = _symbol_table(parts, lead, width, window)
+    transform, prefixes = _File(table.dtype), _File(np.dtype(np.int32))
+    with tempfile.TemporaryFile() as columns, transform.file, prefixes.file:
         for c in range(width - 1, -1, -1):
             columns.write(np.ascontiguousarray(table[:, c]).data)
-        del table
         columns.seek(0)
+        each = m * table.dtype.itemsize
+        kind = table.dtype
+        del table
+        order = np.arange(m)
+        transform.write(np.frombuffer(columns.read(each), kind))
+        # first column in which a suffix differs from the one before it
+        prefixes.write(np.full(m + 1, length))
+        pair = np.empty(2 * (m - 1), np.int64)
         for c in range(length - 1, -window, -1):
-            symbols = np.frombuffer(columns.read(2 * m), np.uint16)
-            turned = symbols[order]
-            rank = np.argsort(turned, kind="stable")
-            order, turned = order[rank], turned[rank]
-            if m > 1:
-                pair[0::2], pair[1::2] = rank[:-1] + 1, rank[1:] + 1
-                common = np.minimum.reduceat(differ, pair)[::2]
-                differ[1:m] = np.where((turned[1:] == turned[:-1]) & (turned[1:] > 0), common, c)
-            differ[0] = differ[m] = c
+            bwt, was = transform.read(m), prefixes.read(m + 1)
+            rank = np.argsort(bwt, kind="stable")
+            order, turned = order[rank], bwt[rank]
+            pair[0::2], pair[1::2] = rank[:-1] + 1, rank[1:] + 1
+            common = np.minimum.reduceat(was, pair)[::2]
+            differ = np.full(m + 1, c, np.int32)
+            differ[1:m] = np.where((turned[1:] == turned[:-1]) & (turned[1:] > 0), common, c)
             if c <= 0:
                 far = differ - c >= length
-                own = order[far[:-1] | far[1:]]
-                out[own, c + window - 1] = True
+                out[order[far[:-1] | far[1:]], c + window - 1] = True
+            if c > 1 - window:
+                transform.write(np.frombuffer(columns.read(each), kind)[order])
+                prefixes.write(differ)
     column = np.arange(window) - window + 1
     return out & (column >= -lead[:, None]) & (column <= last[:, None])
 
@@ -167,36 +222,46 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(step == -1)[1] - 1
 
 
-_CONTEXT = "k1 long, k2 long, p long, fp long, n long, groups long, bytes binary"
+_FOUND = "fp long, ctx long, copy long, p long, groups long, bytes binary"
 
 
-def _extract(df: DataFrame, length: int) -> DataFrame:
-    """(text, list of runs) to one row per run with the bytes its strings span."""
+def _extract(df: DataFrame, length: int, words: bool) -> DataFrame:
+    """(text, list of runs) to one small document per run: the bytes that its strings span."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(7)]
-            for k1, k2, text, runs in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("_text"), batch.column("runs").to_pylist(), strict=True):
+            out: list[list] = [[] for _ in range(6)]
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())], names=["fp", "ctx", "copy", "p", "groups", "bytes"])
+
+            for text, runs in zip(batch.column("_text"), batch.column("runs").to_pylist(), strict=True):
                 view = memoryview(text.as_buffer())
+                if words:
+                    start, end = word_bounds(np.frombuffer(view, np.uint8), np.array([0, len(view)]), WORD)
                 for r in runs:
                     lo = r["p"] >> 24
-                    hi = lo + (r["p"] >> 12 & 4095)
-                    for column, x in zip(out, (k1, k2, r["p"], r["fp"], r["n"], r["groups"], bytes(view[lo : hi + length])), strict=True):
+                    hi = lo + (r["p"] >> 12 & 4095) + length
+                    part = view[start[lo] : end[hi - 1]] if words else view[lo:hi]
+                    for column, x in zip(out, (r["fp"], r["ctx"], r["copy"], r["p"], r["groups"], bytes(part)), strict=True):
                         column.append(x)
-                if len(out[0]) >= 4096:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:6]), pa.array(out[6], pa.binary())], names=["k1", "k2", "p", "fp", "n", "groups", "bytes"])
-                    out = [[] for _ in range(7)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:6]), pa.array(out[6], pa.binary())], names=["k1", "k2", "p", "fp", "n", "groups", "bytes"])
+                    if len(out[0]) >= 4096:
+                        yield made()
+                        out = [[] for _ in range(6)]
+            yield made()
 
-    return df.mapInArrow(work, _CONTEXT)
+    return df.mapInArrow(work, _FOUND)
 
 
-_STARTS = "k1 long, k2 long, lo long, hi long"
+def _values(part: bytes, words: bool) -> np.ndarray:
+    data = np.frombuffer(part, np.uint8)
+    return symbols_of(data, np.array([0, len(data)]), True)[0] if words else data
 
 
-def _sort_columns(df: DataFrame, length: int, gram: int, table: int) -> DataFrame:
-    """Groups come one after another; whole groups fill a table before it is sorted."""
-    window = length - gram + 1
+def _sort_columns(df: DataFrame, length: int, window: int, words: bool, table: int) -> DataFrame:
+    """(fp, ctx, first, last): the columns of repeated starts of each small document. Groups come one
+    after another; whole groups fill a table before it is sorted."""
+    names = ["fp", "ctx", "first", "last"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple] = []
@@ -204,43 +269,81 @@ def _sort_columns(df: DataFrame, length: int, gram: int, table: int) -> DataFram
 
         def done() -> pa.RecordBatch:
             if not parts:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["k1", "k2", "lo", "hi"])
-            k1, k2, p, n = (np.array(x) for x in zip(*keys, strict=True))
-            lo, lead = p >> 24, p & 4095
-            anchor = lo + lead
-            flags = repeated_columns(parts, lead, lo + (p >> 12 & 4095) - anchor, length, window)
-            flags[n > 1] = False  # repeated as a whole, and known to be
+                return _longs(names, [], [], [], [])
+            fp, ctx, copy, p = (np.array(x) for x in zip(*keys, strict=True))
+            lead = p & 4095
+            flags = repeated_columns(parts, lead, (p >> 12 & 4095) - lead, length, window)
+            flags[copy > 0] = False  # the first copy speaks for all
             row, first, last = _runs(flags)
-            base = anchor[row] - window + 1
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k1[row], k2[row], base + first, base + last)], names=["k1", "k2", "lo", "hi"])
+            return _longs(names, fp[row], ctx[row], first - window + 1, last - window + 1)
 
         was = None
         for batch in batches:
-            for k1, k2, p, fp, n, part in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "p", "fp", "n", "bytes")), strict=True):
+            for fp, ctx, copy, p, part in zip(*(batch.column(c).to_pylist() for c in ("fp", "ctx", "copy", "p", "bytes")), strict=True):
                 if fp != was and len(parts) >= table:
                     yield done()
                     keys, parts = [], []
                 was = fp
-                keys.append((k1, k2, p, n))
-                parts.append(np.frombuffer(part, np.uint8))
+                keys.append((fp, ctx, copy, p))
+                parts.append(_values(part, words))
         yield done()
 
-    return df.repartition("fp").sortWithinPartitions("fp").mapInArrow(work, _STARTS)
+    return df.repartition("fp").sortWithinPartitions("fp").mapInArrow(work, "fp long, ctx long, first long, last long")
 
 
-def _string_hashes(df: DataFrame, length: int) -> DataFrame:
+def _split(df: DataFrame, length: int, width: int, words: bool) -> DataFrame:
+    """Small documents of groups that are too large, as texts of their own (fp and ctx with the copy
+    are their keys), to runs whose starts lie in `width` columns and share all of one region."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, p, n, part in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "p", "n", "bytes")), strict=True):
-                data = np.frombuffer(part, np.uint8)
-                at = np.arange(len(data) - length + 1)
-                x1 = slice_hash(prefix_hash(data), at, at + length)
-                x2 = slice_hash(prefix_hash(data ^ np.uint8(0xA5)), at, at + length)
-                m = len(at)
-                arrays = [np.full(m, k1), np.full(m, k2), at + (p >> 24), np.full(m, n), x1.view(np.int64), x2.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["k1", "k2", "at", "n", "x1", "x2"])
-
-    return df.mapInArrow(work, "k1 long, k2 long, at long, n long, x1 long, x2 long")
+            for fp, ctx, copy, p, part in zip(*(batch.column(c).to_pylist() for c in ("fp", "ctx", "copy", "p", "bytes")), strict=True):
+                prefix = prefix_hash(_values(part, words))
+                lead, more = p & 4095, p >> 12 & 4095
+                kind = np.arange((4096 - lead) // width, (4096 - lead + more) // width + 1)
+                first = kind * width - 4096 + lead  # the class's first start, as a place in the bytes
+                lo, hi, a = np.maximum(first, 0), np.minimum(first + width - 1, more), first + width - 1
+                region = slice_hash(prefix, a, first + length)
+                key = mix(region ^ mix(kind.astype(np.uint64) * _STEP + _U(fp % (1 << 64))))
+                span = mix(slice_hash(prefix, lo, hi + length) + (a - lo).astype(np.uint64) * _STEP)
+                m = len(kind)
+                yield _longs(["k1", "k2", "p", "fp", "ctx"], np.full(m, fp), np.full(m, ctx ^ copy), _pack(lo, hi, a), key.view(np.int64), span.view(np.int64))
+
+    return df.mapInArrow(work, _RUNS)
+
+
+def _repeated(runs: DataFrame, texts: DataFrame, length: int, window: int, words: bool, table: int, widths: tuple[int, ...]) -> DataFrame:
+    """k1, k2, lo, hi: the ranges of repeated starts of texts (k1, k2, _text), given their runs."""
+    member = F.struct("k1", "k2", "p")
+    spans = runs.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("one"), F.max(member).alias("other"))
+    groups = spans.groupBy("fp").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("all")).where("all > 1").select(F.col("fp").alias("f"), "groups")
+    shared = cut(spans.join(groups, F.col("fp") == F.col("f")).select("fp", "ctx", "n", "groups", "one", "other"))
+    copies = F.array_compact(F.array(F.struct(F.lit(0).cast("long").alias("copy"), F.col("one").alias("of")), F.when(F.col("n") > 1, F.struct(F.lit(1).cast("long").alias("copy"), F.col("other").alias("of")))))
+    asked = shared.select("fp", "ctx", "groups", F.explode(copies).alias("x")).groupBy(F.col("x.of.k1").alias("r1"), F.col("x.of.k2").alias("r2")).agg(F.collect_list(F.struct(F.col("x.of.p").alias("p"), "fp", "ctx", F.col("x.copy").alias("copy"), "groups")).alias("runs"))
+    # all columns go to the tasks, so that this join and the one that removes bytes share one shuffle of the texts
+    found = _extract(texts.join(asked, (F.col("_k1") == F.col("r1")) & (F.col("_k2") == F.col("r2"))), length, words)
+    hits = _sort_columns(found.where(F.col("groups") <= table), length, window, words, table)
+    if widths and shared.where(F.col("groups") > table).limit(1).count():
+        large = cut(found.where(F.col("groups") > table))
+        width = min(widths[0], length)
+        parts = large.select(F.col("fp").alias("_k1"), F.col("ctx").bitwiseXOR(F.col("copy")).alias("_k2"), F.col("bytes").alias("_text"))
+        inner = _repeated(_split(large, length, width, words), parts, length, width, words, table, widths[1:])
+        lead = large.where("copy = 0").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), F.expr(_LEAD).alias("lead"))
+        hits = hits.union(inner.join(lead, (F.col("k1") == F.col("f")) & (F.col("k2") == F.col("c"))).select("f", "c", F.expr("lo - lead"), F.expr("hi - lead")))
+    hits = hits.toDF("f", "c", "first", "last")
+    at = f"{_LO} + {_LEAD}"
+    return runs.join(hits, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c"))).select("k1", "k2", F.expr(f"{at} + first").alias("lo"), F.expr(f"{at} + last").alias("hi"))
+
+
+def repeated_starts(keyed: DataFrame, *, length: int = LENGTH, gram: int | None = None, words: bool = False, table: int = TABLE, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """Of rows (_k1, _k2, _text, ...): k1, k2, lo, hi, the ranges of repeated starts, in symbols."""
+    gram = min(gram or (GRAM_WORDS if words else GRAM), length)
+    if gram < 1 or length - gram + 1 > 4095:
+        raise ValueError("the gram must fit in the string, and the string in 4095 starts")
+    if not widths or widths[-1] != 1:
+        raise ValueError("the last width must be 1")
+    runs = _find_anchors(keyed.select("_k1", "_k2", "_text"), length, gram, words)
+    return _repeated(runs, keyed, length, length - gram + 1, words, table, widths)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -248,101 +351,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*row_key(id_col, text_col), as_bytes(text_col).alias("_text"), rest.alias("_rest"), F.col(text_col).isNull().alias("_null"))
 
 
-def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start, end = word_bounds(data, offsets, WORD)
-    return slice_hash(prefix_hash(data), start, end), np.searchsorted(start, offsets)
-
-
-def _find_word_anchors(df: DataFrame, length: int, gram: int) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = flat(batch.column("_text"))
-            k1, k2 = batch.column("_k1").to_numpy(zero_copy_only=False), batch.column("_k2").to_numpy(zero_copy_only=False)
-            for i, j in pieces(offsets):
-                h, at = _word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for rows, begins, ends in _cut_rows(at, length):
-                    part = np.concatenate([h[a:b] for a, b in zip(begins, ends, strict=True)])
-                    row, lo, hi, a, gram_hash, span = anchors(part, np.concatenate([[0], np.cumsum(ends - begins)]), length, gram)
-                    shift = begins[row] - at[rows[row]]
-                    of = rows[row] + i
-                    arrays = [k1[of], k2[of], _pack(lo + shift, hi + shift, a + shift), gram_hash.view(np.int64), span.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["k1", "k2", "p", "fp", "ctx"])
-
-    return df.mapInArrow(work, "k1 long, k2 long, p long, fp long, ctx long")
-
-
-def _word_run_hashes(df: DataFrame, length: int) -> DataFrame:
-    """(text, list of runs) to one row per start, in words, with the hashes of its `length` words."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k1, k2, text, runs in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("_text"), batch.column("runs").to_pylist(), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                h, _ = _word_hashes(data, np.array([0, len(data)]))
-                p, n = np.array([r["p"] for r in runs]), np.array([r["n"] for r in runs])
-                many = (p >> 12 & 4095) + 1
-                m = int(many.sum())
-                at = np.arange(m) + np.repeat((p >> 24) - np.cumsum(many) + many, many)
-                x1 = slice_hash(prefix_hash(h), at, at + length)
-                x2 = slice_hash(prefix_hash(mix(h)), at, at + length)
-                arrays = [np.full(m, k1), np.full(m, k2), at, np.repeat(n, many), x1.view(np.int64), x2.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["k1", "k2", "at", "n", "x1", "x2"])
-
-    return df.mapInArrow(work, "k1 long, k2 long, at long, n long, x1 long, x2 long")
-
-
-def _compared(runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Anchors' spans that others share, the starts known to be repeated as a whole span is, and by
-    text the runs that are still to be compared."""
-    spans = runs.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "p")).alias("one"))
-    groups = spans.groupBy("fp").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("all")).where("all > 1").select(F.col("fp").alias("f"), "groups")
-    shared = cut(spans.join(groups, F.col("fp") == F.col("f")).select("fp", "ctx", "n", "groups", "one"))
-    whole = shared.where("n > 1").select(F.col("fp").alias("f"), F.col("ctx").alias("c"))
-    certain = runs.join(whole, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c"))).select("k1", "k2", F.expr("shiftright(p, 24)").alias("lo"), F.expr("shiftright(p, 24) + (shiftright(p, 12) & 4095)").alias("hi"))
-    asked = shared.where("groups > 1").select("one.k1", "one.k2", F.struct("one.p", "fp", "n", "groups").alias("run"))
-    return shared, certain, asked.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
-
-
-def _twice(hashes: DataFrame) -> DataFrame:
-    """Starts whose string occurs twice, of spans that occur once."""
-    twice = hashes.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select(F.col("x1").alias("y1"), F.col("x2").alias("y2"))
-    return hashes.where("n = 1").join(twice, (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2"))).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
-
-
-def repeated_word_starts(keyed: DataFrame, *, words: int, gram: int = GRAM_WORDS) -> DataFrame:
-    """Of rows (_k1, _k2, _text, ...): k1, k2, lo, hi, the ranges, in words, of starts whose `words`
-    words also start elsewhere."""
-    gram = min(gram, words)
-    if not 1 <= gram or words - gram + 1 > 4095:
-        raise ValueError("the gram must fit in the run, and the run in 4095 starts")
-    _, certain, asked = _compared(_find_word_anchors(keyed.select("_k1", "_k2", "_text"), words, gram))
-    hashes = _word_run_hashes(keyed.join(asked, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))), words)
-    return certain.union(_twice(hashes))
-
-
-def repeated_starts(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM, table: int = TABLE) -> DataFrame:
-    """Of rows (_k1, _k2, _text, ...): k1, k2, lo, hi, the ranges of repeated starts."""
-    if not 1 <= gram <= length or length - gram + 1 > 4095:
-        raise ValueError("the gram must fit in the string, and the string in 4095 starts")
-    runs = _find_anchors(keyed.select("_k1", "_k2", "_text"), length, gram)
-    shared, certain, asked = _compared(runs)
-    # all columns go to the tasks, so that this join and the one that removes bytes share one shuffle of the texts
-    found = _extract(keyed.join(asked, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))), length)
-    starts = certain.union(_sort_columns(found.where(F.col("groups") <= table), length, gram, table))
-    if shared.where(F.col("groups") > table).limit(1).count():
-        hashes = _string_hashes(found.where(F.col("groups") > table), length)
-        starts = starts.union(_twice(hashes))
-    return starts
-
-
-def spans_of(starts: list[dict], length: int, words: int | None = None, text: bytes = b"") -> list[tuple[int, int]]:
+def spans_of(starts: list[dict], length: int, words: bool = False, text: bytes = b"") -> list[tuple[int, int]]:
     """Maximal covered byte ranges (first, end) of the ranges of repeated starts; those in words
     reach from the first byte of a word to the end of another."""
-    ranges = [(r["lo"], r["hi"] + length) for r in starts if not r["by_word"]]
-    if len(ranges) < len(starts):
-        data = np.frombuffer(text, np.uint8)
-        start, end = word_bounds(data, np.array([0, len(data)]), WORD)
-        ranges += [(int(start[r["lo"]]), int(end[r["hi"] + words - 1])) for r in starts if r["by_word"]]
+    ranges = [(r["lo"], r["hi"] + length) for r in starts]
+    if words and ranges:
+        start, end = word_bounds(np.frombuffer(text, np.uint8), np.array([0, len(text)]), WORD)
+        ranges = [(int(start[a]), int(end[b - 1])) for a, b in ranges]
     out: list[list[int]] = []
     for lo, hi in sorted(ranges):
         if out and lo <= out[-1][1]:
@@ -352,13 +367,12 @@ def spans_of(starts: list[dict], length: int, words: int | None = None, text: by
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: int | None = None, **options) -> DataFrame:
-    """All columns of `docs`, then `kept_bytes` (the text's UTF-8 bytes without those that any
-    `length`-byte string covers which also starts elsewhere in the collection) and `removed_spans`
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: bool = False, **options) -> DataFrame:
+    """All columns of `docs`, then `kept_bytes` (the text's UTF-8 bytes without those that any string
+    of `length` symbols covers which also starts elsewhere in the collection) and `removed_spans`
     (array of first and end, in bytes of the input text).
 
-    With `words`, bytes also go that lie in a run of so many words (what stands between blanks; the
-    blanks themselves may differ) which occurs twice in the collection.
+    Symbols are bytes or, with `words`, what stands between blanks; the blanks themselves may differ.
     Strings are judged on the input texts and never cross them; every occurrence goes, the first
     too. Repeated rows are repeats of one another. Null and short texts lose nothing by themselves
     (null is empty). An empty table gives no rows. A column named like one of the two is replaced.
@@ -366,10 +380,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.drop("kept_bytes", "removed_spans")
     small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    starts = repeated_starts(keyed, length=length, **options).withColumn("by_word", F.lit(False))
-    if words:
-        starts = starts.union(repeated_word_starts(keyed, words=words).withColumn("by_word", F.lit(True)))
-    starts = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "by_word")).alias("starts"))
+    starts = repeated_starts(keyed, length=length, words=words, **options)
+    starts = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
     joined = keyed.join(starts, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select("_rest", "_null", "_text", "starts")
     rest = joined.schema["_rest"].dataType
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))

@@ -46,7 +46,7 @@ def test_equals_brute_force(spark):
 
 
 def test_documents_of_the_shared_fixture_and_groups_beyond_a_table(spark):
-    for table in (16384, 3):
+    for table in (8192, 1):
         assert got(suffix.without_repeats(documents(spark), length=100, gram=20, table=table)) == brute(corpus(), 100)
 
 
@@ -66,18 +66,15 @@ def test_columns_and_empty_table(spark):
     assert sorted(bytes(r.kept_bytes) for r in out.collect()) == [b"", b"q" * 10, b"y" * 10]
 
 
-def brute_words(rows, length, words):
-    """Bytes that go because of a byte string or of a run of words."""
+def brute_words(rows, words):
+    """Bytes that go because of a repeated run of words."""
     texts = [(t or "").encode() for _, t, *_ in rows]
     tokens = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^ \t-\r]+", b)] for b in texts]
     run = lambda w, s: tuple(x[2] for x in w[s : s + words])
-    strings = Counter(b[s : s + length] for b in texts for s in range(len(b) - length + 1))
     runs = Counter(run(w, s) for w in tokens for s in range(len(w) - words + 1))
     out = []
     for (i, *_), b, w in zip(rows, texts, tokens, strict=True):
         gone = np.zeros(len(b), bool)
-        for s in range(len(b) - length + 1):
-            gone[s : s + length] |= strings[b[s : s + length]] > 1
         for s in range(len(w) - words + 1):
             if runs[run(w, s)] > 1:
                 gone[w[s][0] : w[s + words - 1][1]] = True
@@ -86,9 +83,25 @@ def brute_words(rows, length, words):
 
 
 def test_runs_of_words_equal_brute_force(spark):
-    for rows, words in ((corpus(), 50), (corpus(), 3), (repetitive(), 8)):
-        out = suffix.without_repeats(documents(spark, rows), length=400, words=words).collect()
-        assert sorted(((r.doc_id, bytes(r.kept_bytes)) for r in out), key=str) == brute_words(rows, 400, words)
+    for rows, words, table in ((corpus(), 50, 8192), (corpus(), 12, 2), (repetitive(), 8, 8192)):
+        out = suffix.without_repeats(documents(spark, rows), length=words, words=True, table=table).collect()
+        assert sorted(((r.doc_id, bytes(r.kept_bytes)) for r in out), key=str) == brute_words(rows, words)
+
+
+def test_rounds_find_what_sorting_all_strings_finds():
+    r = random.Random(5)
+    parts, lead = [], []
+    for _ in range(60):
+        before = r.randint(0, 7)
+        parts.append(np.array([r.choice((3, 7)) for _ in range(r.randint(12, 12 + before))], np.uint8))
+        lead.append(before)
+    parts.append(parts[0].copy())
+    lead.append(lead[0])
+    last = np.array([len(p) - 12 - k for p, k in zip(parts, lead, strict=True)])
+    flags = suffix.repeated_columns(parts, np.array(lead), last, 12, 8)
+    seen = Counter((c, bytes(p[c + k : c + k + 12])) for p, k, e in zip(parts, lead, last, strict=True) for c in range(-k, min(e, 0) + 1))
+    for p, k, e, f in zip(parts, lead, last, flags, strict=True):
+        assert [c - 7 for c in np.flatnonzero(f)] == [c for c in range(-k, min(e, 0) + 1) if seen[c, bytes(p[c + k : c + k + 12])] > 1]
 
 
 def test_pipeline_removes_passages_of_over_50_words_below_400_bytes(spark):
