@@ -2,9 +2,11 @@
 
 A tree builder reads tags leniently: void elements have no children, end tags are implied where the
 standard lets authors leave them out (paragraphs, list items, table parts, options, head), unmatched
-end tags are dropped. The renderer walks the tree without the parts that a page does not show and
-lays the text out in lines: blocks on lines of their own, paragraphs and headings apart, list items
-with their marks and indents, table cells padded to the width of their column.
+end tags are dropped, what cannot stand in a table moves before it. Attributes and simple rules of
+style sheets say what is not shown. The renderer walks the tree without those parts and lays the text
+out in lines: blocks on lines of their own, paragraphs and headings apart, list items with their marks
+and indents, table cells padded to the width of their columns. Neither uses recursion, so elements may
+be nested as deeply as a page likes.
 """
 
 from __future__ import annotations
@@ -22,10 +24,14 @@ from rillmark.llm._base import small_batches
 #: Fixed values of the HTML standard: elements by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link datalist iframe object audio video canvas svg math noembed noframes textarea select".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre section summary table ul caption tr".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
+HIDDEN = frozenset("head script style template noscript title meta link datalist iframe object audio video canvas noembed noframes rp".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre section summary table textarea ul caption tr xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr xmp".split())
+PREFORMATTED = frozenset("pre listing xmp textarea".split())
 HEAD_PARTS = frozenset("base link meta script style template title noscript".split())
+#: Where only parts of a table may stand, and those parts.
+TABLE_CONTEXT = frozenset("table tbody thead tfoot tr".split())
+TABLE_PARTS = frozenset("caption colgroup col tbody thead tfoot tr td th".split())
 #: A start tag of the key ends open elements of the first set, looked for up to one of the second.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -40,44 +46,101 @@ ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
-#: A paragraph ends before blocks, but not beyond these.
+#: A block's start tag does not end a paragraph beyond these.
 P_SCOPE = frozenset("td th table caption button object html".split())
-#: Elements are nested this deep at most; deeper ones become children of the last.
-DEEPEST = 400
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_KNOWN = re.compile(r"hidden|style|start|span|open", re.I)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: A tag, an id and classes without what would relate them to other elements.
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
-class Node:
-    __slots__ = ("tag", "children", "hidden", "start")
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; of several of one name the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), unescape("".join(values)))
+    return out
+
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.children, self.start = tag, [], 1
-        self.hidden = tag in HIDDEN
-        if attributes and ("hidden" in attributes or "style" in attributes or "start" in attributes or "HIDDEN" in attributes or "STYLE" in attributes):
-            for name, *values in _ATTRIBUTE.findall(attributes):
-                value, name = unescape("".join(values)), name.lower()
-                if name == "hidden" or (name == "style" and _UNSEEN.search(value)) or (tag == "input" and name == "type" and value == "hidden"):
-                    self.hidden = True
-                elif name == "start" and re.fullmatch(r"-?\d{1,9}", value):
-                    self.start = int(value)
+class Node:
+    """An element. `hidden`: not displayed; `unseen`: its own visibility (None: its parent's)."""
+
+    __slots__ = ("tag", "children", "hidden", "unseen", "start", "spans", "closed", "raw", "lines")
+
+    def __init__(self, tag: str, raw: str = ""):
+        self.tag, self.children, self.start, self.raw = tag, [], 1, raw
+        self.hidden, self.unseen, self.spans, self.lines = tag in HIDDEN or tag == "dialog", None, (1, 1), None
+        self.closed = tag == "details"
+        if raw and _KNOWN.search(raw):
+            a = attributes_of(raw)
+            if "open" in a:
+                self.closed = False
+                self.hidden = self.hidden and tag != "dialog"
+            if "hidden" in a:
+                self.hidden = True
+            if "style" in a:
+                self.style(a["style"])
+            if re.fullmatch(r"-?\d{1,9}", a.get("start", "")):
+                self.start = int(a["start"])
+            if tag in ("td", "th"):
+                read = lambda k, most: min(max(int(a[k]), 1), most) if re.fullmatch(r"\d{1,9}", a.get(k, "")) else 1
+                self.spans = read("colspan", 1000), read("rowspan", 65534)
+
+    def style(self, text: str) -> None:
+        if found := _DISPLAY.findall(text):
+            self.hidden = found[-1].lower() == "none"
+        if found := _VISIBILITY.findall(text):
+            self.unseen = found[-1].lower() in ("hidden", "collapse")
+
+
+class Stack:
+    """Open elements, and for each tag where it stands among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Ends the elements from place k on."""
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element with one of the tags, -1 without."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
 
 def parse(html: str) -> Node:
     """The tree of a page, under a root node."""
     root = Node("html")
-    stack = [root]
-
-    def close(tags: set, stop) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                del stack[k:]
-                return
-            if stack[k].tag in stop:
-                return
+    stack = Stack(root)
+    sheets: list[str] = []
+
+    def close(tags, stop) -> bool:
+        k = stack.last(tags)
+        if k > max(0, stack.last(stop)):
+            stack.cut(k)
+            return True
+        return False
+
+    def place(child) -> None:
+        """Into the open element, or before the open table if it cannot stand in one."""
+        here = stack.nodes[-1]
+        stray = child.strip() != "" if isinstance(child, str) else child.tag not in TABLE_PARTS and child.tag not in ("script", "style", "template")
+        if here.tag in TABLE_CONTEXT and stray and (k := stack.last(("table",))) > 0:
+            above = stack.nodes[k - 1].children
+            above.insert(len(above) - 1, child)  # the open table is the last child
+        else:
+            here.children.append(child)
 
     at, end = 0, len(html)
     while at < end:
@@ -87,46 +150,85 @@ def parse(html: str) -> Node:
         if tag is None:
             text = m[0]
             if text[:2] not in ("<!", "<?"):
-                if stack[-1].tag == "head" and text.strip():
-                    stack.pop()
-                stack[-1].children.append(unescape(text) if "&" in text else text)
+                if stack.nodes[-1].tag == "head" and text.strip():
+                    stack.cut(len(stack.nodes) - 1)
+                place(unescape(text) if "&" in text else text)
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
-                    break
+            if tag == "p" and stack.last(("p",)) < 0:
+                place(Node("p"))
+            k = stack.last((tag,))
+            fence = -1 if tag in TABLE_CONTEXT else stack.last(("td", "th", "table"))
+            if k > 0 and k >= fence:
+                stack.cut(k)
             continue
-        if tag == "html" or (tag == "body" and any(n.tag == "body" for n in stack)):
+        if tag == "html" or (tag == "body" and stack.last(("body",)) >= 0) or (tag == "form" and stack.nodes[-1].tag in TABLE_CONTEXT):
             continue
-        if stack[-1].tag == "head" and tag not in HEAD_PARTS:
-            stack.pop()
+        if stack.nodes[-1].tag == "head" and tag not in HEAD_PARTS:
+            stack.cut(len(stack.nodes) - 1)
         if tag in BLOCK:
             close({"p"}, P_SCOPE)
+        if tag in TABLE_PARTS:
+            k = stack.last(TABLE_CONTEXT)
+            if k > max(0, stack.last(("td", "th", "caption"))):
+                stack.cut(k + 1)  # what moved before the table ends
         if tag in ENDS:
-            closing, scope = ENDS[tag]
-            depth = -1
-            while depth != len(stack):  # a row ends its cell, then the row before it
-                depth = len(stack)
-                close(closing, scope)
+            while close(*ENDS[tag]):  # a row ends its cell, then the row before it
+                pass
         node = Node(tag, m[3])
-        stack[-1].children.append(node)
+        place(node)
         if tag in RAW:
             found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            inside = html[at : found.start() if found else end]
             if tag in ("textarea", "title"):
-                node.children.append(unescape(html[at : found.start() if found else end]))
+                node.children.append(unescape(inside).removeprefix("\n"))
+            elif tag == "xmp":
+                node.children.append(inside)
+            elif tag == "style":
+                sheets.append(inside)
             at = found.end() if found else end
         elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCK - {"hr"}:
-            if len(stack) < DEEPEST:
-                stack.append(node)
+            stack.push(node)
+    if sheets:
+        _apply(root, "\n".join(sheets))
     return root
 
 
+def _apply(root: Node, css: str) -> None:
+    """Display and visibility rules for single elements by tag, id and classes. Ids weigh more than
+    classes, those more than tags, later rules more than earlier ones, the style attribute most."""
+    css = re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)
+    css = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^{};]*;", "", css)  # rules for some media only
+    rules = []
+    for selectors, body in _RULE.findall(css):
+        if not (_DISPLAY.search(body) or _VISIBILITY.search(body)):
+            continue
+        for one in selectors.split(","):
+            one = one.strip()
+            if one and (m := _SELECTOR.fullmatch(one)):
+                marks = re.findall(r"([.#])([\w-]+)", m[2])
+                ids, classes = [v for k, v in marks if k == "#"], [v for k, v in marks if k == "."]
+                tag = (m[1] or "*").lower()
+                rules.append(((len(ids), len(classes), tag != "*"), len(rules), tag, ids, classes, body))
+    if not rules:
+        return
+    rules.sort(key=lambda r: r[:2])
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        todo += [c for c in node.children if not isinstance(c, str)]
+        a = attributes_of(node.raw) if node.raw else {}
+        own = set(a.get("class", "").split())
+        touched = False
+        for _, _, tag, ids, classes, body in rules:
+            if tag in ("*", node.tag) and all(a.get("id") == i for i in ids) and own.issuperset(classes) and not (node.tag in HIDDEN and tag == "*"):
+                node.style(body)
+                touched = True
+        if touched and "style" in a:
+            node.style(a["style"])
+
+
 class Page:
     """Lines of text in the making."""
 
@@ -169,37 +271,106 @@ class Page:
         self.gap = True
 
 
-def _cells(table: Node) -> tuple[list[Node], list[list[str]]]:
-    """Captions, and the rows of the text of the visible cells; nested tables are text of their cell."""
-    captions, rows = [], []
-
-    def look(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str) or c.hidden:
+def _rows(table: Node) -> tuple[list[Node], list[list[tuple[int, int, list[str]]]]]:
+    """Captions, and rows of (first column, columns, lines) of visible cells: heads first, feet last.
+    Cells that reach down keep their columns in the rows below."""
+    captions: list[Node] = []
+    parts: tuple[list[Node], list[Node], list[Node]] = ([], [], [])
+    todo = [(c, 1) for c in reversed(table.children)]
+    while todo:
+        node, part = todo.pop()
+        if isinstance(node, str) or node.hidden:
+            continue
+        if node.tag == "caption":
+            captions.append(node)
+        elif node.tag == "tr":
+            parts[part].append(node)
+        elif node.tag in ("thead", "tbody", "tfoot"):
+            inner = {"thead": 0, "tbody": 1, "tfoot": 2}[node.tag]
+            todo += [(c, inner) for c in reversed(node.children)]
+        elif node.tag in ("td", "th"):  # a cell without its row
+            row = Node("tr")
+            row.children = [node]
+            parts[part].append(row)
+    rows = []
+    taken: dict[int, int] = {}  # rows for which a column is still taken
+    for tr in (*parts[0], *parts[1], *parts[2]):
+        column, row, after = 0, [], {k: n - 1 for k, n in taken.items() if n > 1}
+        for cell in tr.children:
+            if isinstance(cell, str) or cell.hidden or cell.tag not in ("td", "th"):
                 continue
-            if c.tag == "caption":
-                captions.append(c)
-            elif c.tag == "tr":
-                rows.append([" ".join(render(x).split()) for x in c.children if not isinstance(x, str) and not x.hidden and x.tag in ("td", "th")])
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                look(c)
-            elif c.tag in ("td", "th"):
-                rows.append([" ".join(render(c).split())])
-
-    look(table)
-    return captions, [r for r in rows if any(r)]
+            while taken.get(column):
+                column += 1
+            across, down = cell.spans
+            if down > 1:
+                after.update((k, down - 1) for k in range(column, column + across))
+            unseen = bool(table.unseen if tr.unseen is None else tr.unseen)
+            row.append((column, across, [x for x in lay_out(cell, unseen).split("\n") if x.strip()]))
+            column += across
+        taken = after
+        if any(lines for _, _, lines in row):
+            rows.append(row)
+    return captions, rows
+
+
+def _table(node: Node) -> list[str]:
+    """The lines of a table whose inner tables have theirs."""
+    captions, rows = _rows(node)
+    widths: dict[int, int] = {}
+    for r in rows:
+        for column, across, lines in r:
+            if across == 1:
+                widths[column] = max(widths.get(column, 0), *map(len, lines), 0)
+    for r in rows:  # what spans columns widens its last one
+        for column, across, lines in r:
+            if across > 1 and lines:
+                across = min(across, max([*widths, column]) - column + 1)
+                have = sum(widths.get(k, 0) for k in range(column, column + across)) + 3 * (across - 1)
+                last = column + across - 1
+                widths[last] = widths.get(last, 0) + max(0, max(map(len, lines)) - have)
+    out = [x for c in captions for x in lay_out(c, bool(node.unseen)).split("\n") if x.strip()]
+    end = max(widths, default=-1) + 1
+    for r in rows:
+        for k in range(max(len(lines) for _, _, lines in r)):
+            cells, column = [], 0
+            for first, across, lines in r:
+                cells += [" " * widths.get(x, 0) for x in range(column, min(first, end))]
+                across = max(1, min(across, end - first))
+                wide = sum(widths.get(x, 0) for x in range(first, first + across)) + 3 * (across - 1)
+                cells.append((lines[k] if k < len(lines) else "").ljust(wide))
+                column = first + across
+            out.append(" | ".join(cells).rstrip())
+    return out
 
 
 def render(root: Node) -> str:
+    """The text of a tree: tables get their lines first, inner ones before outer ones."""
+    tables, todo = [], [(root, False)]
+    while todo:
+        node, unseen = todo.pop()
+        unseen = unseen if node.unseen is None else node.unseen
+        if node.tag in TABLE_CONTEXT:
+            node.unseen = unseen
+        if node.tag == "table":
+            tables.append(node)
+        todo += [(c, unseen) for c in node.children if not isinstance(c, str) and not c.hidden]
+    for t in reversed(tables):
+        t.lines = _table(t)
+    return lay_out(root)
+
+
+def lay_out(root: Node, unseen: bool = False) -> str:
     page = Page()
     # what is left to do, last first: a node with its setting, a text, or what follows a block
-    todo: list[tuple] = [("node", root, False, "", None)]
+    todo: list[tuple] = [("node", root, False, "", None, unseen)]
     while todo:
-        what, node, pre, indent, mark = todo.pop()
+        what, node, pre, indent, mark, unseen = todo.pop()
         if what == "after":
             page.apart() if node in SPACED else page.end()
             continue
         if isinstance(node, str):
+            if unseen:
+                continue
             if mark and mark[0] and node.strip():
                 if page.gap and page.lines and not page.line:
                     page.lines.append("")
@@ -210,27 +381,23 @@ def render(root: Node) -> str:
         if node.hidden:
             continue
         tag = node.tag
+        unseen = unseen if node.unseen is None else node.unseen
         if tag == "br":
             page.end(True)
             continue
-        if tag == "table":
+        if tag == "table" and node.lines is not None:
             page.apart()
-            captions, rows = _cells(node)
-            for c in captions:
-                page.text(" ".join(_flat(c).split()), False, indent)
-                page.end()
-            widths = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(max(map(len, rows), default=0))]
-            for r in rows:
+            for x in node.lines:
                 if page.gap and page.lines:
                     page.lines.append("")
                 page.gap = False
-                page.lines.append((indent + " | ".join(x.ljust(w) for x, w in zip(r, widths, strict=False))).rstrip())
+                page.lines.append((indent + x).rstrip())
             page.apart()
             continue
         nested_list = tag in ("ul", "ol") and bool(indent)
         if tag in BLOCK:
             page.apart() if tag in SPACED and not nested_list else page.end()
-            todo.append(("after", "li" if nested_list else tag, pre, indent, None))
+            todo.append(("after", "li" if nested_list else tag, pre, indent, None, unseen))
         inner = indent
         marks = mark
         if tag in ("ul", "ol", "menu", "dir"):
@@ -240,17 +407,18 @@ def render(root: Node) -> str:
                 if not isinstance(c, str) and c.tag == "li" and not c.hidden:
                     label = f"{number}. " if tag == "ol" else "- "
                     number += 1
-                    items.append(("node", c, pre, indent + " " * len(label), [label]))
+                    items.append(("node", c, pre, indent + " " * len(label), [label], unseen))
                 elif not isinstance(c, str) or c.strip():
-                    items.append(("node", c, pre, indent, None))
+                    items.append(("node", c, pre, indent, None, unseen))
             todo += reversed(items)
             continue
         if tag in ("blockquote", "dd"):
             inner = indent + "  "
         if tag == "hr":
             continue
-        keep = pre or tag in ("pre", "listing", "xmp")
-        todo += [("node", c, keep, inner, marks) for c in reversed(node.children)]
+        keep = pre or tag in PREFORMATTED
+        children = [c for c in node.children if not isinstance(c, str) and c.tag == "summary"] if node.closed else node.children
+        todo += [("node", c, keep, inner, marks, unseen) for c in reversed(children)]
     page.end()
     lines = page.lines
     while lines and not lines[0]:
@@ -260,17 +428,6 @@ def render(root: Node) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines))
 
 
-def _flat(node: Node) -> str:
-    out, todo = [], [node]
-    while todo:
-        n = todo.pop()
-        if isinstance(n, str):
-            out.append(n)
-        elif not n.hidden or n is node:
-            todo += reversed(n.children)
-    return " ".join(out)
-
-
 def title_of(root: Node) -> str | None:
     todo = [root]
     while todo:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from rillmark.llm import html
 
 
@@ -37,6 +40,71 @@ def test_tables_are_aligned():
     assert text("<table><tr><td><table><tr><td>in<td>ner</table><td>b</table>") == "in | ner | b"
 
 
+def test_text_that_cannot_stand_in_a_table_moves_before_it():
+    assert text("<table>stray<tr><td>a<td>b</table>") == "stray\n\na | b"
+    assert text("<table><tr><td>a</td>loose<b>bold</b></tr></table>") == "loosebold\n\na"
+    assert text("<table><form><tr><td>x</form></table>") == "x"
+    assert text("<table><tr><form><td>x<td>y</table>z") == "x | y\n\nz"
+    assert text("<table><tr><td>a <table>in<tr><td>b</table></table>") == "a in\nb"
+
+
+def test_spans_lists_and_lines_in_cells():
+    assert text("<table><tr><td colspan=2>head<td>c<tr><td>1<td>2<td>3</table>") == "head  | c\n1 | 2 | 3"
+    assert text("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a | b\n  | c"
+    assert text("<table><tr><td><ul><li>x<li>y</ul><td>z</table>") == "- x | z\n- y |"
+    assert text("<table><tfoot><tr><td>f</tfoot><tbody><tr><td>b</tbody><thead><tr><td>h</table>") == "h\nb\nf"
+
+
+def test_form_controls_and_foreign_text():
+    assert text("<select><option>one<option>two</select><textarea>a &lt; b\n c</textarea>x") == "one\ntwo\na < b\n c\nx"
+    assert text("<xmp><b>raw</b></xmp>") == "<b>raw</b>"
+    assert text("a <svg><title>no</title><text>drawn</text></svg> <math><mi>x</mi></math>") == "a drawn x"
+    assert text("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details><dialog>no</dialog>") == "s\nt\nyes"
+
+
+def test_rules_and_visibility():
+    page = "<style>.no, #gone {display:none} em{visibility:hidden} p.no{display:block} @media print {b{display:none}}</style>"
+    assert text(page + "<div class='x no'>1</div><p class=no>2</p><i id=gone>3</i><em>4<u style='visibility:visible'>5</u></em><b>6</b><div class=no style='display:block'>7</div>") == "2\n\n56\n7"
+    assert text("<div style='visibility:hidden'>a<p style='visibility:visible'>b</div>") == "b"
+    assert text("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>c").split() == ["|", "b", "c"]
+
+
+def random_page(r, depth=0):
+    """Markup, and the words of it that show."""
+    out, shown = [], []
+    for _ in range(r.randint(1, 4)):
+        kind = r.random()
+        if kind < 0.4 or depth > 5:
+            w = f"w{r.randint(0, 10**9)}"
+            out.append(f" {w} "), shown.append(w)
+        elif kind < 0.5:
+            inner, _ = random_page(r, depth + 1)
+            out.append(r.choice(["<div hidden>{}</div>", "<span style='display:none'>{}</span>", "<template>{}</template>", "<div class=off>{}</div>"]).format(inner))
+        elif kind < 0.65:
+            cells = [random_page(r, depth + 1) for _ in range(4)]
+            stray, word = random_page(r, 6)
+            out.append("<table>{}<tr><td>{}<td colspan=2>{}</tr><tr><td rowspan=2>{}<td>{}</table>".format(stray, *(c[0] for c in cells)))
+            shown += word + [w for c in cells for w in c[1]]
+        else:
+            inner, words = random_page(r, depth + 1)
+            out.append(r.choice(["<blockquote>{}</blockquote>", "<ul><li>{}</ul>", "<ol><li>x{}</ol>".replace("x", ""), "<div>{}</div>", "<b>{}</b>", "<select><option>{}</select>", "<section><h2>{}</h2></section>", "<pre>{}</pre>"]).format(inner))
+            shown += words
+    return "".join(out), shown
+
+
+def test_every_visible_word_of_random_pages_shows_once():
+    r = random.Random(8)
+    for _ in range(300):
+        page, words = random_page(r)
+        got = re.findall(r"w\d+", text("<style>.off{display:none}</style>" + page))
+        assert sorted(got) == sorted(words), page
+
+
+def test_hidden_stays_hidden_at_any_depth():
+    assert text("<div>" * 500 + "<p hidden>secret</p>seen") == "seen"
+    assert text("<table><tr><td>" * 3000 + "deep") == "deep"
+
+
 def test_broken_markup_and_depth():
     assert text("a < b <3 </x> <p") == "a < b <3"
     assert text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
