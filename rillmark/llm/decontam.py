@@ -7,13 +7,15 @@ together and one word deeper a round, which yields the longest verbatim match of
 array range that holds its places. Matches of a whole window mark document words as hit.
 
 Shards are independent, so nothing is shuffled. Benchmark items reach the tasks in blocks of bounded
-size; each block is one more pass over rows that carry the marks of the blocks before.
+size, several to a pass: a shard's suffix array is built once and searched for one block after the
+other. A benchmark that is larger takes further passes over rows that carry the marks of those before.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from rillmark.llm.textbytes import word_table, words
 
 #: Bytes of benchmark text in one block, which is what a task holds besides its shard.
 BLOCK_BYTES = 4 << 20
+#: Blocks that one pass sends to the tasks.
+PASS_BLOCKS = 4
 #: Bytes of document text in one shard; a longer document is a shard of its own.
 SHARD_BYTES = 6 << 20
 WORD = word_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
@@ -125,23 +129,43 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + lo[which], which
 
 
-def search_shard(h: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of a shard's words (h, offsets by document): whether each is hit, the items of each document,
-    and the longest match of each benchmark suffix."""
+@dataclass
+class Shard:
+    """A shard's words as integers with a 0 after each document, their suffix array, and where the
+    shard's words stand among them."""
+
+    offsets: np.ndarray
+    vocabulary: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+    order: np.ndarray
+
+
+def index_shard(h: np.ndarray, offsets: np.ndarray, depth: int) -> Shard:
     docs, n = len(offsets) - 1, len(h)
+    vocabulary, inverse = np.unique(h, return_inverse=True)
+    text = np.zeros(n + docs, np.int64)
+    place = np.arange(n) + np.repeat(np.arange(docs), np.diff(offsets))
+    text[place] = inverse + 1
+    return Shard(offsets, vocabulary, text, place, suffix_array(text, depth))
+
+
+def search_shard(h: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """`search_index` over a shard's words (h, offsets by document)."""
+    return search_index(index_shard(h, offsets, block.depth), block)
+
+
+def search_index(shard: Shard, block: Block) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Whether each word of a shard is hit, the items of each document, and the longest match of each
+    benchmark suffix."""
+    offsets, vocabulary, text, place, order = shard.offsets, shard.vocabulary, shard.text, shard.place, shard.order
+    docs, n = len(offsets) - 1, len(place)
     hit = np.zeros(n, bool)
     items: list[np.ndarray] = [np.zeros(0, np.int64)] * docs
     if not n or not len(block.h):
         return hit, items, np.zeros(len(block.h), np.int64)
-    # words as integers from 1 in the shard's own order; 0 ends a document
-    vocabulary, inverse = np.unique(h, return_inverse=True)
-    text = np.zeros(n + docs, np.int64)
-    doc_of = np.repeat(np.arange(docs), np.diff(offsets))
-    place = np.arange(n) + doc_of
-    text[place] = inverse + 1
     slot = np.minimum(np.searchsorted(vocabulary, block.h), len(vocabulary) - 1)
     query = np.where(vocabulary[slot] == block.h, slot + 1, 0)
-    order = suffix_array(text, block.depth)
     length, lo, hi = longest_matches(text, order, query, block.left, block.need)
     some = np.flatnonzero(lo < hi)
     if len(some):
@@ -188,17 +212,24 @@ def _schema(carried: T.DataType) -> T.StructType:
     )
 
 
-def _pass(df: DataFrame, block: Block, keep_text: bool, schema: T.StructType) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(block)
+def _pass(df: DataFrame, blocks: list[Block], keep_text: bool, schema: T.StructType) -> DataFrame:
+    sent = df.sparkSession.sparkContext.broadcast(blocks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
+        blocks = sent.value
+        depth = max(b.depth for b in blocks)
         for batch in batches:
             data, offsets = flat(batch.column("_text"))
             earlier_runs, earlier_items = batch.column("hit_runs").to_pylist(), batch.column("items").to_pylist()
             for i, j in pieces(offsets, SHARD_BYTES):
                 h, at = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WORD)
-                hit, items, _ = search_shard(h, at, block)
+                shard = index_shard(h, at, depth)
+                hit, found = np.zeros(len(h), bool), [[] for _ in range(j - i)]
+                for block in blocks:
+                    some, items, _ = search_index(shard, block)
+                    hit |= some
+                    for d, own in enumerate(items):
+                        found[d] += [block.names[k] for k in own]
                 runs, names = [], []
                 for d in range(j - i):
                     own = hit[at[d] : at[d + 1]]
@@ -207,7 +238,7 @@ def _pass(df: DataFrame, block: Block, keep_text: bool, schema: T.StructType) ->
                         for a, b in zip(before[::2], before[1::2], strict=True):
                             own[a:b] = True
                     runs.append(_runs(own) if own.any() else [])
-                    names.append((earlier_items[i + d] or []) + [block.names[k] for k in items[d]])
+                    names.append((earlier_items[i + d] or []) + found[d])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_row").slice(i, j - i),
@@ -237,9 +268,11 @@ def _marked(docs: DataFrame, benchmark: DataFrame, carried: Column, text_col: st
         F.lit(None).cast("array<string>").alias("items"),
     )
     schema = _schema(out.schema["_row"].dataType)
-    for b in range(blocks):
-        rows = [(r["i"] if r["i"] is not None else "null", bytes(r["t"])) for r in items.where(F.col("b") == b).collect()]
-        out = _pass(out, Block(rows, window), b + 1 < blocks, schema)
+    for first in range(0, blocks, PASS_BLOCKS):
+        held: dict[int, list] = {b: [] for b in range(first, min(first + PASS_BLOCKS, blocks))}
+        for r in items.where(F.col("b").between(first, first + PASS_BLOCKS - 1)).collect():
+            held[r["b"]].append((r["i"] if r["i"] is not None else "null", bytes(r["t"])))
+        out = _pass(out, [Block(rows, window) for rows in held.values()], first + PASS_BLOCKS < blocks, schema)
     return out
 
 
