@@ -1,8 +1,9 @@
 """Sharding by proportional stratified interleaving.
 
 The rows of each stratum are put into a seeded random order and get the fractional rank
-(position + 1/2) / size of the stratum. Sorting all rows by that rank interleaves the strata in
-proportion, and cutting the sorted order into equal runs gives shards that all match the mixture
+(position + offset) / size of the stratum, with a seeded offset from 0 to 1 for each stratum, so that
+small strata do not all fall on the same ranks. Sorting all rows by that rank interleaves the strata
+in proportion, and cutting the sorted order into equal runs gives shards that all match the mixture
 and whose row counts differ by one at most (law `rows`).
 
 Neither step sorts a stratum or the whole in one task: rows fall into value ranges of their random
@@ -61,7 +62,8 @@ def stratified_shards(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_i
     sizes = narrow.groupBy("_s").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("_s", "_t")
     ranked = _positions(narrow, ["_s"], F.expr(f"_u div {width}L"), ["_u", "_id", "size", "text_crc32"], "_rank")
     ranked = ranked.join(sizes, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    ranked = ranked.withColumn("fraction", (F.col("_rank") + 0.5) / F.col("_rows")).withColumn("_all", F.lit(0))
+    offset = (F.pmod(F.xxhash64("_s", F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    ranked = ranked.withColumn("fraction", (F.col("_rank") + offset) / F.col("_rows")).withColumn("_all", F.lit(0))
     placed = _positions(ranked, ["_all"], F.floor(F.col("fraction") * ranges).cast("long"), ["fraction", "_u", "_s", "_id", "size", "text_crc32"], "_at")
     shard = F.expr(f"cast(_at * {shards}L div {max(total, 1)}L as int)")
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
