@@ -4,17 +4,34 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def _shared(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "/tmp/checkpoints/rillmark"
-    path = f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written once and read again. `forget` removes them when nothing reads them any more."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of tables that `cut` made; rounds call it for states that newer ones replace."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,62 +1,189 @@
-"""Labels of connected pixels, and shortest distances, by rounds over checkpointed tables."""
+"""Labels of connected pixels, and shortest distances, by rounds over written tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rillmark.operators.checkpoints import cut, forget
+
+#: Rows and columns of a tile that one task labels at once.
+TILE = 128
+#: Rounds of changes that are kept apart before they are merged into one table.
+MERGE = 6
+
+
+def label_tile(mask: np.ndarray) -> np.ndarray:
+    """The smallest flat index of each set pixel's component of four neighbours (-1: not set).
+    Runs of rows and of columns take their smallest label in turn until nothing changes."""
+    h, w = mask.shape
+    label = np.where(mask, np.arange(h * w).reshape(h, w), -1)
+    lines = []
+    for turned in (False, True):
+        m = mask.T if turned else mask
+        at = np.flatnonzero(m.ravel())
+        width = m.shape[1]
+        first = np.ones(len(at), bool)
+        first[1:] = (np.diff(at) != 1) | (at[1:] % width == 0)
+        flat = (at % width) * w + at // width if turned else at  # places in the upright tile
+        lines.append((flat, np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(at)))))
+    out = label.ravel()
+    if not len(lines[0][0]):
+        return label
+    while True:
+        before = out.copy()
+        for at, start, size in lines:
+            out[at] = np.repeat(np.minimum.reduceat(out[at], start), size)
+        some = lines[0][0]
+        out[some] = out[out[some]]
+        if (out == before).all():
+            return out.reshape(h, w)
+
+
+def _label_tiles(mask: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """Rows (keys, r, c, ...) with label, where components end at tile borders."""
+    rest = [x for x in mask.columns if x not in keys]
+    tiles = mask.groupBy(*keys, F.expr(f"r div {tile}").alias("_tr"), F.expr(f"c div {tile}").alias("_tc")).agg(F.collect_list(F.struct(*rest)).alias("p"))
+    tiles = tiles.select(F.struct(*keys).alias("k"), "_tr", "_tc", "p")
+    schema = T.StructType([tiles.schema["k"], tiles.schema["p"], T.StructField("label", T.ArrayType(T.LongType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = []
+            for tr, tc, p in zip(batch.column("_tr").to_pylist(), batch.column("_tc").to_pylist(), batch.column("p"), strict=True):
+                r, c = (np.asarray(p.values.field(x), np.int64) for x in ("r", "c"))
+                square = np.zeros((tile, tile), bool)
+                square[r - tr * tile, c - tc * tile] = True
+                own = label_tile(square)[r - tr * tile, c - tc * tile]
+                labels.append((own // tile + tr * tile) * (1 << 20) + own % tile + tc * tile)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("p"), pa.array(labels, pa.list_(pa.int64()))], names=["k", "p", "label"])
 
-from rillmark.operators.checkpoints import cut
+    out = tiles.mapInArrow(work, schema).select("k.*", F.explode(F.arrays_zip("p", "label")).alias("x"))
+    return out.select(*keys, "x.p.*", "x.label")
 
 
-def label(mask: DataFrame) -> DataFrame:
-    """(scene, r, c) of set pixels to their component of four neighbours: `label` is its smallest
-    pixel number r * 2**20 + c. Each round takes the neighbours' smallest label, then the label of
-    that label's pixel, so rounds grow with the logarithm of a component's extent."""
-    nodes = cut(mask.select("scene", (F.col("r") * (1 << 20) + F.col("c")).alias("p")))
-    steps = F.array(*[F.lit(x) for x in (1, -1, 1 << 20, -(1 << 20))])
-    edges = nodes.withColumn("q", F.explode(F.transform(steps, lambda s: F.col("p") + s))).join(nodes.withColumnRenamed("p", "q"), ["scene", "q"])
-    edges = cut(edges)
-    state = cut(nodes.withColumn("label", F.col("p")))
+def _smallest(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, u, root): the smallest node reachable, of nodes in edges (keys, u, v). Each round takes
+    the neighbours' smallest root, then that root's own, so rounds grow with the logarithm of a path."""
+    both = cut(edges.union(edges.select(*keys, "v", "u")).distinct())
+    state = cut(both.select(*keys, "u").distinct().withColumn("root", F.col("u")))
     while True:
-        seen = edges.join(state.select("scene", F.col("p").alias("q"), F.col("label").alias("l")), ["scene", "q"]).groupBy("scene", "p").agg(F.min("l").alias("l"))
-        near = state.join(seen, ["scene", "p"], "left").select("scene", "p", "label", F.least("label", "l").alias("l"))
-        jump = near.select(F.col("scene").alias("s"), F.col("p").alias("t"), F.col("l").alias("j"))
-        new = near.join(jump, (F.col("scene") == F.col("s")) & (F.col("l") == F.col("t"))).select("scene", "p", F.col("label").alias("old"), F.least("l", "j").alias("label"))
-        new = cut(new)
-        moved = new.where("old <> label").limit(1).count()
-        state = new.drop("old")
+        seen = both.join(state.select(*keys, F.col("u").alias("v"), F.col("root").alias("l")), [*keys, "v"]).groupBy(*keys, "u").agg(F.min("l").alias("l"))
+        near = state.join(seen, [*keys, "u"]).select(*keys, "u", F.col("root").alias("old"), F.least("root", "l").alias("root"))
+        jump = near.select(*keys, F.col("u").alias("root"), F.col("root").alias("far"))
+        new = cut(near.join(jump, [*keys, "root"]).select(*keys, "u", "old", F.least("root", "far").alias("root")))
+        moved = new.where("old <> root").limit(1).count()
+        forget(state)
+        state = new
         if not moved:
-            return state.select("scene", F.expr("shiftright(p, 20)").alias("r"), F.expr(f"p & {(1 << 20) - 1}").alias("c"), "label")
+            forget(both)
+            return state.select(*keys, "u", "root")
 
 
-def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Shortest length from the nearest source (`node`) over undirected edges (a, b, length)."""
-    both = cut(edges.select("a", "b", "length").union(edges.select("b", "a", "length")))
-    best = cut(sources.select("node", F.lit(0).cast("long").alias("dist")).distinct())
-    front = best
-    while front.limit(1).count():
-        reach = front.join(both, F.col("node") == F.col("a")).groupBy("b").agg(F.min(F.col("dist") + F.col("length")).alias("d"))
-        joined = cut(best.join(reach, F.col("node") == F.col("b"), "full").select(F.coalesce("node", "b").alias("node"), F.least("dist", "d").alias("new"), "dist"))
-        best = joined.select("node", F.col("new").alias("dist"))
-        front = joined.where("dist is null or new < dist").select("node", F.col("new").alias("dist"))
-    return best
+def label(mask: DataFrame, keys: Sequence[str] = ("scene",), tile: int = TILE) -> DataFrame:
+    """Rows (keys, r, c, ...) of set pixels with `label`, the smallest pixel number r * 2**20 + c of its
+    component of four neighbours. Tiles are labelled apart; only labels that meet at a border take
+    part in rounds."""
+    keys = list(keys)
+    local = cut(_label_tiles(mask, keys, tile))
+    if local.where(F.greatest(F.col("r") % tile, F.col("c") % tile) == tile - 1).isEmpty():
+        return local  # no component reaches the end of a tile
+    edges = None
+    for axis, other in (("r", "c"), ("c", "r")):
+        end = local.where(F.col(axis) % tile == tile - 1).select(*keys, (F.col(axis) + 1).alias(axis), other, F.col("label").alias("u"))
+        meet = end.join(local.where(F.col(axis) % tile == 0).select(*keys, axis, other, F.col("label").alias("v")), [*keys, axis, other]).select(*keys, "u", "v")
+        edges = meet if edges is None else edges.union(meet)
+    roots = _smallest(edges.distinct(), keys).withColumnRenamed("u", "label")
+    out = local.join(roots, [*keys, "label"], "left").withColumn("label", F.coalesce("root", "label"))
+    return out.select(*local.columns)
 
 
-def fill_holes(px: DataFrame, mask: str, size: int = 64) -> DataFrame:
+def extents(px: DataFrame) -> DataFrame:
+    """(scene, last_r, last_c)."""
+    return px.groupBy("scene").agg(F.max("r").alias("last_r"), F.max("c").alias("last_c"))
+
+
+def holes(background: DataFrame, size: DataFrame, keys: Sequence[str] = ("scene",)) -> DataFrame:
+    """The rows (keys, r, c, ...) of background pixels that no way of four neighbours joins to the
+    scene's border."""
+    keys = list(keys)
+    labels = label(background, keys).join(size, "scene")
+    edge = F.expr("r = 0 or c = 0 or r = last_r or c = last_c")
+    inner = labels.groupBy(*keys, "label").agg(F.max(edge).alias("outer")).where("not outer").select(*keys, "label")
+    return labels.join(inner, [*keys, "label"]).select(*background.columns)
+
+
+def fill_holes(px: DataFrame, mask: str) -> DataFrame:
     """Background that the border does not reach becomes set: adds <mask>_filled."""
     px = cut(px)  # read several times below
-    labels = label(px.where(f"not {mask}"))
-    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == size - 1) | (F.col("c") == size - 1)
-    outer = labels.groupBy("scene", "label").agg(F.max(edge).alias("outer"))
-    holes = labels.join(outer, ["scene", "label"]).where("not outer").select("scene", "r", "c", F.lit(True).alias("hole"))
-    return px.join(holes, ["scene", "r", "c"], "left").withColumn(f"{mask}_filled", F.col(mask) | F.coalesce("hole", F.lit(False))).drop("hole")
+    found = holes(px.where(f"not {mask}").select("scene", "r", "c"), extents(px)).withColumn("hole", F.lit(True))
+    return px.join(found, ["scene", "r", "c"], "left").withColumn(f"{mask}_filled", F.col(mask) | F.coalesce("hole", F.lit(False))).drop("hole")
 
 
 def keep_components(px: DataFrame, mask: str, name: str, *, min_size: int = 0, touching: str | None = None) -> DataFrame:
-    """Adds a mask without components that are too small or touch no pixel of another mask."""
+    """Adds a mask without components that are too small or touch no pixel of another mask. A scene
+    in which that other mask has no pixel keeps its components."""
     px = cut(px)  # read several times below
-    labels = label(px.where(mask))
+    labels = label(px.where(mask).select("scene", "r", "c", *([touching] if touching else [])))
     touch = F.max(F.col(touching)) if touching else F.lit(True)
-    inside = labels.join(px, ["scene", "r", "c"]).groupBy("scene", "label").agg(F.count(F.lit(1)).alias("n"), touch.alias("t")).where(f"n >= {min_size} and t")
-    kept = labels.join(inside, ["scene", "label"]).select("scene", "r", "c", F.lit(True).alias(name))
+    sizes = labels.groupBy("scene", "label").agg(F.count(F.lit(1)).alias("n"), touch.alias("t"))
+    if touching:
+        sizes = sizes.join(px.groupBy("scene").agg(F.max(F.col(touching)).alias("any")), "scene").withColumn("t", F.expr("t or not any"))
+    kept = labels.join(sizes.where(f"n >= {min_size} and t"), ["scene", "label"]).select("scene", "r", "c", F.lit(True).alias(name))
     return px.join(kept, ["scene", "r", "c"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def clean_masks(px: DataFrame, limits: dict[str, float], *, connected: Sequence[str] = (), river: str = "river", near_river: str = "near_river", hand: str = "hand_m", min_size: int = 8) -> DataFrame:
+    """Adds <mask>_clean for each mask of `limits`: holes filled, components under `min_size` pixels
+    dropped, those of `connected` masks that touch no pixel near a river dropped (unless the scene
+    has no river), pixels higher above the river than the mask's limit dropped. All masks go through
+    the same two labellings."""
+    px = cut(px)
+    masks = list(limits)
+    keys = ["scene", "mask"]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.col(m).alias("on")) for m in masks])).alias("m")
+    long = px.select("scene", "r", "c", F.col(near_river).alias("near"), F.col(hand).alias("height"), each).select("scene", "m.mask", "r", "c", "near", "height", "m.on")
+    filled = long.where("on").drop("on").union(holes(long.where("not on").drop("on"), extents(px), keys))
+    there = label(filled, keys)
+    wet = px.groupBy("scene").agg(F.max(F.col(river)).alias("wet"))
+    part = there.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("touches")).join(wet, "scene")
+    part = part.where((F.col("n") >= min_size) & (F.col("touches") | ~F.col("wet") | ~F.col("mask").isin(*connected))).select(*keys, "label")
+    limit = F.coalesce(*[F.when(F.col("mask") == m, F.lit(float(x))) for m, x in limits.items()])
+    kept = there.join(part, [*keys, "label"]).where(F.col("height") <= limit)
+    wide = kept.groupBy("scene", "r", "c").agg(*[F.max(F.col("mask") == m).alias(f"{m}_clean") for m in masks])
+    return px.join(wide, ["scene", "r", "c"], "left").fillna(False, [f"{m}_clean" for m in masks])
+
+
+def distances(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Shortest length from the nearest source (keys, node) over undirected edges (keys, a, b, length),
+    as (keys, node, dist). A round writes only the nodes that came nearer; these tables are merged
+    every few rounds."""
+    keys = list(keys)
+    both = cut(edges.select(*keys, "a", "b", "length").union(edges.select(*keys, "b", "a", "length")))
+    front = cut(sources.select(*keys, "node", F.lit(0).cast(dict(both.dtypes)["length"]).alias("dist")).distinct())
+    tables = [front]
+    while not front.isEmpty():
+        known = tables[0]
+        for t in tables[1:]:
+            known = known.union(t)
+        known = known.groupBy(*keys, "node").agg(F.min("dist").alias("was"))
+        reach = front.withColumnRenamed("node", "a").join(both, [*keys, "a"]).groupBy(*keys, F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("length")).alias("dist"))
+        front = cut(reach.join(known, [*keys, "node"], "left").where("was is null or dist < was").select(*keys, "node", "dist"))
+        tables.append(front)
+        if len(tables) > MERGE:
+            merged = tables[0]
+            for t in tables[1:]:
+                merged = merged.union(t)
+            merged = cut(merged.groupBy(*keys, "node").agg(F.min("dist").alias("dist")))
+            forget(*tables[:-1])
+            tables = [merged, front]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    forget(both)
+    return out.groupBy(*keys, "node").agg(F.min("dist").alias("dist"))

@@ -1,11 +1,18 @@
-"""Neighbourhood operators over pixel rows (scene, r, c, ...)."""
+"""Neighbourhood operators over pixel rows (scene, r, c, ...). Scenes may differ in size.
+
+Operators that look along rows and columns come in two halves, so that several of them share one
+shuffle by row and one by column: all `_rows` halves first, then all `_columns` halves.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-
-from rillmark.operators.checkpoints import cut
+from pyspark.sql import types as T
 
 
 def _along(axis: str) -> WindowSpec:
@@ -13,62 +20,142 @@ def _along(axis: str) -> WindowSpec:
     return Window.partitionBy("scene", "r" if axis == "c" else "c").orderBy(axis)
 
 
+def _gradient(elevation: str, axis: str, cell: float) -> Column:
+    w = _along(axis)
+    before, after, here = F.lag(elevation).over(w), F.lead(elevation).over(w), F.col(elevation)
+    width = F.when(before.isNull() | after.isNull(), 1).otherwise(2) * cell
+    return (F.coalesce(after, here) - F.coalesce(before, here)) / width
+
+
+def slope_rows(px: DataFrame, elevation: str = "dem", cell: float = 30.0) -> DataFrame:
+    return px.withColumn("_gx", _gradient(elevation, "c", cell))
+
+
+def slope_columns(px: DataFrame, elevation: str = "dem", cell: float = 30.0) -> DataFrame:
+    gy = _gradient(elevation, "r", cell)
+    return px.withColumn("_gy", gy).withColumn("slope_deg", F.degrees(F.atan(F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2)))).drop("_gx", "_gy")
+
+
 def slope(px: DataFrame, elevation: str = "dem", cell: float = 30.0) -> DataFrame:
-    """Adds slope_deg: central differences, one-sided at edges."""
+    """Adds slope_deg: central differences, one-sided at edges, 0 along an axis of one pixel."""
+    return slope_columns(slope_rows(px, elevation, cell), elevation, cell)
+
 
-    def gradient(w) -> Column:
-        before, after = F.lag(elevation).over(w), F.lead(elevation).over(w)
-        here = F.col(elevation)
-        width = F.when(before.isNull() | after.isNull(), 1).otherwise(2) * cell
-        return (F.coalesce(after, here) - F.coalesce(before, here)) / width
+def dilate_rows(px: DataFrame, mask: str, n: int, name: str) -> DataFrame:
+    """Whether a set pixel lies within 0 to n columns of the same row."""
+    return px.withColumns({f"_{name}{k}": F.max(F.col(mask)).over(_along("c").rangeBetween(-k, k)) for k in range(n + 1)})
 
-    return px.withColumn("_gx", gradient(_along("c"))).withColumn("_gy", gradient(_along("r"))).withColumn("slope_deg", F.degrees(F.atan(F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2)))).drop("_gx", "_gy")
 
+def dilate_columns(px: DataFrame, mask: str, n: int, name: str) -> DataFrame:
+    """A set pixel within n steps lies a rows away and within n - a columns."""
+    grown = F.lit(False)
+    for a in range(-n, n + 1):
+        grown = grown | F.coalesce(F.max(F.col(f"_{name}{n - abs(a)}")).over(_along("r").rangeBetween(a, a)), F.lit(False))
+    return px.withColumn(name, grown).drop(*[f"_{name}{k}" for k in range(n + 1)])
 
-def _mirrored(px: DataFrame, axis: str, size: int, k: int) -> DataFrame:
-    """With the k edge pixels of an axis repeated outside it in mirror order."""
+
+def dilate(px: DataFrame, mask: str, n: int, name: str) -> DataFrame:
+    """Adds a mask grown by n steps in the four directions."""
+    return dilate_columns(dilate_rows(px, mask, n, name), mask, n, name)
+
+
+def _mirrored(px: DataFrame, axis: str, part: str, k: int) -> DataFrame:
+    """With the k edge pixels of an axis repeated outside it in mirror order; `_last` is its last place."""
+    px = px.withColumn("_last", F.max(axis).over(Window.partitionBy("scene", part)))
     at = F.col(axis)
-    copies = F.array(at, F.when(at < k, -1 - at), F.when(at >= size - k, 2 * size - 1 - at))
+    copies = F.array(at, F.when(at < k, -1 - at), F.when(at > F.col("_last") - k, 2 * F.col("_last") + 1 - at))
     return px.withColumn(axis, F.explode(F.filter(copies, lambda x: x.isNotNull())))
 
 
-def lee_filter(px: DataFrame, band: str, size: int = 64, window: int = 7) -> DataFrame:
+def lee_filter(px: DataFrame, band: str, window: int = 7) -> DataFrame:
     """Adds <band>_lee: speckle filter with local mean and variance of a window (even: one more),
-    mirrored edges, and the noise level of the whole scene."""
+    mirrored edges, and the noise level of the whole scene. Scenes are at least half a window wide."""
     k = window // 2
     x = px.select("scene", "r", "c", F.col(band).alias("m"), (F.col(band) * F.col(band)).alias("s"))
     for axis, part in (("c", "r"), ("r", "c")):
         w = Window.partitionBy("scene", part).orderBy(axis).rowsBetween(-k, k)
-        x = _mirrored(x, axis, size, k).withColumns({"m": F.avg("m").over(w), "s": F.avg("s").over(w)}).where(F.col(axis).between(0, size - 1))
+        x = _mirrored(x, axis, part, k).withColumns({"m": F.avg("m").over(w), "s": F.avg("s").over(w)}).where((F.col(axis) >= 0) & (F.col(axis) <= F.col("_last"))).drop("_last")
     noise = px.groupBy("scene").agg((F.var_pop(band) / (F.avg(band) ** 2 + 1e-6)).alias("noise"))
-    j = px.join(x, ["scene", "r", "c"]).join(F.broadcast(noise), "scene")  # one row per scene of a batch
+    j = px.join(x, ["scene", "r", "c"]).join(noise, "scene")
     var = F.greatest(F.col("s") - F.col("m") ** 2, F.lit(0.0))
     weight = F.least(F.greatest(var / (var + F.col("noise") * F.col("m") ** 2 + 1e-6), F.lit(0.0)), F.lit(1.0))
     return j.withColumn(f"{band}_lee", F.col("m") + weight * (F.col(band) - F.col("m"))).drop("m", "s", "noise")
 
 
+def nearest_in_row(up: np.ndarray, down: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each column of a row, given the nearest river rows above and below (-1: none): squared
+    distance, row and column of the nearest river pixel; ties go to the smallest (row, column).
+    Distance -1 without one. Columns step outwards together while a nearer pixel is possible, so the
+    work is the width times the farthest distance."""
+    n = len(up)
+    far = np.int64(1) << 60
+    above, below = np.where(up >= 0, row - up, far), np.where(down >= 0, down - row, far)
+    own = np.where(above <= below, up, down)  # of equal distances the row above has the smaller number
+    gap = np.minimum(above, below)
+    gap2 = np.where(gap < far, gap * gap, far)
+    best, br, bc = gap2.copy(), own.copy(), np.arange(n)
+    at = np.arange(n)
+    for k in range(1, n):
+        at = at[best[at] >= k * k]
+        if not len(at):
+            break
+        for step in (-k, k):
+            j = at + step
+            ok = (j >= 0) & (j < n)
+            c, j = at[ok], j[ok]
+            d2 = np.where(gap2[j] < far, gap2[j] + k * k, far)
+            less = (d2 < best[c]) | ((d2 == best[c]) & (d2 < far) & ((own[j] < br[c]) | ((own[j] == br[c]) & (j < bc[c]))))
+            best[c[less]], br[c[less]], bc[c[less]] = d2[less], own[j[less]], j[less]
+    return np.where(best < far, best, -1), br, bc
+
+
+def river_columns(px: DataFrame) -> DataFrame:
+    """The nearest river pixels above and below in the same column, with their height."""
+    here = F.when(F.col("river"), F.struct("r", "dem"))
+    up = F.last(here, ignorenulls=True).over(_along("r").rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(here, ignorenulls=True).over(_along("r").rowsBetween(0, Window.unboundedFollowing))
+    return px.withColumn("_up", up).withColumn("_down", down)
+
+
+def river_rows(px: DataFrame, low: DataFrame, cell: float = 30.0) -> DataFrame:
+    """The nearest river pixel of all from those of the columns; `low` has each scene's lowest pixel."""
+    row = px.groupBy("scene", "r").agg(F.sort_array(F.collect_list(F.struct("c", "_up", "_down", *[x for x in px.columns if x not in ("scene", "r", "c", "_up", "_down")]))).alias("x"))
+    row = row.select("scene", "r", "x", F.col("x.c").alias("c"), *[F.expr(f"transform(x, v -> coalesce(v._{k}.r, -1L))").alias(k) for k in ("up", "down")], *[F.col(f"x._{k}.dem").alias(f"{k}_dem") for k in ("up", "down")])
+    longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
+    schema = T.StructType([row.schema["scene"], row.schema["r"], row.schema["x"], T.StructField("d2", longs), T.StructField("level", doubles)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d2s, levels = [], []
+            for r, *lists in zip(batch.column("r").to_pylist(), *(batch.column(k) for k in ("c", "up", "down", "up_dem", "down_dem")), strict=True):
+                c, u, d = (np.asarray(x.values, np.int64) for x in lists[:3])
+                heights = [x.values.to_numpy(zero_copy_only=False).astype(float) for x in lists[3:]]
+                wide = int(c[-1]) + 1
+                at, dem = np.full((2, wide), -1, np.int64), np.zeros((2, wide))
+                at[:, c], dem[:, c] = (u, d), heights
+                d2, nr, nc = nearest_in_row(at[0], at[1], r)
+                d2s.append(d2[c])
+                levels.append(np.where(at[0, nc[c]] == nr[c], dem[0, nc[c]], dem[1, nc[c]]))
+            yield pa.RecordBatch.from_arrays([batch.column("scene"), batch.column("r"), batch.column("x"), pa.array(d2s, pa.list_(pa.int64())), pa.array(levels, pa.list_(pa.float64()))], names=schema.names)
+
+    out = row.mapInArrow(work, schema).select("scene", "r", F.explode(F.arrays_zip("x", "d2", "level")).alias("n"))
+    kept = [f for f in schema["x"].dataType.elementType.names if f not in ("_up", "_down")]
+    out = out.select("scene", "r", *[F.col(f"n.x.{f}").alias(f) for f in kept], F.col("n.d2").alias("_d2"), F.col("n.level").alias("_level")).join(low, "scene")
+    far = F.col("_d2") < 0
+    distance = F.when(far, 0.0).otherwise(F.sqrt("_d2") * cell)
+    height = F.greatest(F.col("dem") - F.when(far, F.col("_lowest")).otherwise(F.col("_level")), F.lit(0.0))
+    return out.withColumn("distance_m", distance).withColumn("hand_m", height).drop("_d2", "_level", "_lowest")
+
+
+def lowest(px: DataFrame) -> DataFrame:
+    return px.groupBy("scene").agg(F.min("dem").alias("_lowest"))
+
+
 def nearest_river(px: DataFrame, cell: float = 30.0) -> DataFrame:
     """Adds distance_m (0 without a river) and hand_m (height above the nearest river pixel, above
     the lowest pixel without a river). Exact and separable: the nearest river rows above and below
-    within each column, then the best column; ties go to the smallest (row, column)."""
-    up = F.last(F.when(F.col("river"), F.col("r")), ignorenulls=True).over(_along("r").rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(F.when(F.col("river"), F.col("r")), ignorenulls=True).over(_along("r").rowsBetween(0, Window.unboundedFollowing))
-    px = cut(px)  # read five times below
-    near = px.withColumn("_up", up).withColumn("_down", down).select(F.col("scene").alias("s0"), F.col("r").alias("r0"), F.col("c").alias("nc"), F.explode(F.array_distinct(F.array_compact(F.array("_up", "_down")))).alias("nr"))
-    pairs = px.select("scene", "r", "c").join(near, (F.col("scene") == F.col("s0")) & (F.col("r") == F.col("r0")))
-    d2 = (F.col("c") - F.col("nc")) ** 2 + (F.col("r") - F.col("nr")) ** 2
-    best = pairs.groupBy("scene", "r", "c").agg(F.min(F.struct(d2.alias("d2"), "nr", "nc")).alias("n")).select("scene", "r", "c", "n.*")
-    level = px.select("scene", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("dem").alias("river_dem"))
-    low = px.groupBy("scene").agg(F.min("dem").alias("lowest"))
-    j = px.join(best, ["scene", "r", "c"], "left").join(level, ["scene", "nr", "nc"], "left").join(F.broadcast(low), "scene")
-    return j.withColumn("distance_m", F.coalesce(F.sqrt("d2") * cell, F.lit(0.0))).withColumn("hand_m", F.greatest(F.col("dem") - F.coalesce("river_dem", "lowest"), F.lit(0.0))).drop("nr", "nc", "d2", "river_dem", "lowest")
-
-
-def dilate(px: DataFrame, mask: str, n: int, name: str) -> DataFrame:
-    """Adds a mask grown by n steps in the four directions."""
-    offsets = [(a, b) for a in range(-n, n + 1) for b in range(-n, n + 1) if abs(a) + abs(b) <= n]
-    grown = px.where(mask).select("scene", F.explode(F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in offsets])).alias("p")).select("scene", "p.r", "p.c").distinct().withColumn(name, F.lit(True))
-    return px.join(grown, ["scene", "r", "c"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    within each column, then one pass over each row; ties go to the smallest (row, column)."""
+    return river_rows(river_columns(px), lowest(px), cell)
 
 
 def steepest(px: DataFrame, cell: float = 30.0) -> DataFrame:
@@ -79,3 +166,17 @@ def steepest(px: DataFrame, cell: float = 30.0) -> DataFrame:
     there = px.select("scene", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("dem").alias("to"))
     fall = asked.join(there, ["scene", "nr", "nc"]).withColumn("fall", (F.col("dem") - F.col("to")) / F.col("d")).where("fall > 0")
     return fall.groupBy("scene", "r", "c").agg(F.max(F.struct("fall", "o", "nr", "nc")).alias("m")).select("scene", "r", "c", "m.nr", "m.nc")
+
+
+def turned(px: DataFrame, k: int) -> DataFrame:
+    """Each scene turned by k quarters against the clock: coordinates change, values stay."""
+    size = px.groupBy("scene").agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
+    r, c, h, w = (F.col(x) for x in ("r", "c", "_h", "_w"))
+    to = {0: (r, c), 1: (w - 1 - c, r), 2: (h - 1 - r, w - 1 - c), 3: (c, h - 1 - r)}[k % 4]
+    return px.join(size, "scene").withColumns({"r": to[0], "c": to[1]}).drop("_h", "_w")
+
+
+def flipped(px: DataFrame, axis: str) -> DataFrame:
+    """Each scene mirrored along an axis."""
+    last = px.groupBy("scene").agg(F.max(axis).alias("_last"))
+    return px.join(last, "scene").withColumn(axis, F.col("_last") - F.col(axis)).drop("_last")

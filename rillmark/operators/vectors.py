@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.functions.expressions import damage_class
-from rillmark.operators.checkpoints import cut
+from rillmark.functions import expressions as X
+from rillmark.operators.checkpoints import cut, forget
+
+#: Rows and columns of a tile inside which one task follows a flow path.
+TILE = 256
 
 
 def locate(points: DataFrame, lon_min: float, lat_max: float, width: float, height: float) -> DataFrame:
@@ -15,35 +22,74 @@ def locate(points: DataFrame, lon_min: float, lat_max: float, width: float, heig
 
 
 def window_overlap(points: DataFrame, px: DataFrame, masks: list[str]) -> DataFrame:
-    """Adds <mask>_overlap per point: 1 on a set pixel, else the share of set pixels in the 3 x 3
-    window clipped to the grid, 0 off the grid."""
+    """For each scene and point (osm_id, r, c, ...), <mask>_overlap: 1 on a set pixel, else the share
+    of set pixels in the 3 x 3 window clipped to the grid, 0 off the grid."""
     near = F.explode(F.array(*[F.struct((F.col("r") + a).alias("nr"), (F.col("c") + b).alias("nc"), F.lit(not a and not b).alias("centre")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     asked = points.select("osm_id", "r", "c", near.alias("n")).select("osm_id", "n.*")
-    grid = px.select(F.col("r").alias("nr"), F.col("c").alias("nc"), *masks)
+    grid = px.select("scene", F.col("r").alias("nr"), F.col("c").alias("nc"), *masks)
     on = F.max(F.col("centre"))
     share = [F.when(on & F.max(F.col("centre") & F.col(m)), 1.0).when(on, F.avg(F.col(m).cast("int"))).otherwise(0.0).alias(f"{m}_overlap") for m in masks]
-    return points.join(asked.join(grid, ["nr", "nc"]).groupBy("osm_id").agg(*share), "osm_id", "left").fillna(0.0, [f"{m}_overlap" for m in masks])
+    found = asked.join(grid, ["nr", "nc"]).groupBy("osm_id", "scene").agg(*share)
+    return _for_all_scenes(points, px).join(found, ["osm_id", "scene"], "left").fillna(0.0, [f"{m}_overlap" for m in masks])
+
+
+def _for_all_scenes(features: DataFrame, px: DataFrame) -> DataFrame:
+    """Each feature with each scene. One row per scene is collected in an array, which must stay small
+    against the features: the result has a row for each pair."""
+    scenes = px.agg(F.array_sort(F.collect_set("scene")).alias("_scenes"))
+    return features.crossJoin(F.broadcast(scenes)).withColumn("scene", F.explode("_scenes")).drop("_scenes")
+
+
+def road_overlap(roads: DataFrame, px: DataFrame, grid: tuple, masks: list[str]) -> DataFrame:
+    """For each scene and road (osm_id, points, ...), <mask>_overlap: the share of its vertices on the
+    grid that lie on set pixels, 0 for roads without any. Only set pixels are joined; how many
+    vertices lie on a scene's grid follows from its extent."""
+    at = lambda p: F.struct(F.bround((F.lit(grid[1]) - p["lat"]) / grid[3]).cast("long").alias("r"), F.bround((p["lon"] - grid[0]) / grid[2]).cast("long").alias("c"))
+    placed = roads.withColumn("_at", F.transform("points", at))
+    hit = px.where(" or ".join(masks)).select("scene", "r", "c", *masks)
+    hits = placed.select("osm_id", F.explode("_at").alias("p")).select("osm_id", "p.*").join(hit, ["r", "c"]).groupBy("osm_id", "scene").agg(*[F.count_if(m).alias(m) for m in masks])
+    hits = hits.groupBy("osm_id").agg(F.map_from_entries(F.collect_list(F.struct("scene", F.struct(*masks)))).alias("_hits"))
+    size = px.groupBy("scene").agg(F.max("r").alias("last_r"), F.max("c").alias("last_c"))
+    scenes = size.agg(F.array_sort(F.collect_list(F.struct("scene", "last_r", "last_c"))).alias("_scenes"))
+    each = placed.join(hits, "osm_id", "left").crossJoin(F.broadcast(scenes)).withColumn("_s", F.explode("_scenes"))
+    inside = F.size(F.filter("_at", lambda p: p["r"].between(0, F.col("_s.last_r")) & p["c"].between(0, F.col("_s.last_c"))))
+    share = {f"{m}_overlap": X.ratio(F.coalesce(F.col("_hits")[F.col("_s.scene")][m], F.lit(0)), F.col("_inside"), 0.0) for m in masks}
+    return each.withColumn("scene", F.col("_s.scene")).withColumn("_inside", inside).withColumns(share).drop("_at", "_hits", "_scenes", "_s", "_inside")
 
 
-def vertex_overlap(vertices: DataFrame, px: DataFrame, masks: list[str]) -> DataFrame:
-    """Per road (osm_id): the share of its vertices on the grid that lie on set pixels."""
-    return vertices.join(px.select("r", "c", *masks), ["r", "c"]).groupBy("osm_id").agg(*[F.avg(F.col(m).cast("int")).alias(f"{m}_overlap") for m in masks])
+def classify(df: DataFrame, masks: list[str], bridge: Column) -> DataFrame:
+    return df.withColumns({f"{m}_class": X.damage_class(F.col(f"{m}_overlap"), bridge) for m in masks})
 
 
-def classify(df: DataFrame, masks: list[str], bridge: Column) -> DataFrame:
-    return df.withColumns({f"{m}_class": damage_class(F.col(f"{m}_overlap"), bridge) for m in masks})
+def damage_counts(buildings: DataFrame, roads: DataFrame) -> DataFrame:
+    """Per scene, of rows with cons_class and lib_class: buildings by class and level, kilometres of
+    roads likely hit, and bridges by their liberal class."""
+    n = lambda m, k: F.count_if(F.col(f"{m}_class") == k)
+    hit = lambda m: X.km(F.coalesce(F.sum(F.when(F.col(f"{m}_class") == "likely_hit", F.col("length_m"))), F.lit(0.0)))
+    bridge = lambda k: F.count_if(F.col("is_bridge") & (F.col("lib_class") == k))
+    b = buildings.groupBy("scene").agg(n("cons", "likely_hit").alias("likely_cons"), n("lib", "likely_hit").alias("likely_lib"), n("cons", "possibly_hit").alias("possibly_cons"), n("lib", "possibly_hit").alias("possibly_lib"))
+    r = roads.groupBy("scene").agg(hit("cons").alias("road_km_cons"), hit("lib").alias("road_km_lib"), bridge("likely_hit").alias("bridges_likely"), bridge("possibly_hit").alias("bridges_possibly"))
+    zero = [c for c in b.columns + r.columns if c != "scene"]
+    return b.join(r, "scene", "full").fillna(0, zero)
 
 
 def scene_pair(scenes: DataFrame, flood_date: str) -> DataFrame:
     """The post scene nearest the flood and its latest pre scene of the same orbit and direction, 6
-    to 12 days apart; failing that any pair of one orbit, flagged no_s1_pair; else no row."""
+    to 12 days apart; failing that the first pair of one orbit, flagged no_s1_pair; else no row.
+
+    Of one track and day the first scene stands for all, so an orbit with many scenes makes no more
+    than seven pairs a day; for the fallback each orbit gives its first post and first pre scene."""
     flood = F.to_date(F.lit(flood_date))
     s = scenes.select("input_ord", "orbit", "direction", F.to_date("taken").alias("day"))
-    pre = s.where(F.col("day") < flood).select("orbit", F.col("input_ord").alias("pre_ord"), F.col("direction").alias("pre_dir"), F.col("day").alias("pre_day"))
-    post = s.where(F.col("day") >= flood).select("orbit", F.col("input_ord").alias("post_ord"), F.col("direction").alias("post_dir"), F.col("day").alias("post_day"))
-    pairs = pre.join(post, "orbit").withColumn("gap", F.datediff("post_day", "pre_day")).withColumn("exact", (F.col("pre_dir") == F.col("post_dir")) & F.col("gap").between(6, 12))
-    order = [F.desc("exact"), F.datediff("post_day", flood), "post_ord", F.when(F.col("exact"), F.datediff(flood, "pre_day")), "pre_ord"]
-    return pairs.orderBy(*order).limit(1).select("orbit", "pre_ord", "post_ord", "gap", F.when(~F.col("exact"), "no_s1_pair").alias("fallback"))
+    days = s.groupBy("orbit", "direction", "day").agg(F.min("input_ord").alias("input_ord"))
+    pre = days.where(F.col("day") < flood).select("orbit", "direction", F.col("day").alias("pre_day"), F.col("input_ord").alias("pre_ord"))
+    post = days.where(F.col("day") >= flood).select("orbit", "direction", F.col("input_ord").alias("post_ord"), F.col("day").alias("post_day"), F.explode(F.sequence(F.lit(6), F.lit(12))).alias("gap")).withColumn("pre_day", F.expr("date_sub(post_day, gap)"))
+    exact = post.join(pre, ["orbit", "direction", "pre_day"]).select("orbit", "pre_ord", "post_ord", "gap", F.lit(0).alias("kind"), F.datediff("post_day", flood).alias("late"), F.datediff(flood, "pre_day").alias("early"))
+    after = s.where(F.col("day") >= flood).groupBy("orbit").agg(F.min(F.struct(F.datediff("day", flood).alias("late"), F.col("input_ord").alias("post_ord"), "day")).alias("p"))
+    before = s.where(F.col("day") < flood).groupBy("orbit").agg(F.min(F.struct(F.col("input_ord").alias("pre_ord"), "day")).alias("q"))
+    loose = after.join(before, "orbit").select("orbit", "q.pre_ord", "p.post_ord", F.datediff("p.day", "q.day").alias("gap"), F.lit(1).alias("kind"), F.col("p.late").alias("late"), F.lit(0).alias("early"))
+    best = exact.union(loose).orderBy("kind", "late", "post_ord", "early", "pre_ord").limit(1)
+    return best.select("orbit", "pre_ord", "post_ord", "gap", F.when(F.col("kind") == 1, "no_s1_pair").alias("fallback"))
 
 
 def snap(points: DataFrame, nodes: DataFrame, reach: float = 0.05) -> DataFrame:
@@ -59,7 +105,8 @@ def snap(points: DataFrame, nodes: DataFrame, reach: float = 0.05) -> DataFrame:
 
 
 def cutoff(settlements: DataFrame, pre: DataFrame, cons: DataFrame, lib: DataFrame) -> DataFrame:
-    """Adds distances before and after and the states; no way before the event is unknown, not cut off."""
+    """Adds distances before and after and the states; no way before the event is unknown, not cut off.
+    Settlements that are not snapped have a null node."""
     j = settlements
     for name, d in (("pre", pre), ("cons", cons), ("lib", lib)):
         j = j.join(d.select("node", F.col("dist").alias(name)), "node", "left")
@@ -67,31 +114,113 @@ def cutoff(settlements: DataFrame, pre: DataFrame, cons: DataFrame, lib: DataFra
     return j.withColumn("state_cons", state("cons")).withColumn("state_lib", state("lib"))
 
 
+def cutoff_km(states: DataFrame) -> DataFrame:
+    """Adds pre_km, post_km (null where the way is 0 or there is none) and detour_km (of connected ones)."""
+    way = lambda d: F.when(F.col(d) != 0, X.km(F.col(d)))
+    known = F.col("pre").isNotNull()
+    longer = F.greatest(F.col("cons") - F.col("pre"), F.lit(0))
+    return states.withColumns({"pre_km": way("pre"), "post_km": F.when(known, way("cons")), "detour_km": F.when(known & F.col("cons").isNotNull(), X.km(longer))})
+
+
+def cutoff_counts(states: DataFrame) -> DataFrame:
+    n = lambda x: F.count_if(F.expr(x))
+    return states.agg(n("state_cons = 'cut_off'").alias("cons"), n("state_lib = 'cut_off'").alias("lib"), n("state_cons = 'still_connected' and state_lib = 'cut_off'").alias("possibly"), n("state_cons = 'still_connected' and state_lib = 'still_connected'").alias("connected"), n("pre is null").alias("unknown"))
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the 1-based rank in an order without ties. Ranges of the order are sorted apart; a small
+    table of their sizes gives each range's first rank."""
+    apart = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = apart.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    first = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return apart.withColumn("_in", within).join(first, "_range").withColumn(name, F.col("_first") + F.col("_in")).drop("_range", "_in", "_first")
+
+
 def priority(states: DataFrame) -> DataFrame:
-    """Adds priority_rank among settlements that are cut off in the liberal state."""
-    w = Window.partitionBy("state_lib").orderBy(F.desc("building_count"), F.desc(F.coalesce("pre", F.lit(0))), "input_ord")
-    return states.withColumn("priority_rank", F.when(F.col("state_lib") == "cut_off", F.row_number().over(w)))
+    """Adds priority_rank among settlements that are cut off in the liberal state: most buildings
+    first, then the longest way before, then the first of the input."""
+    order = [F.desc("building_count"), F.desc(F.coalesce("pre_km", F.lit(0.0))), F.col("input_ord").asc()]
+    rank = ranked(states.where("state_lib = 'cut_off'").select("input_ord", "building_count", "pre_km"), order, "priority_rank").select("input_ord", "priority_rank")
+    return states.join(rank, "input_ord", "left")
 
 
 def trace(pointers: DataFrame, start: DataFrame, steps: int = 1000) -> DataFrame:
-    """(scene, k, r, c) from the start along pointers, by doubling the step of the pointers."""
-    jump = cut(pointers.select("scene", "r", "c", "nr", "nc"))
-    path = cut(start.select("scene", F.lit(0).cast("long").alias("k"), "r", "c"))
-    reach = 1
-    while reach <= steps:
-        more = path.join(jump, ["scene", "r", "c"]).select("scene", (F.col("k") + reach).alias("k"), F.col("nr").alias("r"), F.col("nc").alias("c"))
-        new = cut(path.union(more).where(F.col("k") <= steps))
-        if new.count() == path.count():
-            return new
-        path = new
-        step = jump.select("scene", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("nr").alias("r2"), F.col("nc").alias("c2"))
-        jump = cut(jump.join(step, ["scene", "nr", "nc"]).select("scene", "r", "c", F.col("r2").alias("nr"), F.col("c2").alias("nc")))
-        reach *= 2
-    return path
+    """(scene, k, r, c) from the starts (scene, r, c) along pointers, at most `steps` of them. One task
+    follows a path inside a tile; rounds take the paths from tile to tile, and read only tiles that
+    a path has reached."""
+    tiles = pointers.groupBy("scene", F.expr(f"r div {TILE}").alias("tr"), F.expr(f"c div {TILE}").alias("tc")).agg(*[F.collect_list(x).alias(x) for x in ("r", "c", "nr", "nc")])
+    tiles = cut(tiles)
+    head = start.select("scene", F.lit(0).cast("long").alias("k"), "r", "c").distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for scene, k, r, c, *lists in zip(*(batch.column(x) for x in ("scene", "k", "r0", "c0", "r", "c", "nr", "nc")), strict=True):
+                k, at = k.as_py(), (r.as_py(), c.as_py())
+                known = lists[0].is_valid
+                if known:
+                    rr, cc, nr, nc = (np.asarray(x.values, np.int64) for x in lists)
+                    place = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(rr, cc, strict=True))}
+                while True:
+                    for column, x in zip(out, (scene.as_py(), k, *at), strict=True):
+                        column.append(x)
+                    i = place.get(at) if known else None
+                    if i is None or k >= steps:
+                        break
+                    to = (int(nr[i]), int(nc[i]))
+                    k += 1
+                    if (to[0] // TILE, to[1] // TILE) != (at[0] // TILE, at[1] // TILE):
+                        for column, x in zip(out, (scene.as_py(), -k, *to), strict=True):
+                            column.append(x)  # a negative step enters the next tile
+                        break
+                    at = to
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["scene", "k", "r", "c"])
+
+    path = None
+    while True:
+        placed = head.select("scene", "k", F.col("r").alias("r0"), F.col("c").alias("c0"), F.expr(f"r div {TILE}").alias("tr"), F.expr(f"c div {TILE}").alias("tc"))
+        got = cut(placed.join(tiles, ["scene", "tr", "tc"], "left").select("scene", "k", "r0", "c0", "r", "c", "nr", "nc").mapInArrow(work, "scene long, k long, r long, c long"))
+        part = got.where("k >= 0")
+        path = part if path is None else path.union(part)
+        head = got.where("k < 0").withColumn("k", -F.col("k"))
+        if head.isEmpty():
+            forget(tiles)
+            return path
+
+
+def flow_summary(path: DataFrame, px: DataFrame, flood: str, cell: float = 30.0) -> DataFrame:
+    """Per scene: path_km and the share of path pixels that are flooded."""
+    along = path_metres(path, cell).join(px.select("scene", "r", "c", flood), ["scene", "r", "c"])
+    return along.groupBy("scene").agg(F.bround(F.max("metres") / 1000, 2).alias("path_km"), F.bround(F.avg(F.col(flood).cast("int")), 4).alias("flooded"))
+
+
+def path_metres(path: DataFrame, cell: float = 30.0) -> DataFrame:
+    """Adds metres, the way along the path up to each pixel."""
+    w = Window.partitionBy("scene").orderBy("k")
+    step = F.sqrt((F.col("r") - F.lag("r").over(w)) ** 2 + (F.col("c") - F.lag("c").over(w)) ** 2) * cell
+    return path.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("metres", F.sum("_step").over(w)).drop("_step")
+
+
+def flow_settlements(path: DataFrame, places: DataFrame, px: DataFrame, flood: str, reach: int = 4) -> DataFrame:
+    """(scene, osm_id, km, in_flood, elevation, place): settlements (osm_id, input_ord, r, c) on the
+    grid within `reach` pixels of the path, at its nearest pixel (ties: the earliest), numbered
+    downstream by rounded kilometres, then by the order of the input."""
+    disc = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a * a + b * b <= reach * reach])
+    around = path_metres(path).withColumn("o", F.explode(disc)).select("scene", (F.col("r") + F.col("o.a")).alias("r"), (F.col("c") + F.col("o.b")).alias("c"), F.struct(F.expr("o.a * o.a + o.b * o.b").alias("d2"), "k", "metres").alias("x"))
+    around = around.groupBy("scene", "r", "c").agg(F.min("x").alias("m"))
+    here = places.join(around, ["r", "c"]).join(px.select("scene", "r", "c", F.col(flood).alias("in_flood"), F.col("dem").alias("elevation")), ["scene", "r", "c"])
+    out = here.select("scene", "osm_id", "input_ord", F.bround(F.col("m.metres") / 1000, 2).alias("km"), "in_flood", "elevation")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("scene").orderBy("km", "input_ord"))).drop("input_ord")
 
 
 def metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """tp, fp, fn, tn, iou (1 without any), precision, recall, f1 of pred and ref by group."""
     t = pairs.groupBy(*keys).agg(*[F.count_if(x).alias(n) for n, x in (("tp", F.expr("pred and ref")), ("fp", F.expr("pred and not ref")), ("fn", F.expr("not pred and ref")), ("tn", F.expr("not pred and not ref")))])
-    part = lambda a, b, e: F.round(F.coalesce(F.try_divide(F.expr(a), F.expr(b)), F.lit(e)), 4)
+    part = lambda a, b, e: F.bround(X.ratio(F.expr(a), F.expr(b), e), 4)
     return t.withColumn("iou", part("tp", "tp + fp + fn", 1.0)).withColumn("precision", part("tp", "tp + fp", 0.0)).withColumn("recall", part("tp", "tp + fn", 0.0)).withColumn("f1", part("2 * tp", "2 * tp + fp + fn", 0.0))
+
+
+def disagreement(pred: Column, ref: Column) -> Column:
+    """0 where both agree, 1 where the prediction misses the reference, 2 where it exceeds it."""
+    return F.when(~pred & ref, 1).when(pred & ~ref, 2).otherwise(0)

@@ -1,381 +1,6 @@
 """All registered queries, and SQL for DuckDB that gives the same rows."""
 
-from __future__ import annotations
+from rillmark.plans import exposure, rasters, reports
+from rillmark.plans.sql import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from rillmark.functions import expressions as X
-from rillmark.operators import graph, raster, segments, vectors
-from rillmark.sources import tables
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: Pixels as the tables module makes them.
-PX = """e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings),
-b AS (SELECT vec_id // 448 AS scene, vec_id % 64 AS r, c, {bands} FROM e GROUP BY ALL),
-px AS (SELECT scene, r, c, b0 * 12 - 12 AS pre_vv, b1 * 12 - 18 AS pre_vh, b2 * 12 - 12 AS post_vv, b3 * 12 - 18 AS post_vh,
-  800 + (63 - r) * 2 + abs(c - 32) * 3 + b4 * 20 AS dem, b5 * 0.5::DOUBLE + 0.3::DOUBLE AS green, b6 * 0.5::DOUBLE + 0.25::DOUBLE AS swir, c IN (31, 32) AS river
-  FROM b WHERE b0 + b1 + b2 + b3 + b4 + b5 + b6 IS NOT NULL)""".format(bands=", ".join(f"max(CASE WHEN vec_id // 64 % 7 = {k} THEN x END) AS b{k}" for k in range(7)))
-SLOPE = """g AS (SELECT *, (coalesce(lead(dem) OVER x, dem) - coalesce(lag(dem) OVER x, dem)) / (CASE WHEN lead(dem) OVER x IS NULL OR lag(dem) OVER x IS NULL THEN 30 ELSE 60 END) AS gx,
-  (coalesce(lead(dem) OVER y, dem) - coalesce(lag(dem) OVER y, dem)) / (CASE WHEN lead(dem) OVER y IS NULL OR lag(dem) OVER y IS NULL THEN 30 ELSE 60 END) AS gy
-  FROM px WINDOW x AS (PARTITION BY scene, r ORDER BY c), y AS (PARTITION BY scene, c ORDER BY r)), sl AS (SELECT *, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope_deg FROM g)"""
-NEAR = """nr AS (SELECT p.scene, p.r, p.c, min(((p.c - q.c) * (p.c - q.c) + (p.r - q.r) * (p.r - q.r)) * 1000000 + q.r * 1000 + q.c) AS k FROM px p JOIN px q ON p.scene = q.scene AND q.river GROUP BY ALL),
-nd AS (SELECT nr.scene, nr.r, nr.c, sqrt(k // 1000000) * 30 AS distance_m, greatest(p.dem - q.dem, 0) AS hand_m FROM nr JOIN px p USING (scene, r, c) JOIN px q ON q.scene = nr.scene AND q.r = k // 1000 % 1000 AND q.c = k % 1000)"""
-FLOOD = "fl AS (SELECT *, (post_vv - pre_vv < -5 OR post_vh - pre_vh < -6.5) AS cons, (post_vv - pre_vv < -3 OR post_vh - pre_vh < -4.5) AS lib FROM px)"
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _flood(spark: SparkSession, d: str) -> DataFrame:
-    px = tables.pixels(spark, d)
-    dvv, dvh = F.col("post_vv") - F.col("pre_vv"), F.col("post_vh") - F.col("pre_vh")
-    return px.withColumn("cons", X.water(dvv, dvh, -5.0)).withColumn("lib", X.water(dvv, dvh, -3.0))
-
-
-def _r(x, digits: int = 6):
-    return F.round(x, digits)
-
-
-@query(f"""WITH {PX} SELECT scene, r, c, round(post_vv - pre_vv, 6) AS dvv, round(post_vh - pre_vh, 6) AS dvh,
-round((pre_vh - pre_vv) / (abs(pre_vh) + abs(pre_vv) + 1e-6), 6) AS cross_pre, round((post_vh - post_vv) / (abs(post_vh) + abs(post_vv) + 1e-6), 6) AS cross_post FROM px""")
-def band_diff_features(spark, d):
-    px = tables.pixels(spark, d)
-    return px.select("scene", "r", "c", _r(F.col("post_vv") - F.col("pre_vv")).alias("dvv"), _r(F.col("post_vh") - F.col("pre_vh")).alias("dvh"), _r(X.cross_ratio(F.col("pre_vv"), F.col("pre_vh"))).alias("cross_pre"), _r(X.cross_ratio(F.col("post_vv"), F.col("post_vh"))).alias("cross_post"))
-
-
-@query(f"WITH {PX} SELECT scene, r, c, round(10 * log10(greatest(green - 0.3::DOUBLE, 1e-7)), 6) AS db FROM px")
-def linear_to_db(spark, d):
-    return tables.pixels(spark, d).select("scene", "r", "c", _r(X.to_db(F.col("green") - 0.3)).alias("db"))
-
-
-@query(f"""WITH {PX} SELECT scene, r, c, round((green - swir) / (green + swir + 1e-6), 6) AS mndwi, round((swir - green * 0.5::DOUBLE) / (swir + green * 0.5::DOUBLE + 1e-6), 6) AS bsi FROM px""")
-def optical_indices(spark, d):
-    px = tables.pixels(spark, d)
-    return px.select("scene", "r", "c", _r(X.normalized_difference(F.col("green"), F.col("swir"))).alias("mndwi"), _r(X.normalized_difference(F.col("swir"), F.col("green") * 0.5)).alias("bsi"))
-
-
-@query(f"""WITH {PX}, o AS (SELECT unnest(range(-3, 4)) AS k), w AS (SELECT p.scene, p.r, p.c, avg(q.pre_vv) AS m, avg(q.pre_vv * q.pre_vv) AS s FROM px p CROSS JOIN o a CROSS JOIN o b
-JOIN px q ON q.scene = p.scene AND q.r = CASE WHEN p.r + a.k < 0 THEN -1 - p.r - a.k WHEN p.r + a.k > 63 THEN 127 - p.r - a.k ELSE p.r + a.k END
-AND q.c = CASE WHEN p.c + b.k < 0 THEN -1 - p.c - b.k WHEN p.c + b.k > 63 THEN 127 - p.c - b.k ELSE p.c + b.k END GROUP BY ALL),
-n AS (SELECT scene, var_pop(pre_vv) / (avg(pre_vv) * avg(pre_vv) + 1e-6) AS noise FROM px GROUP BY scene), v AS (SELECT *, greatest(s - m * m, 0) AS var FROM w JOIN px USING (scene, r, c) JOIN n USING (scene))
-SELECT scene, r, c, round(m + least(greatest(var / (var + noise * m * m + 1e-6), 0), 1) * (pre_vv - m), 6) AS pre_vv_lee FROM v""")
-def lee_filter(spark, d):
-    return raster.lee_filter(tables.pixels(spark, d), "pre_vv").select("scene", "r", "c", _r("pre_vv_lee").alias("pre_vv_lee"))
-
-
-@query(f"WITH {PX}, {SLOPE} SELECT scene, r, c, round(slope_deg, 6) AS slope_deg FROM sl")
-def slope_deg(spark, d):
-    return raster.slope(tables.pixels(spark, d)).select("scene", "r", "c", _r("slope_deg").alias("slope_deg"))
-
-
-@query(f"WITH {PX}, {NEAR} SELECT scene, r, c, round(distance_m, 6) AS distance_m FROM nd")
-def river_distance(spark, d):
-    return raster.nearest_river(tables.pixels(spark, d)).select("scene", "r", "c", _r("distance_m").alias("distance_m"))
-
-
-@query(f"WITH {PX}, {NEAR} SELECT scene, r, c, round(hand_m, 6) AS hand_m FROM nd")
-def hand(spark, d):
-    return raster.nearest_river(tables.pixels(spark, d)).select("scene", "r", "c", _r("hand_m").alias("hand_m"))
-
-
-def _terrain(spark, d):
-    px = raster.nearest_river(raster.slope(_flood(spark, d)))
-    return px.withColumn("valid", F.expr("slope_deg <= 18 and hand_m <= 25 and distance_m <= 1500 and not slope_deg > 40"))
-
-
-VALID = f"WITH {PX}, {SLOPE}, {NEAR}, {FLOOD}, t AS (SELECT fl.*, slope_deg, distance_m, hand_m, slope_deg <= 18 AND hand_m <= 25 AND distance_m <= 1500 AND NOT slope_deg > 40 AS valid FROM fl JOIN (SELECT scene, r, c, slope_deg FROM sl) USING (scene, r, c) JOIN nd USING (scene, r, c))"
-
-
-@query(f"{VALID} SELECT scene, r, c, valid FROM t")
-def valid_flood_mask(spark, d):
-    return _terrain(spark, d).select("scene", "r", "c", "valid")
-
-
-@query(f"{VALID} SELECT scene, r, c, cons AND valid AS flood_cons, lib AND valid AS flood_lib, pre_vv < -18 AND slope_deg < 5 AS permanent_water, lib::INT * 0.8::DOUBLE AS prob, abs(lib::INT - cons::INT) * 0.5::DOUBLE AS uncertainty FROM t")
-def baseline_flood(spark, d):
-    lib, cons = F.col("lib").cast("int"), F.col("cons").cast("int")
-    return _terrain(spark, d).select("scene", "r", "c", F.expr("cons and valid").alias("flood_cons"), F.expr("lib and valid").alias("flood_lib"), F.expr("pre_vv < -18 and slope_deg < 5").alias("permanent_water"), (lib * 0.8).alias("prob"), (F.abs(lib - cons) * 0.5).alias("uncertainty"))
-
-
-@query(f"{VALID} SELECT scene, round(count_if(cons) * 900 / 1e6, 3) AS km2_cons, round(count_if(lib) * 900 / 1e6, 3) AS km2_lib, count_if(lib AND valid)::BIGINT AS n_valid, round(avg((lib AND NOT cons)::INT), 4) AS uncertain FROM t GROUP BY scene")
-def hazard_area(spark, d):
-    km2 = lambda m: F.round(F.count_if(m) * 900 / F.lit(1e6), 3)
-    return _terrain(spark, d).groupBy("scene").agg(km2(F.col("cons")).alias("km2_cons"), km2(F.col("lib")).alias("km2_lib"), F.count_if(F.expr("lib and valid")).alias("n_valid"), F.round(F.avg(F.expr("lib and not cons").cast("int")), 4).alias("uncertain"))
-
-
-@query(f"""{VALID} SELECT scene, r, c, votes, corridor AND votes >= 2 AS debris_cons, corridor AND votes >= 1 AS debris_lib FROM (SELECT *, distance_m <= 450 AND slope_deg <= 35 AS corridor, (post_vh - pre_vh >= 2.2)::INT + (swir - green >= 0.15::DOUBLE)::INT AS votes FROM t)""")
-def debris_votes(spark, d):
-    t = _terrain(spark, d).withColumn("corridor", F.expr("distance_m <= 450 and slope_deg <= 35")).withColumn("votes", F.expr("cast(post_vh - pre_vh >= 2.2D as int) + cast(swir - green >= 0.15D as int)"))
-    return t.select("scene", "r", "c", "votes", F.expr("corridor and votes >= 2").alias("debris_cons"), F.expr("corridor and votes >= 1").alias("debris_lib"))
-
-
-@query(f"WITH {PX}, k AS (SELECT scene, r, c FROM px WHERE green > 0.4::DOUBLE) SELECT p.scene, p.r, p.c, EXISTS (SELECT 1 FROM k WHERE k.scene = p.scene AND abs(k.r - p.r) + abs(k.c - p.c) <= 3) AS cloudy FROM px p")
-def cloud_dilate(spark, d):
-    px = tables.pixels(spark, d).withColumn("cloud", F.expr("green > 0.4D"))
-    return raster.dilate(px, "cloud", 3, "cloudy").select("scene", "r", "c", "cloudy")
-
-
-@query(f"""WITH {PX}, {FLOOD}, m AS (SELECT *, (green - swir) / (green + swir + 1e-6) AS w, green <= 0.4::DOUBLE AS clear, lib::INT * 0.8::DOUBLE AS prob FROM fl)
-SELECT scene, r, c, (lib AND NOT (lib AND clear AND w < -0.1)) OR (clear AND w > 0.12 AND prob >= 0.3) AS fused, (lib AND clear AND w < -0.1) OR (clear AND w > 0.12 AND NOT lib AND prob < 0.25) AS uncertain FROM m""")
-def sensor_fusion(spark, d):
-    m = _flood(spark, d).withColumn("w", X.normalized_difference(F.col("green"), F.col("swir"))).withColumn("clear", F.expr("green <= 0.4D")).withColumn("prob", F.col("lib").cast("int") * 0.8)
-    dry = F.expr("lib and clear and w < -0.1D")
-    wet = F.expr("clear and w > 0.12D")
-    return m.select("scene", "r", "c", ((F.col("lib") & ~dry) | (wet & (F.col("prob") >= 0.3))).alias("fused"), (dry | (wet & ~F.col("lib") & (F.col("prob") < 0.25))).alias("uncertain"))
-
-
-NEXT = "abs(a.r - b.r) + abs(a.c - b.c) = 1 AND a.scene = b.scene"
-
-
-@query(f"""WITH RECURSIVE {PX}, {FLOOD}, m AS (SELECT scene, r, c, r * 1048576 + c AS p FROM fl WHERE lib), t(scene, r, c, label) USING KEY (scene, r, c) AS (SELECT scene, r, c, p FROM m UNION
-SELECT b.scene, b.r, b.c, min(a.label) FROM t a JOIN m b ON {NEXT} JOIN recurring.t o ON o.scene = b.scene AND o.r = b.r AND o.c = b.c WHERE a.label < o.label GROUP BY ALL)
-SELECT scene, r, c, label, count(*) OVER (PARTITION BY scene, label) AS pixels FROM t""")
-def component_labels(spark, d):
-    t = graph.label(_flood(spark, d).where("lib"))
-    return t.join(t.groupBy("scene", "label").agg(F.count(F.lit(1)).alias("pixels")), ["scene", "label"]).select("scene", "r", "c", "label", "pixels")
-
-
-HOLES = "abs(post_vv - pre_vv) < 1.2"
-
-
-@query(f"""WITH RECURSIVE {PX}, bg AS (SELECT scene, r, c FROM px WHERE NOT {HOLES}), o AS (SELECT scene, r, c FROM bg WHERE r IN (0, 63) OR c IN (0, 63) UNION SELECT b.scene, b.r, b.c FROM o a JOIN bg b ON {NEXT})
-SELECT p.scene, p.r, p.c, o.r IS NULL AS mask_filled FROM px p LEFT JOIN o USING (scene, r, c)""")
-def fill_holes(spark, d):
-    px = tables.pixels(spark, d).withColumn("mask", F.expr(HOLES))
-    return graph.fill_holes(px, "mask").select("scene", "r", "c", "mask_filled")
-
-
-@query(f"""WITH RECURSIVE {PX}, {FLOOD}, m AS (SELECT scene, r, c FROM fl WHERE lib), k AS (SELECT scene, r, c FROM m WHERE c BETWEEN 29 AND 34 UNION SELECT b.scene, b.r, b.c FROM k a JOIN m b ON {NEXT})
-SELECT p.scene, p.r, p.c, k.r IS NOT NULL AS kept FROM px p LEFT JOIN k USING (scene, r, c)""")
-def river_connected(spark, d):
-    px = raster.dilate(_flood(spark, d), "river", 2, "near_river")
-    return graph.keep_components(px, "lib", "kept", touching="near_river").select("scene", "r", "c", "kept")
-
-
-@query(None)
-def postprocess(spark, d):
-    px = raster.dilate(_terrain(spark, d), "river", 2, "near_river")
-    px = graph.fill_holes(px, "lib")
-    px = graph.keep_components(px, "lib_filled", "sized", min_size=8)
-    px = graph.keep_components(px, "sized", "connected", touching="near_river")
-    return px.select("scene", "r", "c", F.expr("connected and hand_m <= 25").alias("hazard"))
-
-
-BUILD = f"""WITH {PX}, {FLOOD}, f AS (SELECT r, c, cons, lib FROM fl WHERE scene = 0), bd AS (SELECT c_custkey AS osm_id, round_even((85 + (c_custkey * 37 % 701) / 1000.0::DOUBLE - 85) / 0.01::DOUBLE, 0)::BIGINT AS c,
-round_even((28 - (28 - (c_custkey * 53 % 691) / 1000.0::DOUBLE)) / 0.01::DOUBLE, 0)::BIGINT AS r, c_custkey % 50 AS building_count FROM customer),
-w AS (SELECT osm_id, bool_or(f.r = bd.r AND f.c = bd.c) AS inside, CASE WHEN bool_or(f.r = bd.r AND f.c = bd.c AND lib) THEN 1 ELSE avg(lib::INT) END AS ol, CASE WHEN bool_or(f.r = bd.r AND f.c = bd.c AND cons) THEN 1 ELSE avg(cons::INT) END AS oc
-FROM bd JOIN f ON abs(f.r - bd.r) <= 1 AND abs(f.c - bd.c) <= 1 GROUP BY osm_id),
-x AS (SELECT osm_id, building_count, CASE WHEN inside THEN coalesce(ol, 0) ELSE 0 END AS ol, CASE WHEN inside THEN coalesce(oc, 0) ELSE 0 END AS oc FROM bd LEFT JOIN w USING (osm_id))"""
-CLASS = "CASE WHEN {0} >= 0.5 THEN 'likely_hit' WHEN {0} >= 0.05 THEN 'possibly_hit' ELSE 'not_hit' END"
-
-
-def _buildings(spark, d):
-    px = _flood(spark, d).where("scene = 0")
-    at = vectors.locate(tables.buildings(spark, d), 85.0, 28.0, 0.01, 0.01)
-    return vectors.classify(vectors.window_overlap(at, px, ["cons", "lib"]), ["cons", "lib"], F.lit(False))
-
-
-@query(f"{BUILD} SELECT osm_id, {CLASS.format('oc')} AS class_cons, {CLASS.format('ol')} AS class_lib, round(ol, 4) AS overlap FROM x")
-def building_damage(spark, d):
-    return _buildings(spark, d).select("osm_id", F.col("cons_class").alias("class_cons"), F.col("lib_class").alias("class_lib"), F.round("lib_overlap", 4).alias("overlap"))
-
-
-@query(f"{BUILD} SELECT count_if(oc >= 0.5)::BIGINT AS likely_cons, count_if(ol >= 0.5)::BIGINT AS likely_lib, count_if(oc >= 0.05 AND oc < 0.5)::BIGINT AS possibly_cons, count_if(ol >= 0.05 AND ol < 0.5)::BIGINT AS possibly_lib FROM x")
-def damage_stats(spark, d):
-    n = lambda m, k: F.count_if(F.col(f"{m}_class") == k)
-    return _buildings(spark, d).agg(n("cons", "likely_hit").alias("likely_cons"), n("lib", "likely_hit").alias("likely_lib"), n("cons", "possibly_hit").alias("possibly_cons"), n("lib", "possibly_hit").alias("possibly_lib"))
-
-
-@query(f"""WITH {PX}, {FLOOD}, v AS (SELECT l_orderkey AS osm_id, l_partkey % 70 AS r, l_suppkey % 70 AS c FROM lineitem), x AS (SELECT osm_id, osm_id % 5 = 0 AS bridge, avg(lib::INT) AS o FROM v JOIN fl ON scene = 0 AND fl.r = v.r AND fl.c = v.c GROUP BY ALL)
-SELECT osm_id, bridge, round(o, 4) AS overlap, CASE WHEN o >= 0.5 THEN 'likely_hit' WHEN o >= 0.05 OR (bridge AND o > 0) THEN 'possibly_hit' ELSE 'not_hit' END AS class_lib FROM x""")
-def road_damage(spark, d):
-    v = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("osm_id"), (F.col("l_partkey") % 70).alias("r"), (F.col("l_suppkey") % 70).alias("c"))
-    x = vectors.vertex_overlap(v, _flood(spark, d).where("scene = 0"), ["lib"]).withColumn("bridge", F.expr("osm_id % 5 = 0"))
-    return vectors.classify(x, ["lib"], F.col("bridge")).select("osm_id", "bridge", F.round("lib_overlap", 4).alias("overlap"), F.col("lib_class").alias("class_lib"))
-
-
-@query("""WITH s AS (SELECT o_orderkey AS ord, o_custkey AS orbit, o_orderpriority AS dir, o_orderdate::DATE AS day FROM orders), p AS (SELECT a.orbit, a.ord AS pre_ord, b.ord AS post_ord, b.day - a.day AS gap, a.dir = b.dir AND b.day - a.day BETWEEN 6 AND 12 AS exact, a.day AS pd, b.day AS qd
-FROM s a JOIN s b ON a.orbit = b.orbit AND a.day < DATE '1998-01-01' AND b.day >= DATE '1998-01-01')
-SELECT orbit, pre_ord, post_ord, gap::INT AS gap, CASE WHEN NOT exact THEN 'no_s1_pair' END AS fallback FROM p ORDER BY exact DESC, qd, post_ord, CASE WHEN exact THEN DATE '1998-01-01' - pd END, pre_ord LIMIT 1""")
-def scene_pair(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("input_ord"), F.col("o_custkey").alias("orbit"), F.col("o_orderpriority").alias("direction"), F.col("o_orderdate").alias("taken"))
-    return vectors.scene_pair(o, "1998-01-01")
-
-
-def _nodes(spark, d):
-    s = spark.read.parquet(f"{d}/supplier.parquet")
-    return s.select(F.expr("s_suppkey * 2").alias("node"), F.col("s_suppkey").alias("node_ord"), F.expr("85 + (s_suppkey * 61 % 701) / 1000.0D").alias("lon"), F.expr("28 - (s_suppkey * 29 % 691) / 1000.0D").alias("lat"))
-
-
-@query("""WITH p AS (SELECT c_custkey AS osm_id, 85 + (c_custkey * 37 % 701) / 1000.0::DOUBLE AS lon, 28 - (c_custkey * 53 % 691) / 1000.0::DOUBLE AS lat FROM customer), n AS (SELECT s_suppkey * 2 AS node, s_suppkey AS o, 85 + (s_suppkey * 61 % 701) / 1000.0::DOUBLE AS x, 28 - (s_suppkey * 29 % 691) / 1000.0::DOUBLE AS y FROM supplier),
-j AS (SELECT osm_id, node, o, (lon - x) * (lon - x) + (lat - y) * (lat - y) AS d2 FROM p CROSS JOIN n) SELECT osm_id, node, round(d2, 9) AS d2 FROM j WHERE d2 <= 0.05::DOUBLE * 0.05::DOUBLE QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY d2, o) = 1""")
-def nearest_node_snap(spark, d):
-    return vectors.snap(tables.buildings(spark, d), _nodes(spark, d)).select("osm_id", "node", F.round("d2", 9).alias("d2"))
-
-
-ROADS = """rd AS (SELECT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b, l_suppkey * 100000 + l_partkey AS osm_id, round(l_extendedprice * 100, 0)::BIGINT AS length, l_returnflag = 'R' AS severed FROM lineitem WHERE l_partkey < 200
-QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) = 1), hosp AS (SELECT p_partkey * 2 + 1 AS node FROM part WHERE p_partkey < 200 AND p_size = 1)"""
-
-
-@query(f"WITH {ROADS} SELECT a, b, osm_id, length FROM rd WHERE NOT severed")
-def open_roads(spark, d):
-    e = tables.roads(spark, d)
-    return e.join(e.where("severed").select("osm_id").distinct(), "osm_id", "left_anti").select("a", "b", "osm_id", "length")
-
-
-def _hospitals(spark, d):
-    return spark.read.parquet(f"{d}/part.parquet").where("p_partkey < 200 and p_size = 1").select(F.expr("p_partkey * 2 + 1").alias("node"))
-
-
-def _shortest(name: str, edges: str) -> str:
-    return f"""{name}e AS (SELECT a, b, length FROM {edges} UNION ALL SELECT b, a, length FROM {edges}), {name}(node, dist) USING KEY (node) AS (SELECT node, 0::BIGINT FROM hosp UNION
-SELECT e.b, min(t.dist + e.length)::BIGINT FROM {name} t JOIN {name}e e ON e.a = t.node LEFT JOIN recurring.{name} o ON o.node = e.b WHERE o.node IS NULL OR t.dist + e.length < o.dist GROUP BY e.b)"""
-
-
-@query(f"WITH RECURSIVE {ROADS}, {_shortest('pre', 'rd')} SELECT node, dist FROM pre")
-def shortest_distance(spark, d):
-    return graph.distances(tables.roads(spark, d), _hospitals(spark, d))
-
-
-CUT = f"""WITH RECURSIVE {ROADS}, op AS (SELECT * FROM rd WHERE NOT severed), ol AS (SELECT * FROM op WHERE osm_id % 3 <> 0), {_shortest('pre', 'rd')}, {_shortest('con', 'op')}, {_shortest('lia', 'ol')},
-st AS (SELECT s_suppkey AS input_ord, s_suppkey * 2 AS node, s_suppkey % 50 AS building_count, pre.dist AS pre, con.dist AS cons, lia.dist AS lib FROM supplier LEFT JOIN pre ON pre.node = s_suppkey * 2 LEFT JOIN con ON con.node = s_suppkey * 2 LEFT JOIN lia ON lia.node = s_suppkey * 2),
-x AS (SELECT *, CASE WHEN pre IS NULL THEN 'unknown' WHEN cons IS NULL THEN 'cut_off' ELSE 'still_connected' END AS state_cons, CASE WHEN pre IS NULL THEN 'unknown' WHEN lib IS NULL THEN 'cut_off' ELSE 'still_connected' END AS state_lib FROM st)"""
-
-
-def _states(spark, d):
-    e, h = tables.roads(spark, d), _hospitals(spark, d)
-    cons = e.where("not severed")
-    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("input_ord"), F.expr("s_suppkey * 2").alias("node"), F.expr("s_suppkey % 50").alias("building_count"))
-    return vectors.cutoff(s, graph.distances(e, h), graph.distances(cons, h), graph.distances(cons.where("osm_id % 3 <> 0"), h))
-
-
-@query(f"{CUT} SELECT input_ord, node, pre, cons, lib, state_cons, state_lib, CASE WHEN cons IS NOT NULL AND pre IS NOT NULL THEN greatest(cons - pre, 0) END AS detour FROM x")
-def cutoff_states(spark, d):
-    detour = F.when(F.col("cons").isNotNull() & F.col("pre").isNotNull(), F.greatest(F.col("cons") - F.col("pre"), F.lit(0)))
-    return _states(spark, d).select("input_ord", "node", "pre", "cons", "lib", "state_cons", "state_lib", detour.alias("detour"))
-
-
-@query(f"{CUT} SELECT count_if(state_cons = 'cut_off')::BIGINT AS cons, count_if(state_lib = 'cut_off')::BIGINT AS lib, count_if(state_cons = 'still_connected' AND state_lib = 'cut_off')::BIGINT AS possibly, count_if(state_cons = 'still_connected' AND state_lib = 'still_connected')::BIGINT AS connected, count_if(pre IS NULL)::BIGINT AS unknown FROM x")
-def cutoff_stats(spark, d):
-    n = lambda x: F.count_if(F.expr(x))
-    return _states(spark, d).agg(n("state_cons = 'cut_off'").alias("cons"), n("state_lib = 'cut_off'").alias("lib"), n("state_cons = 'still_connected' and state_lib = 'cut_off'").alias("possibly"), n("state_cons = 'still_connected' and state_lib = 'still_connected'").alias("connected"), n("pre is null").alias("unknown"))
-
-
-@query(f"{CUT} SELECT input_ord, building_count, CASE WHEN state_lib = 'cut_off' THEN row_number() OVER (PARTITION BY state_lib ORDER BY building_count DESC, coalesce(pre, 0) DESC, input_ord) END AS priority_rank FROM x")
-def priority_rank(spark, d):
-    return vectors.priority(_states(spark, d)).select("input_ord", "building_count", F.col("priority_rank").cast("long").alias("priority_rank"))
-
-
-#: Of the open roads, only these last here, so that settlements are cut off.
-BLAME = f"""{CUT.replace("osm_id % 3 <> 0", "osm_id % 41 = 0")}, ue AS (SELECT a, b, osm_id, length, severed OR osm_id % 41 <> 0 AS severed FROM rd UNION ALL SELECT b, a, osm_id, length, severed OR osm_id % 41 <> 0 FROM rd),
-hop AS (SELECT ue.a AS node, ue.b AS nxt, ue.osm_id, ue.severed FROM ue JOIN pre p ON p.node = ue.a JOIN pre q ON q.node = ue.b WHERE ue.length > 0 AND q.dist + ue.length = p.dist QUALIFY row_number() OVER (PARTITION BY ue.a ORDER BY ue.osm_id, ue.b) = 1),
-walk AS (SELECT node AS origin, nxt, osm_id, severed FROM hop UNION ALL SELECT w.origin, h.nxt, h.osm_id, h.severed FROM walk w JOIN hop h ON h.node = w.nxt WHERE NOT w.severed),
-bl AS (SELECT x.input_ord, x.building_count, CASE WHEN state_lib = 'cut_off' THEN walk.osm_id END AS failed_segment FROM x LEFT JOIN walk ON walk.origin = x.node AND walk.severed)"""
-
-
-def _blamed(spark, d):
-    e, h = tables.roads(spark, d), _hospitals(spark, d)
-    e = e.withColumn("severed", F.expr("severed or osm_id % 41 <> 0"))
-    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("input_ord"), F.expr("s_suppkey * 2").alias("node"), F.expr("s_suppkey % 50").alias("building_count"))
-    pre, lib = graph.distances(e, h), graph.distances(e.where("not severed"), h)
-    return segments.blame(vectors.cutoff(s, pre, lib, lib), segments.first_severed(e, pre))
-
-
-@query(f"{BLAME} SELECT input_ord, building_count, failed_segment FROM bl")
-def failed_segment(spark, d):
-    return _blamed(spark, d).select("input_ord", "building_count", "failed_segment")
-
-
-@query(f"{BLAME} SELECT failed_segment, sum(building_count)::BIGINT AS buildings FROM bl WHERE failed_segment IS NOT NULL GROUP BY failed_segment ORDER BY buildings DESC, min(input_ord) LIMIT 1")
-def critical_segment(spark, d):
-    return segments.critical(_blamed(spark, d))
-
-
-STEEP = f"""{PX}, o AS (SELECT * FROM (VALUES (0, -1, 0), (1, 1, 0), (2, 0, -1), (3, 0, 1), (4, -1, -1), (5, -1, 1), (6, 1, -1), (7, 1, 1)) AS o(k, dr, dc)), d8 AS (SELECT p.scene, p.r, p.c, q.r AS nr, q.c AS nc FROM px p CROSS JOIN o JOIN px q ON q.scene = p.scene AND q.r = p.r + dr AND q.c = p.c + dc
-WHERE p.dem > q.dem QUALIFY row_number() OVER (PARTITION BY p.scene, p.r, p.c ORDER BY (p.dem - q.dem) / (CASE WHEN dr * dc = 0 THEN 30::DOUBLE ELSE 1.4142::DOUBLE * 30 END) DESC, k) = 1)"""
-
-
-@query(f"WITH {STEEP} SELECT * FROM d8")
-def d8_pointer(spark, d):
-    return raster.steepest(tables.pixels(spark, d))
-
-
-PATH = f"WITH RECURSIVE {STEEP}, pa AS (SELECT DISTINCT scene, 0::BIGINT AS k, 0::BIGINT AS r, 10::BIGINT AS c FROM px UNION ALL SELECT d8.scene, k + 1, nr, nc FROM pa JOIN d8 ON d8.scene = pa.scene AND d8.r = pa.r AND d8.c = pa.c WHERE k < 1000)"
-
-
-def _path(spark, d):
-    px = tables.pixels(spark, d)
-    return vectors.trace(raster.steepest(px), px.where("r = 0 and c = 10"))
-
-
-@query(f"{PATH} SELECT scene, k, r, c, round(sum(coalesce(sqrt((r - pr) * (r - pr) + (c - pc) * (c - pc)) * 30, 0)) OVER (PARTITION BY scene ORDER BY k), 6) AS metres FROM (SELECT *, lag(r) OVER w AS pr, lag(c) OVER w AS pc FROM pa WINDOW w AS (PARTITION BY scene ORDER BY k))")
-def flow_path(spark, d):
-    w = Window.partitionBy("scene").orderBy("k")
-    step = F.sqrt((F.col("r") - F.lag("r").over(w)) ** 2 + (F.col("c") - F.lag("c").over(w)) ** 2) * 30
-    return _path(spark, d).withColumn("step", F.coalesce(step, F.lit(0.0))).select("scene", "k", "r", "c", _r(F.sum("step").over(w)).alias("metres"))
-
-
-@query(f"""{PATH}, bd AS (SELECT c_custkey AS osm_id, (c_custkey * 53 + c_custkey // 64) % 64 AS r, c_custkey * 37 % 64 AS c FROM customer) SELECT osm_id, k FROM bd JOIN pa ON pa.scene = 0 AND (pa.r - bd.r) * (pa.r - bd.r) + (pa.c - bd.c) * (pa.c - bd.c) <= 16
-QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY (pa.r - bd.r) * (pa.r - bd.r) + (pa.c - bd.c) * (pa.c - bd.c), k) = 1""")
-def flow_settlements(spark, d):
-    at = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("osm_id"), F.expr("(c_custkey * 53 + c_custkey div 64) % 64").alias("r"), F.expr("c_custkey * 37 % 64").alias("c"))
-    disc = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-4, 5) for b in range(-4, 5) if a * a + b * b <= 16])
-    asked = at.withColumn("o", F.explode(disc)).select("osm_id", (F.col("r") + F.col("o.a")).alias("r"), (F.col("c") + F.col("o.b")).alias("c"), F.expr("o.a * o.a + o.b * o.b").alias("d2"))
-    return asked.join(_path(spark, d).where("scene = 0"), ["r", "c"]).groupBy("osm_id").agg(F.min(F.struct("d2", "k")).alias("m")).select("osm_id", "m.k")
-
-
-@query(f"""WITH {PX}, {FLOOD}, v AS (SELECT 'cons' AS variant, cons AS pred, (dem < 850) AND lib AS ref FROM fl UNION ALL SELECT 'lib', lib, (dem < 850) AND lib FROM fl UNION ALL SELECT 'vv', post_vv - pre_vv < -3, (dem < 850) AND lib FROM fl UNION ALL SELECT 'none', FALSE, FALSE FROM fl),
-t AS (SELECT variant, count_if(pred AND ref)::BIGINT AS tp, count_if(pred AND NOT ref)::BIGINT AS fp, count_if(NOT pred AND ref)::BIGINT AS fn, count_if(NOT pred AND NOT ref)::BIGINT AS tn FROM v GROUP BY variant)
-SELECT *, CASE WHEN tp + fp + fn = 0 THEN 1 ELSE round(tp / (tp + fp + fn), 4) END AS iou, CASE WHEN tp + fp = 0 THEN 0 ELSE round(tp / (tp + fp), 4) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE round(tp / (tp + fn), 4) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE round(2 * tp / (2 * tp + fp + fn), 4) END AS f1 FROM t""")
-def confusion_metrics(spark, d):
-    ref = F.expr("dem < 850 and lib")
-    kinds = [("cons", F.col("cons"), ref), ("lib", F.col("lib"), ref), ("vv", F.expr("post_vv - pre_vv < -3"), ref), ("none", F.lit(False), F.lit(False))]
-    v = _flood(spark, d).select(F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), p.alias("pred"), t.alias("ref")) for n, p, t in kinds])).alias("x")).select("x.*")
-    return vectors.metrics(v, ["variant"])
-
-
-@query(f"WITH {PX}, {FLOOD} SELECT scene, r, c, CASE WHEN cons AND NOT lib THEN 2 WHEN lib AND NOT cons THEN 1 ELSE 0 END AS status FROM fl")
-def disagreement(spark, d):
-    return _flood(spark, d).select("scene", "r", "c", F.when(F.expr("cons and not lib"), 2).when(F.expr("lib and not cons"), 1).otherwise(0).alias("status"))
-
-
-@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings), q AS (SELECT vec_id % 64 AS r, c, least(greatest(0.5::DOUBLE + x, 1e-6), 1 - 1e-6) AS p FROM e)
-SELECT r, c, round(avg(p), 6) AS mean, round(var_pop(p), 6) AS variance, round(-avg(p) * log2(avg(p)) - (1 - avg(p)) * log2(1 - avg(p)), 6) AS entropy FROM q GROUP BY r, c""")
-def ensemble_uncertainty(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("vec_id") % 64).alias("r"), F.posexplode("embedding").alias("c", "x"))
-    p = F.least(F.greatest(F.col("x").cast("double") + 0.5, F.lit(1e-6)), F.lit(1 - 1e-6))
-    g = e.groupBy("r", F.col("c").cast("long").alias("c")).agg(F.avg(p).alias("m"), F.var_pop(p).alias("v"))
-    m = F.col("m")
-    return g.select("r", "c", _r(m).alias("mean"), _r("v").alias("variance"), _r(-m * F.log2(m) - (1 - m) * F.log2(1 - m)).alias("entropy"))
-
-
-@query(f"""WITH {PX}, {FLOOD}, q AS (SELECT scene, least(greatest(0.5::DOUBLE - (post_vv - pre_vv) / 20, 1e-6), 1 - 1e-6) AS p, lib::INT AS y FROM fl)
-SELECT scene, round(1 - (2 * sum(p * y) + 1e-5) / (sum(p) + sum(y) + 1e-5), 6) AS dice, round(avg(-(1 - pt) * (1 - pt) * ln(pt)), 6) AS focal FROM (SELECT *, CASE WHEN y = 1 THEN p ELSE 1 - p END AS pt FROM q) GROUP BY scene""")
-def focal_dice_loss(spark, d):
-    p = F.least(F.greatest(F.lit(0.5) - (F.col("post_vv") - F.col("pre_vv")) / 20, F.lit(1e-6)), F.lit(1 - 1e-6))
-    q = _flood(spark, d).select("scene", p.alias("p"), F.col("lib").cast("int").alias("y")).withColumn("pt", F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")))
-    return q.groupBy("scene").agg(_r(1 - (2 * F.sum(F.expr("p * y")) + 1e-5) / (F.sum("p") + F.sum("y") + 1e-5)).alias("dice"), _r(F.avg(F.expr("-(1 - pt) * (1 - pt) * ln(pt)"))).alias("focal"))
-
-
-@query(r"""SELECT n, count(*) AS documents FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}', ' ', 'g'), '[0-9]+(?:\.[0-9]+)?'))) AS n FROM documents) GROUP BY n""")
-def report_numbers(spark, d):
-    cleaned = F.regexp_replace("text", "[0-9]{4}-[0-9]{2}-[0-9]{2}", " ")
-    numbers = F.array_distinct(F.regexp_extract_all(cleaned, F.lit(r"([0-9]+(?:\.[0-9]+)?)")))
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.explode(numbers).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("documents"))
-
-
-@query(f"{VALID} SELECT scene, r, c, round(least(greatest(slope_deg / 60, 0), 1) + least(greatest(hand_m / 100, 0), 1) + least(greatest(distance_m / 3000, 0), 1), 6) AS terrain, 9 AS channels FROM t")
-def feature_stack(spark, d):
-    t = _terrain(spark, d)
-    stack = F.array(F.col("pre_vv"), F.col("pre_vh"), F.col("post_vv"), F.col("post_vh"), F.expr("post_vv - pre_vv"), F.expr("post_vh - pre_vh"), X.scaled(F.col("slope_deg"), 60), X.scaled(F.col("hand_m"), 100), X.scaled(F.col("distance_m"), 3000))
-    return t.withColumn("f", stack).select("scene", "r", "c", _r(F.expr("f[6] + f[7] + f[8]")).alias("terrain"), F.size("f").alias("channels"))
+__all__ = ["ORACLE_SQL", "QUERIES", "exposure", "rasters", "reports"]

@@ -1,37 +1,101 @@
-"""Tables of the domain made from the benchmark tables: rasters, roads, settlements, scenes."""
+"""Tables of the domain made from the benchmark tables: rasters, roads, buildings, settlements.
+
+The benchmark tables hold no rasters or roads, so these adapters derive them, from every row: 64
+consecutive vectors are a tile, seven tiles the bands of a scene (the last scene takes the tiles that
+it lacks from the beginning), each line item is a road from its supplier to its part. A scene's rows
+for which one of the tiles has no vector do not exist, so that scenes differ in height.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and columns of a tile, and bands of a scene: consecutive tiles are the bands of a scene.
+#: Rows and columns of a tile, and tiles of a scene.
 SIDE, BANDS = 64, 7
+#: West, north, pixel width and height of the grid in degrees.
+GRID = (85.0, 28.0, 0.01, 0.01)
+
+_FLOODED = "c between 28 and 36 and r between 15 and 49"
+_FAN = "c between 37 and 43 and r between 5 and 14"
+#: What the seven values of a pixel stand for.
+MEASURES = {
+    "pre_vv": "b0 * 12 - 12",
+    "pre_vh": "b1 * 12 - 18",
+    "post_vv": f"b2 * 12 - 12 - case when {_FLOODED} then 6 else 0 end",
+    "post_vh": f"b3 * 12 - 18 + case when {_FAN} then 3 else 0 end",
+    "dem": "800 + (63 - r) * 2 + abs(c - 32) * 3 + b4 * 20",
+    "blue_pre": "b2 * 0.2 + 0.15",
+    "red_pre": "b4 * 0.2 + 0.2",
+    "nir_pre": "b6 * 0.3 + 0.35",
+    "swir_pre": "b5 * 0.2 + 0.2",
+    "blue": "b0 * 0.2 + 0.15",
+    "green": "b5 * 0.5 + 0.3",
+    "red": f"b3 * 0.4 + 0.25 + case when {_FAN} then 0.2 else 0.0 end",
+    "nir": "b1 * 0.3 + 0.3",
+    "swir": "b6 * 0.5 + 0.25",
+    "coherence_loss": f"abs(b6 - b0) * 0.5 + 0.2 + case when {_FAN} then 0.1 else 0.0 end",
+    "cloud": "b5 + b6 > 0.45",
+    "river": "c in (31, 32)",
+}
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per pixel of the complete scenes, bands as columns."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("c", "x"))
-    band = F.expr(f"vec_id div {SIDE} % {BANDS}")
-    value = [F.max(F.when(band == k, F.col("x").cast("double"))).alias(f"b{k}") for k in range(BANDS)]
-    px = e.groupBy(F.expr(f"vec_id div {SIDE * BANDS}").alias("scene"), (F.col("vec_id") % SIDE).alias("r"), F.col("c").cast("long").alias("c")).agg(*value)
-    return px.where(" and ".join(f"b{k} is not null" for k in range(BANDS))).select(
-        "scene", "r", "c",
-        F.expr("b0 * 12 - 12").alias("pre_vv"), F.expr("b1 * 12 - 18").alias("pre_vh"), F.expr("b2 * 12 - 12").alias("post_vv"), F.expr("b3 * 12 - 18").alias("post_vh"),
-        F.expr("800 + (63 - r) * 2 + abs(c - 32) * 3 + b4 * 20").alias("dem"), F.expr("b5 * 0.5D + 0.3D").alias("green"), F.expr("b6 * 0.5D + 0.25D").alias("swir"),
-        F.col("c").isin(31, 32).alias("river"),
-    )
+    """One row per pixel, bands as columns."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    top = e.agg(F.max("vec_id")).first()[0]
+    tiles = (top if top is not None else -1) // SIDE + 1
+    slots = -(-tiles // BANDS) * BANDS
+    place = F.explode(F.expr(f"sequence(vec_id div {SIDE}, {slots - 1}L, {max(tiles, 1)}L)"))
+    rows = e.select(place.alias("q"), (F.col("vec_id") % SIDE).alias("r"), "embedding")
+    bands = [F.max(F.when(F.col("q") % BANDS == k, F.col("embedding"))).alias(f"b{k}") for k in range(BANDS)]
+    rows = rows.groupBy(F.expr(f"q div {BANDS}").alias("scene"), "r").agg(*bands).where(" and ".join(f"b{k} is not null" for k in range(BANDS)))
+    px = rows.select("scene", "r", F.posexplode(F.arrays_zip(*[f"b{k}" for k in range(BANDS)])).alias("c", "b"))
+    px = px.select("scene", "r", F.col("c").cast("long").alias("c"), *[F.col(f"b.b{k}").cast("double").alias(f"b{k}") for k in range(BANDS)])
+    return px.select("scene", "r", "c", *[F.expr(x).alias(n) for n, x in MEASURES.items()])
+
+
+def _place(key: str, lon: str, lat: str) -> list:
+    return [F.expr(lon.format(key)).alias("lon"), F.expr(lat.format(key)).alias("lat")]
+
+
+#: Longitude and latitude of suppliers, parts and customers.
+SUPPLIER_AT = ("85 + ({} * 61 % 701) / 1000", "28 - ({} * 29 % 691) / 1000")
+PART_AT = ("85.0005 + ({} * 43 % 709) / 1000", "27.9995 - ({} * 31 % 719) / 1000")
+CUSTOMER_AT = ("85 + ({} * 37 % 701) / 1000", "28 - ({} * 53 % 691) / 1000")
+
+
+#: One number for a line item: its order and line repeat, with part and supplier they do not.
+ROAD_KEY = "(l_orderkey * 8 + l_linenumber) * 4294967296 + (l_partkey * 2048 + l_suppkey) % 4294967296"
 
 
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between supplier and part nodes (parts below 200): the last line item of a pair wins."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey < 200")
-    last = F.max(F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")).alias("x")
-    e = li.groupBy("l_suppkey", "l_partkey").agg(last)
-    return e.select(F.expr("l_suppkey * 2").alias("a"), F.expr("l_partkey * 2 + 1").alias("b"), F.expr("l_suppkey * 100000 + l_partkey").alias("osm_id"), F.expr("cast(round(x.l_extendedprice * 100) as bigint)").alias("length"), F.expr("x.l_returnflag = 'R'").alias("severed"))
+    """input_ord, osm_id, highway_type, length_m, is_bridge, points: a road per line item, in whole metres."""
+    ends = [f"struct(cast({a} as double) as lon, cast({b} as double) as lat)" for a, b in ((SUPPLIER_AT[0].format("l_suppkey"), SUPPLIER_AT[1].format("l_suppkey")), (PART_AT[0].format("l_partkey"), PART_AT[1].format("l_partkey")))]
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_linestatus", F.expr(ends[0]).alias("s"), F.expr(ends[1]).alias("p"))
+    return li.select(
+        F.expr(ROAD_KEY).alias("input_ord"),
+        F.expr(ROAD_KEY).alias("osm_id"),
+        F.expr("case when l_linestatus = 'O' then 'primary' else 'secondary' end").alias("highway_type"),
+        F.floor("l_extendedprice").cast("double").alias("length_m"),
+        F.expr("l_linenumber = 1").alias("is_bridge"),
+        F.expr("array(s, struct((s.lon + p.lon) / 2 as lon, (s.lat + p.lat) / 2 as lat), p)").alias("points"),
+    )
 
 
-def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as buildings on the grid, with a centroid in degrees."""
+def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """input_ord, osm_id, name, lon, lat, building_count: a settlement per customer."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.select(F.col("c_custkey").alias("osm_id"), F.expr("85 + (c_custkey * 37 % 701) / 1000.0D").alias("lon"), F.expr("28 - (c_custkey * 53 % 691) / 1000.0D").alias("lat"), F.expr("c_custkey % 50").alias("building_count"))
+    return c.select(F.col("c_custkey").alias("input_ord"), F.col("c_custkey").alias("osm_id"), F.col("c_name").alias("name"), *_place("c_custkey", *CUSTOMER_AT), F.expr("c_custkey % 50").alias("building_count")).withColumns({"lon": F.col("lon").cast("double"), "lat": F.col("lat").cast("double")})
+
+
+def hospitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """input_ord, lon, lat of the parts of size 1."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size = 1")
+    return p.select(F.col("p_partkey").alias("input_ord"), *_place("p_partkey", *PART_AT)).withColumns({"lon": F.col("lon").cast("double"), "lat": F.col("lat").cast("double")})
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """input_ord, orbit, direction, taken: an acquisition per order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("input_ord"), F.col("o_custkey").alias("orbit"), F.col("o_orderpriority").alias("direction"), F.col("o_orderdate").alias("taken"))
