@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read again.
 
 Each stage works on all that its predecessor kept, and its decisions take effect: texts without a
-language go, one document of each near-duplicate group stays, passages that repeat lose their bytes
+language go (and others get theirs), one document of each near-duplicate group stays, passages that repeat lose their bytes
 (documents that have nothing else go), documents with benchmark passages go, and what is left is
 packed into sequences. All stages but the last return the columns of documents.
 """
@@ -18,10 +18,11 @@ from rillmark.llm.queries import TOKENIZER
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the rows that have a language. Rejects texts in which none can be found (`und`);
-    a doubtful text or one whose own label differs is kept."""
+    texts without a language get the one that is found, other labels stay."""
     names, table = langid.prototypes(docs)
-    judged = langid.identify(docs, names, table, keep=[F.struct(*docs.columns).alias("row")])
-    return judged.where("lang_pred <> 'und'").select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    judged = langid.identify(docs, names, table, keep=[row]).where("lang_pred <> 'und'")
+    return judged.select(*[F.coalesce(F.col("_row")[c], F.col("lang_pred")).alias(c) if c == "lang" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
