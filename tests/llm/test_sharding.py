@@ -28,3 +28,16 @@ def test_same_seed_same_order_and_few_rows(spark):
     assert pick(sharding.stratified_shards(docs, 4)) == pick(sharding.stratified_shards(docs.repartition(7), 4))
     assert pick(sharding.stratified_shards(docs, 4)) != pick(sharding.stratified_shards(docs, 4, seed=5))
     assert pick(sharding.stratified_shards(documents(spark, corpus(1)[:2]), 16)) and sharding.stratified_shards(documents(spark, [])).count() == 0
+
+
+def test_order_and_ranks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 8)
+    rows = [(i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 5}", 1) for i in range(200)] + [(1000 + i, "x", "en", f"only{i}", 1) for i in range(150)]
+    out = sharding.stratified_shards(documents(spark, rows), 16).collect()
+    by_place = sorted(out, key=lambda r: (r.shard, r.slot))
+    assert [r.fraction for r in by_place] == sorted(r.fraction for r in out)
+    for stratum, n in Counter(r.stratum for r in out).items():
+        own = sorted(r.fraction for r in out if r.stratum == stratum)
+        assert 0 < own[0] < 1 / n and all(abs(b - a - 1 / n) < 1e-9 for a, b in zip(own, own[1:], strict=False))
+    # strata of one row each do not all fall on the same rank
+    assert max(Counter(r.shard for r in out if r.stratum.startswith("only")).values()) < 30
