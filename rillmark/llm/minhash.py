@@ -7,7 +7,9 @@
 3. Classes that share a band are joined to families (a star per band, then connected components).
 4. Each family's classes meet with their full shingle sets. Pairs whose sketches rule the similarity
    out are dropped; the others are confirmed on the full sets, unless links already found connect
-   them, so a family yields fewer links than classes. A large family is dealt out as pairs of blocks.
+   them, so a family yields fewer links than classes. A large family is dealt out in blocks, its hub
+   to each of them. Only where that leaves it in several components do blocks meet in pairs: those of
+   the classes outside the largest component with one another and with the largest component's.
 5. Connected components of the confirmed links are the groups.
 """
 
@@ -31,6 +33,8 @@ BANDS, ROWS = 40, 6
 SKETCH_BITS = 1024
 #: Classes of a family that one task compares with one another.
 BLOCK = 2048
+#: Classes, of under 250 bytes, that are broadcast at most.
+BROADCAST_ROWS = 40_000
 WORD = word_table(b" \t\n\x0b\x0c\r")
 _MULTIPLIERS = np.random.default_rng(20240501).integers(0, 2**32, size=(2, 512), dtype=np.uint64).astype(np.uint32)
 _MULTIPLIERS[0] |= 1
@@ -126,10 +130,11 @@ def _shingle_sets(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(work, "family long, rep long, set binary, sketch binary")
 
 
-def links_in_block(reps: list[int], sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray | None, percent: int, most: int) -> list[tuple[int, int]]:
+def links_in_block(reps: list[int], sets: list[np.ndarray], sketches: np.ndarray, side: np.ndarray | None, percent: int, most: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect what all links of at least `percent` per cent similarity connect. With
-    `side`, only classes of different sides are compared. Each class is compared by sketch with all
-    later ones that no link connects to it yet, and on the full sets where the sketches allow a link."""
+    `side`, only classes of different sides are compared; classes of equal `known` components count
+    as connected. Each class is compared by sketch with all later ones that no link connects to it
+    yet, and on the full sets where the sketches allow a link."""
     m = len(reps)
     if m < 2:
         return []
@@ -137,7 +142,7 @@ def links_in_block(reps: list[int], sets: list[np.ndarray], sketches: np.ndarray
     ends = np.concatenate([[0], np.cumsum(size)])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     own = np.zeros(int(ids.max()) + 1, np.int8)
-    group = np.arange(m)
+    group = np.arange(m) if known is None else np.unique(np.array(known), return_inverse=True)[1]
     out = []
     for u in range(m - 1):
         rest = np.arange(u + 1, m)
@@ -164,7 +169,7 @@ def links_in_block(reps: list[int], sets: list[np.ndarray], sketches: np.ndarray
 
 
 def _confirm(df: DataFrame, percent: int, most: int) -> DataFrame:
-    """Rows of one task (family, lo, hi, block, rep, set, sketch) come sorted; links go out."""
+    """Rows of one task (family, lo, hi, block, comp, rep, set, sketch) come sorted; links go out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -172,21 +177,37 @@ def _confirm(df: DataFrame, percent: int, most: int) -> DataFrame:
         def done() -> pa.RecordBatch:
             rows = sorted(held, key=lambda r: (-len(r[2]), r[0]))
             side = np.array([r[1] for r in rows]) if key and key[1] != key[2] else None
-            got = links_in_block([r[0] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows], np.array([np.frombuffer(r[3], np.uint64) for r in rows]), side, percent, most) if rows else []
+            got = links_in_block([r[0] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows], np.array([np.frombuffer(r[3], np.uint64) for r in rows]), side, percent, most, [r[4] for r in rows]) if rows else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for family, lo, hi, block, rep, one, sketch in zip(*(batch.column(c).to_pylist() for c in ("family", "lo", "hi", "block", "rep", "set", "sketch")), strict=True):
+            for family, lo, hi, block, comp, rep, one, sketch in zip(*(batch.column(c).to_pylist() for c in ("family", "lo", "hi", "block", "comp", "rep", "set", "sketch")), strict=True):
                 if (family, lo, hi) != key:
                     yield done()
                     key, held = (family, lo, hi), []
-                held.append((rep, block, one, sketch))
+                held.append((rep, block, one, sketch, comp))
         yield done()
 
-    parts = df.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    parts = df.select("family", "lo", "hi", "block", "comp", "rep", "set", "sketch").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
     return parts.mapInArrow(work, "a long, b long")
 
 
+def _across_blocks(sets: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """Rows (family, rep, set, sketch) of large families, dealt out so that each pair of classes of
+    different components meets in a task. `roots` (family, rep, comp) are what is linked so far."""
+    parts = roots.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    whole = whole.select(F.col("family").alias("f"), F.col("top.comp").alias("largest"), F.ceil((F.col("all") - F.col("top.n")) / block).alias("outer"), F.ceil(F.col("top.n") / block).alias("inner"))
+    known = roots.select(F.col("family").alias("g"), F.col("rep").alias("k"), "comp").join(whole, F.col("g") == F.col("f"))
+    rows = sets.join(known, (F.col("family") == F.col("g")) & (F.col("rep") == F.col("k")))
+    # outer blocks are numbered from 0, those of the largest component after them
+    big = F.col("comp") == F.col("largest")
+    own = F.when(big, F.col("outer") + F.pmod(F.xxhash64("rep", F.lit(1)), F.col("inner"))).otherwise(F.pmod(F.xxhash64("rep", F.lit(1)), F.col("outer")))
+    most = F.when(big, F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
+    return rows.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "comp", "rep", "set", "sketch")
+
+
 def _text_key(text_col: str) -> list[Column]:
     """Two longs that name a text: _k1, _k2."""
     return [F.xxhash64(text_col, F.lit(5)).alias("_k1"), F.xxhash64(F.lit(3), text_col).alias("_k2")]
@@ -210,14 +231,30 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     family = components(edges, "cls", "hub")
     family = cut(family.select(F.col("node").alias("m"), F.col("root").alias("family")).union(family.select("root", "root").distinct()))
     members = lead.join(family, F.col("cls") == F.col("m")).select("family", "cls", "rep", "k1", "k2", "sketch")
-    texts = rows_in.join(members, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select("family", F.col("cls").alias("rep"), "_text", "sketch")
-    sets = _shingle_sets(texts, width).withColumnRenamed("rep", "cls")
+
+    def sets_of(some: DataFrame, few: bool = False) -> DataFrame:
+        texts = rows_in.join(F.broadcast(some) if few else some, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+        return _shingle_sets(texts.select("family", F.col("cls").alias("rep"), "_text", "sketch"), width)
+
     sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).withColumnRenamed("family", "f")
-    dealt = sets.join(sizes, F.col("family") == F.col("f")).withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks"))).otherwise(0))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("cls").alias("rep"), "set", "sketch")
-    links = _confirm(dealt, percent, farthest(percent / 100, bands * rows))
+    # the hub, whose number is the family's, joins each block
+    own = F.array(F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")))
+    dealt = sets_of(members).join(sizes, F.col("family") == F.col("f")).withColumn("block", F.explode(F.when(F.col("rep") == F.col("family"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(own)))
+    most = farthest(percent / 100, bands * rows)
+    links = _confirm(dealt.withColumns({"lo": F.col("block"), "hi": F.col("block"), "comp": F.col("rep")}), percent, most)
     linked = components(links, "a", "b")
+    large = sizes.where("blocks > 1").select("f")
+    if not large.isEmpty():
+        roots = family.join(large, F.col("family") == F.col("f")).join(linked, F.col("m") == F.col("node"), "left")
+        roots = cut(roots.select("family", F.col("m").alias("rep"), F.coalesce("root", "m").alias("comp")))
+        apart = cut(roots.groupBy("family").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y"))
+        size = apart.agg(F.sum("k")).first()[0]
+        if size:
+            again = members.join(apart.select(F.col("family").alias("f")), F.col("family") == F.col("f")).drop("f")
+            sets = sets_of(again, size <= BROADCAST_ROWS)  # then their texts need no shuffle of all texts
+            more = cut(_confirm(_across_blocks(sets, roots, block), percent, most))
+            if not more.isEmpty():
+                linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
     group = linked.select("node", "root").union(linked.select("root", "root").distinct())
     named = group.join(classes.select("cls", "rep"), F.col("node") == F.col("cls"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "r")

@@ -42,7 +42,15 @@ def test_equals_brute_force(spark):
 
 
 def test_large_families_are_dealt_out_as_pairs_of_blocks(spark):
-    assert got(minhash.near_duplicates(documents(spark), width=4, block=3)) == brute(corpus())
+    for block in (1, 3):
+        assert got(minhash.near_duplicates(documents(spark), width=4, block=block)) == brute(corpus())
+
+
+def test_blocks_of_a_family_meet_where_the_hub_does_not_link_them(spark):
+    words = [f"w{i}" for i in range(900)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 150]), "en", "s", 0) for k in range(60)]  # each links with the next only
+    rows += [(100 + k, " ".join([*words[:200], f"x{k}"]), "en", "s", 0) for k in range(20)]
+    assert got(minhash.near_duplicates(documents(spark, rows), width=4, block=4)) == brute(rows)
 
 
 def test_chain_of_links_and_empty_table(spark):
