@@ -8,7 +8,7 @@ starts need only be compared with starts of the same anchor hash, in the columns
 
 The symbols around an anchor that its starts span are one small document. Small documents with equal
 symbols are one with a count, of which two copies are sorted, so that the rounds themselves find
-copies equal. Anchors that nothing shares are left out. A group of more than `table` different small
+copies equal. Anchors that nothing shares are left out. A group of more than `group` different small
 documents is split by more context first: starts are dealt into classes of fewer columns, whose
 strings all hold one longer region; starts of one class with equal regions are a group again.
 
@@ -38,8 +38,10 @@ LENGTH = 400
 GRAM, GRAM_WORDS = 50, 10
 #: Starts looked at in one go; longer texts are taken in pieces.
 PIECE = 1 << 19
-#: Different small documents of one group that are sorted together; larger groups are split.
+#: Small documents that are sorted together, of as many whole groups as fill a table.
 TABLE = 8192
+#: Different small documents of a group that is sorted as it is; larger groups are split.
+GROUP = 1024
 #: Columns of starts that one small document spans after the first, second, ... split of its group.
 #: After the last one all small documents of a group are equal.
 WIDTHS = (24, 1)
@@ -258,7 +260,7 @@ def _values(part: bytes, words: bool) -> np.ndarray:
     return symbols_of(data, np.array([0, len(data)]), True)[0] if words else data
 
 
-def _sort_columns(df: DataFrame, length: int, window: int, words: bool, table: int) -> DataFrame:
+def _sort_columns(df: DataFrame, length: int, window: int, words: bool) -> DataFrame:
     """(fp, ctx, first, last): the columns of repeated starts of each small document. Groups come one
     after another; whole groups fill a table before it is sorted."""
     names = ["fp", "ctx", "first", "last"]
@@ -280,7 +282,7 @@ def _sort_columns(df: DataFrame, length: int, window: int, words: bool, table: i
         was = None
         for batch in batches:
             for fp, ctx, copy, p, part in zip(*(batch.column(c).to_pylist() for c in ("fp", "ctx", "copy", "p", "bytes")), strict=True):
-                if fp != was and len(parts) >= table:
+                if fp != was and len(parts) >= TABLE:
                     yield done()
                     keys, parts = [], []
                 was = fp
@@ -312,7 +314,7 @@ def _split(df: DataFrame, length: int, width: int, words: bool) -> DataFrame:
     return df.mapInArrow(work, _RUNS)
 
 
-def _repeated(runs: DataFrame, texts: DataFrame, length: int, window: int, words: bool, table: int, widths: tuple[int, ...]) -> DataFrame:
+def _repeated(runs: DataFrame, texts: DataFrame, length: int, window: int, words: bool, group: int, widths: tuple[int, ...]) -> DataFrame:
     """k1, k2, lo, hi: the ranges of repeated starts of texts (k1, k2, _text), given their runs."""
     member = F.struct("k1", "k2", "p")
     spans = runs.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("one"), F.max(member).alias("other"))
@@ -322,12 +324,12 @@ def _repeated(runs: DataFrame, texts: DataFrame, length: int, window: int, words
     asked = shared.select("fp", "ctx", "groups", F.explode(copies).alias("x")).groupBy(F.col("x.of.k1").alias("r1"), F.col("x.of.k2").alias("r2")).agg(F.collect_list(F.struct(F.col("x.of.p").alias("p"), "fp", "ctx", F.col("x.copy").alias("copy"), "groups")).alias("runs"))
     # all columns go to the tasks, so that this join and the one that removes bytes share one shuffle of the texts
     found = _extract(texts.join(asked, (F.col("_k1") == F.col("r1")) & (F.col("_k2") == F.col("r2"))), length, words)
-    hits = _sort_columns(found.where(F.col("groups") <= table), length, window, words, table)
-    if widths and shared.where(F.col("groups") > table).limit(1).count():
-        large = cut(found.where(F.col("groups") > table))
+    hits = _sort_columns(found.where(F.col("groups") <= group), length, window, words)
+    if widths and shared.where(F.col("groups") > group).limit(1).count():
+        large = cut(found.where(F.col("groups") > group))
         width = min(widths[0], length)
         parts = large.select(F.col("fp").alias("_k1"), F.col("ctx").bitwiseXOR(F.col("copy")).alias("_k2"), F.col("bytes").alias("_text"))
-        inner = _repeated(_split(large, length, width, words), parts, length, width, words, table, widths[1:])
+        inner = _repeated(_split(large, length, width, words), parts, length, width, words, group, widths[1:])
         lead = large.where("copy = 0").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), F.expr(_LEAD).alias("lead"))
         hits = hits.union(inner.join(lead, (F.col("k1") == F.col("f")) & (F.col("k2") == F.col("c"))).select("f", "c", F.expr("lo - lead"), F.expr("hi - lead")))
     hits = hits.toDF("f", "c", "first", "last")
@@ -335,7 +337,7 @@ def _repeated(runs: DataFrame, texts: DataFrame, length: int, window: int, words
     return runs.join(hits, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c"))).select("k1", "k2", F.expr(f"{at} + first").alias("lo"), F.expr(f"{at} + last").alias("hi"))
 
 
-def repeated_starts(keyed: DataFrame, *, length: int = LENGTH, gram: int | None = None, words: bool = False, table: int = TABLE, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+def repeated_starts(keyed: DataFrame, *, length: int = LENGTH, gram: int | None = None, words: bool = False, group: int = GROUP, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Of rows (_k1, _k2, _text, ...): k1, k2, lo, hi, the ranges of repeated starts, in symbols."""
     gram = min(gram or (GRAM_WORDS if words else GRAM), length)
     if gram < 1 or length - gram + 1 > 4095:
@@ -343,7 +345,7 @@ def repeated_starts(keyed: DataFrame, *, length: int = LENGTH, gram: int | None
     if not widths or widths[-1] != 1:
         raise ValueError("the last width must be 1")
     runs = _find_anchors(keyed.select("_k1", "_k2", "_text"), length, gram, words)
-    return _repeated(runs, keyed, length, length - gram + 1, words, table, widths)
+    return _repeated(runs, keyed, length, length - gram + 1, words, group, widths)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

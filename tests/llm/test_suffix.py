@@ -46,8 +46,8 @@ def test_equals_brute_force(spark):
 
 
 def test_documents_of_the_shared_fixture_and_groups_beyond_a_table(spark):
-    for table in (8192, 1):
-        assert got(suffix.without_repeats(documents(spark), length=100, gram=20, table=table)) == brute(corpus(), 100)
+    for group in (8192, 1):
+        assert got(suffix.without_repeats(documents(spark), length=100, gram=20, group=group)) == brute(corpus(), 100)
 
 
 def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
@@ -83,8 +83,8 @@ def brute_words(rows, words):
 
 
 def test_runs_of_words_equal_brute_force(spark):
-    for rows, words, table in ((corpus(), 50, 8192), (corpus(), 12, 2), (repetitive(), 8, 8192)):
-        out = suffix.without_repeats(documents(spark, rows), length=words, words=True, table=table).collect()
+    for rows, words, group in ((corpus(), 50, 8192), (corpus(), 12, 2), (repetitive(), 8, 8192)):
+        out = suffix.without_repeats(documents(spark, rows), length=words, words=True, group=group).collect()
         assert sorted(((r.doc_id, bytes(r.kept_bytes)) for r in out), key=str) == brute_words(rows, words)
 
 
