@@ -29,7 +29,10 @@ WINDOW = 64
 SAMPLE_ROWS = 1500
 #: Characters of such a row at most; longer rows are left out of the sample, never cut.
 SAMPLE_CHARS = 20_000
-GRAM = 6
+#: Bounds of what the dictionaries are trained on, all of it from that sample: telling runs and how
+#: often one counts, and windows of ordinary text in the common and in the ordinary dictionary.
+RUNS, REPEATS, COMMON_WINDOWS, ORDINARY_WINDOWS = 400, 40, 200_000, 16_000
+GRAM = 7
 
 
 def windows(text: bytes, width: int = WINDOW) -> list[bytes]:
@@ -132,14 +135,14 @@ def fit(rows: list[tuple[bytes, int]], prior: float) -> Model:
     r = random.Random(11)
     toxic, plain = (_originals([b" " + t.lower() + b" " for t, y in rows if y == k]) for k in (1, 0))
     runs = _passages(toxic, plain) if toxic else Counter()
-    common = [(t, n) for t, n in sorted(runs.items(), key=lambda x: (-x[1], x[0]))[:400] if n >= 3]
+    common = [(t, n) for t, n in sorted(runs.items(), key=lambda x: (-x[1], x[0]))[:RUNS] if n >= 3]
     # a run repeated to the length of a dictionary's segment, as often as it counts
-    samples = [t * (1 + 24 // len(t)) for t, n in common for _ in range(min(n, 40))]
+    samples = [t * (1 + 24 // len(t)) for t, n in common for _ in range(min(n, REPEATS))]
     special = _dictionary(samples * max(1, 4000 // max(1, len(samples))), 4096, 12) if samples else b""
     parts = [w for t in plain for w in windows(t)]
     r.shuffle(parts)
-    base = _dictionary(parts[:200_000], 2048)
-    usual = _dictionary(parts[-16_000:], 4096, 12)[-len(special) :] if special else b""
+    base = _dictionary(parts[:COMMON_WINDOWS], 2048)
+    usual = _dictionary(parts[-ORDINARY_WINDOWS:], 4096, 12)[-len(special) :] if special else b""
     n = len(features(b"", *Model(base, base, *[np.zeros(0)] * 3).compressors()))
     model = Model(base + special, base + usual, np.zeros(n), np.ones(n), np.zeros(n + 1))
     if not toxic or not plain:
