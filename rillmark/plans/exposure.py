@@ -58,8 +58,8 @@ def road_damage(spark, d):
 _ROAD_KM = "coalesce(sum(CASE WHEN class_{0} = 'likely_hit' THEN length END), 0)::BIGINT"
 
 
-@query(f"""WITH RECURSIVE {DAMAGED.format(base=BUILD)}, nb AS (SELECT scene, {", ".join(f"count_if(class_{k} = '{h}_hit') AS {h}_{k}" for h in ("likely", "possibly") for k in LEVELS)} FROM bc GROUP BY scene),
-nr2 AS (SELECT scene, {", ".join(f"{_ROAD_KM.format(k)} AS m_{k}" for k in LEVELS)}, count_if(bridge AND class_lib = 'likely_hit') AS bridges_likely, count_if(bridge AND class_lib = 'possibly_hit') AS bridges_possibly FROM rc GROUP BY scene)
+@query(f"""WITH RECURSIVE {DAMAGED.format(base=BUILD)}, nb AS (SELECT scene, {", ".join(f"count_if(class_{k} = '{h}_hit')::BIGINT AS {h}_{k}" for h in ("likely", "possibly") for k in LEVELS)} FROM bc GROUP BY scene),
+nr2 AS (SELECT scene, {", ".join(f"{_ROAD_KM.format(k)} AS m_{k}" for k in LEVELS)}, count_if(bridge AND class_lib = 'likely_hit')::BIGINT AS bridges_likely, count_if(bridge AND class_lib = 'possibly_hit')::BIGINT AS bridges_possibly FROM rc GROUP BY scene)
 SELECT scene, likely_cons, likely_lib, possibly_cons, possibly_lib, {km('m_cons')} AS road_km_cons, {km('m_lib')} AS road_km_lib, bridges_likely, bridges_possibly FROM nb JOIN nr2 USING (scene)""")
 def damage_stats(spark, d):
     px = _hazard(spark, d)
@@ -197,7 +197,7 @@ def critical_segment(spark, d):
     return segments.critical(Network(spark, d).blamed())
 
 
-@query(f"{BLAME} SELECT x.input_ord, 1 + coalesce(max(walk.k), 0) AS nodes FROM x LEFT JOIN walk ON walk.origin = x.node WHERE x.pre IS NOT NULL GROUP BY x.input_ord")
+@query(f"{BLAME} SELECT x.input_ord, (1 + coalesce(max(walk.k), 0))::BIGINT AS nodes FROM x LEFT JOIN walk ON walk.origin = x.node WHERE x.pre IS NOT NULL GROUP BY x.input_ord")
 def path_lengths(spark, d):
     """Nodes on each settlement's way to its hospital before the event."""
     net = Network(spark, d)

@@ -272,7 +272,7 @@ def synthetic_terrain(spark, d):
     return g.select("r", "c", F.expr("800D + (64 - r) * 15 + abs(c - 32) * 25").alias("dem"), F.col("c").isin(31, 32).alias("river"))
 
 
-@query("""WITH t AS (SELECT i // 4096 AS tile, i // 64 % 64 AS r, i % 64 AS c FROM range(40960) AS x(i)) SELECT 'tile_' || tile AS tile_id, 'basin_' || tile % 3 AS region, count_if(r BETWEEN 20 AND 44 AND c BETWEEN 28 AND 35) AS flooded FROM t GROUP BY tile""")
+@query("""WITH t AS (SELECT i // 4096 AS tile, i // 64 % 64 AS r, i % 64 AS c FROM range(40960) AS x(i)) SELECT 'tile_' || tile AS tile_id, 'basin_' || tile % 3 AS region, count_if(r BETWEEN 20 AND 44 AND c BETWEEN 28 AND 35)::BIGINT AS flooded FROM t GROUP BY tile""")
 def synthetic_tiles(spark, d):
     """Ten tiles of three regions with a flooded box; regions are the units of a geographic hold-out."""
     t = spark.range(10 * 4096).select(F.expr("id div 4096").alias("tile"), F.expr("id div 64 % 64").alias("r"), (F.col("id") % 64).alias("c"))

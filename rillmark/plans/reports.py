@@ -86,24 +86,24 @@ def cache_keys(spark, d):
     return s.select("osm_id", ingest.cache_key(*box, F.lit("1998-01-01")).alias("key"), ingest.valid_box(*box).alias("valid"))
 
 
-@query(f"WITH {ROADS}, r AS (SELECT sum(length)::BIGINT AS m, count_if(bridge) AS bridges FROM rp) SELECT (SELECT count(*) FROM customer) AS buildings, {km('m')} AS road_km, bridges, (SELECT count(*) FROM part WHERE p_size = 1) AS hospitals FROM r")
+@query(f"WITH {ROADS}, r AS (SELECT sum(length)::BIGINT AS m, count_if(bridge)::BIGINT AS bridges FROM rp) SELECT (SELECT count(*) FROM customer) AS buildings, {km('m')} AS road_km, bridges, (SELECT count(*) FROM part WHERE p_size = 1) AS hospitals FROM r")
 def osm_snapshot(spark, d):
     ingest.check_snapshot("1997-07-27", "1998-01-01")
     return ingest.snapshot_counts(tables.settlements(spark, d), tables.roads(spark, d), tables.hospitals(spark, d))
 
 
-@query("SELECT event_id, value > 35.0 AS cloudy, CASE WHEN value > 35.0 THEN 's2_cloudy' END AS warning, ts::DATE AS day FROM events")
+@query("SELECT event_id, value > 35.0 AS cloudy, CASE WHEN value > 35.0 THEN 's2_cloudy' END AS warning, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def cloud_gate(spark, d):
     """Events as optical scenes, their value as cloud cover."""
     e = ingest.cloud_gate(spark.read.parquet(f"{d}/events.parquet"), "value")
-    return e.select("event_id", (~F.col("used")).alias("cloudy"), "warning", ingest.acquisition_day("ts").alias("day"))
+    return e.select("event_id", (~F.col("used")).alias("cloudy"), "warning", ingest.acquisition_day("ts").cast("string").alias("day"))
 
 
-@query("SELECT event_id, '85.2,27.9,85.4,28.1' AS bbox, DATE '2026-08-26' AS day, coalesce((props->>'$.k')::BIGINT, 0) AS k, FALSE AS baseline, props->>'$.k' AS setting FROM events")
+@query("SELECT event_id, '85.2,27.9,85.4,28.1' AS bbox, '2026-08-26' AS day, coalesce((props->>'$.k')::BIGINT, 0) AS k, FALSE AS baseline, props->>'$.k' AS setting FROM events")
 def run_requests(spark, d):
     """Bodies of run requests with defaults for what they lack."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select("event_id", *[c.alias(n) for n, c in ingest.request(F.col("props")).items()], ingest.setting(F.col("props"), "k").alias("setting"))
+    return e.select("event_id", *[(c.cast("string") if n == "day" else c).alias(n) for n, c in ingest.request(F.col("props")).items()], ingest.setting(F.col("props"), "k").alias("setting"))
 
 
 @query("SELECT page_id, octet_length(encode(html)) AS length, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL")
