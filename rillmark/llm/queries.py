@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm import decontam, html, langid, media, minhash, packing, sharding, suffix, toxicity, warc
+from rillmark.llm import codes, decontam, fertility, html, langid, media, minhash, packing, search, sharding, suffix, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,5 +66,52 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, model, keep=[F.col("doc_id"), held.alias("held_out")], threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_suffix_array_dedup, op6_warc, op7_media_columns, op8_benchmark_decontamination, op9_sharding, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), top=50)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(_read(spark, sf_dir, "embeddings"))
+
+
+#: Vocabularies of the quality rules: one with byte tokens, one of bytes for many languages.
+VOCABULARIES = [
+    {"kind": "pieces", "path": public_tokenizers.path("piece_bpe_32k.model")},
+    {"kind": "ranks", "path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN},
+]
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(_read(spark, sf_dir, "documents"), VOCABULARIES)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_html_extraction, op2_best_fit_packing, op3_language_id, op4_minhash_near_dedup, op5_suffix_array_dedup, op6_warc, op7_media_columns, op8_benchmark_decontamination, op9_sharding, op10_toxicity, op11_ranked_search, op12_vector_codes, op13_quality_rules)
+}
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_SEARCH = f"""WITH d AS MATERIALIZED (SELECT doc_id, {_TERMS} AS w FROM documents), ok AS MATERIALIZED (SELECT doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0), total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM ok),
+tf AS MATERIALIZED (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY ALL), df AS (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t),
+q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark)),
+part AS (SELECT item_id, doc_id, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS x FROM q JOIN df USING (t) JOIN tf USING (t) JOIN ok USING (doc_id) CROSS JOIN total),
+s AS (SELECT item_id, doc_id, sum(x)::BIGINT AS score FROM part GROUP BY ALL HAVING sum(x) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s QUALIFY rank <= 50"""
+
+
+def _codes_sql() -> str:
+    """The rounds unrolled: a{k} assigns with codebook b{k}, from which b{k + 1} follows."""
+    parts, entries, rounds = codes.PARTS, codes.ENTRIES, codes.ROUNDS
+    out = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS i, vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT i, (k - 1) // (n // {parts}) AS p, (k - 1) % (n // {parts}) AS j, x FROM (SELECT i, len(v) AS n, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS k FROM v)),
+b0 AS MATERIALIZED (SELECT p, i - 1 AS e, j, x FROM x WHERE i <= {entries})"""
+    for k in range(rounds + 1):
+        out += f""", a{k} AS MATERIALIZED (SELECT i, x.p, e, sum((x.x - b.x) * (x.x - b.x))::BIGINT AS d FROM x JOIN b{k} b ON b.p = x.p AND b.j = x.j GROUP BY i, x.p, e QUALIFY row_number() OVER (PARTITION BY i, x.p ORDER BY d, e) = 1)"""
+        if k < rounds:
+            out += f""", m{k} AS (SELECT x.p, a.e, x.j, sum(x.x)::BIGINT AS s, count(*)::BIGINT AS n FROM x JOIN a{k} a ON a.i = x.i AND a.p = x.p GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, b.j, coalesce((s - ((s % n) + n) % n) // n, b.x) AS x FROM b{k} b LEFT JOIN m{k} m ON m.p = b.p AND m.e = b.e AND m.j = b.j)"""
+    return f"""{out}, c AS (SELECT i, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY i)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) FROM b{rounds}) AS codebooks_sha256 FROM c JOIN v USING (i)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_ranked_search": _SEARCH, "op12_vector_codes": _codes_sql()}
