@@ -51,12 +51,9 @@ def as_bytes(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def row_key(id_col: str, text_col: str) -> list:
-    """Two longs that name a row by its id and text: `_k1`, `_k2`. Equal rows share them."""
-    return [
-        F.xxhash64(F.col(id_col), F.lit(7)).alias("_k1"),
-        F.xxhash64(F.lit(11), F.col(text_col), F.col(id_col)).alias("_k2"),
-    ]
+def text_key(text_col: str) -> list:
+    """Two longs that name a text: `_k1`, `_k2`. Equal texts share them, and null has its own."""
+    return [F.xxhash64(text_col, F.lit(5)).alias("_k1"), F.xxhash64(F.lit(3), text_col).alias("_k2")]
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -20,19 +20,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.llm._base import as_bytes, cut, flat, pieces, small_batches
+from rillmark.llm._base import as_bytes, cut, flat, pieces, small_batches, text_key
 from rillmark.llm.graph import components
 from rillmark.llm.textbytes import mix, shingles, word_table, words
 
 #: With 40 bands of 6 values, a pair at similarity 0.8 shares no band with probability 6e-6.
 BANDS, ROWS = 40, 6
 SKETCH_BITS = 1024
-#: Classes of a family that one task compares with one another.
-BLOCK = 2048
+#: Classes of a family, and shingles in their sets, that one task compares with one another: 16 MB of
+#: hashes, or one set that is larger by itself with what shares its block.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: Classes that a task remembers, to read repeated rows once.
+SEEN = 1 << 18
 #: Classes, of under 250 bytes, that are broadcast at most.
 BROADCAST_ROWS = 40_000
 WORD = word_table(b" \t\n\x0b\x0c\r")
@@ -78,11 +82,14 @@ def _ordered_sets(h: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.unique(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-_SIG = "_id long, _k1 long, _k2 long, n long, s1 long, s2 long, bands array<long>, sketch binary"
+_SIG = "_id long, _k1 long, _k2 long, row long, n long, s1 long, s2 long, bands array<long>, sketch binary"
 
 
 def _sign(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+    """Signatures of rows; `row` tells rows apart that are equal in id and text."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = flat(batch.column("_text"))
             for i, j in pieces(offsets):
@@ -107,18 +114,28 @@ def _sign(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                         keys[row], sketches[row] = band[k].view(np.int64), sk[k].tobytes()
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), part.column("_k1"), part.column("_k2"), pa.array(size), pa.array(s1), pa.array(s2), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["_id", "_k1", "_k2", "n", "s1", "s2", "bands", "sketch"],
+                    [part.column("_id"), part.column("_k1"), part.column("_k2"), pa.array(np.arange(number, number + j - i)), pa.array(size), pa.array(s1), pa.array(s2), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    names=["_id", "_k1", "_k2", "row", "n", "s1", "s2", "bands", "sketch"],
                 )
+                number += j - i
 
     return df.mapInArrow(work, _SIG)
 
 
 def _shingle_sets(df: DataFrame, width: int) -> DataFrame:
-    """(family, rep, text, sketch) to (family, rep, set, sketch): the sorted hashes as bytes."""
+    """(family, rep, text, sketch) to (family, rep, set, sketch): the sorted hashes as bytes. Rows equal
+    in id and text bring their class more than once; a task reads it once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            own = []
+            for rep in batch.column("rep").to_pylist():
+                own.append(rep not in seen)
+                seen.add(rep)
+            if len(seen) > SEEN:
+                seen = set()
+            batch = batch.filter(pa.array(own, pa.bool_()))
             data, offsets = flat(batch.column("_text"))
             for i, j in pieces(offsets):
                 h, at = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], WORD)
@@ -172,7 +189,7 @@ def _confirm(df: DataFrame, percent: int, most: int) -> DataFrame:
     """Rows of one task (family, lo, hi, block, comp, rep, set, sketch) come sorted; links go out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, there = None, [], set()
 
         def done() -> pa.RecordBatch:
             rows = sorted(held, key=lambda r: (-len(r[2]), r[0]))
@@ -184,20 +201,28 @@ def _confirm(df: DataFrame, percent: int, most: int) -> DataFrame:
             for family, lo, hi, block, comp, rep, one, sketch in zip(*(batch.column(c).to_pylist() for c in ("family", "lo", "hi", "block", "comp", "rep", "set", "sketch")), strict=True):
                 if (family, lo, hi) != key:
                     yield done()
-                    key, held = (family, lo, hi), []
-                held.append((rep, block, one, sketch, comp))
+                    key, held, there = (family, lo, hi), [], set()
+                if rep not in there:
+                    there.add(rep)
+                    held.append((rep, block, one, sketch, comp))
         yield done()
 
     parts = df.select("family", "lo", "hi", "block", "comp", "rep", "set", "sketch").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
     return parts.mapInArrow(work, "a long, b long")
 
 
+def _blocks(classes: Column, shingles: Column, block: int) -> Column:
+    """Blocks for so many classes with so many shingles in all."""
+    return F.greatest(F.ceil(classes / block), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1).cast("long"))
+
+
 def _across_blocks(sets: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     """Rows (family, rep, set, sketch) of large families, dealt out so that each pair of classes of
-    different components meets in a task. `roots` (family, rep, comp) are what is linked so far."""
-    parts = roots.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
-    whole = parts.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    whole = whole.select(F.col("family").alias("f"), F.col("top.comp").alias("largest"), F.ceil((F.col("all") - F.col("top.n")) / block).alias("outer"), F.ceil(F.col("top.n") / block).alias("inner"))
+    different components meets in a task. `roots` (family, rep, comp, size) are what is linked so far."""
+    parts = roots.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    whole = parts.groupBy("family").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("all"), F.sum("size").alias("sizes"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    outer, inner = _blocks(F.col("all") - F.col("top.n"), F.col("sizes") - F.col("top.size"), block), _blocks(F.col("top.n"), F.col("top.size"), block)
+    whole = whole.select(F.col("family").alias("f"), F.col("top.comp").alias("largest"), outer.alias("outer"), inner.alias("inner"))
     known = roots.select(F.col("family").alias("g"), F.col("rep").alias("k"), "comp").join(whole, F.col("g") == F.col("f"))
     rows = sets.join(known, (F.col("family") == F.col("g")) & (F.col("rep") == F.col("k")))
     # outer blocks are numbered from 0, those of the largest component after them
@@ -208,35 +233,32 @@ def _across_blocks(sets: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     return rows.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "comp", "rep", "set", "sketch")
 
 
-def _text_key(text_col: str) -> list[Column]:
-    """Two longs that name a text: _k1, _k2."""
-    return [F.xxhash64(text_col, F.lit(5)).alias("_k1"), F.xxhash64(F.lit(3), text_col).alias("_k2")]
-
-
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int, rows: int, block: int) -> DataFrame:
     """One row per document row: _id, _k1, _k2, n (shingles), rep (class_id), component, and where n
     is over 0 `grp`, which names the group whether its ids are null or not."""
     small_batches(docs.sparkSession)
-    rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), *_text_key(text_col), as_bytes(text_col).alias("_text"))
+    rows_in = docs.select(F.col(id_col).cast("long").alias("_id"), *text_key(text_col), as_bytes(text_col).alias("_text"))
     sig = cut(_sign(rows_in, width, bands, rows))
-    classes = sig.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("rep"), F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))).alias("one"))
+    classes = sig.where("n > 0").groupBy("s1", "s2").agg(F.min("_id").alias("rep"), F.min("n").alias("size"), F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "row")).alias("one"))
     # a class is named by its smallest id, or by its key where all ids are null
-    classes = classes.select("s1", "s2", "rep", F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2"), F.xxhash64("s1", "s2").alias("cls"))
+    classes = classes.select("s1", "s2", "rep", "size", F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2"), F.col("one.row").alias("leads"), F.xxhash64("s1", "s2").alias("cls"))
     classes = cut(classes)
-    lead = sig.where("n > 0").join(classes.withColumnsRenamed({"s1": "c1", "s2": "c2"}), (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+    # one row for each class, however many are equal in id and text
+    lead = sig.where("n > 0").join(classes.drop("s1", "s2"), F.col("row") == F.col("leads"))
     lead = lead.select("cls", "rep", "k1", "k2", "bands", "sketch")
     banded = lead.select("cls", F.explode("bands").alias("band"))
     stars = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     edges = banded.join(stars, "band").select("cls", "hub").where("cls <> hub")
     family = components(edges, "cls", "hub")
     family = cut(family.select(F.col("node").alias("m"), F.col("root").alias("family")).union(family.select("root", "root").distinct()))
-    members = lead.join(family, F.col("cls") == F.col("m")).select("family", "cls", "rep", "k1", "k2", "sketch")
+    members = lead.join(family.select("m", "family"), F.col("cls") == F.col("m")).select("family", "cls", "rep", "k1", "k2", "sketch")
 
     def sets_of(some: DataFrame, few: bool = False) -> DataFrame:
         texts = rows_in.join(F.broadcast(some) if few else some, F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
         return _shingle_sets(texts.select("family", F.col("cls").alias("rep"), "_text", "sketch"), width)
 
-    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).withColumnRenamed("family", "f")
+    family = cut(family.join(classes.select(F.col("cls").alias("c"), "size"), F.col("m") == F.col("c")).drop("c"))
+    sizes = family.groupBy("family").agg(_blocks(F.count(F.lit(1)), F.sum("size"), block).alias("blocks")).withColumnRenamed("family", "f")
     # the hub, whose number is the family's, joins each block
     own = F.array(F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")))
     dealt = sets_of(members).join(sizes, F.col("family") == F.col("f")).withColumn("block", F.explode(F.when(F.col("rep") == F.col("family"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(own)))
@@ -246,7 +268,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     large = sizes.where("blocks > 1").select("f")
     if not large.isEmpty():
         roots = family.join(large, F.col("family") == F.col("f")).join(linked, F.col("m") == F.col("node"), "left")
-        roots = cut(roots.select("family", F.col("m").alias("rep"), F.coalesce("root", "m").alias("comp")))
+        roots = cut(roots.select("family", F.col("m").alias("rep"), F.coalesce("root", "m").alias("comp"), "size"))
         apart = cut(roots.groupBy("family").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y"))
         size = apart.agg(F.sum("k")).first()[0]
         if size:
@@ -293,7 +315,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     out = _grouped(docs, id_col, text_col, width, percent, bands, rows, block).select("n", "grp", F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), *key).alias("one"))
     best = out.where("n > 0").groupBy("grp").agg(F.min("one").alias("one")).select("one")
     kept = best.union(out.where("n = 0").select("one").distinct()).select(F.col("one._j1").alias("_l1"), F.col("one._j2").alias("_l2"))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), *_text_key(text_col)).select("_row", *key)
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), *text_key(text_col)).select("_row", *key)
     rest = named.join(kept, (F.col("_j1") == F.col("_l1")) & (F.col("_j2") == F.col("_l2")), "left_semi")
     one = Window.partitionBy("_j1", "_j2").orderBy(F.lit(1))
     return rest.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("_row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.llm._base import as_bytes, cut, flat, pieces, row_key, small_batches
+from rillmark.llm._base import as_bytes, cut, flat, pieces, small_batches, text_key
 from rillmark.llm.textbytes import mix, prefix_hash, slice_hash, word_bounds, word_table
 
 LENGTH = 400
@@ -42,6 +42,8 @@ PIECE = 1 << 19
 TABLE = 8192
 #: Different small documents of a group that is sorted as it is; larger groups are split.
 GROUP = 1024
+#: Keys of texts that a task remembers, to read copies once.
+SEEN = 1 << 18
 #: Columns of starts that one small document spans after the first, second, ... split of its group.
 #: After the last one all small documents of a group are equal.
 WIDTHS = (24, 1)
@@ -228,16 +230,25 @@ _FOUND = "fp long, ctx long, copy long, p long, groups long, bytes binary"
 
 
 def _extract(df: DataFrame, length: int, words: bool) -> DataFrame:
-    """(text, list of runs) to one small document per run: the bytes that its strings span."""
+    """(key, text, list of runs) to one small document per run: the bytes that its strings span.
+    Copies of a text share its key and its runs: a task reads one of those that come to it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
 
             def made() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())], names=["fp", "ctx", "copy", "p", "groups", "bytes"])
 
-            for text, runs in zip(batch.column("_text"), batch.column("runs").to_pylist(), strict=True):
+            keys = list(zip(batch.column("_k1").to_pylist(), batch.column("_k2").to_pylist(), strict=True))
+            for key, text, runs in zip(keys, batch.column("_text"), batch.column("runs"), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                if len(seen) > SEEN:
+                    seen = {key}
+                runs = runs.as_py()
                 view = memoryview(text.as_buffer())
                 if words:
                     start, end = word_bounds(np.frombuffer(view, np.uint8), np.array([0, len(view)]), WORD)
@@ -252,7 +263,7 @@ def _extract(df: DataFrame, length: int, words: bool) -> DataFrame:
                         out = [[] for _ in range(6)]
             yield made()
 
-    return df.mapInArrow(work, _FOUND)
+    return df.select("_k1", "_k2", "_text", "runs").mapInArrow(work, _FOUND)
 
 
 def _values(part: bytes, words: bool) -> np.ndarray:
@@ -279,9 +290,12 @@ def _sort_columns(df: DataFrame, length: int, window: int, words: bool) -> DataF
             row, first, last = _runs(flags)
             return _longs(names, fp[row], ctx[row], first - window + 1, last - window + 1)
 
-        was = None
+        was, last = None, None
         for batch in batches:
             for fp, ctx, copy, p, part in zip(*(batch.column(c).to_pylist() for c in ("fp", "ctx", "copy", "p", "bytes")), strict=True):
+                if (fp, ctx, copy) == last:
+                    continue  # another task has read a copy of the text
+                last = (fp, ctx, copy)
                 if fp != was and len(parts) >= TABLE:
                     yield done()
                     keys, parts = [], []
@@ -290,7 +304,7 @@ def _sort_columns(df: DataFrame, length: int, window: int, words: bool) -> DataF
                 parts.append(_values(part, words))
         yield done()
 
-    return df.repartition("fp").sortWithinPartitions("fp").mapInArrow(work, "fp long, ctx long, first long, last long")
+    return df.repartition("fp").sortWithinPartitions("fp", "ctx", "copy").mapInArrow(work, "fp long, ctx long, first long, last long")
 
 
 def _split(df: DataFrame, length: int, width: int, words: bool) -> DataFrame:
@@ -326,7 +340,7 @@ def _repeated(runs: DataFrame, texts: DataFrame, length: int, window: int, words
     found = _extract(texts.join(asked, (F.col("_k1") == F.col("r1")) & (F.col("_k2") == F.col("r2"))), length, words)
     hits = _sort_columns(found.where(F.col("groups") <= group), length, window, words)
     if widths and shared.where(F.col("groups") > group).limit(1).count():
-        large = cut(found.where(F.col("groups") > group))
+        large = cut(found.where(F.col("groups") > group).dropDuplicates(["fp", "ctx", "copy"]))
         width = min(widths[0], length)
         parts = large.select(F.col("fp").alias("_k1"), F.col("ctx").bitwiseXOR(F.col("copy")).alias("_k2"), F.col("bytes").alias("_text"))
         inner = _repeated(_split(large, length, width, words), parts, length, width, words, group, widths[1:])
@@ -338,7 +352,8 @@ def _repeated(runs: DataFrame, texts: DataFrame, length: int, window: int, words
 
 
 def repeated_starts(keyed: DataFrame, *, length: int = LENGTH, gram: int | None = None, words: bool = False, group: int = GROUP, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """Of rows (_k1, _k2, _text, ...): k1, k2, lo, hi, the ranges of repeated starts, in symbols."""
+    """Of rows (_k1, _k2, _text, ...): k1, k2, lo, hi, the ranges of repeated starts, in symbols. The
+    keys name a text; rows with equal keys are copies, and each range may come once for every copy."""
     gram = min(gram or (GRAM_WORDS if words else GRAM), length)
     if gram < 1 or length - gram + 1 > 4095:
         raise ValueError("the gram must fit in the string, and the string in 4095 starts")
@@ -348,9 +363,9 @@ def repeated_starts(keyed: DataFrame, *, length: int = LENGTH, gram: int | None
     return _repeated(runs, keyed, length, length - gram + 1, words, group, widths)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    return docs.select(*row_key(id_col, text_col), as_bytes(text_col).alias("_text"), rest.alias("_rest"), F.col(text_col).isNull().alias("_null"))
+    return docs.select(*text_key(text_col), as_bytes(text_col).alias("_text"), rest.alias("_rest"), F.col(text_col).isNull().alias("_null"))
 
 
 def spans_of(starts: list[dict], length: int, words: bool = False, text: bytes = b"") -> list[tuple[int, int]]:
@@ -369,21 +384,23 @@ def spans_of(starts: list[dict], length: int, words: bool = False, text: bytes =
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: bool = False, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, *, text_col: str = "text", length: int = LENGTH, words: bool = False, **options) -> DataFrame:
     """All columns of `docs`, then `kept_bytes` (the text's UTF-8 bytes without those that any string
     of `length` symbols covers which also starts elsewhere in the collection) and `removed_spans`
     (array of first and end, in bytes of the input text).
 
     Symbols are bytes or, with `words`, what stands between blanks; the blanks themselves may differ.
     Strings are judged on the input texts and never cross them; every occurrence goes, the first
-    too. Repeated rows are repeats of one another. Null and short texts lose nothing by themselves
+    too. Repeated rows are repeats of one another; time and memory grow in proportion to their number,
+    whether their ids differ, are equal or null. Null and short texts lose nothing by themselves
     (null is empty). An empty table gives no rows. A column named like one of the two is replaced.
     """
     docs = docs.drop("kept_bytes", "removed_spans")
     small_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, text_col)
     starts = repeated_starts(keyed, length=length, words=words, **options)
-    starts = starts.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    # a set, which each task makes of its own rows first: copies of a text bring the same ranges
+    starts = starts.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
     joined = keyed.join(starts, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select("_rest", "_null", "_text", "starts")
     rest = joined.schema["_rest"].dataType
     span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))

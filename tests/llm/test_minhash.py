@@ -96,3 +96,28 @@ def test_filter_judges_rows_with_null_and_repeated_ids(spark):
     kept = minhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA), width=3).collect()
     assert sorted((r.doc_id or -1, (r.text or "").lower()) for r in kept) == [(-1, ""), (-1, c), (4, a), (7, "k l m n"), (9, "p q r s t")]
     assert (4, b) in {(r.doc_id, r.text) for r in kept}
+
+
+def test_many_repeated_rows_meet_once(spark, monkeypatch):
+    words = [f"w{i}" for i in range(120)]
+    text, near = " ".join(words), " ".join([*words, "x"])
+    seen = []
+    confirm = minhash._confirm
+    monkeypatch.setattr(minhash, "_confirm", lambda df, *a: (seen.append(df.count()), confirm(df, *a))[1])
+    for n in (2, 200):
+        rows = [(7, text, "en", "s", 1)] * n + [(None, text, None, None, None)] * n + [(9, near, "en", "s", 1), (None, " ".join(words[::-1]), None, None, None), (None, " ".join(words[::-1]), None, None, None)]
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+        out = minhash.near_duplicates(docs, width=4).collect()
+        assert sorted(((r.doc_id or -1, r.component_id or -1, r.kept) for r in out)) == sorted([(7, 7, True)] * n + [(-1, 7, False)] * n + [(9, 7, False)] + [(-1, -1, True)] * 2)
+        kept = minhash.drop_near_duplicates(docs, width=4).collect()
+        assert sorted((r.doc_id or -1, len(r.text)) for r in kept) == [(-1, len(text)), (7, len(text))]
+    # classes of rows that a task may read once each: at most one for each of the shuffle's splits
+    assert max(seen) <= 2 * 5
+
+
+def test_blocks_are_dealt_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 150]), "en", "s", 0) for k in range(40)]
+    rows += [(100 + k, " ".join([*words[:200], f"x{k}"]), "en", "s", 0) for k in range(12)]
+    assert got(minhash.near_duplicates(documents(spark, rows), width=4)) == brute(rows)

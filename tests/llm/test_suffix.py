@@ -111,3 +111,27 @@ def test_pipeline_removes_passages_of_over_50_words_below_400_bytes(spark):
     out = corpus_pipeline.remove_repeats(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r.doc_id, r.text) for r in out) == [(1, "one here  and on"), (2, "two\n\nnext"), (3, rows[2][1])]
     assert sorted((r.doc_id, r.n_chars) for r in out) == [(1, 16), (2, 9), (3, 0)]
+
+
+def test_many_repeated_rows_cost_no_more_than_their_number(spark):
+    r = random.Random(9)
+    text = "".join(r.choice("abcdefgh ") for _ in range(2800))
+    near = text[:1500] + "#" + text[1500:]
+    for n in (20, 200):
+        rows = [(7, text, "en", "s", 1)] * n + [(None, text, None, None, None)] * n + [(100 + i, text, "en", "s", 1) for i in range(n)] + [(1, near, "en", "s", 1), (2, "x" * 500, "en", "s", 1), (3, near[:399], "en", "s", 1)]
+        docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+        for options in ({}, {"group": 1}):
+            out = Counter((r.doc_id, bytes(r.kept_bytes), len(r.removed_spans)) for r in suffix.without_repeats(docs, **options).collect())
+            assert out == Counter({(7, b"", 1): n, (None, b"", 1): n, (1, b"#", 2): 1, (2, b"", 1): 1, (3, near[:399].encode(), 0): 1} | {(100 + i, b"", 1): 1 for i in range(n)})
+
+
+def test_copies_reach_the_rounds_once(spark):
+    """What the tasks extract and sort does not grow with the copies of a text."""
+    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(1500))
+    many = []
+    for n in (2, 150):
+        keyed = suffix._keyed(spark.createDataFrame([(i % 3, text, None, None, None) for i in range(n)], SCHEMA), "text")
+        runs = suffix._find_anchors(keyed.select("_k1", "_k2", "_text"), 400, 50, False)
+        asked = runs.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "fp", "ctx", F.lit(0).cast("long").alias("copy"), F.lit(1).cast("long").alias("groups"))).alias("runs"))
+        many.append(suffix._extract(keyed.join(asked, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).coalesce(1), 400, False).count())
+    assert many[0] == many[1] > 0
