@@ -68,13 +68,18 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     return path
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of an archive: record_key, header (exact text), payload (the full payload, also of
-    a revisit), sha256. A payload whose digest or length is not the stored one raises an error."""
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """sha256 and payload of an archive. A payload whose digest or length is not the stored one raises
+    an error."""
     payloads = spark.read.parquet(f"{path}/payloads")
     good = (F.sha2("payload", 256) == F.col("sha256")) & (F.octet_length("payload") == F.col("length"))
-    payloads = payloads.select("sha256", F.when(good, F.col("payload")).otherwise(F.raise_error(F.lit("stored payload does not match its digest"))).alias("payload"))
-    return spark.read.parquet(f"{path}/records").join(payloads, "sha256", "left")
+    return payloads.select("sha256", F.when(good, F.col("payload")).otherwise(F.raise_error(F.lit("stored payload does not match its digest"))).alias("payload"))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an archive: record_key, header (exact text), payload (the full payload, also of
+    a revisit), sha256. The join brings a payload's bytes to each of its records."""
+    return spark.read.parquet(f"{path}/records").join(read_payloads(spark, path), "sha256", "left")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
@@ -90,15 +95,19 @@ def header_field(name: str) -> Column:
 
 
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", min_revisit_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Writes an archive of `pages`, reads it back and describes each record from what was read."""
+    """Writes an archive of `pages`, reads it back and describes each record from what was read. A
+    payload's length and SHA-1 are taken once from its stored bytes, and only these join its records,
+    so that a payload of very many records costs no more than its own bytes."""
     spark = pages.sparkSession
-    records = read_records(spark, write_archive(pages, path or shared_dir(spark), id_col=id_col, min_revisit_bytes=min_revisit_bytes))
+    path = write_archive(pages, path or shared_dir(spark), id_col=id_col, min_revisit_bytes=min_revisit_bytes)
+    known = read_payloads(spark, path).select("sha256", F.octet_length("payload").cast("long").alias("_read_bytes"), base32_sha1(F.col("payload")).alias("_read_sha1"))
+    records = spark.read.parquet(f"{path}/records").join(known, "sha256", "left")
     kind = dict(pages.dtypes)[id_col]
     stored = F.regexp_replace(header_field("WARC-Payload-Digest"), "^sha1:", "")
-    read = base32_sha1(F.col("payload"))
+    read = F.col("_read_sha1")
     return records.select(
         F.col("record_key").alias(id_col),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.col("_read_bytes").alias("payload_bytes"),
         F.when(stored == read, read).otherwise(F.raise_error(F.lit("record header and payload disagree"))).alias("payload_digest"),
         header_field("WARC-Type").alias("record_type"),
         F.regexp_extract(header_field("WARC-Refers-To"), "page:([^>]*)>", 1).cast(kind).alias("refers_to"),
