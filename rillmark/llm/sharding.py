@@ -23,12 +23,13 @@ RANGE_ROWS = 4096
 
 
 def _positions(df: DataFrame, group: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
-    """Adds the 0-based position of each row in its group's order; bucket rises with that order."""
+    """Adds the 0-based position of each row in its group's order, and <name>_of, the group's rows;
+    bucket rises with that order."""
     df = df.withColumn("_bucket", bucket)
     sizes = df.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(
-        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
+        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy(*group)).alias(f"{name}_of")
     )
     same = F.col("_bucket") == F.col("_b")
     for g in group:
@@ -43,7 +44,8 @@ def stratified_shards(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_i
     and the stratum and fractional rank that placed it.
 
     Null text counts as empty; null strata are one stratum; rows with equal id and text are ordered
-    among themselves arbitrarily, which changes no column. An empty table gives no rows. Other
+    among themselves arbitrarily, which changes no column; more than RANGE_ROWS of them are spread over
+    their stratum's order by a hash of where they stand. An empty table gives no rows. Other
     columns are ignored.
     """
     if shards < 1:
@@ -59,11 +61,15 @@ def stratified_shards(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_i
     total = narrow.count()
     ranges = max(1, total // RANGE_ROWS)
     width = (1 << 60) // ranges + 1
-    sizes = narrow.groupBy("_s").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("_s", "_t")
+    # copies beyond a range's rows are told apart by their place in the checkpoint
+    many = narrow.groupBy(F.col("_u").alias("_v"), F.col("_s").alias("_t")).agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > RANGE_ROWS)
+    if not many.isEmpty():
+        placed = narrow.withColumn("_place", F.monotonically_increasing_id()).join(many, (F.col("_u") == F.col("_v")) & F.col("_s").eqNullSafe(F.col("_t")), "left")
+        own = F.shiftrightunsigned(F.xxhash64("_u", "_place"), 4)
+        narrow = cut(placed.withColumn("_u", F.when(F.col("_copies").isNotNull(), own).otherwise(F.col("_u"))).drop("_place", "_v", "_t", "_copies"))
     ranked = _positions(narrow, ["_s"], F.expr(f"_u div {width}L"), ["_u", "_id", "size", "text_crc32"], "_rank")
-    ranked = ranked.join(sizes, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
     offset = (F.pmod(F.xxhash64("_s", F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    ranked = ranked.withColumn("fraction", (F.col("_rank") + offset) / F.col("_rows")).withColumn("_all", F.lit(0))
+    ranked = ranked.withColumn("fraction", (F.col("_rank") + offset) / F.col("_rank_of")).withColumn("_all", F.lit(0))
     placed = _positions(ranked, ["_all"], F.floor(F.col("fraction") * ranges).cast("long"), ["fraction", "_u", "_s", "_id", "size", "text_crc32"], "_at")
     shard = F.expr(f"cast(_at * {shards}L div {max(total, 1)}L as int)")
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")

@@ -41,3 +41,17 @@ def test_order_and_ranks_equal_brute_force(spark, monkeypatch):
         assert 0 < own[0] < 1 / n and all(abs(b - a - 1 / n) < 1e-9 for a, b in zip(own, own[1:], strict=False))
     # strata of one row each do not all fall on the same rank
     assert max(Counter(r.shard for r in out if r.stratum.startswith("only")).values()) < 30
+
+
+def test_identical_rows_beyond_a_range_are_spread_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 16)
+    rows = [(None, "same", "en", "hot", 1)] * 150 + [(i, f"t{i}", "en", None if i % 2 else "hot", 1) for i in range(150)]
+    out = sharding.stratified_shards(documents(spark, rows), 16).collect()
+    assert len(out) == 300 and sorted({r.shard for r in out}) == list(range(16))
+    for s in range(16):
+        own = [r for r in out if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own))) and len(own) in (18, 19)
+        # half of all rows are copies, and every shard matches the mixture of strata
+        assert abs(sum(r.stratum is None for r in own) - 75 / 16) <= 2
+    ranges = Counter(int(r.fraction * 18) for r in out if r.doc_id is None)
+    assert len(ranges) >= 12 and max(ranges.values()) < 40
