@@ -127,7 +127,8 @@ def test_many_repeated_rows_cost_no_more_than_their_number(spark):
 
 def test_copies_reach_the_rounds_once(spark):
     """What the tasks extract and sort does not grow with the copies of a text."""
-    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(1500))
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefgh ") for _ in range(1500))
     many = []
     for n in (2, 150):
         keyed = suffix._keyed(spark.createDataFrame([(i % 3, text, None, None, None) for i in range(n)], SCHEMA), "text")
