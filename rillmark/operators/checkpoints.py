@@ -27,10 +27,24 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """The same rows, written once into as many buckets of a column as shuffles have partitions, so that
+    joins on it read them in place. `forget` removes files and table."""
+    spark = df.sparkSession
+    name = f"rillmark_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).option("path", f"{_shared(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out._written_to, out._table = f"{_shared(spark)}/{name}", name
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
-    """Removes the files of tables that `cut` made; rounds call it for states that newer ones replace."""
+    """Removes the files of tables that `cut` or `bucketed` made; rounds call it for states that newer ones replace."""
     for df in tables:
         path = getattr(df, "_written_to", None)
+        if getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
         if path:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillmark.operators.checkpoints import cut, forget
+from rillmark.operators.checkpoints import bucketed, cut, forget
 
 #: Rows and columns of a tile that one task labels at once.
 TILE = 128
+#: Bits of a pixel number that hold its column.
+WIDE = 31
+#: Nodes that came nearer in a round and are broadcast at most; more are shuffled to the edges' buckets.
+BROADCAST_FRONT = 100_000
 #: Rounds of changes that are kept apart before they are merged into one table.
 MERGE = 6
 
@@ -60,7 +64,7 @@ def _label_tiles(mask: DataFrame, keys: list[str], tile: int) -> DataFrame:
                 square = np.zeros((tile, tile), bool)
                 square[r - tr * tile, c - tc * tile] = True
                 own = label_tile(square)[r - tr * tile, c - tc * tile]
-                labels.append((own // tile + tr * tile) * (1 << 20) + own % tile + tc * tile)
+                labels.append((own // tile + tr * tile << WIDE) + own % tile + tc * tile)
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("p"), pa.array(labels, pa.list_(pa.int64()))], names=["k", "p", "label"])
 
     out = tiles.mapInArrow(work, schema).select("k.*", F.explode(F.arrays_zip("p", "label")).alias("x"))
@@ -86,8 +90,8 @@ def _smallest(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def label(mask: DataFrame, keys: Sequence[str] = ("scene",), tile: int = TILE) -> DataFrame:
-    """Rows (keys, r, c, ...) of set pixels with `label`, the smallest pixel number r * 2**20 + c of its
-    component of four neighbours. Tiles are labelled apart; only labels that meet at a border take
+    """Rows (keys, r, c, ...) of set pixels with `label`, the smallest pixel number r * 2**31 + c of its
+    component of four neighbours (so scenes may have 2**31 columns and 2**32 rows). Tiles are labelled apart; only labels that meet at a border take
     part in rounds."""
     keys = list(keys)
     local = cut(_label_tiles(mask, keys, tile))
@@ -159,31 +163,42 @@ def clean_masks(px: DataFrame, limits: dict[str, float], *, connected: Sequence[
     return px.join(wide, ["scene", "r", "c"], "left").fillna(False, [f"{m}_clean" for m in masks])
 
 
+def _merged(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out.groupBy(*keys, "node").agg(F.min("dist").alias("dist"))
+
+
+def reached(front: DataFrame, both: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
+    """(keys, node, dist): what is one edge from the front (keys, node, dist). `both` holds every edge in both
+    directions, bucketed by the hash of its first node; whether the front is broadcast or shuffled to these
+    buckets, the edges stay where they are."""
+    near = front.select(F.xxhash64(*keys, "node").alias("_f"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("node").alias("_from"), F.col("dist").alias("_dist"))
+    # equal hashes are checked on each match; as an equality it would be one more key, and the buckets no use
+    equal = F.arrays_overlap(F.array(F.struct(*keys, F.col("a").alias("n"))), F.array(F.struct(*[F.col(f"_k_{k}").alias(k) for k in keys], F.col("_from").alias("n"))))
+    same = (F.col("_h") == F.col("_f")) & equal
+    joined = both.join(F.broadcast(near) if few else near.hint("merge"), same)
+    return joined.groupBy(*keys, F.col("b").alias("node")).agg(F.min(F.col("_dist") + F.col("length")).alias("dist"))
+
+
 def distances(edges: DataFrame, sources: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Shortest length from the nearest source (keys, node) over undirected edges (keys, a, b, length),
-    as (keys, node, dist). A round writes only the nodes that came nearer; these tables are merged
-    every few rounds."""
+    as (keys, node, dist). Edges are written once, bucketed by node, and no round shuffles them. A round
+    writes only the nodes that came nearer; these tables are merged every few rounds."""
     keys = list(keys)
-    both = cut(edges.select(*keys, "a", "b", "length").union(edges.select(*keys, "b", "a", "length")))
-    front = cut(sources.select(*keys, "node", F.lit(0).cast(dict(both.dtypes)["length"]).alias("dist")).distinct())
+    either = edges.select(*keys, "a", "b", "length").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "length"))
+    both = bucketed(either.withColumn("_h", F.xxhash64(*keys, "a")), "_h")
+    front = cut(sources.select(*keys, "node", F.lit(0).cast(dict(either.dtypes)["length"]).alias("dist")).distinct())
     tables = [front]
-    while not front.isEmpty():
-        known = tables[0]
-        for t in tables[1:]:
-            known = known.union(t)
-        known = known.groupBy(*keys, "node").agg(F.min("dist").alias("was"))
-        reach = front.withColumnRenamed("node", "a").join(both, [*keys, "a"]).groupBy(*keys, F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("length")).alias("dist"))
+    while size := front.count():
+        known = _merged(tables, keys).withColumnRenamed("dist", "was")
+        reach = reached(front, both, keys, size <= BROADCAST_FRONT)
         front = cut(reach.join(known, [*keys, "node"], "left").where("was is null or dist < was").select(*keys, "node", "dist"))
         tables.append(front)
         if len(tables) > MERGE:
-            merged = tables[0]
-            for t in tables[1:]:
-                merged = merged.union(t)
-            merged = cut(merged.groupBy(*keys, "node").agg(F.min("dist").alias("dist")))
+            merged = cut(_merged(tables, keys))
             forget(*tables[:-1])
             tables = [merged, front]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
     forget(both)
-    return out.groupBy(*keys, "node").agg(F.min("dist").alias("dist"))
+    return _merged(tables, keys)

@@ -69,17 +69,17 @@ def _mirrored(px: DataFrame, axis: str, part: str, k: int) -> DataFrame:
 
 def lee_filter(px: DataFrame, band: str, window: int = 7) -> DataFrame:
     """Adds <band>_lee: speckle filter with local mean and variance of a window (even: one more),
-    mirrored edges, and the noise level of the whole scene. Scenes are at least half a window wide."""
+    mirrored edges, and the noise level of the whole scene. Scenes are at least half a window wide.
+    The pixels' other columns go through both passes with them."""
     k = window // 2
-    x = px.select("scene", "r", "c", F.col(band).alias("m"), (F.col(band) * F.col(band)).alias("s"))
+    x = px.withColumns({"_m": F.col(band), "_s": F.col(band) * F.col(band)})
     for axis, part in (("c", "r"), ("r", "c")):
         w = Window.partitionBy("scene", part).orderBy(axis).rowsBetween(-k, k)
-        x = _mirrored(x, axis, part, k).withColumns({"m": F.avg("m").over(w), "s": F.avg("s").over(w)}).where((F.col(axis) >= 0) & (F.col(axis) <= F.col("_last"))).drop("_last")
-    noise = px.groupBy("scene").agg((F.var_pop(band) / (F.avg(band) ** 2 + 1e-6)).alias("noise"))
-    j = px.join(x, ["scene", "r", "c"]).join(noise, "scene")
-    var = F.greatest(F.col("s") - F.col("m") ** 2, F.lit(0.0))
-    weight = F.least(F.greatest(var / (var + F.col("noise") * F.col("m") ** 2 + 1e-6), F.lit(0.0)), F.lit(1.0))
-    return j.withColumn(f"{band}_lee", F.col("m") + weight * (F.col(band) - F.col("m"))).drop("m", "s", "noise")
+        x = _mirrored(x, axis, part, k).withColumns({"_m": F.avg("_m").over(w), "_s": F.avg("_s").over(w)}).where((F.col(axis) >= 0) & (F.col(axis) <= F.col("_last"))).drop("_last")
+    noise = px.groupBy("scene").agg((F.var_pop(band) / (F.avg(band) ** 2 + 1e-6)).alias("_noise"))
+    var = F.greatest(F.col("_s") - F.col("_m") ** 2, F.lit(0.0))
+    weight = F.least(F.greatest(var / (var + F.col("_noise") * F.col("_m") ** 2 + 1e-6), F.lit(0.0)), F.lit(1.0))
+    return x.join(noise, "scene").withColumn(f"{band}_lee", F.col("_m") + weight * (F.col(band) - F.col("_m"))).drop("_m", "_s", "_noise")
 
 
 def nearest_in_row(up: np.ndarray, down: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,13 +159,22 @@ def nearest_river(px: DataFrame, cell: float = 30.0) -> DataFrame:
 
 
 def steepest(px: DataFrame, cell: float = 30.0) -> DataFrame:
-    """(scene, r, c, nr, nc): the steepest lower neighbour; ties go to N, S, W, E, NW, NE, SW, SE."""
-    order = [(-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)]
-    steps = F.array(*[F.struct(F.lit(-i).alias("o"), (F.col("r") + a).alias("nr"), (F.col("c") + b).alias("nc"), F.lit(cell if not a or not b else 1.4142 * cell).alias("d")) for i, (a, b) in enumerate(order)])
-    asked = px.select("scene", "r", "c", "dem", F.explode(steps).alias("s")).select("scene", "r", "c", "dem", "s.*")
-    there = px.select("scene", F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("dem").alias("to"))
-    fall = asked.join(there, ["scene", "nr", "nc"]).withColumn("fall", (F.col("dem") - F.col("to")) / F.col("d")).where("fall > 0")
-    return fall.groupBy("scene", "r", "c").agg(F.max(F.struct("fall", "o", "nr", "nc")).alias("m")).select("scene", "r", "c", "m.nr", "m.nc")
+    """(scene, r, c, nr, nc): the steepest lower neighbour; ties go to N, S, W, E, NW, NE, SW, SE.
+
+    A pixel takes its two neighbours along the row, then the three of the rows above and below along
+    the column: one shuffle for each, and no copies of pixels. Rows of a scene are complete, but
+    whole rows may be missing."""
+    here = F.struct("dem", "c")
+    row = px.select("scene", "r", "c", "dem", F.struct(F.lag(here).over(_along("c")).alias("west"), here.alias("own"), F.lead(here).over(_along("c")).alias("east"), F.col("r").alias("r")).alias("own"))
+    wide = row.select("scene", "r", "c", "dem", "own", F.lag("own").over(_along("r")).alias("north"), F.lead("own").over(_along("r")).alias("south"))
+    falls = []
+    for i, (a, b) in enumerate(((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1))):
+        to = F.col(("north", "own", "south")[a + 1])[("west", "own", "east")[b + 1]]
+        near = (F.col(("north", "own", "south")[a + 1])["r"] == F.col("r") + a) & (to["c"] == F.col("c") + b)
+        fall = (F.col("dem") - to["dem"]) / (cell if not a or not b else 1.4142 * cell)
+        falls.append(F.when(near & (fall > 0), F.struct(fall.alias("fall"), F.lit(-i).alias("o"), (F.col("r") + a).alias("nr"), (F.col("c") + b).alias("nc"))))
+    out = wide.select("scene", "r", "c", F.array_max(F.array(*falls)).alias("m"))
+    return out.where("m is not null").select("scene", "r", "c", "m.nr", "m.nc")
 
 
 def turned(px: DataFrame, k: int) -> DataFrame:

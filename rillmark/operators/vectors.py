@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,49 +12,57 @@ from pyspark.sql import functions as F
 from rillmark.functions import expressions as X
 from rillmark.operators.checkpoints import cut, forget
 
+#: Side in degrees of the squares in which scenes and points meet.
+CELL = 0.25
 #: Rows and columns of a tile inside which one task follows a flow path.
 TILE = 256
 
 
-def locate(points: DataFrame, lon_min: float, lat_max: float, width: float, height: float) -> DataFrame:
-    """Adds r, c: the nearest pixel, halves to even."""
-    return points.withColumn("c", F.bround((F.col("lon") - lon_min) / width).cast("long")).withColumn("r", F.bround((F.lit(lat_max) - F.col("lat")) / height).cast("long"))
+def locate(points: DataFrame) -> DataFrame:
+    """Adds r, c: the nearest pixel of the grid in the row's own lon_min, lat_max, px_w, px_h; halves to even."""
+    return points.withColumn("c", F.bround((F.col("lon") - F.col("lon_min")) / F.col("px_w")).cast("long")).withColumn("r", F.bround((F.col("lat_max") - F.col("lat")) / F.col("px_h")).cast("long"))
 
 
-def window_overlap(points: DataFrame, px: DataFrame, masks: list[str]) -> DataFrame:
-    """For each scene and point (osm_id, r, c, ...), <mask>_overlap: 1 on a set pixel, else the share
-    of set pixels in the 3 x 3 window clipped to the grid, 0 off the grid."""
-    near = F.explode(F.array(*[F.struct((F.col("r") + a).alias("nr"), (F.col("c") + b).alias("nc"), F.lit(not a and not b).alias("centre")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    asked = points.select("osm_id", "r", "c", near.alias("n")).select("osm_id", "n.*")
-    grid = px.select("scene", F.col("r").alias("nr"), F.col("c").alias("nc"), *masks)
-    on = F.max(F.col("centre"))
-    share = [F.when(on & F.max(F.col("centre") & F.col(m)), 1.0).when(on, F.avg(F.col(m).cast("int"))).otherwise(0.0).alias(f"{m}_overlap") for m in masks]
-    found = asked.join(grid, ["nr", "nc"]).groupBy("osm_id", "scene").agg(*share)
-    return _for_all_scenes(points, px).join(found, ["osm_id", "scene"], "left").fillna(0.0, [f"{m}_overlap" for m in masks])
+def footprints(geo: DataFrame, cell: float = CELL) -> DataFrame:
+    """The georeferences (scene, lon_min, lat_max, px_w, px_h, rows, cols) with bx, by: a row for each
+    square of `cell` degrees that a scene, with a margin of one pixel, touches."""
+    side = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
+    east, south = F.col("lon_min") + F.col("cols") * F.col("px_w"), F.col("lat_max") - F.col("rows") * F.col("px_h")
+    wide = geo.withColumn("bx", F.explode(side(F.col("lon_min") - F.col("px_w"), east)))
+    return wide.withColumn("by", F.explode(side(south, F.col("lat_max") + F.col("px_h"))))
 
 
-def _for_all_scenes(features: DataFrame, px: DataFrame) -> DataFrame:
-    """Each feature with each scene. One row per scene is collected in an array, which must stay small
-    against the features: the result has a row for each pair."""
-    scenes = px.agg(F.array_sort(F.collect_set("scene")).alias("_scenes"))
-    return features.crossJoin(F.broadcast(scenes)).withColumn("scene", F.explode("_scenes")).drop("_scenes")
+def covered(points: DataFrame, geo: DataFrame, cell: float = CELL) -> DataFrame:
+    """The points (lon, lat, ...) with scene, r, c, rows and cols: a row for each scene on whose grid
+    a point lies. Points meet only scenes that touch their square; rows grow with covered pairs."""
+    placed = points.withColumns({"bx": F.floor(F.col("lon") / cell), "by": F.floor(F.col("lat") / cell)})
+    at = locate(placed.join(footprints(geo, cell), ["bx", "by"]))
+    return at.where("r between 0 and rows - 1 and c between 0 and cols - 1").drop("bx", "by", "lon_min", "lat_max", "px_w", "px_h")
 
 
-def road_overlap(roads: DataFrame, px: DataFrame, grid: tuple, masks: list[str]) -> DataFrame:
-    """For each scene and road (osm_id, points, ...), <mask>_overlap: the share of its vertices on the
-    grid that lie on set pixels, 0 for roads without any. Only set pixels are joined; how many
-    vertices lie on a scene's grid follows from its extent."""
-    at = lambda p: F.struct(F.bround((F.lit(grid[1]) - p["lat"]) / grid[3]).cast("long").alias("r"), F.bround((p["lon"] - grid[0]) / grid[2]).cast("long").alias("c"))
-    placed = roads.withColumn("_at", F.transform("points", at))
+def window_overlap(points: DataFrame, px: DataFrame, geo: DataFrame, masks: list[str]) -> DataFrame:
+    """For each point and scene that covers it, <mask>_overlap: 1 on a set pixel, else the share of set
+    pixels in the 3 x 3 window clipped to the grid. Only set pixels are looked at; those of a window
+    are counted for the window's centre first, so a point joins one row."""
+    near = F.explode(F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c"), F.lit(not a and not b).alias("centre")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("n")
+    hit = px.where(" or ".join(masks)).select("scene", near, *masks)
+    around = hit.groupBy("scene", "n.r", "n.c").agg(*[x for m in masks for x in (F.count_if(m).alias(f"_n_{m}"), F.max(F.col("n.centre") & F.col(m)).alias(f"_on_{m}"))])
+    side = lambda x, n: F.least(F.col(x) + 1, F.col(n) - 1) - F.greatest(F.col(x) - 1, F.lit(0)) + 1
+    out = covered(points, geo).join(around, ["scene", "r", "c"], "left")
+    share = {f"{m}_overlap": F.when(F.col(f"_on_{m}"), 1.0).otherwise(F.coalesce(F.col(f"_n_{m}"), F.lit(0)) / (side("r", "rows") * side("c", "cols"))) for m in masks}
+    return out.withColumns(share).drop("rows", "cols", *[f"_{k}_{m}" for k in ("n", "on") for m in masks])
+
+
+def road_overlap(roads: DataFrame, px: DataFrame, geo: DataFrame, masks: list[str]) -> DataFrame:
+    """For each road (osm_id, points, ...) and scene on whose grid a vertex of it lies, <mask>_overlap:
+    the share of those vertices that lie on set pixels. Other columns stay; points become the ends, u and v."""
+    kept = [c for c in roads.columns if c != "points"]
+    ends = [F.element_at("points", 1).alias("u"), F.element_at("points", -1).alias("v")]
+    vertices = roads.where(F.size("points") > 0).select(*kept, *ends, F.explode("points").alias("p")).select(*kept, "u", "v", "p.lon", "p.lat")
     hit = px.where(" or ".join(masks)).select("scene", "r", "c", *masks)
-    hits = placed.select("osm_id", F.explode("_at").alias("p")).select("osm_id", "p.*").join(hit, ["r", "c"]).groupBy("osm_id", "scene").agg(*[F.count_if(m).alias(m) for m in masks])
-    hits = hits.groupBy("osm_id").agg(F.map_from_entries(F.collect_list(F.struct("scene", F.struct(*masks)))).alias("_hits"))
-    size = px.groupBy("scene").agg(F.max("r").alias("last_r"), F.max("c").alias("last_c"))
-    scenes = size.agg(F.array_sort(F.collect_list(F.struct("scene", "last_r", "last_c"))).alias("_scenes"))
-    each = placed.join(hits, "osm_id", "left").crossJoin(F.broadcast(scenes)).withColumn("_s", F.explode("_scenes"))
-    inside = F.size(F.filter("_at", lambda p: p["r"].between(0, F.col("_s.last_r")) & p["c"].between(0, F.col("_s.last_c"))))
-    share = {f"{m}_overlap": X.ratio(F.coalesce(F.col("_hits")[F.col("_s.scene")][m], F.lit(0)), F.col("_inside"), 0.0) for m in masks}
-    return each.withColumn("scene", F.col("_s.scene")).withColumn("_inside", inside).withColumns(share).drop("_at", "_hits", "_scenes", "_s", "_inside")
+    on = covered(vertices, geo).join(hit, ["scene", "r", "c"], "left")
+    share = [(F.count_if(F.col(m)) / F.count(F.lit(1))).alias(f"{m}_overlap") for m in masks]
+    return on.groupBy("scene", *kept, "u", "v").agg(*share)
 
 
 def classify(df: DataFrame, masks: list[str], bridge: Column) -> DataFrame:
@@ -92,24 +100,25 @@ def scene_pair(scenes: DataFrame, flood_date: str) -> DataFrame:
     return best.select("orbit", "pre_ord", "post_ord", "gap", F.when(F.col("kind") == 1, "no_s1_pair").alias("fallback"))
 
 
-def snap(points: DataFrame, nodes: DataFrame, reach: float = 0.05) -> DataFrame:
-    """(osm_id, node, d2): the nearest node within `reach` degrees, by buckets of that size; ties go
-    to the smallest node_ord."""
+def snap(points: DataFrame, nodes: DataFrame, reach: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, osm_id, node, d2): the nearest node of the same keys within `reach` degrees, by buckets
+    of that size; ties go to the smallest node_ord."""
+    keys = list(keys)
     cell = lambda x: F.floor(F.col(x) / reach)
     around = F.array(*[F.struct((cell("lon") + a).alias("bx"), (cell("lat") + b).alias("by")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    asked = points.select("osm_id", "lon", "lat", F.explode(around).alias("b")).select("osm_id", "lon", "lat", "b.*")
-    placed = nodes.select("node", "node_ord", F.col("lon").alias("x"), F.col("lat").alias("y"), cell("lon").alias("bx"), cell("lat").alias("by"))
+    asked = points.select(*keys, "osm_id", "lon", "lat", F.explode(around).alias("b")).select(*keys, "osm_id", "lon", "lat", "b.*")
+    placed = nodes.select(*keys, "node", "node_ord", F.col("lon").alias("x"), F.col("lat").alias("y"), cell("lon").alias("bx"), cell("lat").alias("by"))
     d2 = (F.col("lon") - F.col("x")) ** 2 + (F.col("lat") - F.col("y")) ** 2
-    best = asked.join(placed, ["bx", "by"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach).groupBy("osm_id").agg(F.min(F.struct("d2", "node_ord", "node")).alias("m"))
-    return best.select("osm_id", "m.node", "m.d2")
+    best = asked.join(placed, [*keys, "bx", "by"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach).groupBy(*keys, "osm_id").agg(F.min(F.struct("d2", "node_ord", "node")).alias("m"))
+    return best.select(*keys, "osm_id", "m.node", "m.d2")
 
 
-def cutoff(settlements: DataFrame, pre: DataFrame, cons: DataFrame, lib: DataFrame) -> DataFrame:
+def cutoff(settlements: DataFrame, pre: DataFrame, cons: DataFrame, lib: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Adds distances before and after and the states; no way before the event is unknown, not cut off.
     Settlements that are not snapped have a null node."""
     j = settlements
     for name, d in (("pre", pre), ("cons", cons), ("lib", lib)):
-        j = j.join(d.select("node", F.col("dist").alias(name)), "node", "left")
+        j = j.join(d.select(*keys, "node", F.col("dist").alias(name)), [*keys, "node"], "left")
     state = lambda after: F.when(F.col("pre").isNull(), "unknown").when(F.col(after).isNull(), "cut_off").otherwise("still_connected")
     return j.withColumn("state_cons", state("cons")).withColumn("state_lib", state("lib"))
 
@@ -122,27 +131,27 @@ def cutoff_km(states: DataFrame) -> DataFrame:
     return states.withColumns({"pre_km": way("pre"), "post_km": F.when(known, way("cons")), "detour_km": F.when(known & F.col("cons").isNotNull(), X.km(longer))})
 
 
-def cutoff_counts(states: DataFrame) -> DataFrame:
+def cutoff_counts(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     n = lambda x: F.count_if(F.expr(x))
-    return states.agg(n("state_cons = 'cut_off'").alias("cons"), n("state_lib = 'cut_off'").alias("lib"), n("state_cons = 'still_connected' and state_lib = 'cut_off'").alias("possibly"), n("state_cons = 'still_connected' and state_lib = 'still_connected'").alias("connected"), n("pre is null").alias("unknown"))
+    return states.groupBy(*keys).agg(n("state_cons = 'cut_off'").alias("cons"), n("state_lib = 'cut_off'").alias("lib"), n("state_cons = 'still_connected' and state_lib = 'cut_off'").alias("possibly"), n("state_cons = 'still_connected' and state_lib = 'still_connected'").alias("connected"), n("pre is null").alias("unknown"))
 
 
-def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds the 1-based rank in an order without ties. Ranges of the order are sorted apart; a small
-    table of their sizes gives each range's first rank."""
-    apart = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = apart.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return apart.withColumn("_in", within).join(first, "_range").withColumn(name, F.col("_first") + F.col("_in")).drop("_range", "_in", "_first")
+def ranked(rows: DataFrame, order: list[Column], name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds the 1-based rank within `keys` in an order without ties. Ranges of keys and order are
+    sorted apart; a small table of their sizes gives each range's first rank."""
+    apart = cut(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = apart.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    first = sizes.select(*keys, "_range", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).alias("_first"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return apart.withColumn("_in", within).join(first, [*keys, "_range"]).withColumn(name, F.col("_first") + F.col("_in")).drop("_range", "_in", "_first")
 
 
-def priority(states: DataFrame) -> DataFrame:
+def priority(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Adds priority_rank among settlements that are cut off in the liberal state: most buildings
     first, then the longest way before, then the first of the input."""
     order = [F.desc("building_count"), F.desc(F.coalesce("pre_km", F.lit(0.0))), F.col("input_ord").asc()]
-    rank = ranked(states.where("state_lib = 'cut_off'").select("input_ord", "building_count", "pre_km"), order, "priority_rank").select("input_ord", "priority_rank")
-    return states.join(rank, "input_ord", "left")
+    rank = ranked(states.where("state_lib = 'cut_off'").select(*keys, "input_ord", "building_count", "pre_km"), order, "priority_rank", keys).select(*keys, "input_ord", "priority_rank")
+    return states.join(rank, [*keys, "input_ord"], "left")
 
 
 def trace(pointers: DataFrame, start: DataFrame, steps: int = 1000) -> DataFrame:
@@ -203,13 +212,13 @@ def path_metres(path: DataFrame, cell: float = 30.0) -> DataFrame:
 
 
 def flow_settlements(path: DataFrame, places: DataFrame, px: DataFrame, flood: str, reach: int = 4) -> DataFrame:
-    """(scene, osm_id, km, in_flood, elevation, place): settlements (osm_id, input_ord, r, c) on the
-    grid within `reach` pixels of the path, at its nearest pixel (ties: the earliest), numbered
+    """(scene, osm_id, km, in_flood, elevation, place): settlements (scene, osm_id, input_ord, r, c)
+    within `reach` pixels of the path, at its nearest pixel (ties: the earliest), numbered
     downstream by rounded kilometres, then by the order of the input."""
     disc = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a * a + b * b <= reach * reach])
     around = path_metres(path).withColumn("o", F.explode(disc)).select("scene", (F.col("r") + F.col("o.a")).alias("r"), (F.col("c") + F.col("o.b")).alias("c"), F.struct(F.expr("o.a * o.a + o.b * o.b").alias("d2"), "k", "metres").alias("x"))
     around = around.groupBy("scene", "r", "c").agg(F.min("x").alias("m"))
-    here = places.join(around, ["r", "c"]).join(px.select("scene", "r", "c", F.col(flood).alias("in_flood"), F.col("dem").alias("elevation")), ["scene", "r", "c"])
+    here = places.join(around, ["scene", "r", "c"]).join(px.select("scene", "r", "c", F.col(flood).alias("in_flood"), F.col("dem").alias("elevation")), ["scene", "r", "c"])
     out = here.select("scene", "osm_id", "input_ord", F.bround(F.col("m.metres") / 1000, 2).alias("km"), "in_flood", "elevation")
     return out.withColumn("place", F.row_number().over(Window.partitionBy("scene").orderBy("km", "input_ord"))).drop("input_ord")
 

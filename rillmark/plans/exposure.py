@@ -9,61 +9,71 @@ from rillmark.functions import expressions as X
 from rillmark.operators import graph, raster, segments, vectors
 from rillmark.operators.checkpoints import cut
 from rillmark.plans.rasters import final_masks
-from rillmark.plans.sql import CUSTOMERS, FINAL, PX, RC, ROADS, km, query
+from rillmark.plans.sql import CUSTOMERS, FINAL, GEO, PX, ROADS, covered, km, query
 from rillmark.sources import tables
 
-LEVELS = ["cons", "lib"]
+LEVELS, SCENE = ["cons", "lib"], ["scene"]
 CLASS = "CASE WHEN {0} >= 0.5 THEN 'likely_hit' WHEN {0} >= 0.05 {1} THEN 'possibly_hit' ELSE 'not_hit' END"
 _BRIDGE = "OR bridge AND {0} > 0"
 CLASSES = ", ".join(f"{CLASS.format('o' + k, '')} AS class_{k}" for k in LEVELS)
 ROAD_CLASSES = ", ".join(f"{CLASS.format('o' + k, _BRIDGE.format('o' + k))} AS class_{k}" for k in LEVELS)
 
-BUILD = f"""{FINAL}, {CUSTOMERS}, bd AS (SELECT *, {RC.format('', '')} FROM cu), sc AS (SELECT DISTINCT scene FROM px),
-w AS (SELECT osm_id, f.scene, bool_or(f.r = bd.r AND f.c = bd.c) AS inside, CASE WHEN bool_or(f.r = bd.r AND f.c = bd.c AND lib) THEN 1 ELSE avg(lib::INT) END AS olib, CASE WHEN bool_or(f.r = bd.r AND f.c = bd.c AND cons) THEN 1 ELSE avg(cons::INT) END AS ocons
-FROM bd CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dr) a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dc) b JOIN hz f ON f.r = bd.r + dr AND f.c = bd.c + dc GROUP BY ALL),
-bx AS (SELECT osm_id, scene, lon, lat, building_count, CASE WHEN inside THEN olib ELSE 0 END AS olib, CASE WHEN inside THEN ocons ELSE 0 END AS ocons FROM bd CROSS JOIN sc LEFT JOIN w USING (osm_id, scene)),
+BUILD = f"""{FINAL}, {GEO}, {CUSTOMERS}, bd AS MATERIALIZED ({covered('cu')}),
+w AS (SELECT osm_id, f.scene, CASE WHEN bool_or(f.r = bd.r AND f.c = bd.c AND lib) THEN 1 ELSE avg(lib::INT) END AS olib, CASE WHEN bool_or(f.r = bd.r AND f.c = bd.c AND cons) THEN 1 ELSE avg(cons::INT) END AS ocons
+FROM bd CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dr) a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dc) b JOIN hz f ON f.scene = bd.scene AND f.r = bd.r + dr AND f.c = bd.c + dc GROUP BY ALL),
+bx AS (SELECT osm_id, scene, lon, lat, building_count, olib, ocons FROM bd JOIN w USING (osm_id, scene)),
 bc AS (SELECT *, {CLASSES} FROM bx)"""
 _VERTEX = "UNION ALL SELECT osm_id, {0} AS lon, {1} AS lat FROM rp"
-DAMAGED = f"""{{base}}, {ROADS}, vx AS (SELECT osm_id, x1 AS lon, y1 AS lat FROM rp {_VERTEX.format('(x1 + x2) / 2', '(y1 + y2) / 2')} {_VERTEX.format('x2', 'y2')}), vr AS (SELECT osm_id, {RC.format('', '')} FROM vx),
-ro AS (SELECT osm_id, scene, avg(cons::INT) AS ocons, avg(lib::INT) AS olib FROM vr JOIN hz USING (r, c) GROUP BY ALL),
-rx AS (SELECT rp.osm_id, highway_type, length, bridge, scene, coalesce(ocons, 0) AS ocons, coalesce(olib, 0) AS olib FROM rp CROSS JOIN (SELECT DISTINCT scene FROM px) LEFT JOIN ro USING (osm_id, scene)), rc AS MATERIALIZED (SELECT *, {ROAD_CLASSES} FROM rx)"""
+DAMAGED = f"""{{base}}, {ROADS}, vx AS (SELECT osm_id, x1 AS lon, y1 AS lat FROM rp {_VERTEX.format('(x1 + x2) / 2', '(y1 + y2) / 2')} {_VERTEX.format('x2', 'y2')}), vr AS ({covered('vx')}),
+ro AS (SELECT osm_id, scene, avg(cons::INT) AS ocons, avg(lib::INT) AS olib FROM vr JOIN hz USING (scene, r, c) GROUP BY ALL),
+rc AS MATERIALIZED (SELECT *, {ROAD_CLASSES} FROM rp JOIN ro USING (osm_id))"""
+GROUND = f"{FINAL}, {GEO}"
 
 
 def _hazard(spark, d) -> DataFrame:
     return cut(final_masks(spark, d).select("scene", "r", "c", "dem", *LEVELS))
 
 
-def buildings(spark, d, px: DataFrame) -> DataFrame:
-    at = vectors.locate(tables.settlements(spark, d), *tables.GRID)
-    return vectors.classify(vectors.window_overlap(at, px, LEVELS), LEVELS, F.lit(False))
+def buildings(spark, d, px: DataFrame, geo: DataFrame) -> DataFrame:
+    return vectors.classify(vectors.window_overlap(tables.settlements(spark, d), px, geo, LEVELS), LEVELS, F.lit(False))
 
 
-def roads(spark, d, px: DataFrame) -> DataFrame:
-    x = vectors.road_overlap(tables.roads(spark, d), px, tables.GRID, LEVELS)
-    return vectors.classify(x, LEVELS, F.col("is_bridge"))
+def roads(spark, d, px: DataFrame, geo: DataFrame) -> DataFrame:
+    return vectors.classify(vectors.road_overlap(tables.roads(spark, d), px, geo, LEVELS), LEVELS, F.col("is_bridge"))
 
 
 @query(f"WITH RECURSIVE {BUILD} SELECT scene, osm_id, class_cons, class_lib, round_even(olib, 4) AS overlap, 'POINT(' || lon || ' ' || lat || ')' AS geometry FROM bc")
 def building_damage(spark, d):
-    b = buildings(spark, d, _hazard(spark, d))
+    """A row for each building and scene that covers it."""
+    px = _hazard(spark, d)
+    b = buildings(spark, d, px, tables.georeference(px))
     return b.select("scene", "osm_id", F.col("cons_class").alias("class_cons"), F.col("lib_class").alias("class_lib"), F.bround("lib_overlap", 4).alias("overlap"), X.point_text(F.col("lon"), F.col("lat")).alias("geometry"))
 
 
-@query(f"WITH RECURSIVE {DAMAGED.format(base=FINAL)} SELECT scene, osm_id, highway_type, length::DOUBLE AS length_m, bridge AS is_bridge, class_cons, class_lib, round_even(olib, 4) AS overlap FROM rc")
+@query(f"WITH RECURSIVE {DAMAGED.format(base=GROUND)} SELECT scene, osm_id, highway_type, length::DOUBLE AS length_m, bridge AS is_bridge, class_cons, class_lib, round_even(olib, 4) AS overlap FROM rc")
 def road_damage(spark, d):
-    x = roads(spark, d, _hazard(spark, d))
+    """A row for each road and scene that covers one of its vertices."""
+    px = _hazard(spark, d)
+    x = roads(spark, d, px, tables.georeference(px))
     return x.select("scene", "osm_id", "highway_type", F.bround("length_m", 1).alias("length_m"), "is_bridge", F.col("cons_class").alias("class_cons"), F.col("lib_class").alias("class_lib"), F.bround("lib_overlap", 4).alias("overlap"))
 
 
+@query(f"WITH {PX}, {GEO}, {CUSTOMERS} SELECT osm_id, scene, r, c FROM ({covered('cu')})")
+def scene_cover(spark, d):
+    """Which settlements lie on which scenes' grids, and where."""
+    return vectors.covered(tables.settlements(spark, d), tables.georeference(tables.pixels(spark, d))).select("osm_id", "scene", "r", "c")
+
+
 _ROAD_KM = "coalesce(sum(CASE WHEN class_{0} = 'likely_hit' THEN length END), 0)::BIGINT"
 
 
 @query(f"""WITH RECURSIVE {DAMAGED.format(base=BUILD)}, nb AS (SELECT scene, {", ".join(f"count_if(class_{k} = '{h}_hit')::BIGINT AS {h}_{k}" for h in ("likely", "possibly") for k in LEVELS)} FROM bc GROUP BY scene),
 nr2 AS (SELECT scene, {", ".join(f"{_ROAD_KM.format(k)} AS m_{k}" for k in LEVELS)}, count_if(bridge AND class_lib = 'likely_hit')::BIGINT AS bridges_likely, count_if(bridge AND class_lib = 'possibly_hit')::BIGINT AS bridges_possibly FROM rc GROUP BY scene)
-SELECT scene, likely_cons, likely_lib, possibly_cons, possibly_lib, {km('m_cons')} AS road_km_cons, {km('m_lib')} AS road_km_lib, bridges_likely, bridges_possibly FROM nb JOIN nr2 USING (scene)""")
+SELECT scene, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('likely_cons', 'likely_lib', 'possibly_cons', 'possibly_lib'))}, {km('coalesce(m_cons, 0)')} AS road_km_cons, {km('coalesce(m_lib, 0)')} AS road_km_lib, coalesce(bridges_likely, 0) AS bridges_likely, coalesce(bridges_possibly, 0) AS bridges_possibly FROM nb FULL JOIN nr2 USING (scene)""")
 def damage_stats(spark, d):
     px = _hazard(spark, d)
-    return vectors.damage_counts(buildings(spark, d, px), roads(spark, d, px))
+    geo = tables.georeference(px)
+    return vectors.damage_counts(buildings(spark, d, px, geo), roads(spark, d, px, geo))
 
 
 _PAIR = """WITH s AS (SELECT o_orderkey AS ord, o_custkey AS orbit, o_orderpriority AS dir, o_orderdate::DATE AS day FROM orders), p AS (SELECT a.orbit, a.ord AS pre_ord, b.ord AS post_ord, b.day - a.day AS gap, a.dir = b.dir AND b.day - a.day BETWEEN 6 AND 12 AS exact, a.day AS pd, b.day AS qd
@@ -83,11 +93,14 @@ def scene_fallback(spark, d):
     return vectors.scene_pair(tables.scenes(spark, d), LOOSE_DAY)
 
 
-NODES = f"""{ROADS}, ends AS (SELECT a AS node, osm_id * 2 AS o, x1 AS x, y1 AS y FROM rp UNION ALL SELECT b, osm_id * 2 + 1, x2, y2 FROM rp), nd0 AS (SELECT node, min(o) AS o, min(x) AS x, min(y) AS y FROM ends GROUP BY node)"""
+#: Ends of roads and nodes of the whole map, and within each scene.
+NODES = f"""{ROADS}, ends AS (SELECT a AS node, ord * 2 AS o, x1 AS x, y1 AS y FROM rp UNION ALL SELECT b, ord * 2 + 1, x2, y2 FROM rp), nd0 AS MATERIALIZED (SELECT node, min(o) AS o, min(x) AS x, min(y) AS y FROM ends GROUP BY node)"""
+SCENE_NODES = """ends AS (SELECT scene, a AS node, ord * 2 AS o, x1 AS x, y1 AS y FROM rc UNION ALL SELECT scene, b, ord * 2 + 1, x2, y2 FROM rc), nd0 AS MATERIALIZED (SELECT scene, node, min(o) AS o, min(x) AS x, min(y) AS y FROM ends GROUP BY ALL)"""
 
 
-def _snapped(points: str) -> str:
-    return f"SELECT osm_id, node, d2 FROM (SELECT osm_id, node, o, (lon - x) * (lon - x) + (lat - y) * (lat - y) AS d2 FROM {points} CROSS JOIN nd0) WHERE d2 <= 0.05::DOUBLE * 0.05::DOUBLE QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY d2, o) = 1"
+def _snapped(points: str, key: str = "") -> str:
+    scene, on = (f"{key}, ", f"JOIN nd0 USING ({key})") if key else ("", "CROSS JOIN nd0")
+    return f"SELECT {scene}osm_id, node, d2 FROM (SELECT {scene}osm_id, node, o, (lon - x) * (lon - x) + (lat - y) * (lat - y) AS d2 FROM {points} {on}) WHERE d2 <= 0.05::DOUBLE * 0.05::DOUBLE QUALIFY row_number() OVER (PARTITION BY {scene}osm_id ORDER BY d2, o) = 1"
 
 
 @query(f"""WITH {CUSTOMERS}, {NODES}, sn AS ({_snapped('cu')}) SELECT osm_id, x AS lon, y AS lat, round(d2, 9) AS d2 FROM sn JOIN nd0 USING (node)""")
@@ -97,7 +110,8 @@ def nearest_node_snap(spark, d):
     return found.select("osm_id", "node.lon", "node.lat", F.round("d2", 9).alias("d2"))
 
 
-GRAPH = "rd AS MATERIALIZED (SELECT a, b, osm_id, length FROM rp QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY osm_id DESC) = 1)"
+GRAPH = "rd AS MATERIALIZED (SELECT a, b, osm_id, length FROM rp QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY ord DESC) = 1)"
+SCENE_GRAPH = "rd AS MATERIALIZED (SELECT scene, a, b, osm_id, length, class_cons <> 'not_hit' AS cut_cons, class_lib <> 'not_hit' AS cut_lib FROM rc QUALIFY row_number() OVER (PARTITION BY scene, a, b ORDER BY ord DESC) = 1)"
 
 
 @query(f"WITH {ROADS}, {GRAPH} SELECT osm_id, length FROM rd")
@@ -105,112 +119,126 @@ def road_graph(spark, d):
     return segments.road_graph(tables.roads(spark, d)).select("osm_id", "length")
 
 
-@query(f"WITH RECURSIVE {DAMAGED.format(base=FINAL)}, {GRAPH}, sv AS (SELECT DISTINCT osm_id FROM rc WHERE class_lib <> 'not_hit') SELECT osm_id, length FROM rd ANTI JOIN sv USING (osm_id)")
+@query(f"WITH RECURSIVE {DAMAGED.format(base=GROUND)}, {SCENE_GRAPH} SELECT scene, osm_id, length FROM rd WHERE NOT cut_lib")
 def open_roads(spark, d):
-    hit = segments.severed_ids(roads(spark, d, _hazard(spark, d)), "lib")
-    return segments.road_graph(tables.roads(spark, d)).join(hit, "osm_id", "left_anti").select("osm_id", "length")
+    """The road graph of each scene without what its own hazard severs."""
+    px = _hazard(spark, d)
+    damaged = cut(roads(spark, d, px, tables.georeference(px)))
+    hit = segments.severed_ids(damaged, "lib", SCENE)
+    return segments.road_graph(damaged, SCENE).join(hit, [*SCENE, "osm_id"], "left_anti").select("scene", "osm_id", "length")
 
 
-def _sources(spark, d, nodes: DataFrame) -> DataFrame:
-    at = vectors.snap(tables.hospitals(spark, d).withColumnRenamed("input_ord", "osm_id"), nodes)
-    return at.select("node").distinct()
+def _sources(spark, d, nodes: DataFrame, geo: DataFrame | None = None) -> DataFrame:
+    """Nodes that hospitals are snapped to: of the whole map, or of each scene that covers them."""
+    h = tables.hospitals(spark, d).withColumnRenamed("input_ord", "osm_id")
+    keys = [] if geo is None else SCENE
+    at = vectors.snap(h if geo is None else vectors.covered(h, geo), nodes, keys=keys)
+    return at.select(*keys, "node").distinct()
 
 
-def _shortest(name: str, edges: str) -> str:
-    return f"""{name}e AS MATERIALIZED (SELECT a, b, length FROM {edges} UNION ALL SELECT b, a, length FROM {edges}), {name}(node, dist) USING KEY (node) AS (SELECT DISTINCT node, 0::BIGINT FROM hosp UNION
-SELECT e.b, min(t.dist + e.length)::BIGINT FROM {name} t JOIN {name}e e ON e.a = t.node LEFT JOIN recurring.{name} o ON o.node = e.b WHERE o.node IS NULL OR t.dist + e.length < o.dist GROUP BY e.b)"""
+def _shortest(name: str, edges: str, where: str = "TRUE", key: str = "") -> str:
+    k, ek, on, old = (f"{key}, ", f"e.{key}, ", f"e.{key} = t.{key} AND ", f"o.{key} = e.{key} AND ") if key else ("", "", "", "")
+    return f"""{name}e AS MATERIALIZED (SELECT {k}a, b, length FROM {edges} WHERE {where} UNION ALL SELECT {k}b, a, length FROM {edges} WHERE {where}), {name}({k}node, dist) USING KEY ({k}node) AS (SELECT DISTINCT {k}node, 0::BIGINT FROM hosp UNION
+SELECT {ek}e.b, min(t.dist + e.length)::BIGINT FROM {name} t JOIN {name}e e ON {on}e.a = t.node LEFT JOIN recurring.{name} o ON {old}o.node = e.b WHERE o.node IS NULL OR t.dist + e.length < o.dist GROUP BY {ek}e.b)"""
 
 
-HOSPITALS = f"hp AS (SELECT p_partkey AS osm_id, {tables.PART_AT[0].format('p_partkey')} AS lon, {tables.PART_AT[1].format('p_partkey')} AS lat FROM part WHERE p_size = 1), hosp AS MATERIALIZED (SELECT DISTINCT node FROM ({_snapped('hp')}))"
+_HP = f"hp AS (SELECT p_partkey AS osm_id, {tables.PART_AT[0].format('p_partkey')} AS lon, {tables.PART_AT[1].format('p_partkey')} AS lat FROM part WHERE p_size = 1)"
+HOSPITALS = f"{_HP}, hosp AS MATERIALIZED (SELECT DISTINCT node FROM ({_snapped('hp')}))"
+SCENE_HOSPITALS = f"{_HP}, hc AS ({covered('hp')}), hosp AS MATERIALIZED (SELECT DISTINCT scene, node FROM ({_snapped('hc', 'scene')}))"
 
 
 @query(f"WITH RECURSIVE {NODES}, {GRAPH}, {HOSPITALS}, {_shortest('pre', 'rd')} SELECT round(x, 6) AS lon, round(y, 6) AS lat, dist FROM pre JOIN nd0 USING (node)")
 def shortest_distance(spark, d):
+    """Over the roads of the whole map."""
     r = tables.roads(spark, d)
     nodes = segments.road_nodes(r)
     dist = graph.distances(segments.road_graph(r), _sources(spark, d, nodes))
     return dist.select(F.round("node.lon", 6).alias("lon"), F.round("node.lat", 6).alias("lat"), "dist")
 
 
-CUT = f"""WITH RECURSIVE {DAMAGED.format(base=FINAL).replace(ROADS, NODES)}, {CUSTOMERS}, {GRAPH}, {HOSPITALS},
-svc AS (SELECT DISTINCT osm_id FROM rc WHERE class_cons <> 'not_hit'), svl AS (SELECT DISTINCT osm_id FROM rc WHERE class_lib <> 'not_hit'), rdc AS MATERIALIZED (SELECT * FROM rd ANTI JOIN svc USING (osm_id)), rdl AS MATERIALIZED (SELECT * FROM rd ANTI JOIN svl USING (osm_id)),
-{_shortest('pre', 'rd')}, {_shortest('con', 'rdc')}, {_shortest('lia', 'rdl')}, sn AS ({_snapped('cu')}),
-st AS (SELECT cu.osm_id AS input_ord, name, building_count, sn.node, pre.dist AS pre, CASE WHEN pre.dist IS NOT NULL THEN con.dist END AS cons, lia.dist AS lib FROM cu LEFT JOIN sn USING (osm_id) LEFT JOIN pre ON pre.node = sn.node LEFT JOIN con ON con.node = sn.node LEFT JOIN lia ON lia.node = sn.node),
+#: What a scene's hazard cuts off, over the roads, hospitals and settlements that it covers.
+CUT = f"""WITH RECURSIVE {DAMAGED.format(base=GROUND)}, {CUSTOMERS}, {SCENE_NODES}, {SCENE_GRAPH}, {SCENE_HOSPITALS},
+{_shortest('pre', 'rd', key='scene')}, {_shortest('con', 'rd', 'NOT cut_cons', 'scene')}, {_shortest('lia', 'rd', 'NOT cut_lib', 'scene')}, cs AS MATERIALIZED ({covered('cu')}), sn AS ({_snapped('cs', 'scene')}),
+st AS (SELECT cs.scene, cs.osm_id AS input_ord, name, building_count, sn.node, pre.dist AS pre, CASE WHEN pre.dist IS NOT NULL THEN con.dist END AS cons, lia.dist AS lib FROM cs LEFT JOIN sn ON sn.osm_id = cs.osm_id AND sn.scene = cs.scene
+LEFT JOIN pre ON pre.node = sn.node AND pre.scene = cs.scene LEFT JOIN con ON con.node = sn.node AND con.scene = cs.scene LEFT JOIN lia ON lia.node = sn.node AND lia.scene = cs.scene),
 x AS (SELECT *, CASE WHEN pre <> 0 THEN {km('pre')} END AS pre_km, CASE WHEN cons <> 0 THEN {km('cons')} END AS post_km, CASE WHEN cons IS NOT NULL THEN {km('greatest(cons - pre, 0)')} END AS detour_km,
 CASE WHEN pre IS NULL THEN 'unknown' WHEN cons IS NULL THEN 'cut_off' ELSE 'still_connected' END AS state_cons, CASE WHEN pre IS NULL THEN 'unknown' WHEN lib IS NULL THEN 'cut_off' ELSE 'still_connected' END AS state_lib FROM st)"""
 
 
 class Network:
-    """The road graph with what the hazard severs, and the settlements' ways to hospitals over it."""
+    """Each scene's road graph with what its hazard severs, and the ways of the settlements that it
+    covers to its hospitals."""
 
     def __init__(self, spark, d, px: DataFrame | None = None):
         px = _hazard(spark, d) if px is None else px
-        r = tables.roads(spark, d)
-        damaged = cut(roads(spark, d, px).select("osm_id", *[f"{k}_class" for k in LEVELS]))
-        nodes = cut(segments.road_nodes(r))
-        edges = segments.road_graph(r)
+        geo = cut(tables.georeference(px))
+        damaged = cut(roads(spark, d, px, geo))
+        nodes = cut(segments.road_nodes(damaged, SCENE))
+        edges = segments.road_graph(damaged, SCENE)
         for k in LEVELS:
-            edges = edges.join(segments.severed_ids(damaged, k).withColumn(k, F.lit(True)), "osm_id", "left").withColumn(k, F.coalesce(k, F.lit(False)))
+            hit = segments.severed_ids(damaged, k, SCENE).withColumn(k, F.lit(True))
+            edges = edges.join(hit, [*SCENE, "osm_id"], "left").withColumn(k, F.coalesce(k, F.lit(False)))
         edges = cut(edges)
         layers = [F.when(~F.col(k), F.lit(k)) for k in LEVELS]
         wide = edges.withColumn("layer", F.explode(F.array_compact(F.array(F.lit("pre"), *layers))))
-        sources = _sources(spark, d, nodes).withColumn("layer", F.explode(F.array(*map(F.lit, ("pre", *LEVELS)))))
-        dist = cut(graph.distances(wide, sources, ["layer"]))  # all three graphs in the same rounds
-        self.edges, self.dist = edges, {k: dist.where(F.col("layer") == k).select("node", "dist") for k in ("pre", *LEVELS)}
-        s = tables.settlements(spark, d)
-        s = s.join(vectors.snap(s, nodes).select("osm_id", "node"), "osm_id", "left")
-        self.states = vectors.cutoff_km(vectors.cutoff(s, *(self.dist[k] for k in ("pre", *LEVELS))))
+        sources = _sources(spark, d, nodes, geo).withColumn("layer", F.explode(F.array(*map(F.lit, ("pre", *LEVELS)))))
+        dist = cut(graph.distances(wide, sources, [*SCENE, "layer"]))  # all three graphs of all scenes in the same rounds
+        self.damaged, self.edges = damaged, edges
+        self.dist = {k: dist.where(F.col("layer") == k).select(*SCENE, "node", "dist") for k in ("pre", *LEVELS)}
+        s = vectors.covered(tables.settlements(spark, d), geo)
+        s = s.join(vectors.snap(s, nodes, keys=SCENE).select(*SCENE, "osm_id", "node"), [*SCENE, "osm_id"], "left")
+        self.states = vectors.cutoff_km(vectors.cutoff(s, *(self.dist[k] for k in ("pre", *LEVELS)), keys=SCENE))
 
     def blamed(self) -> DataFrame:
         edges = self.edges.withColumn("severed", F.col("lib"))
-        return segments.blame(self.states, segments.first_severed(edges, self.dist["pre"]))
+        return segments.blame(self.states, segments.first_severed(edges, self.dist["pre"], SCENE), SCENE)
 
 
-@query(f"{CUT} SELECT input_ord, name, pre_km, post_km, detour_km, state_cons, state_lib FROM x")
+@query(f"{CUT} SELECT scene, input_ord, name, pre_km, post_km, detour_km, state_cons, state_lib FROM x")
 def cutoff_states(spark, d):
-    return Network(spark, d).states.select("input_ord", "name", "pre_km", "post_km", "detour_km", "state_cons", "state_lib")
+    return Network(spark, d).states.select("scene", "input_ord", "name", "pre_km", "post_km", "detour_km", "state_cons", "state_lib")
 
 
-@query(f"{CUT} SELECT count_if(state_cons = 'cut_off')::BIGINT AS cons, count_if(state_lib = 'cut_off')::BIGINT AS lib, count_if(state_cons = 'still_connected' AND state_lib = 'cut_off')::BIGINT AS possibly, count_if(state_cons = 'still_connected' AND state_lib = 'still_connected')::BIGINT AS connected, count_if(pre IS NULL)::BIGINT AS unknown FROM x")
+@query(f"{CUT} SELECT scene, count_if(state_cons = 'cut_off')::BIGINT AS cons, count_if(state_lib = 'cut_off')::BIGINT AS lib, count_if(state_cons = 'still_connected' AND state_lib = 'cut_off')::BIGINT AS possibly, count_if(state_cons = 'still_connected' AND state_lib = 'still_connected')::BIGINT AS connected, count_if(pre IS NULL)::BIGINT AS unknown FROM x GROUP BY scene")
 def cutoff_stats(spark, d):
-    return vectors.cutoff_counts(Network(spark, d).states)
+    return vectors.cutoff_counts(Network(spark, d).states, SCENE)
 
 
-@query(f"{CUT} SELECT input_ord, building_count, CASE WHEN state_lib = 'cut_off' THEN row_number() OVER (PARTITION BY state_lib ORDER BY building_count DESC, coalesce(pre_km, 0) DESC, input_ord) END AS priority_rank FROM x")
+@query(f"{CUT} SELECT scene, input_ord, building_count, CASE WHEN state_lib = 'cut_off' THEN row_number() OVER (PARTITION BY scene, state_lib ORDER BY building_count DESC, coalesce(pre_km, 0) DESC, input_ord) END AS priority_rank FROM x")
 def priority_rank(spark, d):
-    return vectors.priority(Network(spark, d).states).select("input_ord", "building_count", F.col("priority_rank").cast("long").alias("priority_rank"))
+    return vectors.priority(Network(spark, d).states, SCENE).select("scene", "input_ord", "building_count", F.col("priority_rank").cast("long").alias("priority_rank"))
 
 
-BLAME = f"""{CUT}, ue AS (SELECT a, b, rd.osm_id, length, svl.osm_id IS NOT NULL AS severed FROM rd LEFT JOIN svl USING (osm_id) UNION ALL SELECT b, a, rd.osm_id, length, svl.osm_id IS NOT NULL FROM rd LEFT JOIN svl USING (osm_id)),
-hop AS MATERIALIZED (SELECT ue.a AS node, ue.b AS nxt, ue.osm_id, ue.severed FROM ue JOIN pre p ON p.node = ue.a JOIN pre q ON q.node = ue.b WHERE ue.length > 0 AND q.dist + ue.length = p.dist QUALIFY row_number() OVER (PARTITION BY ue.a ORDER BY ue.osm_id, ue.b) = 1),
-walk AS (SELECT node AS origin, nxt, osm_id, severed, 1 AS k FROM hop UNION ALL SELECT w.origin, h.nxt, h.osm_id, h.severed, k + 1 FROM walk w JOIN hop h ON h.node = w.nxt),
-fi AS (SELECT origin, min_by(osm_id, k) AS failed FROM walk WHERE severed GROUP BY origin), bl AS (SELECT x.input_ord, x.building_count, CASE WHEN state_lib = 'cut_off' THEN failed END AS failed_segment FROM x LEFT JOIN fi ON fi.origin = x.node)"""
+BLAME = f"""{CUT}, ue AS (SELECT scene, a, b, osm_id, length, cut_lib AS severed FROM rd UNION ALL SELECT scene, b, a, osm_id, length, cut_lib FROM rd),
+hop AS MATERIALIZED (SELECT ue.scene, ue.a AS node, ue.b AS nxt, ue.osm_id, ue.severed FROM ue JOIN pre p ON p.node = ue.a AND p.scene = ue.scene JOIN pre q ON q.node = ue.b AND q.scene = ue.scene JOIN nd0 n ON n.node = ue.b AND n.scene = ue.scene WHERE ue.length > 0 AND q.dist + ue.length = p.dist QUALIFY row_number() OVER (PARTITION BY ue.scene, ue.a ORDER BY ue.osm_id, n.x, n.y) = 1),
+walk AS (SELECT scene, node AS origin, nxt, osm_id, severed, 1 AS k FROM hop UNION ALL SELECT w.scene, w.origin, h.nxt, h.osm_id, h.severed, k + 1 FROM walk w JOIN hop h ON h.node = w.nxt AND h.scene = w.scene),
+fi AS (SELECT scene, origin, min_by(osm_id, k) AS failed FROM walk WHERE severed GROUP BY ALL), bl AS (SELECT x.scene, x.input_ord, x.building_count, CASE WHEN state_lib = 'cut_off' THEN failed END AS failed_segment FROM x LEFT JOIN fi ON fi.origin = x.node AND fi.scene = x.scene)"""
 
 
-@query(f"{BLAME} SELECT input_ord, building_count, failed_segment FROM bl")
+@query(f"{BLAME} SELECT scene, input_ord, building_count, failed_segment FROM bl")
 def failed_segment(spark, d):
-    return Network(spark, d).blamed().select("input_ord", "building_count", "failed_segment")
+    return Network(spark, d).blamed().select("scene", "input_ord", "building_count", "failed_segment")
 
 
-@query(f"{BLAME} SELECT failed_segment, sum(building_count)::BIGINT AS buildings FROM bl WHERE failed_segment IS NOT NULL GROUP BY failed_segment ORDER BY buildings DESC, min(input_ord) LIMIT 1")
+@query(f"{BLAME} SELECT scene, failed_segment, sum(building_count)::BIGINT AS buildings FROM bl WHERE failed_segment IS NOT NULL GROUP BY scene, failed_segment QUALIFY row_number() OVER (PARTITION BY scene ORDER BY buildings DESC, min(input_ord)) = 1")
 def critical_segment(spark, d):
-    return segments.critical(Network(spark, d).blamed())
+    return segments.critical(Network(spark, d).blamed(), SCENE)
 
 
-@query(f"{BLAME} SELECT x.input_ord, (1 + coalesce(max(walk.k), 0))::BIGINT AS nodes FROM x LEFT JOIN walk ON walk.origin = x.node WHERE x.pre IS NOT NULL GROUP BY x.input_ord")
+@query(f"{BLAME} SELECT x.scene, x.input_ord, (1 + coalesce(max(walk.k), 0))::BIGINT AS nodes FROM x LEFT JOIN walk ON walk.origin = x.node AND walk.scene = x.scene WHERE x.pre IS NOT NULL GROUP BY x.scene, x.input_ord")
 def path_lengths(spark, d):
     """Nodes on each settlement's way to its hospital before the event."""
     net = Network(spark, d)
-    starts = net.states.where("pre is not null").select("input_ord", "node")
-    way = segments.path_nodes(net.edges.withColumn("severed", F.col("lib")), net.dist["pre"], starts.select("node").distinct())
-    many = way.groupBy(F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("nodes"))
-    return starts.join(many, "node").select("input_ord", "nodes")
+    starts = net.states.where("pre is not null").select("scene", "input_ord", "node")
+    way = segments.path_nodes(net.edges.withColumn("severed", F.col("lib")), net.dist["pre"], starts.select("scene", "node").distinct(), SCENE)
+    many = way.groupBy("scene", F.col("start").alias("node")).agg(F.count(F.lit(1)).alias("nodes"))
+    return starts.join(many, ["scene", "node"]).select("scene", "input_ord", "nodes")
 
 
-@query(f"{CUT} SELECT input_ord, CASE state_cons WHEN 'cut_off' THEN '#d7191c' WHEN 'still_connected' THEN '#2ca25f' ELSE '#999999' END AS colour, 6 + least(building_count // 5, 8) AS radius, 8 + least(building_count / 4, 10) AS web_radius FROM x")
+@query(f"{CUT} SELECT scene, input_ord, CASE state_cons WHEN 'cut_off' THEN '#d7191c' WHEN 'still_connected' THEN '#2ca25f' ELSE '#999999' END AS colour, 6 + least(building_count // 5, 8) AS radius, 8 + least(building_count / 4, 10) AS web_radius FROM x")
 def map_markers(spark, d):
     s = Network(spark, d).states
-    return s.select("input_ord", X.marker_colour(F.col("state_cons")).alias("colour"), X.marker_radius(F.col("building_count")).alias("radius"), X.web_marker_radius(F.col("building_count")).alias("web_radius"))
+    return s.select("scene", "input_ord", X.marker_colour(F.col("state_cons")).alias("colour"), X.marker_radius(F.col("building_count")).alias("radius"), X.web_marker_radius(F.col("building_count")).alias("web_radius"))
 
 
 STEEP = """o AS (SELECT * FROM (VALUES (0, -1, 0), (1, 1, 0), (2, 0, -1), (3, 0, 1), (4, -1, -1), (5, -1, 1), (6, 1, -1), (7, 1, 1)) AS o(k, dr, dc)), d8 AS MATERIALIZED (SELECT p.scene, p.r, p.c, q.r AS nr, q.c AS nc FROM px p CROSS JOIN o JOIN px q ON q.scene = p.scene AND q.r = p.r + dr AND q.c = p.c + dc
@@ -224,14 +252,14 @@ def d8_pointer(spark, d):
 
 #: A source north of the grid, which is moved onto its edge.
 SOURCE = (85.32, 28.2)
-PATH = f"""{STEEP}, pa AS (SELECT DISTINCT scene, 0::BIGINT AS k, 0::BIGINT AS r, 32::BIGINT AS c FROM px UNION ALL SELECT d8.scene, k + 1, nr, nc FROM pa JOIN d8 ON d8.scene = pa.scene AND d8.r = pa.r AND d8.c = pa.c WHERE k < 1000),
+PATH = f"""{STEEP}, {GEO}, pa AS (SELECT scene, 0::BIGINT AS k, greatest(0, least(rows - 1, round_even((lat_max - {SOURCE[1]}) / {tables.PIXEL}::DOUBLE, 0)::BIGINT)) AS r, greatest(0, least(cols - 1, round_even(({SOURCE[0]} - lon_min) / {tables.PIXEL}::DOUBLE, 0)::BIGINT)) AS c FROM ge UNION ALL SELECT d8.scene, k + 1, nr, nc FROM pa JOIN d8 ON d8.scene = pa.scene AND d8.r = pa.r AND d8.c = pa.c WHERE k < 1000),
 pm AS (SELECT scene, k, r, c, sum(coalesce(sqrt((r - pr) * (r - pr) + (c - pc) * (c - pc)) * 30, 0)) OVER (PARTITION BY scene ORDER BY k) AS metres FROM (SELECT *, lag(r) OVER w AS pr, lag(c) OVER w AS pc FROM pa WINDOW w AS (PARTITION BY scene ORDER BY k)))"""
 
 
 def flow(spark, d, px: DataFrame) -> DataFrame:
-    at = vectors.locate(px.groupBy("scene").agg(F.max("r").alias("_r"), F.max("c").alias("_c")).withColumns({"lon": F.lit(SOURCE[0]), "lat": F.lit(SOURCE[1])}), *tables.GRID)
-    clamp = lambda x: F.greatest(F.lit(0), F.least(F.col(x), F.col(f"_{x}"))).cast("long")
-    return vectors.trace(raster.steepest(px), at.select("scene", clamp("r").alias("r"), clamp("c").alias("c")))
+    at = vectors.locate(tables.georeference(px).withColumns({"lon": F.lit(SOURCE[0]), "lat": F.lit(SOURCE[1])}))
+    clamp = lambda x, n: F.greatest(F.lit(0), F.least(F.col(x), F.col(n) - 1)).cast("long")
+    return vectors.trace(raster.steepest(px), at.select("scene", clamp("r", "rows").alias("r"), clamp("c", "cols").alias("c")))
 
 
 @query(f"WITH RECURSIVE {PX}, {PATH} SELECT scene, k, r, c, round(metres, 6) AS metres FROM pm")
@@ -245,11 +273,11 @@ def flow_overlap(spark, d):
     return vectors.flow_summary(flow(spark, d, px), px, "lib")
 
 
-@query(f"""WITH RECURSIVE {FINAL}, {PATH}, {CUSTOMERS}, bd AS (SELECT *, {RC.format('', '')} FROM cu), nn AS (SELECT osm_id, pm.scene, bd.r, bd.c, round_even(metres / 1000, 2) AS km FROM bd JOIN pm ON (pm.r - bd.r) * (pm.r - bd.r) + (pm.c - bd.c) * (pm.c - bd.c) <= 16
+@query(f"""WITH RECURSIVE {FINAL}, {PATH}, {CUSTOMERS}, bd AS ({covered('cu')}), nn AS (SELECT osm_id, pm.scene, bd.r, bd.c, round_even(metres / 1000, 2) AS km FROM bd JOIN pm ON pm.scene = bd.scene AND (pm.r - bd.r) * (pm.r - bd.r) + (pm.c - bd.c) * (pm.c - bd.c) <= 16
 QUALIFY row_number() OVER (PARTITION BY pm.scene, osm_id ORDER BY (pm.r - bd.r) * (pm.r - bd.r) + (pm.c - bd.c) * (pm.c - bd.c), k) = 1)
 SELECT scene, osm_id, km, lib AS in_flood, round(dem, 6) AS elevation, row_number() OVER (PARTITION BY scene ORDER BY km, osm_id) AS place FROM nn JOIN hz USING (scene, r, c)""")
 def flow_settlements(spark, d):
     px = _hazard(spark, d)
-    places = vectors.locate(tables.settlements(spark, d), *tables.GRID)
+    places = vectors.covered(tables.settlements(spark, d), tables.georeference(px))
     out = vectors.flow_settlements(flow(spark, d, px), places, px, "lib")
     return out.select("scene", "osm_id", "km", "in_flood", F.round("elevation", 6).alias("elevation"), F.col("place").cast("long").alias("place"))

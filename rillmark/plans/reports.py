@@ -15,8 +15,9 @@ from rillmark.sources import tables
 def _documents(spark, d):
     px = cut(final_masks(spark, d))
     flood = px.select("scene", "r", "c", "dem", "cons", "lib")
-    damage = vectors.damage_counts(exposure.buildings(spark, d, flood), exposure.roads(spark, d, flood))
-    counts = vectors.cutoff_counts(exposure.Network(spark, d, flood).states)
+    geo = tables.georeference(flood)
+    damage = vectors.damage_counts(exposure.buildings(spark, d, flood, geo), exposure.roads(spark, d, flood, geo))
+    counts = vectors.cutoff_counts(exposure.Network(spark, d, flood).states, ["scene"])
     pair = vectors.scene_pair(tables.scenes(spark, d), "1998-01-01").first()
     fallbacks = [] if pair and pair.fallback is None else ["no_s1_pair"]
     return cut(report.document(hazard_figures(px), damage, counts, flood_date="1998-01-01", fallbacks=fallbacks))
@@ -33,9 +34,9 @@ def _figures() -> str:
     parts = []
     for group, names in report.FIGURES.items():
         source = f"({ORACLE_SQL[{'hazard': 'hazard_area', 'damage': 'damage_stats', 'cutoff': 'cutoff_stats'}[group]]})"
-        if group == "cutoff":
-            source += " CROSS JOIN (SELECT unnest(range((max(vec_id) // 64 + 7) // 7)) AS scene FROM embeddings)"
-        columns = ", ".join(f"{c}::DOUBLE AS {group}_{c}" for c in names)
+        if group != "hazard":
+            source = f"(SELECT * FROM (SELECT unnest(range((max(vec_id) // 64 + 7) // 7)) AS scene FROM embeddings) LEFT JOIN {source} USING (scene))"
+        columns = ", ".join(f"coalesce({c}, 0)::DOUBLE AS {group}_{c}" for c in names)
         parts.append(f"SELECT scene, name, value FROM (UNPIVOT (SELECT scene, {columns} FROM {source}) ON {', '.join(f'{group}_{c}' for c in names)} INTO NAME name VALUE value)")
     return " UNION ALL ".join(parts)
 
@@ -125,6 +126,6 @@ def pair_reason(spark, d):
     return report.pair_reason(vectors.scene_pair(tables.scenes(spark, d), exposure.EXACT_DAY)).select("reason")
 
 
-@query(f"{exposure.CUT} SELECT input_ord, name, building_count, state_lib FROM x ORDER BY input_ord LIMIT 5")
+@query(f"{exposure.CUT} SELECT input_ord, name, building_count, state_lib FROM x WHERE scene = 0 ORDER BY input_ord LIMIT 5")
 def first_settlements(spark, d):
-    return report.first_settlements(exposure.Network(spark, d).states).select("input_ord", "name", "building_count", "state_lib")
+    return report.first_settlements(exposure.Network(spark, d).states.where("scene = 0")).select("input_ord", "name", "building_count", "state_lib")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillmark.sources.tables import CUSTOMER_AT, MEASURES, PART_AT, ROAD_KEY, SUPPLIER_AT
+from rillmark.sources.tables import CUSTOMER_AT, MEASURES, NORTH, PART_AT, PIXEL, ROAD_KEY, SUPPLIER_AT, WEST
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,7 +56,7 @@ fil AS MATERIALIZED (SELECT l.scene, l.mask, l.r, l.c FROM lay l LEFT JOIN ou US
 
 
 #: Labels of the pixels of fil.
-LABEL = """lb(scene, mask, r, c, label) USING KEY (scene, mask, r, c) AS (SELECT scene, mask, r, c, r * 1048576 + c FROM fil UNION
+LABEL = """lb(scene, mask, r, c, label) USING KEY (scene, mask, r, c) AS (SELECT scene, mask, r, c, r * 2147483648 + c FROM fil UNION
 SELECT b.scene, b.mask, b.r, b.c, min(a.label) FROM lb a CROSS JOIN o4 JOIN recurring.lb b ON b.scene = a.scene AND b.mask = a.mask AND b.r = a.r + dr AND b.c = a.c + dc WHERE a.label < b.label GROUP BY ALL)"""
 FINAL = f"""{MASKS}, {filled("SELECT scene, 'flood_cons' AS mask, r, c, fused_cons AS on FROM z UNION ALL SELECT scene, 'flood_lib', r, c, fused_lib FROM z UNION ALL SELECT scene, 'debris_cons', r, c, debris_cons FROM z UNION ALL SELECT scene, 'debris_lib', r, c, debris_lib FROM z")}, {LABEL},
 nw AS (SELECT DISTINCT p.scene, p.r, p.c FROM px p JOIN px k ON k.scene = p.scene AND k.river AND abs(k.r - p.r) + abs(k.c - p.c) <= 2),
@@ -82,7 +82,14 @@ def km(metres: str) -> str:
 
 
 CUSTOMERS = f"cu AS (SELECT c_custkey AS osm_id, c_name AS name, {CUSTOMER_AT[0].format('c_custkey')} AS lon, {CUSTOMER_AT[1].format('c_custkey')} AS lat, c_custkey % 50 AS building_count FROM customer)"
-#: Row and column of a point on the grid.
-RC = "round_even((28 - {0}lat) / 0.01::DOUBLE, 0)::BIGINT AS r, round_even(({0}lon - 85) / 0.01::DOUBLE, 0)::BIGINT AS c"
-ROADS = f"""rp AS (SELECT {ROAD_KEY} AS osm_id, CASE WHEN l_linestatus = 'O' THEN 'primary' ELSE 'secondary' END AS highway_type, floor(l_extendedprice)::BIGINT AS length, l_linenumber = 1 AS bridge,
+#: Each scene's grid.
+GEO = f"ge AS MATERIALIZED (SELECT scene, max(r) + 1 AS rows, max(c) + 1 AS cols, {WEST.format('scene')} AS lon_min, {NORTH.format('scene')} AS lat_max FROM px GROUP BY scene)"
+
+
+def covered(points: str) -> str:
+    """Points (lon, lat, ...) with the scenes on whose grids they lie, their rows and columns there."""
+    return f"SELECT * FROM (SELECT p.*, ge.scene, rows, cols, round_even((lat_max - lat) / {PIXEL}::DOUBLE, 0)::BIGINT AS r, round_even((lon - lon_min) / {PIXEL}::DOUBLE, 0)::BIGINT AS c FROM {points} p CROSS JOIN ge) WHERE r BETWEEN 0 AND rows - 1 AND c BETWEEN 0 AND cols - 1"
+
+
+ROADS = f"""rp AS (SELECT {" || '-' || ".join(ROAD_KEY)} AS osm_id, row_number() OVER (ORDER BY {", ".join(ROAD_KEY)}) AS ord, CASE WHEN l_linestatus = 'O' THEN 'primary' ELSE 'secondary' END AS highway_type, floor(l_extendedprice)::BIGINT AS length, l_linenumber = 1 AS bridge,
 {SUPPLIER_AT[0].format('l_suppkey')} AS x1, {SUPPLIER_AT[1].format('l_suppkey')} AS y1, {PART_AT[0].format('l_partkey')} AS x2, {PART_AT[1].format('l_partkey')} AS y2, 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem)"""

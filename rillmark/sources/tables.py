@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows and columns of a tile, and tiles of a scene.
 SIDE, BANDS = 64, 7
-#: West, north, pixel width and height of the grid in degrees.
-GRID = (85.0, 28.0, 0.01, 0.01)
+#: West and north of a scene's grid, and the width and height of its pixels, in degrees.
+WEST, NORTH, PIXEL = "(8490 + ({} * 7 % 11) * 5) / 100", "(2805 - ({} * 5 % 9) * 6) / 100", 0.01
 
 _FLOODED = "c between 28 and 36 and r between 15 and 49"
 _FAN = "c between 37 and 43 and r between 5 and 14"
@@ -55,6 +55,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("scene", "r", "c", *[F.expr(x).alias(n) for n, x in MEASURES.items()])
 
 
+def georeference(px: DataFrame) -> DataFrame:
+    """(scene, lon_min, lat_max, px_w, px_h, rows, cols): each scene's own grid."""
+    size = px.groupBy("scene").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))
+    return size.select("scene", F.expr(WEST.format("scene")).cast("double").alias("lon_min"), F.expr(NORTH.format("scene")).cast("double").alias("lat_max"), F.lit(PIXEL).alias("px_w"), F.lit(PIXEL).alias("px_h"), "rows", "cols")
+
+
 def _place(key: str, lon: str, lat: str) -> list:
     return [F.expr(lon.format(key)).alias("lon"), F.expr(lat.format(key)).alias("lat")]
 
@@ -65,17 +71,19 @@ PART_AT = ("85.0005 + ({} * 43 % 709) / 1000", "27.9995 - ({} * 31 % 719) / 1000
 CUSTOMER_AT = ("85 + ({} * 37 % 701) / 1000", "28 - ({} * 53 % 691) / 1000")
 
 
-#: One number for a line item: its order and line repeat, with part and supplier they do not.
-ROAD_KEY = "(l_orderkey * 8 + l_linenumber) * 4294967296 + (l_partkey * 2048 + l_suppkey) % 4294967296"
+#: The columns that name a line item, and their order in the input: order and line repeat, with part
+#: and supplier they do not.
+ROAD_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """input_ord, osm_id, highway_type, length_m, is_bridge, points: a road per line item, in whole metres."""
+    """input_ord, osm_id, highway_type, length_m, is_bridge, points: a road per line item, in whole
+    metres. input_ord is a struct and osm_id a text, so keys of any size stay apart."""
     ends = [f"struct(cast({a} as double) as lon, cast({b} as double) as lat)" for a, b in ((SUPPLIER_AT[0].format("l_suppkey"), SUPPLIER_AT[1].format("l_suppkey")), (PART_AT[0].format("l_partkey"), PART_AT[1].format("l_partkey")))]
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_linestatus", F.expr(ends[0]).alias("s"), F.expr(ends[1]).alias("p"))
     return li.select(
-        F.expr(ROAD_KEY).alias("input_ord"),
-        F.expr(ROAD_KEY).alias("osm_id"),
+        F.struct(*ROAD_KEY).alias("input_ord"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ROAD_KEY]).alias("osm_id"),
         F.expr("case when l_linestatus = 'O' then 'primary' else 'secondary' end").alias("highway_type"),
         F.floor("l_extendedprice").cast("double").alias("length_m"),
         F.expr("l_linenumber = 1").alias("is_bridge"),

@@ -1,10 +1,16 @@
+import re
+
 import __spark_entry__
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rillmark.functions import expressions as X
-from rillmark.operators import graph, hazard, ingest, raster, report, segments, vectors
+from rillmark.operators import checkpoints, graph, hazard, ingest, raster, report, segments, vectors
+from rillmark.sources import tables
+
+
+GEO = "scene long, lon_min double, lat_max double, px_w double, px_h double, rows long, cols long"
 
 
 def grid(spark, n, fill):
@@ -64,7 +70,7 @@ def test_flow_path_settlements(spark):
     px = grid(spark, 20, lambda r, c: (1000.0 - 10 * r, False, 10 <= r <= 14 and c == 10))
     path = vectors.trace(raster.steepest(px), px.where("r = 0 and c = 10"))
     assert tuple(vectors.flow_summary(path, px, "mask").first()) == (0, 0.57, 0.25)
-    places = spark.createDataFrame([(2, 1, 15, 10), (1, 0, 5, 10), (3, 2, 5, 19)], "osm_id long, input_ord long, r long, c long")
+    places = spark.createDataFrame([(0, 2, 1, 15, 10), (0, 1, 0, 5, 10), (0, 3, 2, 5, 19), (1, 4, 3, 5, 10)], "scene long, osm_id long, input_ord long, r long, c long")
     out = sorted(map(tuple, vectors.flow_settlements(path, places, px, "mask").select("place", "osm_id", "km", "in_flood", "elevation").collect()))
     assert out == [(1, 1, 0.15, False, 950.0), (2, 2, 0.45, False, 850.0)]
 
@@ -77,7 +83,7 @@ def test_components_holes_and_size(spark):
     px = grid(spark, 10, ring)
     for tile in (128, 3):
         labels = {(x.r, x.c): x.label for x in graph.label(px.where("mask"), tile=tile).collect()}
-        assert set(labels.values()) == {2 << 20 | 2, 9 << 20 | 9} and len(labels) == 17
+        assert set(labels.values()) == {2 << 31 | 2, 9 << 31 | 9} and len(labels) == 17
     filled = graph.fill_holes(px, "mask")
     assert filled.where("mask_filled").count() == 26
     assert graph.keep_components(filled, "mask_filled", "kept", min_size=8).where("kept").count() == 25
@@ -123,21 +129,82 @@ def test_fusion(spark):
     assert hazard.fuse(edge, ["mask"]).where("mask_fused").count() == 625  # at the limit counts as wet
 
 
+def test_points_meet_the_scenes_that_cover_them(spark):
+    r = np.random.default_rng(6)
+    scenes = [(k, float(x), float(y), float(w), float(w), int(h), int(n)) for k, (x, y, w, h, n) in enumerate(zip(r.uniform(80, 82, 40), r.uniform(20, 22, 40), r.choice([0.01, 0.003, 0.2], 40), r.integers(1, 30, 40), r.integers(1, 30, 40), strict=True))]
+    scenes.append((40, 80.0, 21.0, 0.5, 0.5, 2, 2))
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(zip(r.uniform(79.5, 83, 300), r.uniform(19, 22.5, 300), strict=True))] + [(300, 79.75, 21.25), (301, 80.75, 20.25), (302, 80.7500001, 20.5)]
+    want = sorted((k, s, round((top - y) / w), round((x - west) / w)) for k, x, y in points for s, west, top, w, _, h, n in scenes if 0 <= round((top - y) / w) < h and 0 <= round((x - west) / w) < n)
+    got = vectors.covered(spark.createDataFrame(points, "osm_id long, lon double, lat double"), spark.createDataFrame(scenes, GEO))
+    assert sorted((x.osm_id, x.scene, x.r, x.c) for x in got.collect()) == want and {w[0] for w in want} >= {300, 301}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_roads_and_labels_of_any_size_stay_apart(spark, tmp_path):
+    big = [(2**31 + o, line, 2_000_000 + p, 100_000 - s, 10.5, "O") for o in range(3) for line in (1, 2) for p in range(2) for s in range(3)]
+    spark.createDataFrame(big, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    roads = tables.roads(spark, str(tmp_path)).collect()
+    assert len({x.osm_id for x in roads}) == len({tuple(x.input_ord) for x in roads}) == len(big)
+    assert [x.osm_id for x in sorted(roads, key=lambda x: tuple(x.input_ord))][0] == "2147483648-1-2000000-99998"
+    far = 2**21 + 5
+    px = spark.createDataFrame([(0, 0, far), (0, 1, far), (0, 1, 5), (0, 3, 1), (0, 2**21, far)], "scene long, r long, c long")
+    labels = {(x.r, x.c): x.label for x in graph.label(px).collect()}
+    assert labels == {(0, far): far, (1, far): far, (1, 5): 2**31 + 5, (3, 1): 3 * 2**31 + 1, (2**21, far): 2**52 + far}
+
+
+def test_no_round_shuffles_the_edges(spark):
+    edges = spark.createDataFrame([("x", i, i + 1, 1) for i in range(300)], "layer string, a long, b long, length long").withColumn("_h", F.xxhash64("layer", "a"))
+    both = checkpoints.bucketed(edges, "_h")
+    front = spark.createDataFrame([("x", 5, 0), ("x", 7, 2)], "layer string, node long, dist long")
+    for few in (True, False):
+        out = graph.reached(front, both, ["layer"], few)
+        assert sorted(map(tuple, out.collect())) == [("x", 6, 1), ("x", 8, 3)]
+        tree = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        # what stands between the join and the scan of the edges, which are its left side
+        left = re.search(r"Join.*?FileScan parquet[^\n]*", tree, re.DOTALL)[0]
+        assert "Exchange" not in left and "Bucketed: true" in left
+        assert few == ("BroadcastHashJoin" in tree)
+    checkpoints.forget(both)
+    assert not spark.catalog.tableExists(both._table)
+
+
+def test_steepest_neighbour_equals_brute_force_and_copies_no_pixel(spark):
+    r = np.random.default_rng(8)
+    dem = r.integers(0, 6, (9, 7)).astype(float)
+    rows = [(s, a if a < 5 else a + 2, b, float(dem[a, b]) + s) for s in (0, 1) for a in range(9) for b in range(7)]  # rows 5 and 6 are missing
+    px = spark.createDataFrame(rows, "scene long, r long, c long, dem double")
+    at = {(s, a, b): z for s, a, b, z in rows}
+    want = []
+    for (s, a, b), z in at.items():
+        best = None
+        for da, db in ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)):
+            to = at.get((s, a + da, b + db))
+            fall = (z - to) / (30 if not da or not db else 1.4142 * 30) if to is not None else 0
+            if fall > 0 and (best is None or fall > best[0]):
+                best = (fall, a + da, b + db)
+        if best:
+            want.append((s, a, b, *best[1:]))
+    out = raster.steepest(px)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_damage_classes(spark):
     df = spark.createDataFrame([(0.85, False), (0.2, False), (0.01, False), (0.01, True), (0.0, True)], "o double, b boolean")
     assert [r[0] for r in df.select(X.damage_class(F.col("o"), F.col("b"))).collect()] == ["likely_hit", "possibly_hit", "not_hit", "possibly_hit", "not_hit"]
 
 
 def test_damage_of_buildings_roads_and_bridges(spark):
-    at = (85.0, 28.0, 0.01, 0.01)
+    geo = spark.createDataFrame([(0, 85.0, 28.0, 0.01, 0.01, 10, 10)], GEO)
     px = grid(spark, 10, lambda r, c: (0.0, False, r == 5)).withColumnRenamed("mask", "cons").withColumn("lib", F.col("r").isin(4, 5))
     houses = spark.createDataFrame([(101, 85.05, 27.95), (102, 85.05, 27.99), (103, 85.05, 27.97), (104, 80.0, 20.0)], "osm_id long, lon double, lat double")
-    b = vectors.classify(vectors.window_overlap(vectors.locate(houses, *at), px, ["cons", "lib"]), ["cons", "lib"], F.lit(False))
-    assert sorted((x.osm_id, x.cons_class, x.lib_class, round(x.lib_overlap, 4)) for x in b.collect()) == [(101, "likely_hit", "likely_hit", 1.0), (102, "not_hit", "not_hit", 0.0), (103, "not_hit", "possibly_hit", 0.3333), (104, "not_hit", "not_hit", 0.0)]
+    b = vectors.classify(vectors.window_overlap(houses, px, geo, ["cons", "lib"]), ["cons", "lib"], F.lit(False))
+    assert sorted((x.osm_id, x.cons_class, x.lib_class, round(x.lib_overlap, 4)) for x in b.collect()) == [(101, "likely_hit", "likely_hit", 1.0), (102, "not_hit", "not_hit", 0.0), (103, "not_hit", "possibly_hit", 0.3333)]
     schema = "osm_id long, length_m double, is_bridge boolean, points array<struct<lon: double, lat: double>>"
     ways = spark.createDataFrame([(1, 500.0, True, [(85.05, 27.95), (85.06, 27.95)]), (2, 900.0, False, [(85.05, 27.91), (99.0, 27.95)]), (3, 100.0, False, [(99.0, 0.0)]), (4, 1.0, True, [])], schema)
-    w = vectors.classify(vectors.road_overlap(ways, px, at, ["cons", "lib"]), ["cons", "lib"], F.col("is_bridge"))
-    assert sorted((x.osm_id, x.lib_class) for x in w.collect()) == [(1, "likely_hit"), (2, "not_hit"), (3, "not_hit"), (4, "not_hit")]
+    w = vectors.classify(vectors.road_overlap(ways, px, geo, ["cons", "lib"]), ["cons", "lib"], F.col("is_bridge"))
+    assert sorted((x.osm_id, x.lib_class) for x in w.collect()) == [(1, "likely_hit"), (2, "not_hit")]  # no scene covers the others
     n = vectors.damage_counts(b, w).first()
     assert (n.likely_cons, n.likely_lib, n.possibly_lib, n.road_km_cons, n.road_km_lib, n.bridges_likely, n.bridges_possibly) == (1, 1, 1, 0.5, 0.5, 1, 0)
 
@@ -146,7 +213,7 @@ def test_road_graph_keeps_the_last_of_parallel_roads(spark):
     schema = "input_ord long, osm_id long, length_m double, points array<struct<lon: double, lat: double>>"
     roads = spark.createDataFrame([(0, 7, 5.0, [(1.0, 1.0), (2.0, 2.0)]), (1, 8, 9.0, [(2.0, 2.0), (5.0, 5.0), (1.0, 1.0)]), (2, 9, 1.0, [(3.0, 3.0)])], schema)
     assert [(x.osm_id, x.length) for x in segments.road_graph(roads).collect()] == [(8, 9)]
-    assert sorted((x.node.lon, x.node_ord) for x in segments.road_nodes(roads).collect()) == [(1.0, 0), (2.0, 1)]
+    assert sorted((x.node.lon, *x.node_ord) for x in segments.road_nodes(roads).collect()) == [(1.0, 0, 0), (2.0, 0, 1)]
 
 
 def network(spark):
