@@ -47,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, with their ids and their places in sequences."""
-    return packing.pack(docs, capacity=2048, **TOKENIZER)
+    return packing.pack(docs, capacity=2048, keep_ids=True, **TOKENIZER)
 
 
 STAGES = [
