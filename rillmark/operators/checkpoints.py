@@ -17,6 +17,11 @@ def _shared(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def shared(spark: SparkSession) -> str:
+    """A new folder name in the shared folder."""
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once and read again. `forget` removes them when nothing reads them any more."""
     spark = df.sparkSession

@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import datetime
+import fnmatch
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillmark.sources.npy import opened
+
+#: Bytes of a file that a task holds.
+CHUNK = 1 << 20
 #: Fixed value: optical scenes with more cloud (per cent) are left out.
 MAX_CLOUD = 35.0
 
@@ -43,9 +52,22 @@ def cache_key(west: Column, south: Column, east: Column, north: Column, day: Col
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length, sha256) of files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of files of any size, empty ones too: the driver lists names, a task opens its
+    files one after another and holds a chunk. Names and bytes come through pyarrow's file systems."""
+    system, top = opened(path)
+    found = [(f.path, f.size) for f in system.get_file_info(fs.FileSelector(top, recursive=True)) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern)]
+    files = spark.createDataFrame(found, "path string, length long")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                digest = hashlib.sha256()
+                with opened(path)[0].open_input_stream(one) as f:
+                    while chunk := f.read(CHUNK):
+                        digest.update(chunk)
+                yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([length], pa.int64()), pa.array([digest.hexdigest()])], names=["path", "length", "sha256"])
+
+    return files.repartition("path").mapInArrow(work, "path string, length long, sha256 string")
 
 
 def cloud_gate(scenes: DataFrame, cloud: str = "cloud_cover", most: float = MAX_CLOUD) -> DataFrame:

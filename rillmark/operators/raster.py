@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillmark.functions import counters
+
 
 def _along(axis: str) -> WindowSpec:
     """A pixel's row in the order of its columns (axis c), or its column in the order of its rows."""
@@ -189,3 +191,18 @@ def flipped(px: DataFrame, axis: str) -> DataFrame:
     """Each scene mirrored along an axis."""
     last = px.groupBy("scene").agg(F.max(axis).alias("_last"))
     return px.join(last, "scene").withColumn(axis, F.col("_last") - F.col(axis)).drop("_last")
+
+
+def augment(px: DataFrame, radar: list[str], seed: int, deviation: float = 0.5) -> DataFrame:
+    """Each scene mirrored along rows and along columns with even chances, turned by 0 to 3 quarters, and
+    with an even chance of normal noise on its radar bands. Chances follow from seed and scene, noise from
+    seed, scene, the pixel's new place and the band, whatever the partitions."""
+    chance = lambda kind: counters.uniform(seed, F.col("scene"), F.lit(kind))
+    size = px.groupBy("scene").agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
+    x = px.join(size.withColumns({"_k": F.floor(chance("turns") * 4), "_fr": chance("rows") > 0.5, "_fc": chance("columns") > 0.5, "_noisy": chance("noise") > 0.5}), "scene")
+    h, w, k = F.col("_h"), F.col("_w"), F.col("_k")
+    x = x.withColumns({"r": F.when(F.col("_fr"), h - 1 - F.col("r")).otherwise(F.col("r")), "c": F.when(F.col("_fc"), w - 1 - F.col("c")).otherwise(F.col("c"))})
+    r, c = F.col("r"), F.col("c")
+    x = x.withColumns({"r": F.when(k == 0, r).when(k == 1, w - 1 - c).when(k == 2, h - 1 - r).otherwise(c), "c": F.when(k == 0, c).when(k == 1, r).when(k == 2, w - 1 - c).otherwise(h - 1 - r)})
+    noise = {b: F.when(F.col("_noisy"), F.col(b) + deviation * counters.normal(seed, F.col("scene"), F.col("r"), F.col("c"), F.lit(b))).otherwise(F.col(b)) for b in radar}
+    return x.withColumns(noise).drop("_h", "_w", "_k", "_fr", "_fc", "_noisy")

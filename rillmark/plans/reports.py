@@ -113,12 +113,6 @@ def content_hashes(spark, d):
     return p.select("page_id", F.octet_length("html").cast("long").alias("length"), F.sha2("html", 256).alias("sha256"))
 
 
-@query(None)
-def input_hashes(spark, d):
-    """SHA-256 of the input files."""
-    return ingest.file_hashes(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
-
-
 @query("""WITH s AS (SELECT o_orderkey AS ord, o_custkey AS orbit, o_orderpriority AS dir, o_orderdate::DATE AS day FROM orders), p AS (SELECT a.orbit, a.ord AS pre_ord, b.ord AS post_ord, b.day - a.day AS gap, a.day AS pd, b.day AS qd
 FROM s a JOIN s b ON a.orbit = b.orbit AND a.dir = b.dir AND b.day - a.day BETWEEN 6 AND 12 AND a.day < DATE '1995-02-17' AND b.day >= DATE '1995-02-17')
 SELECT 'Selected scenes ' || pre_ord || ' and ' || post_ord || ' of orbit ' || orbit || ', ' || gap || ' days apart.' AS reason FROM p ORDER BY qd, post_ord, pd DESC, pre_ord LIMIT 1""")
