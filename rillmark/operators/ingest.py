@@ -84,10 +84,30 @@ def snapshot_counts(buildings: DataFrame, roads: DataFrame, hospitals: DataFrame
     return buildings.agg(F.count(F.lit(1)).alias("buildings")).crossJoin(r).crossJoin(hospitals.agg(F.count(F.lit(1)).alias("hospitals")))
 
 
-def request(body: Column) -> dict[str, Column]:
-    """Fields of a run request in JSON, with defaults for what it lacks or cannot be read."""
-    x = F.from_json(body, "bbox string, date string, k long, baseline boolean")
-    return {"bbox": F.coalesce(x["bbox"], F.lit("85.2,27.9,85.4,28.1")), "day": F.coalesce(F.to_date(F.try_to_timestamp(x["date"])), F.lit("2026-08-26").cast("date")), "k": F.coalesce(x["k"], F.lit(0)), "baseline": F.coalesce(x["baseline"], F.lit(False))}
+def request(body: Column) -> Column:
+    """A run request in JSON as a struct: west, south, east, north, flood_date, use_baseline, with defaults
+    for what it lacks, and refused: whether it is no JSON object or has a day that cannot be read."""
+    x = F.from_json(body, "bbox struct<west: double, south: double, east: double, north: double>, flood_date string, use_baseline boolean, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    day = F.to_date(F.try_to_timestamp(x["flood_date"], F.lit("yyyy-MM-dd")))
+    default = {"west": 85.2, "south": 27.9, "east": 85.4, "north": 28.1}
+    sides = [F.coalesce(x["bbox"][k], F.lit(v)).alias(k) for k, v in default.items()]
+    refused = body.isNull() | x["_bad"].isNotNull() | (x["flood_date"].isNotNull() & day.isNull())
+    return F.struct(*sides, F.coalesce(day, F.lit("2026-08-26").cast("date")).alias("flood_date"), F.coalesce(x["use_baseline"], F.lit(False)).alias("use_baseline"), F.coalesce(refused, F.lit(True)).alias("refused"))
+
+
+def scene_box(geo: DataFrame) -> DataFrame:
+    """(scene, bbox): the outer edges of each scene's pixels."""
+    west, north = F.col("lon_min") - F.col("px_w") / 2, F.col("lat_max") + F.col("px_h") / 2
+    east, south = F.col("lon_min") + (F.col("cols") - 0.5) * F.col("px_w"), F.col("lat_max") - (F.col("rows") - 0.5) * F.col("px_h")
+    return geo.select("scene", F.struct(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north")).alias("bbox"))
+
+
+def dem_tiles(geo: DataFrame) -> DataFrame:
+    """(scene, tile): the terrain tiles of one degree, named by their south-west corner, that a scene touches."""
+    side = lambda a, b: F.sequence(F.floor(f"bbox.{a}"), F.floor(f"bbox.{b}"))
+    corner = scene_box(geo).withColumn("x", F.explode(side("west", "east"))).withColumn("y", F.explode(side("south", "north")))
+    name = lambda x, plus, minus, n: F.concat(F.when(F.col(x) >= 0, plus).otherwise(minus), F.lpad(F.abs(x).cast("string"), n, "0"))
+    return corner.select("scene", F.concat(name("y", "N", "S", 2), F.lit("_"), name("x", "E", "W", 3)).alias("tile"))
 
 
 def setting(config: Column, path: str) -> Column:
@@ -98,13 +118,3 @@ def setting(config: Column, path: str) -> Column:
 def acquisition_day(*columns: str) -> Column:
     """The day of the first of several time columns that is set."""
     return F.to_date(F.coalesce(*map(F.col, columns)))
-
-
-def read_results(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Results documents, one JSON object a line or a file."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
-
-
-def write_results(documents: DataFrame, path: str) -> None:
-    """A JSON object a line."""
-    documents.write.json(path)
