@@ -41,12 +41,12 @@ PIECE = 1 << 19
 #: Small documents that are sorted together, of as many whole groups as fill a table.
 TABLE = 8192
 #: Different small documents of a group that is sorted as it is; larger groups are split.
-GROUP = 4096
+GROUP = 1024
 #: Keys of texts that a task remembers, to read copies once.
 SEEN = 1 << 18
 #: Columns of starts that one small document spans after the first, second, ... split of its group.
 #: After the last one all small documents of a group are equal.
-WIDTHS = (24, 1)
+WIDTHS = (48, 1)
 #: What stands between blanks is a word.
 WORD = word_table(b" \t\n\v\f\r")
 _U = np.uint64
