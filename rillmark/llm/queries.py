@@ -114,4 +114,13 @@ b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, b.j, coalesce((s - ((s % n) + n) % n)
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) FROM b{rounds}) AS codebooks_sha256 FROM c JOIN v USING (i)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op11_ranked_search": _SEARCH, "op12_vector_codes": _codes_sql()}
+_LEAKS = r"""WITH d AS MATERIALIZED (SELECT doc_id, {words} AS w FROM documents), i AS (SELECT item_id, {words} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+h AS MATERIALIZED (SELECT doc_id, p, k, item_id FROM dw JOIN iw USING (k, g)), n AS (SELECT doc_id, count(DISTINCT q)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""".format(
+    words=r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": _LEAKS, "op11_ranked_search": _SEARCH, "op12_vector_codes": _codes_sql()}

@@ -130,19 +130,20 @@ def features(text: bytes, toxic, ordinary) -> list[float]:
     return [d.max(), top.mean(), d.mean(), *((d >= k).mean() for k in (2, 3, 4, 5)), math.log1p((d >= 4).sum()), math.log(len(d))]
 
 
-def fit(rows: list[tuple[bytes, int]], prior: float) -> Model:
-    """A model from texts and labels; `prior` is the share of toxic rows that the scores assume."""
+def fit(rows: list[tuple[bytes, int]], prior: float, *, most_runs: int = RUNS, repeats: int = REPEATS, common_windows: int = COMMON_WINDOWS, ordinary_windows: int = ORDINARY_WINDOWS) -> Model:
+    """A model from texts and labels; `prior` is the share of toxic rows that the scores assume. The
+    dictionaries take at most `most_runs` telling runs, each `repeats` times, and so many windows."""
     r = random.Random(11)
     toxic, plain = (_originals([b" " + t.lower() + b" " for t, y in rows if y == k]) for k in (1, 0))
     runs = _passages(toxic, plain) if toxic else Counter()
-    common = [(t, n) for t, n in sorted(runs.items(), key=lambda x: (-x[1], x[0]))[:RUNS] if n >= 3]
+    common = [(t, n) for t, n in sorted(runs.items(), key=lambda x: (-x[1], x[0]))[:most_runs] if n >= 3]
     # a run repeated to the length of a dictionary's segment, as often as it counts
-    samples = [t * (1 + 24 // len(t)) for t, n in common for _ in range(min(n, REPEATS))]
+    samples = [t * (1 + 24 // len(t)) for t, n in common for _ in range(min(n, repeats))]
     special = _dictionary(samples * max(1, 4000 // max(1, len(samples))), 4096, 12) if samples else b""
     parts = [w for t in plain for w in windows(t)]
     r.shuffle(parts)
-    base = _dictionary(parts[:COMMON_WINDOWS], 2048)
-    usual = _dictionary(parts[-ORDINARY_WINDOWS:], 4096, 12)[-len(special) :] if special else b""
+    base = _dictionary(parts[:common_windows], 2048)
+    usual = _dictionary(parts[-ordinary_windows:], 4096, 12)[-len(special) :] if special else b""
     n = len(features(b"", *Model(base, base, *[np.zeros(0)] * 3).compressors()))
     model = Model(base + special, base + usual, np.zeros(n), np.ones(n), np.zeros(n + 1))
     if not toxic or not plain:
@@ -162,9 +163,10 @@ def fit(rows: list[tuple[bytes, int]], prior: float) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, **bounds: int) -> Model:
     """A model from at most `sample_rows` rows of each label. Twice as many labels are drawn first,
-    by a hash of their ids, and only their texts are read; null texts and labels are left out."""
+    by a hash of their ids, and only their texts are read; null texts and labels are left out. `bounds`
+    are those of `fit`."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_labelled"), F.col(label_col).cast("int").alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     got = []
@@ -173,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         texts = docs.where(F.length(text_col) <= sample_chars).join(F.broadcast(drawn), F.col(id_col) == F.col("_labelled")).select(F.col(text_col).alias("t"))
         got += [(r["t"].encode(), y) for r in texts.orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect()]
     total = sum(counts.values())
-    return fit(got, counts.get(1, 0) / total if total else 0.0)
+    return fit(got, counts.get(1, 0) / total if total else 0.0, **bounds)
 
 
 def score_texts(docs: DataFrame, model: Model, *, keep: list[Column] | None = None, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
