@@ -233,3 +233,24 @@ def metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def disagreement(pred: Column, ref: Column) -> Column:
     """0 where both agree, 1 where the prediction misses the reference, 2 where it exceeds it."""
     return F.when(~pred & ref, 1).when(pred & ~ref, 2).otherwise(0)
+
+
+def ground() -> Column:
+    """Kind of ground of a pixel with slope_deg, distance_m and shadow."""
+    return F.when(F.col("slope_deg").isNull(), "not covered").when(F.col("shadow"), "shadow").when((F.col("slope_deg") <= 5) & (F.col("distance_m") <= 300), "valley floor").when(F.col("slope_deg") > 18, "steep gorge").otherwise("slope")
+
+
+def compare(px: DataFrame, reference: DataFrame) -> DataFrame:
+    """By scene and kind of ground the agreement of px (scene, r, c, pred, terrain) with a separate raster
+    (scene, r, c, ref), as `metrics` has it, and how many pixels no prediction or no reference covers. A
+    pixel that either leaves out is no agreement and no error."""
+    both = px.select("scene", "r", "c", "pred", "slope_deg", "distance_m", "shadow").join(reference, ["scene", "r", "c"], "full")
+    own = both.select("scene", ground().alias("ground"), "pred", "ref")
+    gaps = own.groupBy("scene", "ground").agg(F.count_if(F.col("pred").isNull()).alias("no_prediction"), F.count_if(F.col("ref").isNull()).alias("no_reference"))
+    return metrics(own, ["scene", "ground"]).join(gaps, ["scene", "ground"])
+
+
+def gates(measured: DataFrame, *, iou: float = 0.6, seconds: float = 1800.0) -> DataFrame:
+    """Adds iou_met, runtime_met and passed to rows with iou and total_runtime_s; a null meets no gate."""
+    met = measured.withColumns({"iou_met": F.coalesce(F.col("iou") >= iou, F.lit(False)), "runtime_met": F.coalesce(F.col("total_runtime_s") < seconds, F.lit(False))})
+    return met.withColumn("passed", F.col("iou_met") & F.col("runtime_met"))

@@ -265,16 +265,33 @@ def focal_dice_loss(spark, d):
     return g.select("scene", _r("f").alias("focal"), _r("g").alias("dice"), _r(F.col("f") + F.col("g")).alias("loss"), F.bround(X.ratio(F.col("i"), F.col("u"), 1.0), 4).alias("flood_iou"))
 
 
-@query("""WITH g AS (SELECT i // 64 AS r, i % 64 AS c FROM range(4096) AS x(i)) SELECT r, c, 800.0::DOUBLE + (64 - r) * 15 + abs(c - 32) * 25 AS dem, c IN (31, 32) AS river FROM g""")
+@query(f"WITH {PX} SELECT scene, r, c, 800.0::DOUBLE + (64 - r) * 15 + abs(c - 32) * 25 AS plain, round(dem - (800.0::DOUBLE + (64 - r) * 15 + abs(c - 32) * 25), 6) AS difference FROM px")
 def synthetic_terrain(spark, d):
-    """The valley of the trial run: a plane to the south with walls beside a river."""
-    g = spark.range(64 * 64).select(F.expr("id div 64").alias("r"), (F.col("id") % 64).alias("c"))
-    return g.select("r", "c", F.expr("800D + (64 - r) * 15 + abs(c - 32) * 25").alias("dem"), F.col("c").isin(31, 32).alias("river"))
+    """The valley of the trial run, a plane to the south with walls beside a river, under every pixel, and
+    how far the terrain lies above it."""
+    plain = F.expr("800D + (64 - r) * 15 + abs(c - 32) * 25")
+    return tables.pixels(spark, d).select(*AT, plain.alias("plain"), _r(F.col("dem") - plain).alias("difference"))
 
 
-@query("""WITH t AS (SELECT i // 4096 AS tile, i // 64 % 64 AS r, i % 64 AS c FROM range(40960) AS x(i)) SELECT 'tile_' || tile AS tile_id, 'basin_' || tile % 3 AS region, count_if(r BETWEEN 20 AND 44 AND c BETWEEN 28 AND 35)::BIGINT AS flooded FROM t GROUP BY tile""")
+@query("""WITH t AS (SELECT vec_id // 64 AS tile, vec_id % 64 AS r, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT 'tile_' || tile AS tile_id, 'basin_' || tile % 3 AS region, count_if(r BETWEEN 10 AND 39 AND c BETWEEN 34 AND 43)::BIGINT AS flooded, count_if(c BETWEEN 31 AND 33)::BIGINT AS river, round(avg(x) FILTER (r BETWEEN 10 AND 39 AND c BETWEEN 34 AND 43), 6) AS mean FROM t GROUP BY tile""")
 def synthetic_tiles(spark, d):
-    """Ten tiles of three regions with a flooded box; regions are the units of a geographic hold-out."""
-    t = spark.range(10 * 4096).select(F.expr("id div 4096").alias("tile"), F.expr("id div 64 % 64").alias("r"), (F.col("id") % 64).alias("c"))
-    flooded = F.col("r").between(20, 44) & F.col("c").between(28, 35)
-    return t.groupBy("tile").agg(F.count_if(flooded).alias("flooded")).select(F.concat(F.lit("tile_"), F.col("tile")).alias("tile_id"), F.concat(F.lit("basin_"), F.col("tile") % 3).alias("region"), "flooded")
+    """The trial's flooded box and river laid over every tile of vectors, in three regions that are the units
+    of a geographic hold-out: their pixels and the mean value in the box."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.expr("vec_id div 64").alias("tile"), (F.col("vec_id") % 64).alias("r"), F.posexplode("embedding").alias("c", "x"))
+    box = F.expr("r between 10 and 39 and c between 34 and 43")
+    g = e.groupBy("tile").agg(F.count_if(box).alias("flooded"), F.count_if(F.col("c").between(31, 33)).alias("river"), _r(F.avg(F.when(box, F.col("x").cast("double")))).alias("mean"))
+    return g.select(F.concat(F.lit("tile_"), F.col("tile")).alias("tile_id"), F.concat(F.lit("basin_"), F.col("tile") % 3).alias("region"), "flooded", "river", "mean")
+
+
+_GROUND = "CASE WHEN slope_deg IS NULL THEN 'not covered' WHEN shadow THEN 'shadow' WHEN slope_deg <= 5 AND distance_m <= 300 THEN 'valley floor' WHEN slope_deg > 18 THEN 'steep gorge' ELSE 'slope' END"
+
+
+@query(f"""WITH {FLOOD}, ref AS (SELECT vec_id // 448 AS scene, vec_id % 64 + 6 AS r, c + 9 AS c, c BETWEEN 20 AND 30 AND vec_id % 64 BETWEEN 8 AND 44 AND x > -0.05 AS ref FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id // 64 % 7 = 2)),
+j AS (SELECT coalesce(fl.scene, ref.scene) AS scene, {_GROUND} AS ground, flood_lib AS pred, ref FROM fl FULL JOIN ref ON ref.scene = fl.scene AND ref.r = fl.r AND ref.c = fl.c),
+n AS (SELECT scene, ground, coalesce(count_if(pred AND ref), 0)::BIGINT AS tp, coalesce(count_if(pred AND NOT ref), 0)::BIGINT AS fp, coalesce(count_if(NOT pred AND ref), 0)::BIGINT AS fn, coalesce(count_if(NOT pred AND NOT ref), 0)::BIGINT AS tn, count_if(pred IS NULL)::BIGINT AS no_prediction, count_if(ref IS NULL)::BIGINT AS no_reference FROM j GROUP BY ALL)
+SELECT *, CASE WHEN tp + fp + fn = 0 THEN 1 ELSE round_even(tp / (tp + fp + fn), 4) END AS iou, CASE WHEN tp + fp = 0 THEN 0 ELSE round_even(tp / (tp + fp), 4) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE round_even(tp / (tp + fn), 4) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE round_even(2 * tp / (2 * tp + fp + fn), 4) END AS f1 FROM n""")
+def reference_comparison(spark, d):
+    """The detector against a reference raster of its own extent, by kind of ground: pixels that only one
+    of them covers are counted apart."""
+    px = hazard.threshold_flood(hazard.terrain(tables.pixels(spark, d)))
+    return vectors.compare(px.withColumn("pred", F.col("flood_lib")), tables.reference(spark, d))

@@ -55,6 +55,15 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("scene", "r", "c", *[F.expr(x).alias(n) for n, x in MEASURES.items()])
 
 
+def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scene, r, c, ref): a reference map of the flood, made from the third tile of each scene and moved by
+    six rows and nine columns, so that it covers other pixels than the scene does."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(f"vec_id div {SIDE} % {BANDS} = 2")
+    x = e.select(F.expr(f"vec_id div {SIDE * BANDS}").alias("scene"), (F.col("vec_id") % SIDE).alias("r"), F.posexplode("embedding").alias("c", "x"))
+    flooded = F.expr("c between 20 and 30 and r between 8 and 44 and cast(x as double) > -0.05")
+    return x.select("scene", (F.col("r") + 6).alias("r"), (F.col("c") + 9).cast("long").alias("c"), flooded.alias("ref"))
+
+
 def georeference(px: DataFrame) -> DataFrame:
     """(scene, lon_min, lat_max, px_w, px_h, rows, cols): each scene's own grid."""
     size = px.groupBy("scene").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"))

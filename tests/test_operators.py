@@ -267,6 +267,22 @@ def test_metrics(spark):
     assert dict(map(tuple, status.collect())) == {0: 4014, 1: 82}
 
 
+def test_comparison_with_a_reference_of_another_extent(spark):
+    px = spark.createDataFrame([(0, r, c, c < 2, 2.0 if r < 2 else 30.0, 100.0, (r, c) == (3, 3)) for r in range(4) for c in range(4)], "scene long, r long, c long, pred boolean, slope_deg double, distance_m double, shadow boolean")
+    ref = spark.createDataFrame([(0, r, c, c == 1) for r in range(1, 6) for c in range(1, 4)], "scene long, r long, c long, ref boolean")
+    out = {r.ground: r for r in vectors.compare(px, ref).collect()}
+    pick = lambda k: tuple(out[k][n] for n in ("tp", "fp", "fn", "tn", "no_prediction", "no_reference", "iou"))
+    assert pick("valley floor") == (1, 0, 0, 2, 0, 5, 1.0) and pick("steep gorge") == (2, 0, 0, 3, 0, 2, 1.0)
+    assert pick("shadow") == (0, 0, 0, 1, 0, 0, 1.0) and pick("not covered") == (0, 0, 0, 0, 6, 0, 1.0)
+    df = spark.createDataFrame([(0.6, 1799.9), (0.59, 1.0), (0.9, 1800.0), (None, 1.0), (0.9, None)], "iou double, total_runtime_s double")
+    assert [(r.iou_met, r.runtime_met, r.passed) for r in vectors.gates(df).collect()] == [(True, True, True), (False, True, False), (True, False, False), (False, True, False), (True, False, False)]
+
+
+def test_loose_pair_sentence(spark):
+    pair = spark.createDataFrame([(7, 1, 2, 40, "no_s1_pair"), (7, 1, 2, 6, None)], "orbit long, pre_ord long, post_ord long, gap int, fallback string")
+    assert [r.reason for r in report.pair_reason(pair).collect()] == ["Fallback to scenes 1 and 2 of orbit 7, 40 days apart.", "Selected scenes 1 and 2 of orbit 7, 6 days apart."]
+
+
 def test_numbers_of_a_report(spark):
     text = "<style>p{9px}</style><b>12.345</b> S1A_IW_77 run_5 2026-08-26 10:30 &nbsp; 7km a8 #3 1.5 42"
     got = spark.createDataFrame([(text,), (None,)], "t string").select(report.numbers(F.col("t")), report.invented(F.col("t"), F.array(F.lit(12.35)))).collect()
