@@ -46,7 +46,7 @@ GROUP = 1024
 SEEN = 1 << 18
 #: Columns of starts that one small document spans after the first, second, ... split of its group.
 #: After the last one all small documents of a group are equal.
-WIDTHS = (48, 1)
+WIDTHS = (40, 1)
 #: What stands between blanks is a word.
 WORD = word_table(b" \t\n\v\f\r")
 _U = np.uint64
@@ -328,6 +328,11 @@ def _split(df: DataFrame, length: int, width: int, words: bool) -> DataFrame:
     return df.mapInArrow(work, _RUNS)
 
 
+#: Sorted ranges x, those that meet or overlap as one.
+_TOGETHER = """aggregate(x, cast(array() as array<struct<lo: bigint, hi: bigint>>), (done, r) -> if(size(done) > 0 and r.lo <= try_element_at(done, -1).hi + 1,
+  concat(slice(done, 1, size(done) - 1), array(named_struct('lo', try_element_at(done, -1).lo, 'hi', greatest(try_element_at(done, -1).hi, r.hi)))), concat(done, array(r))))"""
+
+
 def _repeated(runs: DataFrame, texts: DataFrame, length: int, window: int, words: bool, group: int, widths: tuple[int, ...]) -> DataFrame:
     """k1, k2, lo, hi: the ranges of repeated starts of texts (k1, k2, _text), given their runs."""
     member = F.struct("k1", "k2", "p")
@@ -345,7 +350,9 @@ def _repeated(runs: DataFrame, texts: DataFrame, length: int, window: int, words
         parts = large.select(F.col("fp").alias("_k1"), F.col("ctx").bitwiseXOR(F.col("copy")).alias("_k2"), F.col("bytes").alias("_text"))
         inner = _repeated(_split(large, length, width, words), parts, length, width, words, group, widths[1:])
         lead = large.where("copy = 0").select(F.col("fp").alias("f"), F.col("ctx").alias("c"), F.expr(_LEAD).alias("lead"))
-        hits = hits.union(inner.join(lead, (F.col("k1") == F.col("f")) & (F.col("k2") == F.col("c"))).select("f", "c", F.expr("lo - lead"), F.expr("hi - lead")))
+        # classes are decided apart, and the last ones have one column each: their ranges are put together first
+        ranges = inner.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("x")).select("k1", "k2", F.explode(F.expr(_TOGETHER)).alias("x"))
+        hits = hits.union(ranges.join(lead, (F.col("k1") == F.col("f")) & (F.col("k2") == F.col("c"))).select("f", "c", F.expr("x.lo - lead"), F.expr("x.hi - lead")))
     hits = hits.toDF("f", "c", "first", "last")
     at = f"{_LO} + {_LEAD}"
     return runs.join(hits, (F.col("fp") == F.col("f")) & (F.col("ctx") == F.col("c"))).select("k1", "k2", F.expr(f"{at} + first").alias("lo"), F.expr(f"{at} + last").alias("hi"))
