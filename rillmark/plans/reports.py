@@ -105,7 +105,7 @@ def metric_map(spark, d):
 
 
 _FIVE = f"""SELECT *, row_number() OVER (PARTITION BY scene ORDER BY input_ord) AS place FROM {_sql('cutoff_states')} JOIN {_sql('priority_rank')} USING (scene, input_ord) JOIN (SELECT scene, input_ord, failed_segment FROM {_sql('failed_segment')}) USING (scene, input_ord) QUALIFY place <= 5"""
-_CELLS = "'<tr><td>#' || coalesce(nullif(priority_rank, 0), place) || '</td><td><b>' || name || '</b></td><td>' || building_count || '</td><td>' || coalesce(pre_km::VARCHAR, 'N/A')"
+_CELLS = "'<tr><td>' || coalesce(nullif(priority_rank, 0), place) || '</td><td><b>' || name || '</b></td><td>' || building_count || '</td><td>' || coalesce(pre_km::VARCHAR, 'N/A')"
 
 
 @query(f"SELECT scene, language, 0 AS errors, 0 AS invented, string_agg(CASE language WHEN 'en' THEN {_CELLS} || ' km</td><td>' || state_cons || '</td><td>' || coalesce(failed_segment, 'Road or bridge cut') || '</td></tr>' ELSE {_CELLS} || ' किमी</td><td>' || state_cons || '</td></tr>' END, '' ORDER BY place) AS places FROM ({_FIVE}) CROSS JOIN (SELECT unnest(['en', 'ne']) AS language) GROUP BY scene, language")
