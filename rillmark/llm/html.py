@@ -55,8 +55,9 @@ _KNOWN = re.compile(r"hidden|style|start|span|open", re.I)
 _DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-#: A tag, an id and classes without what would relate them to other elements.
-_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+#: What one element is asked for: a tag, ids, classes and attributes.
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[[^\[\]]*\])*)")
+_ASKED = re.compile(r"""\[\s*([\w-]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*)?\]""")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -195,34 +196,78 @@ def parse(html: str) -> Node:
     return root
 
 
+def _compound(text: str) -> tuple | None:
+    """Tag, ids, classes and attributes (name, operator, value) that a selector without blanks asks for;
+    None where it has what is not known here, as pseudo-classes."""
+    m = _SELECTOR.fullmatch(text)
+    if not m or not text:
+        return None
+    asked = [(x[1].lower(), x[2] or "", x[3] or x[4] or x[5] or "") for x in _ASKED.finditer(m[2])]
+    if len(asked) != m[2].count("["):
+        return None
+    marks = re.findall(r"([.#])([\w-]+)", _ASKED.sub("", m[2]))
+    return (m[1] or "*").lower(), [v for k, v in marks if k == "#"], {v for k, v in marks if k == "."}, asked
+
+
+def _has(a: dict[str, str], name: str, operator: str, value: str) -> bool:
+    if name not in a:
+        return False
+    own = a[name]
+    tests = {"": True, "=": own == value, "~=": value in own.split(), "^=": bool(value) and own.startswith(value), "$=": bool(value) and own.endswith(value), "*=": bool(value) and value in own, "|=": own == value or own.startswith(value + "-")}
+    return tests[operator]
+
+
+def _matches(parts: list[tuple], link: tuple | None) -> bool:
+    """Whether an element, given as (node, attributes, classes, parent's link), fits a selector's parts, each
+    with whether it must be the parent of the next; ancestors are tried from the nearest on."""
+    if link is None:
+        return False
+    node, a, own, above = link
+    (tag, ids, classes, asked), *_ = parts[-1]
+    if tag not in ("*", node.tag) or not own.issuperset(classes) or any(a.get("id") != i for i in ids) or not all(_has(a, *x) for x in asked):
+        return False
+    if len(parts) == 1:
+        return True
+    if parts[-2][1]:
+        return _matches(parts[:-1], above)
+    while above is not None:
+        if _matches(parts[:-1], above):
+            return True
+        above = above[3]
+    return False
+
+
 def _apply(root: Node, css: str) -> None:
-    """Display and visibility rules for single elements by tag, id and classes. Ids weigh more than
-    classes, those more than tags, later rules more than earlier ones, the style attribute most."""
+    """Display and visibility rules by tag, id, class and attribute, of elements and of their descendants and
+    children. Ids weigh more than classes and attributes, those more than tags, later rules more than earlier
+    ones, the style attribute most. Rules for all media and for screens count; selectors with
+    pseudo-classes or siblings, and rules under other conditions, are left out."""
     css = re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)
+    css = re.sub(r"@media\s+(?:only\s+)?(?:screen|all)\s*\{((?:[^{}]*\{[^{}]*\})*[^{}]*)\}", r"\1", css, flags=re.I)
     css = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^{};]*;", "", css)  # rules for some media only
     rules = []
     for selectors, body in _RULE.findall(css):
         if not (_DISPLAY.search(body) or _VISIBILITY.search(body)):
             continue
         for one in selectors.split(","):
-            one = one.strip()
-            if one and (m := _SELECTOR.fullmatch(one)):
-                marks = re.findall(r"([.#])([\w-]+)", m[2])
-                ids, classes = [v for k, v in marks if k == "#"], [v for k, v in marks if k == "."]
-                tag = (m[1] or "*").lower()
-                rules.append(((len(ids), len(classes), tag != "*"), len(rules), tag, ids, classes, body))
+            words = re.sub(r"\s*>\s*", " > ", one.strip()).split()
+            parts = [_compound(w) for w in words if w != ">"]
+            child = [words[i + 1 : i + 2] == [">"] for i, w in enumerate(words) if w != ">"]
+            if parts and None not in parts and words[0] != ">" and words[-1] != ">":
+                weight = (sum(len(p[1]) for p in parts), sum(len(p[2]) + len(p[3]) for p in parts), sum(p[0] != "*" for p in parts))
+                rules.append((weight, len(rules), list(zip(parts, child, strict=True)), body))
     if not rules:
         return
     rules.sort(key=lambda r: r[:2])
-    todo = [root]
+    todo: list[tuple[Node, tuple | None]] = [(root, None)]
     while todo:
-        node = todo.pop()
-        todo += [c for c in node.children if not isinstance(c, str)]
+        node, above = todo.pop()
         a = attributes_of(node.raw) if node.raw else {}
-        own = set(a.get("class", "").split())
+        link = (node, a, set(a.get("class", "").split()), above)
+        todo += [(c, link) for c in node.children if not isinstance(c, str)]
         touched = False
-        for _, _, tag, ids, classes, body in rules:
-            if tag in ("*", node.tag) and all(a.get("id") == i for i in ids) and own.issuperset(classes) and not (node.tag in HIDDEN and tag == "*"):
+        for _, _, parts, body in rules:
+            if _matches(parts, link) and not (node.tag in HIDDEN and parts[-1][0][0] == "*"):
                 node.style(body)
                 touched = True
         if touched and "style" in a:

@@ -119,3 +119,17 @@ def test_pages(spark):
     assert sorted((r.page_id or -1, r.title, r.text, r.n_lines, r.n_chars) for r in out if r.title) == [(1, "t", "a\n\nb", 3, 4)] * 2
     assert sorted((r.page_id or -1, r.text, r.n_lines) for r in out if not r.title) == [(-1, "x", 1), (2, "", 0), (3, "", 0)]
     assert html.extract(df.where("page_id > 5")).count() == 0
+
+
+def test_rules_for_descendants_children_attributes_and_screens():
+    page = """<style>.m .s{display:none} nav > ul li{display:none} [hidden-by~=css]{display:none} a[href^="http://ads"]{visibility:hidden} @media screen{.banner{display:none}} @media print{.p{display:none}}
+    @media screen and (max-width: 10px){.q{display:none}} div.x > .y{display:none} .z:hover .w{display:none} #one .s{display:block} .m
+    .deep
+    .er{display:none}</style>
+    <div class=m><p>stay1</p><p class=s>gone1</p><div><i class=s>gone2</i></div></div><p class=s>stay2</p>
+    <nav><ul><li>gone3<ul><li>gone4</li></ul></ul><div><ul><li>stay3</ul></div></nav><p hidden-by="a css b">gone5</p><p hidden-by=cssx>stay4</p>
+    <a href="http://ads.x">gone6</a><a href="http://x">stay5</a><div class=banner>gone7</div><p class=p>stay6</p><p class=q>stay7</p>
+    <div class=x><p class=y>gone8</p><section><p class=y>stay8</p></section></div><p class=z><b class=w>stay9</b></p>
+    <div id=one><div class=m><p class=s>stay10</p></div></div><div class=m><div class=deep><div><p class=er>gone9</p></div></div></div><div class=deep><p class=er>stay11</p></div>"""
+    shown = text(page)
+    assert re.findall(r"stay\d+", shown) == [f"stay{i}" for i in range(1, 12)] and "gone" not in shown
