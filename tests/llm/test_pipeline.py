@@ -84,6 +84,12 @@ def test_packing_holds_every_token_once(spark):
     rows = [*awkward(), (50, prose(9, 3000), "en", "s", 0)]
     out = corpus_pipeline.pack(spark, documents(spark, rows), "").collect()
     assert Counter(r.length for r in out).total() and sum(r.length for r in out) == sum(ids_of(t) for _, t, *_ in rows)
+    ids = {}
+    for r in sorted(out, key=lambda r: (str(r.doc_id), r.piece)):
+        assert len(r.ids) == r.length
+        ids.setdefault(r.doc_id, []).extend(r.ids)
+    tokenizer = Tokenizer.from_file(TOKENIZER["tokenizer"])
+    assert ids[50] == [*tokenizer.encode(prose(9, 3000), add_special_tokens=False).ids, 0]
     fill = {}
     for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
         assert fill.get(r.sequence_id, 0) == r.offset
@@ -105,3 +111,12 @@ def test_run_keeps_what_no_stage_drops(spark, sf_dir):
     texts = {i: t for i, t, *_ in awkward()}
     size = np.array([ids_of(texts[i]) for i in want])
     assert sum(r.length for r in out) == size.sum()
+
+
+def test_repeated_rows_go_through_the_first_stages(spark):
+    rows = [(None, prose(3), "en", "s", 1)] * 200 + [(7, prose(3), "en", "s", 1)] * 200 + [(8, prose(4, 60), "de", "s", 1)] * 5
+    docs = corpus_pipeline.identify_languages(spark, documents(spark, rows), "")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [7, 8]
+    again = corpus_pipeline.remove_repeats(spark, documents(spark, rows[-5:]), "")
+    assert again.count() == 0  # copies of a passage of over 50 words have nothing else
