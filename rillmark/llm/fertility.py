@@ -6,7 +6,7 @@ vocabulary lacks, and the entropy of the tokens as a share of what that many dif
 
 Texts are compared with their own language (or, where that is unknown or has few texts, with their
 script). Each measure is rounded to a grid, counted over all texts that pass the plain rules, and the
-counts give the 5th and 95th percentiles exactly. The band reaches `widen` times their difference
+counts give the 10th and 90th percentiles exactly. The band reaches `widen` times their difference
 beyond each. A text outside a band of its group is rejected. Groups of texts with a script that no
 band knows are kept.
 
@@ -34,10 +34,11 @@ WORD = word_table(b" \t\n\v\f\r")
 SYMBOLS = b"#*$%&|<>"
 #: Rules of the base: least words, and the most per cent of them that stand in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Grid of the measures, and what a band adds beyond the 5th and 95th percentiles.
-GRID, WIDEN = 1000, 0.5
+#: Grid of the measures, the percentiles of a band, and how many times their distance it adds beyond them.
+#: So bands hold while less than a tenth of a language's texts lies at one end.
+GRID, LOW, HIGH, WIDEN = 1000, 0.1, 0.9, 1.5
 #: Texts that a language needs for bands of its own, and the least width between percentiles.
-LEAST_TEXTS, LEAST_WIDTH = 200, 0.06
+LEAST_TEXTS, LEAST_WIDTH = 200, 0.03
 #: First code points of blocks, and the script from there on ("" is none).
 SCRIPTS = [
     (0x0000, ""), (0x0041, "Latin"), (0x005B, ""), (0x0061, "Latin"), (0x007B, ""), (0x00C0, "Latin"), (0x0250, ""), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, ""), (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, ""), (0x0E00, "Thai"), (0x0E80, ""),
@@ -208,7 +209,7 @@ def _bands(measured: DataFrame, widen: float, least: int) -> DataFrame:
     own = Window.partitionBy("g", "k")
     ranked = counts.select("g", "k", "x", F.sum("n").over(own.orderBy("x")).alias("upto"), F.sum("n").over(own).alias("all"))
     quantile = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("x"))) / GRID
-    edges = ranked.groupBy("g", "k").agg(quantile(0.05).alias("a"), quantile(0.95).alias("b"), F.max("all").alias("all")).where((F.col("all") >= least) | F.col("g").startswith("script:"))
+    edges = ranked.groupBy("g", "k").agg(quantile(LOW).alias("a"), quantile(HIGH).alias("b"), F.max("all").alias("all")).where((F.col("all") >= least) | F.col("g").startswith("script:"))
     wide = F.greatest(F.col("b") - F.col("a"), F.lit(LEAST_WIDTH)) * widen
     edges = edges.select("g", "k", (F.col("a") - wide).alias("low"), (F.col("b") + wide).alias("high"))
     listed = edges.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "low", "high"))).alias("bands"))
