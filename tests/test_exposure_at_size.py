@@ -56,3 +56,26 @@ def test_nearest_node_in_rings_equals_brute_force(spark):
     out = vectors.snap(spark.createDataFrame(points, "osm_id long, lon double, lat double"), spark.createDataFrame(nodes, "node string, node_ord long, lon double, lat double"))
     assert {x.osm_id: x.node for x in out.collect()} == want
     assert out.select(F.countDistinct("osm_id")).first()[0] == out.count()
+
+
+def test_masks_as_bits_equal_set_pixels(spark, monkeypatch):
+    g = np.random.default_rng(11)
+    geo = spark.createDataFrame([(0, 85.0, 28.0, 0.01, 0.01, 20, 13), (7, 85.1, 27.9, 0.02, 0.01, 9, 9), (8, 85.0, 28.0, 0.01, 0.01, 5, 5)], GEO)
+    px = spark.createDataFrame([(0, r, c, r == 19 and c == 12, bool(g.random() < 0.5)) for r in range(20) for c in range(13)] + [(7, 4, 4, False, True)], "scene long, r long, c long, cons boolean, lib boolean")
+    point = lambda: (round(float(g.uniform(84.95, 85.3)), 3), round(float(g.uniform(27.75, 28.03)), 3))
+    roads = spark.createDataFrame([(k, [point(), point(), (85.12, 27.81)]) for k in range(80)], "osm_id long, points array<struct<lon: double, lat: double>>")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    ask = lambda: vectors.road_overlap_in_place(roads, px, geo, ["cons", "lib"], 3, ends=False)
+    bits = ask()
+    assert bits.columns == ["scene", "osm_id", "cons_overlap", "lib_overlap"]
+    assert "MapInArrow" in bits._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(vectors, "TASK_BITS", 0)
+    assert rows(bits) == rows(ask()) == rows(vectors.road_overlap(roads, px, geo, ["cons", "lib"]).drop("u", "v"))
+
+
+def test_settlements_of_a_small_file_meet_scenes_in_all_tasks(spark, tmp_path):
+    spark.range(400).selectExpr("id as c_custkey", "'n' as c_name").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    geo = spark.createDataFrame([(0, 85.0, 28.0, 0.01, 0.01, 40, 30)], GEO)
+    here = vectors.covered(tables.settlements(spark, str(tmp_path), apart=True), geo)
+    assert here.select(F.spark_partition_id().alias("p"), "osm_id").agg(F.countDistinct("p")).first()[0] > 1
+    assert "hashpartitioning(bx" not in here._jdf.queryExecution().executedPlan().toString()
