@@ -79,3 +79,45 @@ def test_settlements_of_a_small_file_meet_scenes_in_all_tasks(spark, tmp_path):
     here = vectors.covered(tables.settlements(spark, str(tmp_path), apart=True), geo)
     assert here.select(F.spark_partition_id().alias("p"), "osm_id").agg(F.countDistinct("p")).first()[0] > 1
     assert "hashpartitioning(bx" not in here._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_edges_take_two_passes_with_the_same_distances(spark, monkeypatch):
+    g = np.random.default_rng(13)
+    # the last scene has no source; some nodes have long edges alone, some none that is open
+    rows = [(int(s), int(a), int(b), int(w) + 300 * int(a > 50), bool(g.random() < 0.3 or a % 7 == 0)) for s, a, b, w in zip(g.integers(0, 3, 500), g.integers(0, 60, 500), g.integers(0, 60, 500), g.integers(1, 99, 500) ** 2 // 50, strict=True) if a != b]
+    edges = spark.createDataFrame(rows, "scene long, a long, b long, length long, cut boolean")
+    source = spark.createDataFrame([(0, rows[0][1]), (1, 3), (1, 4)], "scene long, node long")
+    answer = lambda *ends: sorted((x.scene, x.node, x.dist, x.dist_cut or -1) for x in graph.distances(edges, source, ["scene"], ["cut"], *ends).collect())
+    want = answer()
+    made = []
+    rounds = graph._rounds
+    monkeypatch.setattr(graph, "_rounds", lambda known, either, *rest: made.append(either.count()) or rounds(known, either, *rest))
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    assert answer() == answer(graph.shortest_ends(edges, ["scene"], ["cut"])) == want
+    assert len(made) == 4 and 0 < made[1] < 2 * len(rows) and made[0] < len(rows)
+    one = lambda: sorted(map(tuple, graph.distances(edges.where("scene = 0").drop("scene"), source.where("scene = 0").select("node")).collect()))
+    two = one()
+    monkeypatch.setattr(graph, "FEW_EDGES", 10**6)
+    assert one() == two
+
+
+def test_distances_by_hubs_equal_those_of_single_steps(spark, monkeypatch):
+    g = np.random.default_rng(19)
+    rows = [(int(s), 2 * int(a), 2 * int(b) + 1, int(w) ** 2 // 50, bool(g.random() < 0.4 or b % 9 == 0)) for s, a, b, w in zip(g.integers(0, 3, 400), g.integers(0, 8, 400), g.integers(0, 60, 400), g.integers(1, 99, 400), strict=True)]
+    edges = spark.createDataFrame(rows, "scene long, a long, b long, length long, cut boolean")
+    source = spark.createDataFrame([(0, rows[0][2]), (1, 4), (1, 7), (1, 1001)], "scene long, node long")
+    answer = lambda **how: sorted((x.scene, x.node, x.dist, -1 if x.dist_cut is None else x.dist_cut) for x in graph.distances(edges, source, ["scene"], ["cut"], **how).collect())
+    want = answer()
+    assert answer(two_sided=True) == want
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    monkeypatch.setattr(graph, "BROADCAST_FAR", 0)
+    assert answer(two_sided=True) == want
+
+
+def test_numbers_of_placed_courses_keep_the_order_of_first_roads(spark, tmp_path):
+    g = np.random.default_rng(17)
+    rows = [(int(o), k % 7, int(p), int(s), 10.5, "O") for k, (o, p, s) in enumerate(zip(g.integers(0, 500, 900), g.integers(0, 30, 900), g.integers(0, 9, 900), strict=True))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    first = {x.osm_id: tuple(x.first_ord) for x in tables.courses(spark, str(tmp_path)).collect()}
+    placed = sorted(tables.placed_courses(spark, str(tmp_path)).collect(), key=lambda x: x.place)
+    assert [first[x.osm_id] for x in placed] == sorted(first.values())
