@@ -121,3 +121,11 @@ def test_numbers_of_placed_courses_keep_the_order_of_first_roads(spark, tmp_path
     first = {x.osm_id: tuple(x.first_ord) for x in tables.courses(spark, str(tmp_path)).collect()}
     placed = sorted(tables.placed_courses(spark, str(tmp_path)).collect(), key=lambda x: x.place)
     assert [first[x.osm_id] for x in placed] == sorted(first.values())
+
+
+def test_ranking_makes_states_once(spark):
+    made = spark.range(40).selectExpr("id % 2 as scene", "id as input_ord", "id % 5 as building_count", "cast(id as double) as pre_km", "if(id % 3 = 0, 'cut_off', 'unknown') as state_lib").groupBy("scene", "input_ord").agg(*[F.max(c).alias(c) for c in ("building_count", "pre_km", "state_lib")])
+    out = vectors.priority(made, ["scene"])
+    assert "max(state_lib" not in out._jdf.queryExecution().executedPlan().toString()
+    ranks = {(x.scene, x.priority_rank) for x in out.where("state_lib = 'cut_off'").collect()}
+    assert out.count() == 40 and ranks == {(s, k) for s in (0, 1) for k in range(1, 8)}
