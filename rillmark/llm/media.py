@@ -16,6 +16,23 @@ from rillmark.llm import webp
 from rillmark.llm._base import as_bytes, flat, pieces, small_batches
 
 
+#: Bytes of texts and of media that a task writes and reads together, of several Arrow batches.
+TEXTS, MEDIA = 15 << 17, 7 << 18
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of some batches as one, as soon as a column of theirs has `limit` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and media: each text's UTF-8 bytes, filled with zeros to a positive multiple of
     64, as grey lossless WebP images of 64 samples a row (several in a row for long texts).
@@ -28,9 +45,9 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, 1, TEXTS):
             data, offsets = flat(batch.column("_text"))
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, TEXTS):
                 payloads = []
                 for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True):
                     padded = np.zeros(max(webp.ROW, -(-(b - a) // webp.ROW) * webp.ROW), np.uint8)
@@ -51,10 +68,10 @@ def describe(stored: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, 2, MEDIA):
             all_media = batch.column(2).to_pylist()
             offsets = np.concatenate([[0], np.cumsum([len(m) for m in all_media])])
-            for i, j in pieces(offsets, 2 << 20):
+            for i, j in pieces(offsets, MEDIA):
                 media = all_media[i:j]
                 out = [[] for _ in range(6)]
                 for m, x in zip(media, webp.decode_rows(media), strict=True):

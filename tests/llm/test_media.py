@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from rillmark.llm import media, webp
+from rillmark.llm import media, prefixes, webp
 from tests.llm.fixtures import corpus, documents
 
 
@@ -234,3 +234,104 @@ def test_tools_survive_random_samples():
         for n in (64, 640, 64 * 256):
             p = np.repeat(r.integers(0, k, n // 4), 4).astype(np.uint8) if n % 3 else r.integers(0, k, n).astype(np.uint8)
             assert (webp.decode(webp.encode_with_tools(p))[..., 1].ravel() == p).all()
+
+
+def prose(seed, n):
+    r = np.random.default_rng(seed)
+    words = ["".join(map(chr, r.integers(97 + seed % 7, 123, r.integers(2, 9)))) for _ in range(150)]
+    return padded(" ".join(r.choice(words, n)).encode())
+
+
+def test_prose_has_back_references_and_codes_of_its_own():
+    payloads = [prose(k, 60 + 70 * k) for k in range(9)]
+    heads = set()
+    for p, stored in zip(payloads, webp.encode_rows(payloads), strict=True):
+        seen = set()
+        assert (webp.decode(stored, seen)[..., 1].ravel() == p).all()
+        assert {"subtract-green", "back-reference"} <= seen
+        heads.add(stored[26:40])  # what follows size and transform: the code's table
+        entropy = -sum(n / len(p) * np.log2(n / len(p)) for n in Counter(p.tolist()).values())
+        assert len(stored) < len(p) * entropy / 8 + 110
+    assert len(heads) == len(payloads)
+
+
+def test_all_stored_images_are_read_in_step(monkeypatch):
+    payloads = [prose(k, 100) for k in range(4)] + [padded(t) for t in (b"", b"abab" * 700, b"".join(b"%-64d" % k for k in range(300)), b"The quick brown fox, which no one had seen, jumped. " * 3, bytes(range(256)) * 70)]
+    payloads.append(np.concatenate([prose(11, 9000), prose(12, 2000)]))
+    stored = webp.encode_rows(payloads)
+    used = set()
+    for m in stored:
+        for f in webp.files_in(m):
+            webp.decode(f, used)
+    assert used == {"palette", "predictor", "cross-colour", "subtract-green", "back-reference", "colour cache"}
+    monkeypatch.setattr(webp, "decode", None)
+    assert all((a == b).all() for a, b in zip(webp.decode_rows(stored), payloads, strict=True))
+    for few in ({"WRITTEN": 1000, "READ": 1000}, {"IMAGES": 2}):
+        for name, value in few.items():
+            monkeypatch.setattr(webp, name, value)
+        assert webp.encode_rows(payloads) == stored
+        assert all((a == b).all() for a, b in zip(webp.decode_rows(stored), payloads, strict=True))
+
+
+def test_step_decoder_reads_what_others_write():
+    """Repeated code lengths, a cache of another size, and codes of a single symbol."""
+    cache = lambda v, bits: (0x1E35A7BD * (255 << 24 | v << 8) & 0xFFFFFFFF) >> (32 - bits)
+    samples = [5, 5, 77, 5, 77, 77, 200, 5]
+    files = []
+    for bits in (0, 1, 5):
+        w = start(8, 1)
+        w.put(0, 1)
+        w.put(1, 1) if bits else w.put(0, 1)
+        if bits:
+            w.put(bits, 4)
+        w.put(0, 1)
+        lengths = FLAT + [0] * 24 if not bits else [9] * 256 + [0] * 24 + [bits + 1] * (1 << bits)
+        w.code(lengths)
+        w.one(0), w.one(0), w.one(255), w.one(0)
+        words, slots = webp.canonical(lengths), {}
+        for v in samples:
+            s = 280 + cache(v, bits) if bits and slots.get(cache(v, bits)) == v else v
+            w.put(words[s], lengths[s])
+            slots[cache(v, bits)] = v
+        files.append(file_of(w))
+    w = start(64, 3)
+    w.put(0, 1), w.put(0, 1), w.put(0, 1)
+    for x in (7, 0, 0, 255, 0):
+        w.one(x)
+    files.append(file_of(w))
+    got = webp.decode_rows(files)
+    assert [g.tolist() for g in got] == [samples] * 3 + [[7] * 192]
+    assert all((webp.decode(f)[..., 1].ravel() == g).all() for f, g in zip(files, got, strict=True))
+
+
+def test_step_decoder_and_damaged_files():
+    whole = webp.encode_rows([prose(3, 300)])[0]
+    size = len(whole) // 2 // 2 * 2
+    short = whole[:4] + struct.pack("<I", size - 8) + whole[8:16] + struct.pack("<I", size - 20) + whole[20:size]
+    with pytest.raises(ValueError):
+        webp.decode_rows([short])
+    with pytest.raises(ValueError):
+        webp.decode_rows([whole, short, whole])
+
+
+def test_codes_of_many_rows_are_optimal_and_canonical():
+    r = np.random.default_rng(8)
+    weights = r.integers(0, 50, (40, 30)) ** r.integers(1, 4, (40, 1)) * (r.random((40, 30)) < r.random((40, 1)))
+    weights[0] = 0
+    weights[1, 3:] = 0
+    lengths = prefixes.code_lengths(weights, 15)
+    for w, n, words in zip(weights.tolist(), lengths, prefixes.words(lengths), strict=True):
+        assert sum(0.5 ** int(x) for x in n if x) == 1
+        assert words.tolist() == webp.canonical(n.tolist())
+        if sum(x > 0 for x in w) > 1:
+            assert sum(a * b for a, b in zip(w, n.tolist(), strict=True)) == sum(a * b for a, b in zip(w, webp.code_lengths([float(x) for x in w], 99), strict=True))
+    steep = np.array([[2**k for k in range(25)]])
+    assert prefixes.code_lengths(steep, 7).max() == 7 and (0.5 ** prefixes.code_lengths(steep, 7).astype(float)).sum() == 1
+
+
+def test_batches_are_written_and_read_together(spark, monkeypatch):
+    rows = corpus()
+    want = {r.doc_id: (r.payload_sha256, r.media_sha256) for r in media.describe(media.store(documents(spark, rows))).collect()}
+    monkeypatch.setattr(media, "TEXTS", 1)
+    monkeypatch.setattr(media, "MEDIA", 1)
+    assert {r.doc_id: (r.payload_sha256, r.media_sha256) for r in media.describe(media.store(documents(spark, rows))).collect()} == want
