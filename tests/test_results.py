@@ -119,3 +119,11 @@ def test_run_requests(spark):
     got = spark.createDataFrame([(b,) for b in bodies], "b string").select(ingest.request(F.col("b")).alias("q")).select("q.*").collect()
     assert tuple(got[0])[:4] == (1.5, 27.9, 85.4, 2.0) and str(got[0].flood_date) == "2026-01-02" and got[0].use_baseline and not got[0].refused
     assert [r.refused for r in got] == [False, False, True, True, True, True] and {str(r.flood_date) for r in got[1:]} == {"2026-08-26"}
+
+
+def test_reports_list_the_first_settlements_of_all_parts(spark, tmp_path):
+    more = {"scene": 1, "part": 1, "settlements": [{**GOOD["settlements"][0], "input_ord": -1, "name": "Earlier"}]}
+    docs = read(spark, tmp_path, GOOD, more)
+    html = report.reports(docs, ("en",)).first().html
+    assert html.index("Earlier") < html.index("Syabru") and html.count("<b>") == 4
+    assert report.reports(docs).count() == 2
